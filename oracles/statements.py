@@ -369,21 +369,20 @@ view("ridges", f"""SELECT *, {R3.format('top - g')} AS ridge, {R3.format('low -
 check("m01_height_references", """SELECT bag_id, round(ridge, 3) AS lod22_h_ridge, round(eaves, 3) AS lod22_h_eaves,
     round(ridge - eaves, 3) AS lod22_href_diff FROM (SELECT bag_id, ridge, CASE WHEN is_gable AND low <> top THEN
       CASE WHEN base > g AND low <> base THEN mixed WHEN low > g THEN slanted ELSE ridge END ELSE ridge END AS eaves FROM {ridges}) r""")
-WALL_LOST = "CASE WHEN is_open THEN {} ELSE 0.0::DOUBLE END"
 check("m02_face_areas", """SELECT bag_id, sem, round(area, 6) AS area FROM (
     SELECT bag_id, 0 AS sem, w * d AS area FROM {gable} UNION ALL SELECT bag_id, 1, w * d FROM {gable}
     UNION ALL SELECT bag_id, 2, 2 * (w + d) * h - CASE WHEN is_open THEN d * h / 2 ELSE 0 END FROM {gable}) a""")
-check("m03_surface_areas", f"""SELECT bag_id, {R3.format('''CASE WHEN is_gable THEN
+check("m03_surface_areas", """SELECT bag_id, round(CASE WHEN is_gable THEN
       2 * (w + d) * 0.7::DOUBLE * h + 0.3::DOUBLE * d * h - CASE WHEN is_open THEN 0.15::DOUBLE * d * h ELSE 0 END
-      ELSE 2 * (w + d) * h - CASE WHEN is_open THEN d * h / 2 ELSE 0 END END''')} AS lod22_area_walls,
-    {R3.format('CASE WHEN is_gable THEN 2 * w * sqrt(d * d / 4 + 0.09::DOUBLE * h * h) ELSE w * d END')} AS lod22_area_roof FROM {{gable}}""")
+      ELSE 2 * (w + d) * h - CASE WHEN is_open THEN d * h / 2 ELSE 0 END END, 6) AS lod22_area_walls,
+    round(CASE WHEN is_gable THEN 2 * w * sqrt(d * d / 4 + 0.09::DOUBLE * h * h) ELSE w * d END, 6) AS lod22_area_roof FROM {gable}""")
 check("m04_distinct_vertices", """SELECT bag_id, cast(CASE WHEN h = 0 THEN CASE WHEN is_gable THEN 6 ELSE 4 END
     WHEN is_gable THEN 10 ELSE 8 END AS int) AS n_vertices FROM {gable}""")
 check("m05_closed_volume", """SELECT bag_id, round(CASE WHEN is_gable THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END * w * d * h, 6) AS volume
     FROM {gable} WHERE NOT is_open AND h > 0""")
 check("m08_held_at_bound", """SELECT bag_id, round(CASE WHEN v > 1.1::DOUBLE * b THEN b ELSE v END, 6) AS volume FROM (
     SELECT bag_id, w * d * h AS b, 2 * CASE WHEN NOT is_open THEN CASE WHEN is_gable THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END * w * d * h
-      END AS v FROM {gable} WHERE NOT is_open) x""")
+      END AS v FROM {gable} WHERE NOT is_open AND h > 0) x""")
 
 # --- statistics ------------------------------------------------------------------------------
 
@@ -446,3 +445,20 @@ check("flagship_rule_of_thumb", "SELECT gm_code, bag_function, count(*) AS n, "
     f"round({_metric(m)}, 6) AS {m}" for m in METRICS) + ", " + ", ".join(
     f"round({_metric(m, w)}, 6) AS {m}_{s}" for s, w in BOTH for m in METRICS)
     + " FROM {quality_rows} WHERE e IS NOT NULL GROUP BY gm_code, bag_function")
+
+# --- preparation -----------------------------------------------------------------------------
+
+
+def _scaled(c: str) -> str:
+    filled = f"coalesce({c}, avg({c}) OVER ())"
+    return (f"round(({filled} - avg({c}) OVER ()) / sqrt(var_pop({c}) OVER () * count({c}) OVER () / count(*) OVER ()), 6) AS {c}")
+
+
+check("l01_l02_imputed_scaled", "SELECT bag_id, " + ", ".join(
+    _scaled(c) for c in ("h_70p", "bag_no_units", "lod12_volume", "bag_construction_year")) + " FROM {clean_nan}")
+check("l03_l04_imputed_encoded", """SELECT bag_id, cast(bag_function = 'Residential' AS DOUBLE) AS bag_function_x0_Residential,
+    cast(roof = 'multiple horizontal' AS DOUBLE) AS bag3d_roof_type_x0_multiple_horizontal,
+    cast(roof = 'single horizontal' AS DOUBLE) AS bag3d_roof_type_x0_single_horizontal,
+    cast(roof = 'slanted' AS DOUBLE) AS bag3d_roof_type_x0_slanted, cast(roof = 'unknown' AS DOUBLE) AS bag3d_roof_type_x0_unknown
+    FROM (SELECT bag_id, bag_function, coalesce(bag3d_roof_type, (SELECT bag3d_roof_type FROM {train}
+      WHERE bag3d_roof_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS roof FROM {train}) t""")

@@ -19,7 +19,7 @@ def open_ring(ring: Column) -> Column:
     return F.slice(ring, F.lit(1), F.greatest(F.size(ring) - 1, F.lit(0)))
 
 
-def _fan(ring: Column) -> Column:
+def fan(ring: Column) -> Column:
     """Triangles (a, b, c) that fan out from the first vertex."""
     n = F.size(ring)
     count = F.greatest(n - 3, F.lit(0))
@@ -39,7 +39,7 @@ def polygon_area(ring: Column) -> Column:
                         (acc["y"] + uz * vx - ux * vz).alias("y"),
                         (acc["z"] + ux * vy - uy * vx).alias("z"))
 
-    return F.aggregate(_fan(ring), zero, step, lambda s: F.sqrt(
+    return F.aggregate(fan(ring), zero, step, lambda s: F.sqrt(
         s["x"] * s["x"] + s["y"] * s["y"] + s["z"] * s["z"]) / 2)
 
 
@@ -55,7 +55,7 @@ def distinct_vertices(faces: Column) -> Column:
 def closed_volume(faces: Column) -> Column:
     """Volume enclosed by outward faces, with coordinates taken from the first vertex."""
     o = faces[0]["ring"][0]
-    triangles = F.flatten(F.transform(faces, lambda f: _fan(f["ring"])))
+    triangles = F.flatten(F.transform(faces, lambda f: fan(f["ring"])))
 
     def det(acc, t):
         ax, ay, az = (t["a"][k] - o[k] for k in "xyz")
@@ -73,33 +73,44 @@ def bounds(faces: Column) -> Column:
         for k in "xyz" for suffix, agg in (("min", F.array_min), ("max", F.array_max))])
 
 
-def _directed_edges(faces: Column) -> Column:
-    def of_ring(ring):
-        n = F.size(ring)
-        return F.zip_with(F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1),
-                          lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return F.flatten(F.transform(faces, lambda f: of_ring(f["ring"])))
+def _edge_codes(faces: Column) -> Column:
+    """``struct<e,r>``: directed edges and their reverses as numbers over vertex positions.
 
+    Numbering the few distinct vertices once keeps the comparison of edges on plain integers.
+    """
+    held = F.array(F.struct(distinct_vertices(faces).alias("v")))
+
+    def numbered(s):
+        rings = F.transform(faces, lambda f: F.transform(f["ring"], lambda p: F.array_position(s["v"], p)))
+
+        def of_ring(ring, forward):
+            n = F.size(ring)
+            step = lambda a, b: (a * 2**31 + b) if forward else (b * 2**31 + a)
+            return F.zip_with(F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1), step)
+
+        return F.transform(F.array(rings), lambda rs: F.struct(
+            F.flatten(F.transform(rs, lambda r: of_ring(r, True))).alias("e"),
+            F.flatten(F.transform(rs, lambda r: of_ring(r, False))).alias("r"),
+            F.size(s["v"]).alias("n")))[0]
 
-def quality_codes(faces: Column) -> Column:
-    """Reasons a mesh is not a closed two-manifold; an empty array means valid.
+    return F.transform(held, numbered)[0]
+
+
+def quality(faces: Column) -> Column:
+    """``struct<n_vertices, open_edges, codes>``; no codes means a closed two-manifold.
 
     Each directed edge must be paired with its reverse exactly once.
     """
-    pair = F.transform(F.array(_directed_edges(faces)), lambda es: F.struct(
-        es.alias("e"), F.transform(es, lambda e: F.struct(e["b"].alias("a"), e["a"].alias("b"))).alias("r")))[0]
-    degenerate = F.exists(faces, lambda f: (F.size(F.array_distinct(open_ring(f["ring"]))) < 3)
-                          | (polygon_area(f["ring"]) <= 0))
-    return F.transform(F.array(pair), lambda p: F.filter(F.array(
-        F.when(F.size(F.array_except(p["e"], p["r"])) > 0, "open_edge"),
-        F.when(F.size(F.array_distinct(p["e"])) < F.size(p["e"]), "non_manifold"),
-        F.when(degenerate, "degenerate_face")), lambda c: c.isNotNull()))[0]
-
-
-def open_edge_count(faces: Column) -> Column:
-    es = _directed_edges(faces)
-    return F.transform(F.array(es), lambda e: F.size(F.array_except(
-        e, F.transform(e, lambda v: F.struct(v["b"].alias("a"), v["a"].alias("b"))))))[0]
+    degenerate = F.exists(faces, lambda f: polygon_area(f["ring"]) <= 0)
+
+    def verdict(p):
+        open_edges = F.size(F.array_except(p["e"], p["r"]))
+        return F.struct(p["n"].alias("n_vertices"), open_edges.alias("open_edges"), F.filter(F.array(
+            F.when(open_edges > 0, "open_edge"),
+            F.when(F.size(F.array_distinct(p["e"])) < F.size(p["e"]), "non_manifold"),
+            F.when(degenerate, "degenerate_face")), lambda c: c.isNotNull()).alias("codes"))
+
+    return F.transform(F.array(_edge_codes(faces)), verdict)[0]
 
 
 def ridge_and_eaves(faces: Column, roof_type: Column, h_ground: Column) -> Column:

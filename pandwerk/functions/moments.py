@@ -14,14 +14,19 @@ from pandwerk.functions.scalar import nan_to_null
 _SCHEMA = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
 
 
-def pairwise_moments(df: DataFrame, columns: list[str]) -> DataFrame:
+def typical_values(df: DataFrame, columns: list[str]) -> list[float]:
+    """A value near each column's centre, to condition sums; results do not depend on it."""
+    return [v or 0.0 for v in df.limit(1000).agg(*[F.avg(c) for c in columns]).first()]
+
+
+def pairwise_moments(df: DataFrame, columns: list[str], shift: list[float] | None = None) -> DataFrame:
     """Rows ``(i, j, n, sx, sy, sxx, syy, sxy)`` over rows where both columns are present.
 
     Each task reduces its Arrow batches to one k-by-k block, so only blocks are shuffled.
-    Values are shifted by the column mean first, which keeps the sums well conditioned.
+    Values are taken relative to ``shift``, which keeps the sums well conditioned.
     """
     numeric = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
-    shift = [v or 0.0 for v in numeric.agg(*[F.avg(c) for c in columns]).first()]
+    shift = typical_values(numeric, columns) if shift is None else shift
     k = len(columns)
 
     def reduce_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,7 +52,7 @@ def pairwise_moments(df: DataFrame, columns: list[str]) -> DataFrame:
     return blocks.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
 
 
-def correlation_long(df: DataFrame, columns: list[str]) -> DataFrame:
+def correlation_long(df: DataFrame, columns: list[str], shift: list[float] | None = None) -> DataFrame:
     """Rows ``(feature_a, feature_b, n, corr)`` for all ordered pairs; NULL where undefined."""
     names = F.array(*[F.lit(c) for c in columns])
     cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
@@ -55,7 +60,7 @@ def correlation_long(df: DataFrame, columns: list[str]) -> DataFrame:
     vy = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
     # relative guard: a constant column leaves only rounding noise
     ok = (vx > F.col("n") * F.col("sxx") * 1e-12) & (vy > F.col("n") * F.col("syy") * 1e-12)
-    return pairwise_moments(df, columns).select(
+    return pairwise_moments(df, columns, shift).select(
         F.get(names, F.col("i")).alias("feature_a"), F.get(names, F.col("j")).alias("feature_b"),
         F.col("n").cast("bigint").alias("n"),
         F.when(ok, cov / F.sqrt(vx) / F.sqrt(vy)).alias("corr"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pandwerk.functions import mesh3d
-from pandwerk.functions.scalar import round_half_even
+from pandwerk.functions.scalar import nan_to_null, round_half_even
 
 # Fallback volumes above this multiple of the bounding prism are held at the prism.
 MAX_OVER_BOUND = 1.1
@@ -14,32 +19,41 @@ STUDY_SCALES = (50, 75, 100, 125, 150, 175, 200, 225, 250)
 
 
 def fetch(buildings: DataFrame, lod_3d: DataFrame) -> DataFrame:
-    """Meshes of buildings through the 3D id, one per building; unchecked meshes are left out."""
-    meshes = lod_3d.where(F.col("val3dity_codes").isNotNull()).select(F.col("fid").alias("bag3d_id"), "faces")
-    return (buildings.select("bag_id", "bag3d_id", "bag3d_roof_type", "bag3d_h_ground")
-            .join(meshes, "bag3d_id").dropDuplicates(["bag_id"]).drop("bag3d_id"))
+    """Meshes of buildings through the 3D id, one per building; unchecked meshes are left out.
+
+    Repeats are dropped on the join key, so the meshes themselves are shuffled once.
+    """
+    meshes = (lod_3d.where(F.col("val3dity_codes").isNotNull())
+              .select(F.col("fid").alias("bag3d_id"), "faces").dropDuplicates(["bag3d_id"]))
+    return buildings.select("bag_id", "bag3d_id", "bag3d_roof_type", "bag3d_h_ground").join(
+        meshes, "bag3d_id").drop("bag3d_id")
+
+
+def height_columns(prefix: str = "lod22") -> dict[str, Column]:
+    """Ridge, eaves and their difference from a ``ridge_and_eaves`` struct named ``_h``."""
+    return {f"{prefix}_h_ridge": F.col("_h.ridge"), f"{prefix}_h_eaves": F.col("_h.eaves"),
+            f"{prefix}_href_diff": F.col("_h.ridge") - F.col("_h.eaves")}
 
 
 def height_references(meshes: DataFrame, prefix: str = "lod22") -> DataFrame:
     heights = mesh3d.ridge_and_eaves(F.col("faces"), F.col("bag3d_roof_type"), F.col("bag3d_h_ground"))
     return meshes.select("bag_id", heights.alias("_h")).select(
-        "bag_id", F.col("_h.ridge").alias(f"{prefix}_h_ridge"), F.col("_h.eaves").alias(f"{prefix}_h_eaves"),
-        (F.col("_h.ridge") - F.col("_h.eaves")).alias(f"{prefix}_href_diff"))
+        "bag_id", *[c.alias(n) for n, c in height_columns(prefix).items()])
+
+
+def area_columns(prefix: str) -> dict[str, Column]:
+    return {f"{prefix}_area_{name}": round_half_even(mesh3d.surface_area(F.col("faces"), sem), 3)
+            for name, sem in (("walls", mesh3d.WALL), ("roof", mesh3d.ROOF))}
 
 
 def surface_areas(meshes: DataFrame, prefix: str) -> DataFrame:
-    return meshes.select(
-        "bag_id",
-        round_half_even(mesh3d.surface_area(F.col("faces"), mesh3d.WALL), 3).alias(f"{prefix}_area_walls"),
-        round_half_even(mesh3d.surface_area(F.col("faces"), mesh3d.ROOF), 3).alias(f"{prefix}_area_roof"))
+    return meshes.select("bag_id", *[c.alias(n) for n, c in area_columns(prefix).items()])
 
 
 def quality(meshes: DataFrame) -> DataFrame:
     """Per mesh: distinct vertices, open edges, error codes and validity."""
-    return (meshes.withColumn("n_vertices", F.size(mesh3d.distinct_vertices(F.col("faces"))))
-            .withColumn("open_edges", mesh3d.open_edge_count(F.col("faces")))
-            .withColumn("codes", mesh3d.quality_codes(F.col("faces")))
-            .withColumn("is_valid", F.size("codes") == 0))
+    return (meshes.withColumn("_q", mesh3d.quality(F.col("faces"))).select(
+        *meshes.columns, "_q.n_vertices", "_q.open_edges", "_q.codes", (F.size("_q.codes") == 0).alias("is_valid")))
 
 
 def quality_report(checked: DataFrame) -> DataFrame:
@@ -52,57 +66,77 @@ def quality_report(checked: DataFrame) -> DataFrame:
         "percent_invalid", round_half_even(F.col("invalid") / F.col("total") * 100, 1))
 
 
-def _diagonal(b: Column) -> Column:
-    parts = [b[k + "max"] - b[k + "min"] for k in "xyz"]
-    return F.sqrt(sum((p * p for p in parts[1:]), parts[0] * parts[0]))
+def _column_volume(t: np.ndarray, scale: float) -> float:
+    """Volume of one mesh, ``t`` holding triangles as (n, 3 corners, 3 coordinates).
 
+    Vertical columns stand at the centres of a grid spaced at the box diagonal over ``scale``.
+    The gaps between successive crossings of a column are alternately inside and outside; one
+    with an odd number of crossings is taken as open towards the lowest point of the mesh.
+    """
+    t = t - t.reshape(-1, 3).min(axis=0)
+    pitch = float(np.linalg.norm(t.reshape(-1, 3).max(axis=0))) / scale
+    if pitch <= 0:
+        return 0.0
+    columns, heights = [], []
+    width = int(t[..., 1].max() / pitch) + 2
+    for a, b, c in t:
+        d = (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        if d == 0:
+            continue
+        lo, hi = np.minimum(np.minimum(a, b), c), np.maximum(np.maximum(a, b), c)
+        ix = np.arange(np.ceil(lo[0] / pitch - 0.5), np.floor(hi[0] / pitch - 0.5) + 1)
+        iy = np.arange(np.ceil(lo[1] / pitch - 0.5), np.floor(hi[1] / pitch - 0.5) + 1)
+        gx, gy = np.meshgrid(ix, iy, indexing="ij")
+        x, y = (gx + 0.5) * pitch - a[0], (gy + 0.5) * pitch - a[1]
+        wb = (x * (c[1] - a[1]) - y * (c[0] - a[0])) / d
+        wc = ((b[0] - a[0]) * y - (b[1] - a[1]) * x) / d
+        hit = (wb >= -1e-12) & (wc >= -1e-12) & (wb + wc <= 1 + 1e-12)
+        columns.append((gx * width + gy)[hit])
+        heights.append((a[2] + wb * (b[2] - a[2]) + wc * (c[2] - a[2]))[hit])
+    if not columns:
+        return 0.0
+    # a column through a shared edge meets both triangles at one height, which counts once;
+    # column and height (in micrometres) share one integer so that a plain sort orders both
+    span = int(t[..., 2].max() * 1e6) + 2
+    codes = np.unique(np.concatenate(columns).astype(np.int64) * span
+                      + np.rint(np.concatenate(heights) * 1e6).astype(np.int64))
+    column, height = codes // span, (codes % span) / 1e6
+    start = np.flatnonzero(np.r_[True, column[1:] != column[:-1]])
+    count = np.diff(np.r_[start, len(codes)])
+    place = np.arange(len(codes)) - np.repeat(start, count) + np.repeat(count % 2, count)
+    return float(np.where(place % 2 == 1, height, -height).sum()) * pitch * pitch
+
+
+def _flat_triangles(faces: Column) -> Column:
+    triangles = F.flatten(F.transform(faces, lambda f: mesh3d.fan(f["ring"])))
+    return F.flatten(F.transform(triangles, lambda t: F.array(*[t[c][k] for c in "abc" for k in "xyz"])))
+
+
+def _with_sampled(rows: DataFrame) -> DataFrame:
+    """Replace ``_t`` (flat triangle coordinates, or NULL) and ``_scale`` by ``sampled_volume``.
+
+    Row-local on Arrow batches; the other columns pass through.
+    """
+    kept = [c for c in rows.columns if c not in ("_t", "_scale")]
 
-def sampled_volume(meshes: DataFrame, scale: Column | int, extra_keys: list[str] = ()) -> DataFrame:
-    """Volume from vertical columns through the mesh, spaced at the box diagonal over ``scale``.
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = batch[kept].copy()
+            out["sampled_volume"] = [
+                None if t is None else _column_volume(np.asarray(t, dtype=float).reshape(-1, 3, 3), s)
+                for t, s in zip(batch["_t"], batch["_scale"])]
+            out["sampled_volume"] = out["sampled_volume"].astype(float)
+            yield out
 
-    Each triangle yields the columns under it with their crossing height; the gaps between
-    successive crossings of a column are alternately inside and outside. A column with an odd
-    number of crossings is taken as open towards the lowest point of the mesh.
-    """
-    keys = ["bag_id", *extra_keys]
+    schema = T.StructType([*[rows.schema[k] for k in kept], T.StructField("sampled_volume", T.DoubleType())])
+    return rows.mapInPandas(measure, schema)
+
+
+def sampled_volume(meshes: DataFrame, scale: Column | int, extra_keys: tuple = ()) -> DataFrame:
+    """Volume from vertical columns through each mesh."""
     scale = F.lit(scale) if isinstance(scale, int) else scale
-    prepared = (meshes.select(*keys, "faces", scale.cast("double").alias("_scale"))
-                .withColumn("_b", mesh3d.bounds(F.col("faces")))
-                .withColumn("_p", _diagonal(F.col("_b")) / F.col("_scale")).where("_p > 0"))
-    triangles = prepared.select(
-        *keys, "_p", F.col("_b.xmin").alias("_x0"), F.col("_b.ymin").alias("_y0"), F.col("_b.zmin").alias("_z0"),
-        F.explode(F.flatten(F.transform("faces", lambda f: mesh3d._fan(f["ring"])))).alias("_t"))
-    corner = {c + k: F.col("_t")[c][k] - (F.col("_" + k + "0")) for c in "abc" for k in "xyz"}
-    flat = triangles.select(*keys, "_p", *[v.alias(k) for k, v in corner.items()])
-    doubled = (F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("cx") - F.col("ax"))
-    facing = flat.withColumn("_d", doubled).where("_d <> 0")
-
-    def centres(k: str, fn) -> Column:
-        return fn(*[F.col(c + k) for c in "abc"]) / F.col("_p") - F.lit(0.5)
-
-    def span(k: str) -> Column:
-        first, last = F.ceil(centres(k, F.least)), F.floor(centres(k, F.greatest))
-        return F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))).otherwise(
-            F.array().cast("array<int>"))
-
-    hits = (facing.withColumn("_ix", F.explode(span("x"))).withColumn("_iy", F.explode(span("y")))
-            .withColumn("_x", (F.col("_ix") + F.lit(0.5)) * F.col("_p"))
-            .withColumn("_y", (F.col("_iy") + F.lit(0.5)) * F.col("_p")))
-    # barycentric weights of b and c; half-open on the shared edges so neighbours do not both hit
-    wb = ((F.col("_x") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("_y") - F.col("ay")) * (F.col("cx") - F.col("ax"))) / F.col("_d")
-    wc = ((F.col("bx") - F.col("ax")) * (F.col("_y") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("_x") - F.col("ax"))) / F.col("_d")
-    inside = (hits.withColumn("_wb", wb).withColumn("_wc", wc)
-              .where("_wb >= -1e-12 AND _wc >= -1e-12 AND _wb + _wc <= 1 + 1e-12")
-              .withColumn("_z", F.col("az") + F.col("_wb") * (F.col("bz") - F.col("az"))
-                          + F.col("_wc") * (F.col("cz") - F.col("az"))))
-    # a column through a shared edge meets both triangles at one height, which counts once
-    columns = inside.groupBy(*keys, "_p", "_ix", "_iy").agg(
-        F.array_sort(F.collect_set(F.rint(F.col("_z") * 1e6) / 1e6)).alias("_zs"))
-    closed = F.when(F.size("_zs") % 2 == 1, F.concat(F.array(F.lit(0.0)), F.col("_zs"))).otherwise(F.col("_zs"))
-    gaps = F.aggregate(F.transform(closed, lambda z, i: F.when(i % 2 == 1, z).otherwise(-z)),
-                       F.lit(0.0), lambda acc, v: acc + v)
-    return (columns.select(*keys, "_p", gaps.alias("_gap")).groupBy(*keys)
-            .agg(F.sum(F.col("_gap") * F.col("_p") * F.col("_p")).alias("sampled_volume")))
+    return _with_sampled(meshes.select(
+        "bag_id", *extra_keys, _flat_triangles(F.col("faces")).alias("_t"), scale.cast("double").alias("_scale")))
 
 
 def prism_bound(faces: Column) -> Column:
@@ -114,28 +148,43 @@ def held_at_bound(volume: Column, bound: Column) -> Column:
     return F.when(volume > F.lit(MAX_OVER_BOUND) * bound, bound).otherwise(volume)
 
 
-def volumes(meshes: DataFrame, prefix: str, scale: int) -> DataFrame:
+def volumes(meshes: DataFrame, prefix: str, scale: int, keep: dict[str, Column] | None = None) -> DataFrame:
     """Exact volume of valid meshes, sampled volume of the others, NaN where neither exists.
 
     A missing volume is NaN rather than NULL: later rules tell "no usable mesh" from "no mesh".
+    One narrow pass: a mesh is checked once and only broken ones hand coordinates to Python.
+    ``keep`` adds further columns computed from the same mesh.
     """
-    checked = quality(meshes)
-    exact = checked.where("is_valid AND n_vertices > 3").select(
-        "bag_id", mesh3d.closed_volume(F.col("faces")).alias("_v"))
-    broken = checked.where("NOT is_valid AND n_vertices > 3").select(
-        "bag_id", "faces", prism_bound(F.col("faces")).alias("_bound"))
-    fallback = (sampled_volume(broken, scale).join(broken.select("bag_id", "_bound"), "bag_id")
-                .select("bag_id", held_at_bound(F.col("sampled_volume"), F.col("_bound")).alias("_v")))
-    known = exact.unionByName(fallback)
-    return meshes.select("bag_id").join(known, "bag_id", "left").select(
-        "bag_id", F.coalesce(round_half_even(F.col("_v"), 3), F.lit(float("nan"))).alias(f"{prefix}_volume"))
+    faces = F.col("faces")
+    keep = keep or {}
+    solid = (F.size("_q.codes") == 0) & (F.col("_q.n_vertices") > 3)
+    broken = (F.size("_q.codes") > 0) & (F.col("_q.n_vertices") > 3)
+    checked = meshes.withColumn("_q", mesh3d.quality(faces)).select(
+        "bag_id", *[c.alias(n) for n, c in keep.items()],
+        F.when(solid, mesh3d.closed_volume(faces)).alias("_exact"),
+        F.when(broken, prism_bound(faces)).alias("_bound"),
+        F.when(broken, _flat_triangles(faces)).alias("_t"), F.lit(float(scale)).alias("_scale"))
+    sampled = _with_sampled(checked)
+    fallback = held_at_bound(nan_to_null(F.col("sampled_volume")), F.col("_bound"))
+    volume = round_half_even(F.coalesce(F.col("_exact"), fallback), 3)
+    return sampled.select("bag_id", *keep, F.coalesce(volume, F.lit(float("nan"))).alias(f"{prefix}_volume"))
+
+
+def lod12_features(meshes: DataFrame, scale: int) -> DataFrame:
+    """Surface areas and volume in one pass over the meshes."""
+    return volumes(meshes, "lod12", scale, area_columns("lod12"))
+
+
+def lod22_features(meshes: DataFrame, scale: int) -> DataFrame:
+    """Height references, surface areas and volume in one pass over the meshes."""
+    heights = mesh3d.ridge_and_eaves(F.col("faces"), F.col("bag3d_roof_type"), F.col("bag3d_h_ground"))
+    return volumes(meshes.withColumn("_h", heights), "lod22", scale, {**height_columns("lod22"), **area_columns("lod22")})
 
 
 def scale_study(meshes: DataFrame, scales=STUDY_SCALES) -> DataFrame:
     """Sampled against exact volume of valid meshes at each scale, in long form."""
     valid = quality(meshes).where("is_valid AND n_vertices > 3").select(
         "bag_id", "faces", F.explode(F.array(*[F.lit(s) for s in scales])).alias("scale"))
-    exact = valid.select("bag_id", "scale", round_half_even(mesh3d.closed_volume(F.col("faces")), 3).alias("mesh_volume"))
-    sampled = sampled_volume(valid, F.col("scale"), ["scale"])
-    return exact.join(sampled, ["bag_id", "scale"], "left").withColumn(
+    both = valid.withColumn("mesh_volume", round_half_even(mesh3d.closed_volume(F.col("faces")), 3))
+    return sampled_volume(both, F.col("scale"), ("scale", "mesh_volume")).withColumn(
         "sampled_volume", round_half_even(F.col("sampled_volume"), 3))

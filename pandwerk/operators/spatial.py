@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pandwerk.functions import geom2d
+from pandwerk.functions.lineage import checkpointed
 
 # Distinct locations a grid cell may hold before it is resolved by sub-cells.
 DENSE_CELL = 2_000
@@ -38,7 +39,9 @@ def box_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, s
     a, b = F.col(left_box), F.col(right_box)
     owner = ((F.col("cx") == cell_of(F.greatest(a["xmin"], b["xmin"]), size))
              & (F.col("cy") == cell_of(F.greatest(a["ymin"], b["ymin"]), size)))
-    return pairs.where(geom2d.bbox_overlaps(a, b) & owner).drop("cx", "cy")
+    # coalesce keeps Spark from inferring not-null filters, which would evaluate the boxes (and
+    # whatever geometry they come from) a second time below the join
+    return pairs.where(F.coalesce(geom2d.bbox_overlaps(a, b) & owner, F.lit(False))).drop("cx", "cy")
 
 
 def polygon_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, size: float) -> DataFrame:
@@ -105,11 +108,12 @@ def neighbour_counts(points: DataFrame, radii: tuple, target: Column, candidate:
                          F.coalesce(target, F.lit(False)).alias("_target"),
                          F.coalesce(candidate, F.lit(False)).alias("_candidate"))
     known = rows.where(F.col("_candidate") & F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    locations = (known.groupBy("_x", "_y").agg(F.count("*").alias("_n"), F.max("_target").alias("_wanted"))
-                 .withColumn("cx", cell_of(F.col("_x"), r_max)).withColumn("cy", cell_of(F.col("_y"), r_max)))
+    # written once: it feeds both sides of the join and the density count
+    locations = checkpointed(
+        known.groupBy("_x", "_y").agg(F.count("*").alias("_n"), F.max("_target").alias("_wanted"))
+        .withColumn("cx", cell_of(F.col("_x"), r_max)).withColumn("cy", cell_of(F.col("_y"), r_max)))
     dense = locations.groupBy("cx", "cy").count().where(F.col("count") > dense_cell).select(
         "cx", "cy", F.lit(True).alias("_dense"))
-    tagged = locations.join(dense, ["cx", "cy"], "left")
 
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     reach = F.filter(around, lambda o: _box_distance2(
@@ -123,14 +127,19 @@ def neighbour_counts(points: DataFrame, radii: tuple, target: Column, candidate:
         return [F.sum(F.when(test(float(r)), weight).otherwise(0)).alias(f"_r{r}") for r in radii]
 
     dx, dy = F.col("_x") - F.col("_px"), F.col("_y") - F.col("_py")
-    direct = (seekers.join(tagged.where("_dense IS NULL").select("cx", "cy", "_x", "_y", "_n"), ["cx", "cy"])
-              .withColumn("_d2", dx * dx + dy * dy)
-              .groupBy("_px", "_py").agg(*per_radius(F.col("_n"), lambda r: F.col("_d2") <= r * r)))
-    refined = _dense_counts(seekers.join(dense.select("cx", "cy"), ["cx", "cy"]),
-                            tagged.where("_dense"), radii, r_max)
-    totals = (direct.unionByName(refined).groupBy("_px", "_py")
-              .agg(*[F.sum(f"_r{r}").alias(f"_r{r}") for r in radii])
-              .withColumnsRenamed({"_px": "_x", "_py": "_y"}))
+    def direct(near: DataFrame) -> DataFrame:
+        return (seekers.join(near.select("cx", "cy", "_x", "_y", "_n"), ["cx", "cy"])
+                .withColumn("_d2", dx * dx + dy * dy)
+                .groupBy("_px", "_py").agg(*per_radius(F.col("_n"), lambda r: F.col("_d2") <= r * r)))
+
+    if dense.isEmpty():
+        totals = direct(locations)
+    else:
+        tagged = locations.join(dense, ["cx", "cy"], "left")
+        refined = _dense_counts(seekers.join(dense.select("cx", "cy"), ["cx", "cy"]), tagged.where("_dense"), radii, r_max)
+        totals = (direct(tagged.where("_dense IS NULL")).unionByName(refined).groupBy("_px", "_py")
+                  .agg(*[F.sum(f"_r{r}").alias(f"_r{r}") for r in radii]))
+    totals = totals.withColumnsRenamed({"_px": "_x", "_py": "_y"})
     placed = F.col("_x").isNotNull() & F.col("_y").isNotNull()
     return (rows.where("_target").join(totals, ["_x", "_y"], "left")
             .select(key, *[F.when(placed, F.when(F.col("_candidate"), F.col(f"_r{r}") - 1).otherwise(0)).cast("int")

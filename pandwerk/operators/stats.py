@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pandwerk.functions.moments import correlation_long, pairwise_moments
+from pandwerk.functions.moments import correlation_long, pairwise_moments, typical_values
 from pandwerk.functions.quantiles import HOT_GROUP_ROWS, average_ranks, group_percentiles
 from pandwerk.functions.scalar import nan_to_null
 from pandwerk.operators.clean import complete_rows, numeric_columns
@@ -24,7 +24,7 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def _presence_classes(df: DataFrame, columns: list[str]) -> list[list[str]]:
     """Columns that are present in exactly the same rows, found from pair counts."""
-    counts = {(r.i, r.j): r.n for r in pairwise_moments(df, columns).select("i", "j", "n").collect()}
+    counts = {(r.i, r.j): r.n for r in pairwise_moments(df, columns, [0.0] * len(columns)).select("i", "j", "n").collect()}
     classes: list[list[int]] = []
     for i in range(len(columns)):
         for cls in classes:
@@ -57,7 +57,7 @@ def spearman(df: DataFrame, columns: list[str], key: str = "bag_id") -> DataFram
     for a, b in itertools.combinations_with_replacement(range(len(classes)), 2):
         cols = classes[a] if a == b else classes[a] + classes[b]
         both = clean.na.drop(subset=[classes[a][0], classes[b][0]])
-        corr = correlation_long(_ranked(both, cols, key), cols)
+        corr = correlation_long(_ranked(both, cols, key), cols, [0.0] * len(cols))
         if a != b:
             in_a = F.col("feature_a").isin(classes[a])
             corr = corr.where(in_a != F.col("feature_b").isin(classes[a]))
@@ -92,14 +92,14 @@ def variance_inflation(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     rows = complete_rows(df.select(*columns))
     k = len(columns)
-    shift = rows.agg(*[F.avg(c) for c in columns]).first()
-    n, cross = 0.0, np.zeros((k, k))
-    for r in pairwise_moments(rows, columns).collect():
+    shift = typical_values(rows, columns)
+    n, cross, mean = 0.0, np.zeros((k, k)), np.zeros(k)
+    for r in pairwise_moments(rows, columns, shift).collect():
         n = r.n
         cross[r.i, r.j] = r.sxy - r.sx * r.sy / r.n
+        mean[r.i] = shift[r.i] + r.sx / r.n
     scale = np.sqrt(np.diag(cross))
     factors = np.diag(np.linalg.inv(cross / np.outer(scale, scale)))
-    mean = np.array([float(v) for v in shift])
     intercept = 1.0 + n * mean @ np.linalg.solve(cross, mean)
     values = [(c, float(v)) for c, v in zip(columns, factors)] + [("intercept", float(intercept))]
     out = df.sparkSession.createDataFrame(values, "variables string, VIF double")

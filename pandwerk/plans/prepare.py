@@ -48,7 +48,8 @@ def enrich_ids(ids: DataFrame, reg: Registers, status_where: Column | None = Non
 
 
 def add_footprint_features(df: DataFrame, reg: Registers, params: Params = DEFAULTS) -> DataFrame:
-    around = footprints.candidate_buildings(reg.pand, reg.units)
+    # read by both spatial joins
+    around = checkpointed(footprints.candidate_buildings(reg.pand, reg.units))
     counted = footprints.countable(F.col("bag_function"))
     adjacent = spatial.adjacent_counts(around, params.distance_adjacent, predicates.residential(), counted)
     near = spatial.neighbour_counts(around, params.neighbour_radii, predicates.residential(), counted)
@@ -58,12 +59,8 @@ def add_footprint_features(df: DataFrame, reg: Registers, params: Params = DEFAU
 
 def add_mesh_features(df: DataFrame, reg: Registers, params: Params = DEFAULTS) -> DataFrame:
     lod12, lod22 = meshes.fetch(df, reg.lod12_3d), meshes.fetch(df, reg.lod22_3d)
-    parts = [
-        meshes.surface_areas(lod12, "lod12"), meshes.volumes(lod12, "lod12", params.voxel_scales["lod12"]),
-        meshes.height_references(lod22), meshes.surface_areas(lod22, "lod22"),
-        meshes.volumes(lod22, "lod22", params.voxel_scales["lod22"]),
-    ]
-    return enrich.attach(df, *parts)
+    return enrich.attach(df, meshes.lod12_features(lod12, params.voxel_scales["lod12"]),
+                         meshes.lod22_features(lod22, params.voxel_scales["lod22"]))
 
 
 def feature_table(ids: DataFrame, reg: Registers, params: Params = DEFAULTS, materialise: bool = True) -> DataFrame:

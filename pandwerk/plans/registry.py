@@ -13,7 +13,9 @@ from pandwerk.functions.scalar import nan_to_null
 from pandwerk.operators import (
     clean, enrich, evaluate, footprints, labels, meshes, predicates, refmodel, spatial, split, stats)
 from pandwerk.params import DEFAULTS
-from pandwerk.plans import prepare
+from pandwerk.learning import prep, tune
+from pandwerk.learning import train as training
+from pandwerk.plans import modelling, prepare
 from pandwerk.plans.flagship import rule_of_thumb_quality
 from pandwerk.plans.inputs import label_sources, registers
 from pandwerk.sources import bindings as b
@@ -551,7 +553,8 @@ def _(spark, sf):
 @query("w04_one_row_per_building")
 def _(spark, sf):
     units = b.flat(spark, sf, "adres").select("pandid", "adresseerbaarobject", "verblijfsobjectstatus")
-    return enrich.one_per_key(units, "pandid", ["adresseerbaarobject", "verblijfsobjectstatus"], ["adresseerbaarobject"])
+    return enrich.one_per_key(units, "pandid", ["adresseerbaarobject", "verblijfsobjectstatus"],
+                              ["adresseerbaarobject", "verblijfsobjectstatus"])
 
 
 @query("w05_stratified_split")
@@ -660,7 +663,10 @@ def _(spark, sf):
 
 @query("m03_surface_areas")
 def _(spark, sf):
-    return meshes.surface_areas(lod22(spark, sf), "lod22")
+    # compared before the 3-decimal rounding, whose ties fall on either side of the last digit
+    return lod22(spark, sf).select(
+        "bag_id", r6(mesh3d.surface_area(F.col("faces"), mesh3d.WALL)).alias("lod22_area_walls"),
+        r6(mesh3d.surface_area(F.col("faces"), mesh3d.ROOF)).alias("lod22_area_roof"))
 
 
 @query("m04_distinct_vertices")
@@ -692,7 +698,7 @@ def _(spark, sf):
 
 @query("m08_held_at_bound")
 def _(spark, sf):
-    m = lod22(spark, sf).withColumn("_v", mesh3d.closed_volume(F.col("faces")) * 2)
+    m = meshes.quality(lod22(spark, sf)).where("is_valid").withColumn("_v", mesh3d.closed_volume(F.col("faces")) * 2)
     return m.select("bag_id", r6(meshes.held_at_bound(F.col("_v"), meshes.prism_bound(F.col("faces")))).alias("volume"))
 
 
@@ -783,7 +789,7 @@ def _(spark, sf):
 
 @query("m09_a21_scale_medians")
 def _(spark, sf):
-    study = meshes.scale_study(lod22(spark, sf), (50, 75))
+    study = checkpointed(meshes.scale_study(lod22(spark, sf), (50, 75)))
     return rounded(evaluate.scale_medians(study), "median_diff")
 
 
@@ -798,3 +804,126 @@ def _(spark, sf):
     return out.select("bag_id", "data_source", "no_floors", "bag_function", "bag_no_units", "bag_no_res_units",
                       "cbs_pop_per_km2", "footprint_no_adjacent", "footprint_no_neighbours_100m",
                       "is_clean", "clean_floors", "ref_model")
+
+
+# --- preparation, training, tuning -----------------------------------------------------------
+
+def split_model_frame(spark, sf) -> DataFrame:
+    return split.stratified(model_frame(spark, sf))
+
+
+@query("l01_l02_imputed_scaled")
+def _(spark, sf):
+    df = model_frame(spark, sf)
+    columns = ["h_70p", "bag_no_units", "lod12_volume", "bag_construction_year"]
+    out = prep.fit(df, columns, ["bag_id"]).transform(df)
+    return rounded(out.select("bag_id", *columns), *columns)
+
+
+@query("l03_l04_imputed_encoded")
+def _(spark, sf):
+    df = model_frame(spark, sf)
+    columns = ["bag_function", "bag3d_roof_type"]
+    stages = prep.fit(df, columns, ["bag_id"])
+    names = prep.input_names(stages)
+    return stages.transform(df).select("bag_id", *[F.col(f"`{n}`").alias(n.replace(" ", "_").replace("-", "_")) for n in names])
+
+
+def _trained(spark, sf, algorithm: str):
+    frame = checkpointed(split_model_frame(spark, sf))
+    model, _ = training.fit(frame.where("split = 'train'"), MODEL_FEATURES, algorithm)
+    return frame, model
+
+
+def _evaluated(spark, sf, algorithm: str) -> DataFrame:
+    frame, model = _trained(spark, sf, algorithm)
+    return training.evaluate_models({("model_1", algorithm, "default"): model},
+                                    frame.where("split = 'train'"), frame.where("split = 'test'"))
+
+
+@query("l06_random_forest")
+def _(spark, sf):
+    return _evaluated(spark, sf, "rfr")
+
+
+@query("l05_l07_l17_gradient_boosting")
+def _(spark, sf):
+    return _evaluated(spark, sf, "gbr")
+
+
+@query("l08_linear_svr")
+def _(spark, sf):
+    return _evaluated(spark, sf, "svr")
+
+
+@query("l14_o03_svr_coefficients")
+def _(spark, sf):
+    return training.importances(_trained(spark, sf, "svr")[1], spark)
+
+
+@query("l14_o05_impurity_importance")
+def _(spark, sf):
+    _, model = _trained(spark, sf, "gbr")
+    weights = training.importances(model, spark)
+    chosen = stats.k_most_important(weights, DEFAULTS.top_k)
+    return weights.withColumn("chosen", F.element_at(F.split("feature", "_x0_"), 1).isin(chosen))
+
+
+@query("l16_s16_saved_model_predictions")
+def _(spark, sf):
+    frame, model = _trained(spark, sf, "svr")
+    path = scratch_path(spark, "model")
+    sinks.save_model(model, path)
+    return training.predict(sinks.load_model(path), frame, ["split"])
+
+
+@query("l09_random_search")
+def _(spark, sf):
+    frame = split_model_frame(spark, sf).where("split = 'train'")
+    _, table = tune.random_search(frame, MODEL_FEATURES, "svr", n=4, folds=3)
+    return table
+
+
+@query("l10_f09_subset_models")
+def _(spark, sf):
+    frame = checkpointed(split_model_frame(spark, sf))
+    train_rows = frame.where("split = 'train'")
+    base, _ = training.fit(train_rows, MODEL_FEATURES, "svr")
+    subsets = stats.feature_subsets(train_rows.drop("split"), MODEL_FEATURES, LABEL, DEFAULTS.text_columns,
+                                    {"svr": training.importances(base, spark)}, DEFAULTS.top_k, DEFAULTS.cluster_cut)
+    models = training.refit(train_rows, subsets, "svr", {"C": 0.5})
+    return training.evaluate_models({(name, "svr", "refit"): m for name, m in models.items()},
+                                    train_rows, frame.where("split = 'test'"))
+
+
+@query("l11_validation_curve")
+def _(spark, sf):
+    return tune.validation_curve(split_model_frame(spark, sf).where("split = 'train'"), MODEL_FEATURES, "svr",
+                                 "C", [0.1, 1.1], repeats=2)
+
+
+@query("l12_iteration_tolerance_grid")
+def _(spark, sf):
+    frame = checkpointed(split_model_frame(spark, sf))
+    return tune.iteration_tolerance_grid(frame.where("split = 'train'"), frame.where("split = 'test'"),
+                                         MODEL_FEATURES, iterations=(10, 100), tolerances=(1e-3, 1e-4))
+
+
+@query("l13_learning_curve")
+def _(spark, sf):
+    out = tune.learning_curve(split_model_frame(spark, sf).where("split = 'train'"), MODEL_FEATURES, "svr", shares=(0.25, 1.0))
+    return out.drop("fit_seconds")
+
+
+@query("l15_permutation_importance")
+def _(spark, sf):
+    frame, model = _trained(spark, sf, "svr")
+    return training.permutation_importance(model, frame.where("split = 'train'"), repeats=2,
+                                           columns=["h_70p", "bag_net_internal_area", "cbs_pop_per_km2"])
+
+
+@query("l18_case_study")
+def _(spark, sf):
+    _, model = _trained(spark, sf, "svr")
+    unseen = refmodel.with_reference_model(b.flat(spark, sf, "case_study"))
+    return modelling.case_study(model, unseen)

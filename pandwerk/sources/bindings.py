@@ -239,16 +239,35 @@ def references(name: str) -> list[str]:
     return list(dict.fromkeys(seen))
 
 
+# Tables that grow; the others are dimension tables.
+FACT_TABLES = ("orders", "lineitem")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A supplied table; a file that fills fewer tasks than there are cores is spread over them."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in FACT_TABLES and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
+_FRAMES: dict[tuple, DataFrame] = {}
 
 
 def flat(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A flat binding as a DataFrame; nothing is read until an action runs."""
-    if name in BASE_TABLES:
-        return table(spark, sf_dir, name)
-    inputs = {ref: flat(spark, sf_dir, ref) for ref in references(name)}
-    return spark.sql(FLAT[name], **inputs)
+    """A flat binding as a DataFrame; nothing is read until an action runs.
+
+    The same plan object is handed out again, so Spark can reuse its exchanges.
+    """
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
+    if key not in _FRAMES:
+        if name in BASE_TABLES:
+            _FRAMES[key] = table(spark, sf_dir, name)
+        else:
+            inputs = {ref: flat(spark, sf_dir, ref) for ref in references(name)}
+            _FRAMES[key] = spark.sql(FLAT[name], **inputs)
+    return _FRAMES[key]
 
 
 def rectangle(xmin, ymin, xmax, ymax) -> Column:
