@@ -66,22 +66,20 @@ def correlation_long(df: DataFrame, columns: list[str], shift: list[float] | Non
         F.when(ok, cov / F.sqrt(vx) / F.sqrt(vy)).alias("corr"))
 
 
-def weighted_normal_equations(df: DataFrame, columns: list[str], weight: str, target: str) -> np.ndarray:
-    """``[X'WX | X'Wy]`` with an intercept column appended; k+1 by k+2, summed on the executors."""
-    k = len(columns) + 1
+def summed_blocks(df: DataFrame, columns: list[str], shape: tuple[int, int], block) -> np.ndarray:
+    """Sum of ``block(matrix)`` over all Arrow batches, ``matrix`` holding the columns of a batch.
 
+    Each task emits one block, so the shuffle carries blocks only.
+    """
     def reduce_partition(batches):
-        total = np.zeros((k, k + 1))
+        total = np.zeros(shape)
         for batch in batches:
-            x = np.column_stack([batch[columns].to_numpy(float), np.ones(len(batch))])
-            w = batch[weight].to_numpy(float)[:, None]
-            y = batch[target].to_numpy(float)[:, None]
-            total += (x * w).T @ np.hstack([x, y])
-        i, j = np.meshgrid(np.arange(k), np.arange(k + 1), indexing="ij")
+            total += block(batch.to_numpy(dtype=float))
+        i, j = np.meshgrid(np.arange(shape[0]), np.arange(shape[1]), indexing="ij")
         yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
 
-    parts = df.select(*columns, weight, target).mapInPandas(reduce_partition, "i int, j int, v double")
-    out = np.zeros((k, k + 1))
+    parts = df.select(*columns).mapInPandas(reduce_partition, "i int, j int, v double")
+    out = np.zeros(shape)
     for row in parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
         out[row.i, row.j] = row.v
     return out

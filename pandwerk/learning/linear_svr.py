@@ -11,7 +11,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, Has
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import functions as F
 
-from pandwerk.functions.moments import weighted_normal_equations
+from pandwerk.functions.moments import summed_blocks
 from pandwerk.learning.prep import FEATURES
 
 
@@ -50,6 +50,30 @@ class LinearSVRModel(Model, _SvrParams, DefaultParamsReadable, DefaultParamsWrit
         return dataset.withColumn(self.getPredictionCol(), score)
 
 
+# Keeps weights finite where the error is zero.
+ERROR_FLOOR = 1e-3
+# Iterations without a better objective before the best coefficients so far are taken.
+PATIENCE = 5
+
+
+def _loss_block(w: np.ndarray, eps: float, c: float, squared: bool, start: bool):
+    """Weighted normal equations of one batch at ``w``; the extra row holds the loss itself."""
+    def block(z: np.ndarray) -> np.ndarray:
+        x, y = np.column_stack([z[:, :-1], np.ones(len(z))]), z[:, -1]
+        r = y - x @ w
+        beyond = np.maximum(np.abs(r) - eps, 0.0)
+        if start:
+            weight, target = np.full(len(y), c), y
+        else:
+            weight = c * (beyond > 0) * (2.0 if squared else 1.0 / np.maximum(beyond, ERROR_FLOOR))
+            target = y - np.sign(r) * eps
+        out = np.zeros((x.shape[1] + 1, x.shape[1] + 1))
+        out[:-1] = (x * weight[:, None]).T @ np.column_stack([x, target])
+        out[-1, 0] = c * float((beyond**2 if squared else beyond).sum())
+        return out
+    return block
+
+
 class LinearSVR(Estimator, _SvrParams, DefaultParamsReadable, DefaultParamsWritable):
     """Minimises ``|w|^2 / 2 + C * sum(loss)`` by reweighted least squares.
 
@@ -66,28 +90,27 @@ class LinearSVR(Estimator, _SvrParams, DefaultParamsReadable, DefaultParamsWrita
     def _fit(self, dataset):
         eps, c = self.getOrDefault(self.epsilon), self.getOrDefault(self.C)
         squared = self.getOrDefault(self.loss) == "squared_epsilon_insensitive"
-        width = dataset.select(F.size(vector_to_array(self.getFeaturesCol())).alias("n")).first()["n"]
-        names = [f"x{i}" for i in range(width)]
         x = vector_to_array(self.getFeaturesCol())
-        rows = dataset.select(*[x[i].alias(n) for i, n in enumerate(names)],
+        width = dataset.select(F.size(x).alias("n")).first()["n"]
+        columns = [f"x{i}" for i in range(width)] + ["_y"]
+        rows = dataset.select(*[x[i].alias(n) for i, n in enumerate(columns[:-1])],
                               F.col(self.getLabelCol()).cast("double").alias("_y")).persist()
+        shape = (width + 2, width + 2)
         try:
-            w = np.zeros(width + 1)
-            for step in range(self.getMaxIter()):
-                fitted = sum((F.col(n) * F.lit(float(v)) for n, v in zip(names, w)), F.lit(float(w[-1])))
-                residual = F.col("_y") - fitted
-                beyond = F.greatest(F.abs(residual) - F.lit(eps), F.lit(0.0))
-                # slope of the loss over the residual; the floor keeps weights finite at zero error
-                slope = beyond * 2 if squared else F.when(beyond > 0, 1.0).otherwise(0.0)
-                weight = F.lit(1.0) if step == 0 else slope / F.greatest(F.abs(residual), F.lit(1e-3))
-                normal = weighted_normal_equations(rows.withColumn("_w", weight * F.lit(c)), names, "_w", "_y")
-                solved = np.linalg.solve(normal[:, :-1] + np.eye(width + 1), normal[:, -1])
-                moved = float(np.abs(solved - w).max())
-                w = solved
-                if step > 0 and moved <= self.getTol() * max(1.0, float(np.abs(w).max())):
-                    break
+            w, best, best_w, stale = np.zeros(width + 1), np.inf, None, 0
+            for step in range(self.getMaxIter() + 1):
+                block = summed_blocks(rows, columns, shape, _loss_block(w, eps, c, squared, step == 0))
+                objective = float(block[-1, 0] + w @ w / 2)
+                gain = best - objective
+                if step > 0:
+                    if objective < best:
+                        best, best_w = objective, w
+                    stale = 0 if gain > self.getTol() * abs(objective) else stale + 1
+                    if abs(gain) <= self.getTol() * abs(objective) or stale >= PATIENCE:
+                        break
+                w = np.linalg.solve(block[:-1, :-1] + np.eye(width + 1), block[:-1, -1])
         finally:
             rows.unpersist()
         model = LinearSVRModel()
-        model._set(weights=[float(v) for v in w])
+        model._set(weights=[float(v) for v in (w if best_w is None else best_w)])
         return self._copyValues(model)

@@ -880,7 +880,7 @@ def _(spark, sf):
 @query("l09_random_search")
 def _(spark, sf):
     frame = split_model_frame(spark, sf).where("split = 'train'")
-    _, table = tune.random_search(frame, MODEL_FEATURES, "svr", n=4, folds=3)
+    _, table = tune.random_search(frame, MODEL_FEATURES, "svr", n=3, folds=2)
     return table
 
 
