@@ -462,3 +462,27 @@ check("l03_l04_imputed_encoded", """SELECT bag_id, cast(bag_function = 'Resident
     cast(roof = 'slanted' AS DOUBLE) AS bag3d_roof_type_x0_slanted, cast(roof = 'unknown' AS DOUBLE) AS bag3d_roof_type_x0_unknown
     FROM (SELECT bag_id, bag_function, coalesce(bag3d_roof_type, (SELECT bag3d_roof_type FROM {train}
       WHERE bag3d_roof_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS roof FROM {train}) t""")
+
+# --- whole feature table ---------------------------------------------------------------------
+
+check("m06_validity", "SELECT bag_id, NOT is_open AND h > 0 AS is_valid FROM {gable}")
+check("x03_wall_heights_off_roof", "SELECT bag_id, CASE WHEN h = 0 THEN 0 ELSE 1 END AS n FROM {gable}")
+view("in_use", """SELECT * FROM {pand} WHERE pandstatus LIKE 'Pand in gebruik%' AND einddatumtijdvakgeldigheid IS NULL""")
+view("adjacent", """SELECT t.bag_id, cast(count(c.bag_id) AS int) AS n
+    FROM {around_targets} t LEFT JOIN {around_counted} c ON t.counts AND t.bag_id <> c.bag_id
+    AND t.x0 - 0.1::DOUBLE <= c.x1 AND t.x1 + 0.1::DOUBLE >= c.x0 AND t.y0 - 0.1::DOUBLE <= c.y1 AND t.y1 + 0.1::DOUBLE >= c.y0
+    GROUP BY t.bag_id""")
+view("census", """SELECT p.identificatie AS bag_id, min_by(bevolkingsdichtheid, buurtcode) AS cbs_pop_per_km2
+    FROM {in_use} p JOIN {buurten} b ON p.x0 <= b.xmax AND p.x0 + p.w >= b.xmin AND p.y0 <= b.ymax AND p.y0 + p.d >= b.ymin
+    GROUP BY p.identificatie""")
+check("prep_feature_table", f"""SELECT l.bag_id, l.data_source, l.no_floors, c.bag_function,
+    nullif(p.bouwjaar, 1005) AS bag_construction_year, c.bag_net_internal_area, c.bag_no_units,
+    CASE WHEN c.bag_function = 'Residential' THEN c.residential_uses END AS bag_no_res_units,
+    r.bag3d_roof_type, {TYPE_CASE} AS esri_building_type, round(h.h_dak_70p - r.bag3d_h_ground, 6) AS h_70p,
+    s.cbs_pop_per_km2, p.w * p.d AS footprint_area, a.n AS footprint_no_adjacent,
+    n.footprint_no_neighbours_25m, n.footprint_no_neighbours_100m, g.w * g.d AS lod12_area_roof
+    FROM (SELECT * FROM {{labelled}} WHERE no_floors BETWEEN 1 AND 48) l JOIN {{residential}} c ON c.bag_id = l.bag_id
+    LEFT JOIN {{in_use}} p ON p.identificatie = l.bag_id LEFT JOIN {{register3d}} r ON r.bag_id = l.bag_id
+    LEFT JOIN {{lod12_2d}} h ON h.fid = r.bag3d_id LEFT JOIN {{esri}} e ON e.identificatie = l.bag_id
+    LEFT JOIN {{census}} s ON s.bag_id = l.bag_id LEFT JOIN {{adjacent}} a ON a.bag_id = l.bag_id
+    LEFT JOIN {{neighbours}} n ON n.bag_id = l.bag_id LEFT JOIN {{meshed}} g ON g.bag_id = l.bag_id""")

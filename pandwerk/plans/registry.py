@@ -685,6 +685,11 @@ def _(spark, sf):
     return meshes.quality(lod12(spark, sf)).select("bag_id", "is_valid", "open_edges", F.array_join("codes", ",").alias("codes"))
 
 
+@query("m06_validity")
+def _(spark, sf):
+    return meshes.quality(lod12(spark, sf)).select("bag_id", "is_valid")
+
+
 @query("m06_quality_report")
 def _(spark, sf):
     return meshes.quality_report(meshes.quality(lod12(spark, sf)))
@@ -798,6 +803,17 @@ def _(spark, sf):
     return rule_of_thumb_quality(spark, sf)
 
 
+@query("prep_feature_table")
+def _(spark, sf):
+    labelled = labels.plausible(labels.standardised(label_sources(spark, sf)))
+    out = prepare.feature_table(labelled, registers(spark, sf))
+    return rounded(out.select(
+        "bag_id", "data_source", "no_floors", "bag_function", "bag_construction_year", "bag_net_internal_area", "bag_no_units",
+        "bag_no_res_units", "bag3d_roof_type", "esri_building_type", "h_70p", "cbs_pop_per_km2", "footprint_area",
+        "footprint_no_adjacent", "footprint_no_neighbours_25m", "footprint_no_neighbours_100m", "lod12_area_roof"),
+        "h_70p", "footprint_area", "lod12_area_roof")
+
+
 @query("prep_training_table")
 def _(spark, sf):
     out = prepare.training_table(label_sources(spark, sf), registers(spark, sf), b.flat(spark, sf, "manual"))
