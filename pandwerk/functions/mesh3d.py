@@ -132,7 +132,8 @@ def ridge_and_eaves(faces: Column, roof_type: Column, h_ground: Column) -> Colum
         ridge = round_half_even(linear_percentile(s["roof"], 0.9) - h_ground, 3)
         slanted = round_half_even(linear_percentile(free, 0.5) - h_ground, 3)
         stepped = round_half_even(linear_percentile(s["roof"], 0.75) - h_ground, 3)
-        eaves = (F.when(roof_type == "slanted", F.coalesce(slanted, ridge))
+        eaves = (F.when(F.size(s["roof"]) == 0, None)
+                 .when(roof_type == "slanted", F.coalesce(slanted, ridge))
                  .when(roof_type == "multiple horizontal", stepped).otherwise(ridge))
         return F.struct(ridge.alias("ridge"), eaves.alias("eaves"))
 

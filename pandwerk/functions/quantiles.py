@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +30,27 @@ def group_percentiles(df: DataFrame, by: list[str], value: str, probs: list[floa
 
 def bracketed_percentiles(rows: DataFrame, by: list[str], probs: list[float],
                           accuracy: int = SKETCH_ACCURACY) -> DataFrame:
-    """Exact percentiles of ``_v`` from a sketch, a counting pass and a ranking of the brackets."""
-    margin = 2.0 / accuracy
+    """Exact percentiles of ``_v`` from a sketch, a counting pass and a ranking of the brackets.
+
+    Merged sketches may miss by more than their nominal error; a bracket that does not hold its
+    rank is noticed, and the brackets are widened until all do. The result is one row per group.
+    """
+    margin = 4.0 / accuracy
+    while True:
+        picked = _ranked_brackets(rows, by, probs, accuracy, margin)
+        found = picked.collect()  # groups times probabilities
+        if margin > 1 or all(r["_low"] is not None and r["_high"] is not None for r in found):
+            break
+        margin *= 8
+    frame = rows.sparkSession.createDataFrame(found, picked.schema)
+    part = F.col("_pos") - F.floor("_pos")
+    quantile = F.col("_low") + (F.col("_high") - F.col("_low")) * part
+    return frame.withColumn("_q", quantile).groupBy(*by, "n").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias("q"))
+
+
+def _ranked_brackets(rows: DataFrame, by: list[str], probs: list[float], accuracy: int, margin: float) -> DataFrame:
+    """Per group and probability the two order statistics around its position, NULL if missed."""
     ends = []
     for p in probs:
         ends += [max(p - margin, 0.0), min(p + margin, 1.0)]
@@ -50,24 +67,21 @@ def bracketed_percentiles(rows: DataFrame, by: list[str], probs: list[float],
     tagged = _join_on(rows, sketch, by)
     below = [F.count_if(F.col("_v") < F.col("_b")[i]["lo"]).alias(f"_below{i}") for i in range(len(probs))]
     counted = tagged.groupBy(*by).agg(F.first("n").alias("n"), *below)
-
     inside = (tagged.select(*by, "_v", F.explode(F.filter("_b", lambda b: (F.col("_v") >= b["lo"])
                                                           & (F.col("_v") <= b["hi"]))["i"]).alias("_i"))
               .groupBy(*by, "_i", "_v").agg(F.count("*").alias("_c")))
     order = Window.partitionBy(*by, "_i").orderBy("_v")
     ranked = _join_on(inside, counted, by).withColumn("_cum", F.sum("_c").over(order))
-    offset = reduce(lambda acc, i: acc.when(F.col("_i") == i, F.col(f"_below{i}")),
-                    range(1, len(probs)), F.when(F.col("_i") == 0, F.col("_below0")))
+    offset = F.array(*[F.col(f"_below{i}") for i in range(len(probs))])[F.col("_i")]
     p_of = F.array(*[F.lit(float(p)) for p in probs])[F.col("_i")]
     ranked = (ranked.withColumn("_pos", (F.col("n") - 1) * p_of)
-              .withColumn("_hi_rank", F.col("_cum") + offset))
+              .withColumn("_upto", F.col("_cum") + offset).withColumn("_from", F.col("_upto") - F.col("_c")))
+    # a rank is held when the bracket starts at or before it and ends after it
+    starts = F.min("_from") <= F.floor("_pos")
     picked = ranked.groupBy(*by, "_i", "n", "_pos").agg(
-        F.min(F.when(F.col("_hi_rank") > F.floor("_pos"), F.col("_v"))).alias("_low"),
-        F.min(F.when(F.col("_hi_rank") > F.ceil("_pos"), F.col("_v"))).alias("_high"))
-    interpolated = picked.withColumn(
-        "_q", F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_pos") - F.floor("_pos")))
-    return interpolated.groupBy(*by, "n").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_i", "_q"))), lambda s: s["_q"]).alias("q"))
+        F.when(starts, F.min(F.when(F.col("_upto") > F.floor("_pos"), F.col("_v")))).alias("_low"),
+        F.min(F.when(F.col("_upto") > F.ceil("_pos"), F.col("_v"))).alias("_high"))
+    return picked
 
 
 def _join_on(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:

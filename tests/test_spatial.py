@@ -41,6 +41,7 @@ def test_neighbour_counts_match_brute_force_on_both_routes(spark):
 
 
 def _square(x, y, s):
+    x, y, s = float(x), float(y), float(s)
     return [[(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]]
 
 
@@ -84,7 +85,7 @@ def test_mitre_buffer_either_orientation(spark):
 
 
 def test_simplified_vertices_drop_near_collinear_points(spark):
-    ring = [[(0, 0), (5, 0.05), (10, 0), (10, 10), (5, 10.5), (0, 10), (0, 0)]]
+    ring = [[(0.0, 0.0), (5.0, 0.05), (10.0, 0.0), (10.0, 10.0), (5.0, 10.5), (0.0, 10.0), (0.0, 0.0)]]
     df = spark.createDataFrame([("v", ring, None)], GEOM)
     assert footprints.simplified_vertices(df).first().footprint_no_vertices == 6.0
 
