@@ -52,7 +52,6 @@ def model_frame(spark, sf) -> DataFrame:
 
 # A region wider than any one municipality: x and y ranges in metres.
 REGION = [[(90_000.0, -10.0), (300_000.0, -10.0), (300_000.0, 1e12), (90_000.0, 1e12)]]
-RESIDENTIAL_TARGETS = dict(target=predicates.residential, candidate=lambda: footprints.countable(F.col("bag_function")))
 
 
 # --- sources and sinks -----------------------------------------------------------------------
@@ -366,15 +365,20 @@ def surroundings(spark, sf) -> DataFrame:
     return footprints.candidate_buildings(b.pand(spark, sf), b.flat(spark, sf, "adres"))
 
 
+def stored_surroundings(spark, sf) -> DataFrame:
+    """Written once, as the spatial joins read their buildings several times."""
+    return checkpointed(surroundings(spark, sf))
+
+
 @query("j12_j14_adjacent_counts")
 def _(spark, sf):
-    return spatial.adjacent_counts(surroundings(spark, sf), DEFAULTS.distance_adjacent, predicates.residential(),
+    return spatial.adjacent_counts(stored_surroundings(spark, sf), DEFAULTS.distance_adjacent, predicates.residential(),
                                    footprints.countable(F.col("bag_function")))
 
 
 @query("j13_j14_neighbour_counts")
 def _(spark, sf):
-    return spatial.neighbour_counts(surroundings(spark, sf), DEFAULTS.neighbour_radii, predicates.residential(),
+    return spatial.neighbour_counts(stored_surroundings(spark, sf), DEFAULTS.neighbour_radii, predicates.residential(),
                                     footprints.countable(F.col("bag_function")))
 
 
@@ -440,7 +444,7 @@ def _(spark, sf):
 
 @query("a06_neighbour_totals")
 def _(spark, sf):
-    counts = spatial.neighbour_counts(surroundings(spark, sf), DEFAULTS.neighbour_radii, predicates.residential(),
+    counts = spatial.neighbour_counts(stored_surroundings(spark, sf), DEFAULTS.neighbour_radii, predicates.residential(),
                                       footprints.countable(F.col("bag_function")))
     return counts.groupBy(F.substring("bag_id", 1, 4).alias("gm_code")).agg(*[
         F.sum(f"footprint_no_neighbours_{r}m").alias(f"within_{r}m") for r in DEFAULTS.neighbour_radii])
