@@ -16,6 +16,8 @@ from pandwerk.operators import evaluate
 
 LABEL = "clean_floors"
 KEYS = ["bag_id", LABEL]
+# Rows shuffled among themselves when a column is permuted.
+ROWS_PER_BUCKET = 100_000
 
 
 def estimator(algorithm: str, label: str = LABEL) -> Estimator:
@@ -94,13 +96,14 @@ def permutation_importance(model: PipelineModel, df: DataFrame, repeats: int = 1
     """Mean drop in rounded accuracy when one prepared column is shuffled.
 
     Rows and values are paired through two seeded hashes of the id: both orders are ranked
-    within hash buckets, and equal ranks meet. Buckets keep any one sort small.
+    within hash buckets, and equal ranks meet. The number of buckets follows the number of rows,
+    so no one sort grows with the table.
     """
     stages, regressor = parts(model)
     names = prep.input_names(stages)
     ready = stages.transform(df).select("bag_id", LABEL, *names).persist()
     vectors = stages.stages[-1]
-    buckets = 64
+    buckets = 1 + ready.count() // ROWS_PER_BUCKET
 
     def accuracy(frame: DataFrame) -> DataFrame:
         scored = regressor.transform(vectors.transform(frame))
