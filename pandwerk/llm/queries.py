@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pandwerk.llm import secrets, url_filter
+from pandwerk.llm import quality, secrets, url_filter
 from pandwerk.llm.common import read_table
 from pandwerk.llm.sql import ORACLES
 
@@ -27,10 +27,15 @@ def op1_secret_scan(spark, sf_dir):
         count("kind", "bare"), count("verdict", "live"), count("verdict", "example"))
 
 
+def op3_quality_rules(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.judged(docs, carry=("doc_id",)).select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
 def op5_url_filter(spark, sf_dir):
     judged = url_filter.judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict", F.col("strict_hits"), F.col("soft_hits"),
                          "soft_weight")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op5_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op5_url_filter)}

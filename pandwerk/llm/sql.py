@@ -13,8 +13,8 @@ def _op1() -> str:
     assign = ("(" + "|".join(either(w) for w in ("password", "passwd", "secret", "token"))
               + "|" + either("api") + "_?" + either("key") + r")[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)")
     kinds = (("assign", 1, assign, f"length(regexp_extract(m, '{assign}', 2)) >= 8", f"regexp_extract(m, '{assign}', 2)"),
-             ("access", 2, "AKIA[A-Z0-9]+", "length(m) >= 16", "m"), ("hex", 3, "[0-9a-f]+", "length(m) >= 32", "m"),
-             ("bare", 4, "[A-Za-z0-9]+", "length(m) >= 20 AND len(regexp_extract_all(m, '[0-9]+')) >= 3 "
+             ("access", 2, "AKIA[A-Z0-9]+", "length(m) >= 16", "m"), ("hex", 3, "[0-9a-f]{32,}", "length(m) >= 32", "m"),
+             ("bare", 4, "[A-Za-z0-9]{20,}", "length(m) >= 20 AND len(regexp_extract_all(m, '[0-9]+')) >= 3 "
                                          "AND regexp_matches(m, '[A-Za-z]')", "m"))
     scans = " UNION ALL ".join(f"""
       SELECT doc_id, source, lang, '{k}' AS kind, {n} AS place, s, s + length(m) AS e, {value} AS v FROM (
@@ -43,6 +43,57 @@ def _op1() -> str:
     FROM documents d LEFT JOIN rows USING (doc_id)"""
 
 
+def _op3() -> str:
+    from pandwerk.llm import quality as q
+
+    signals = {"mean_word_length": "word_chars / n_words", "symbols_per_word": "n_symbols / n_words",
+               "dup_line_share": "n_dup_lines / n_lines", "repeat_share": "n_repeat_words / n_words"}
+    long = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS signal, {v}::DOUBLE AS x FROM counts WHERE NOT base_failed"
+                              for k, v in signals.items())
+    least = "CASE signal " + " ".join(f"WHEN '{k}' THEN {v[0]}::DOUBLE" for k, v in q.SIGNALS.items()) + " END"
+    value = lambda b: f"CASE WHEN {b} = {q.ZERO_BUCKET} THEN 0.0::DOUBLE ELSE pow({q.GAMMA}::DOUBLE, {b}) * {2 / (1 + q.GAMMA)!r}::DOUBLE END"
+
+    def level(name, keys):
+        cols = "".join(k + ", " for k in keys)
+        over = f"PARTITION BY {cols}signal"
+        return f"""{name} AS (SELECT {cols}signal, n, q0 - reach AS low, q1 + reach AS high FROM (
+            SELECT *, {q.FENCE}::DOUBLE * greatest(q1 - q0, {least}) AS reach FROM (
+              SELECT {cols}signal, max(total) AS n, {value("min(b) FILTER (upto >= total * 0.25)")} AS q0,
+                     {value("min(b) FILTER (upto >= total * 0.75)")} AS q1
+              FROM (SELECT *, sum(n) OVER ({over} ORDER BY b) AS upto, sum(n) OVER ({over}) AS total
+                    FROM (SELECT {cols}signal, b, count(*) AS n FROM buckets GROUP BY ALL)) GROUP BY {cols}signal)))"""
+
+    def lean(side):
+        wide = f"((l.n * l.{side} + {q.PRIOR}::DOUBLE * c.{side}) / (l.n + {q.PRIOR}::DOUBLE))"
+        return f"(g.n * g.{side} + {q.PRIOR}::DOUBLE * {wide}) / (g.n + {q.PRIOR}::DOUBLE)"
+
+    outside = " OR ".join(f"(t.signal = '{k}' AND (" + " OR ".join(
+        f"{signals[k]}::DOUBLE {'<' if side == 'low' else '>'} t.{side}" for side in q.SIGNALS[k][1]) + "))" for k in signals)
+    return f"""
+    WITH w AS MATERIALIZED (SELECT doc_id, lang, source, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+    lines AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
+              WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+    line_counts AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY 1),
+    wins AS MATERIALIZED (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS win
+             FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+    repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i FROM wins QUALIFY count(*) OVER (
+        PARTITION BY doc_id, win) > 1), (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1),
+    counts AS MATERIALIZED (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (
+        SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(list_aggregate(w, 'string_agg', ''))::BIGINT AS wc,
+        coalesce(wc, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+        coalesce(r.n, 0)::BIGINT AS n_repeat_words
+        FROM w LEFT JOIN line_counts USING (doc_id) LEFT JOIN repeated r USING (doc_id))),
+    buckets AS (SELECT lang, source, signal, CASE WHEN x <= 0 THEN {q.ZERO_BUCKET} ELSE
+        ceil(ln(x) / {q.math.log(q.GAMMA)!r}::DOUBLE)::INT END AS b FROM ({long})),
+    {level("g", ["lang", "source"])}, {level("l", ["lang"])}, {level("c", [])},
+    t AS (SELECT g.lang, g.source, g.signal, {lean("low")} AS low, {lean("high")} AS high FROM g
+          JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.signal = l.signal JOIN c ON g.signal = c.signal)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (
+        SELECT 1 FROM t WHERE t.lang IS NOT DISTINCT FROM d.lang AND t.source IS NOT DISTINCT FROM d.source
+        AND ({outside})) AS kept FROM counts d"""
+
+
 def _op5() -> str:
     from pandwerk.llm.url_filter import SOFT, SOFT_LIMIT, STRICT
 
@@ -67,4 +118,4 @@ def _op5() -> str:
         strict_hits, soft_hits, soft_weight FROM ruled"""
 
 
-ORACLES = {"op1_secret_scan": _op1(), "op5_url_filter": _op5()}
+ORACLES = {"op1_secret_scan": _op1(), "op3_quality_rules": _op3(), "op5_url_filter": _op5()}
