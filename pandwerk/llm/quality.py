@@ -25,7 +25,7 @@ ZERO_BUCKET = -1_000_000
 #: signal -> (least spread that counts, fences of these sides apply). The fence is the quartile plus or minus
 #: FENCE times the spread between quartiles, or times the least spread where the quartiles lie closer.
 SIGNALS = {"mean_word_length": (0.75, ("low", "high")), "symbols_per_word": (0.08, ("high",)),
-           "dup_line_share": (0.10, ("high",)), "repeat_share": (0.10, ("high",))}
+           "dup_line_share": (0.20, ("high",)), "repeat_share": (0.15, ("high",))}
 FENCE = 3.0
 QUARTILES = (0.25, 0.75)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pandwerk.llm import quality, secrets, url_filter
+from pandwerk.llm import bpe, quality, secrets, url_filter
 from pandwerk.llm.common import read_table
 from pandwerk.llm.sql import ORACLES
 
@@ -38,4 +38,14 @@ def op5_url_filter(spark, sf_dir):
                          "soft_weight")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op5_url_filter)}
+def op6_bpe_round_trip(spark, sf_dir):
+    import public_tokenizers
+
+    coded = bpe.encode_decode(read_table(spark, sf_dir, "documents"), carry=("doc_id",),
+                              path=public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op5_url_filter, op6_bpe_round_trip)}
