@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pandwerk.llm import bpe, quality, secrets, url_filter
+from pandwerk.llm import bpe, ngram_join, quality, secrets, url_filter
 from pandwerk.llm.common import read_table
 from pandwerk.llm.sql import ORACLES
 
@@ -48,4 +48,9 @@ def op6_bpe_round_trip(spark, sf_dir):
                         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op5_url_filter, op6_bpe_round_trip)}
+def op8_ngram_jaccard(spark, sf_dir):
+    return ngram_join.component_ids(read_table(spark, sf_dir, "documents"), "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op5_url_filter, op6_bpe_round_trip,
+                                 op8_ngram_jaccard)}

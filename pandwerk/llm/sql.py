@@ -118,4 +118,21 @@ def _op5() -> str:
         strict_hits, soft_hits, soft_weight FROM ruled"""
 
 
-ORACLES = {"op1_secret_scan": _op1(), "op3_quality_rules": _op3(), "op5_url_filter": _op5()}
+_OP8 = f"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_transform({WORDS}, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+    shingles AS MATERIALIZED (
+        SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN w ELSE w[i:i + 3] END AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+    sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+    links AS MATERIALIZED (
+        SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+        GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * ((SELECT n FROM sizes WHERE doc_id = a.doc_id)
+            + (SELECT n FROM sizes WHERE doc_id = b.doc_id) - count(*))),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents
+              UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id FROM documents d LEFT JOIN sizes USING (doc_id)
+    JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)"""
+
+
+ORACLES = {"op8_ngram_jaccard": _OP8, "op1_secret_scan": _op1(), "op3_quality_rules": _op3(), "op5_url_filter": _op5()}
