@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pandwerk.llm import bpe, ngram_join, quality, secrets, url_filter
+from pandwerk.llm import bpe, mixing, ngram_join, quality, secrets, url_filter
 from pandwerk.llm.common import read_table
 from pandwerk.llm.sql import ORACLES
 
@@ -48,9 +48,15 @@ def op6_bpe_round_trip(spark, sf_dir):
                         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op7_source_mix(spark, sf_dir):
+    rows, units = mixing.copies(read_table(spark, sf_dir, "documents"), carry=("doc_id",))
+    return units.join(rows.select("rid", "_c0"), "rid").select(
+        F.col("_c0").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def op8_ngram_jaccard(spark, sf_dir):
     return ngram_join.component_ids(read_table(spark, sf_dir, "documents"), "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op5_url_filter, op6_bpe_round_trip,
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op5_url_filter, op6_bpe_round_trip, op7_source_mix,
                                  op8_ngram_jaccard)}
