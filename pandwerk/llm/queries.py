@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pandwerk.llm import bpe, mixing, ngram_join, quality, secrets, url_filter
+from pandwerk.llm import bpe, html_text, mixing, ngram_join, quality, secrets, url_filter
 from pandwerk.llm.common import read_table
 from pandwerk.llm.sql import ORACLES
 
@@ -58,5 +58,10 @@ def op8_ngram_jaccard(spark, sf_dir):
     return ngram_join.component_ids(read_table(spark, sf_dir, "documents"), "doc_id")
 
 
+def op9_main_text(spark, sf_dir):
+    pages = html_text.extracted(read_table(spark, sf_dir, "pages"), carry=("page_id", "url"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op5_url_filter, op6_bpe_round_trip, op7_source_mix,
-                                 op8_ngram_jaccard)}
+                                 op8_ngram_jaccard, op9_main_text)}

@@ -135,4 +135,13 @@ _OP8 = f"""
     JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)"""
 
 
-ORACLES = {"op8_ngram_jaccard": _OP8, "op1_secret_scan": _op1(), "op3_quality_rules": _op3(), "op5_url_filter": _op5()}
+#: For pages of one <article> with headings, paragraphs, bold and line breaks, as in the supplied tables.
+_OP9 = r"""
+    WITH article AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS a FROM pages),
+    blocks AS (SELECT page_id, url, list_transform(regexp_split_to_array(regexp_replace(regexp_replace(a, '<br>', ' ', 'g'),
+            '</?b>', '', 'g'), '</?(?:p|h1)>'), lambda x: trim(regexp_replace(replace(replace(replace(regexp_replace(x,
+            '&amp([^;]|$)', '&\1', 'g'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS b FROM article)
+    SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) AS text,
+        length(array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)))::BIGINT AS n_chars FROM blocks"""
+
+ORACLES = {"op9_main_text": _OP9, "op8_ngram_jaccard": _OP8, "op1_secret_scan": _op1(), "op3_quality_rules": _op3(), "op5_url_filter": _op5()}
