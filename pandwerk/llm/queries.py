@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pandwerk.llm import bpe, html_text, mixing, ngram_join, quality, secrets, url_filter
+from pandwerk.llm import bpe, html_text, lm_score, mixing, ngram_join, quality, secrets, url_filter
 from pandwerk.llm.common import read_table
 from pandwerk.llm.sql import ORACLES
 
@@ -63,5 +63,12 @@ def op9_main_text(spark, sf_dir):
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op10_lattice_score(spark, sf_dir):
+    import public_tokenizers
+
+    return lm_score.scored(read_table(spark, sf_dir, "documents"), "doc_id",
+                           path=public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op5_url_filter, op6_bpe_round_trip, op7_source_mix,
-                                 op8_ngram_jaccard, op9_main_text)}
+                                 op8_ngram_jaccard, op9_main_text, op10_lattice_score)}
