@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pandwerk.llm import bpe, html_text, lm_score, mixing, ngram_join, quality, secrets, url_filter
+from pandwerk.llm import bpe, html_text, lm_score, mixing, near_vectors, ngram_join, quality, secrets, url_filter
 from pandwerk.llm.common import read_table
 from pandwerk.llm.sql import ORACLES
 
@@ -27,6 +27,10 @@ def op1_secret_scan(spark, sf_dir):
         count("kind", "bare"), count("verdict", "live"), count("verdict", "example"))
 
 
+def op2_vector_near_dedup(spark, sf_dir):
+    return near_vectors.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_quality_rules(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return quality.judged(docs, carry=("doc_id",)).select("doc_id", *quality.COUNTS, "base_failed", "kept")
@@ -70,5 +74,5 @@ def op10_lattice_score(spark, sf_dir):
                            path=public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_quality_rules, op5_url_filter, op6_bpe_round_trip, op7_source_mix,
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_vector_near_dedup, op3_quality_rules, op5_url_filter, op6_bpe_round_trip, op7_source_mix,
                                  op8_ngram_jaccard, op9_main_text, op10_lattice_score)}

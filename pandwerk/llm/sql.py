@@ -144,4 +144,15 @@ _OP9 = r"""
     SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) AS text,
         length(array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)))::BIGINT AS n_chars FROM blocks"""
 
-ORACLES = {"op9_main_text": _OP9, "op8_ngram_jaccard": _OP8, "op1_secret_scan": _op1(), "op3_quality_rules": _op3(), "op5_url_filter": _op5()}
+_OP2 = """
+    WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+        AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+    least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1)
+    SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
+    FROM least"""
+
+ORACLES = {"op2_vector_near_dedup": _OP2, "op9_main_text": _OP9, "op8_ngram_jaccard": _OP8, "op1_secret_scan": _op1(), "op3_quality_rules": _op3(), "op5_url_filter": _op5()}
