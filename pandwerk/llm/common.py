@@ -13,8 +13,10 @@ GAP = r"[\x20\x09-\x0D]+"
 
 #: A side is broadcast when its written table holds at most this many rows (of a few numbers each).
 BROADCAST_ROWS = 20_000
+#: The same for tables of one or two numbers that are joined to whole texts.
+BROADCAST_IDS = 400_000
 
-__all__ = ["BROADCAST_ROWS", "GAP", "WORD", "checkpointed", "components", "global_rank", "let", "lower_ascii",
+__all__ = ["BROADCAST_IDS", "BROADCAST_ROWS", "GAP", "WORD", "checkpointed", "components", "global_rank", "let", "lower_ascii",
            "read_table", "scratch_path", "small_side", "words"]
 
 
@@ -37,9 +39,9 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def small_side(table: DataFrame) -> DataFrame:
-    """Mark a written table for broadcast if its counted rows stay under BROADCAST_ROWS; else leave the join to Spark."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+def small_side(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a written table for broadcast if it holds at most `most` rows; else leave the join to Spark."""
+    return F.broadcast(table) if table.count() <= most else table
 
 
 def global_rank(df: DataFrame, *order: str) -> DataFrame:

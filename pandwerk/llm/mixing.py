@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pandwerk.llm.common import checkpointed, global_rank, small_side, words
+from pandwerk.llm.common import BROADCAST_IDS, checkpointed, global_rank, small_side, words
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -157,6 +157,6 @@ def copies(docs: DataFrame, text: str = "text", source: str = "source", *, weigh
 def mixed(docs: DataFrame, text: str = "text", source: str = "source", **how) -> DataFrame:
     """The mix itself: every row of `docs` as often as it is taken, with its columns."""
     rows, units = copies(docs, text, source, **how)
-    taken = units.groupBy("rid").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
-    again = rows.join(taken, "rid").select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    taken = checkpointed(units.groupBy("rid").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0"))
+    again = rows.join(small_side(taken, BROADCAST_IDS), "rid").select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return again.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pandwerk.llm.common import checkpointed, components, small_side
+from pandwerk.llm.common import BROADCAST_IDS, checkpointed, components, small_side
 
 N, PERCENT = 4, 85
 #: Words whose hashes a worker remembers.
@@ -334,13 +334,14 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", *, n: int = N, percent: int = PERCENT,
-                       carry: tuple[str, ...] | None = None) -> DataFrame:
-    """The `carry` columns (default: all but the text) as _c0, _c1, ..., `n` (set size) and `group`.
+                       carry: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows, labels). rows: the `carry` columns (default: all but the text) as _c0, _c1, ..., `n` (set size), `sid` (key
+    of the set) and `rid`; labels: sid and `component` of every set that is linked with another set.
 
-    Rows of one group are joined by a chain of links: 100 * common >= percent * union of their sets of distinct
+    Rows of one component are joined by a chain of links: 100 * common >= percent * union of their sets of distinct
     n-word shingles (ASCII letters lower-cased; fewer than n words: the whole sequence as one). Null texts
-    and texts without words have n = 0 and a null group: they are linked with nothing. Equal texts share a
-    group. Groups are 64-bit keys; two different sets share a key with a chance of 2^-64 a pair.
+    and texts without words have n = 0 and a null sid: they are linked with nothing. Equal sets share a sid.
+    Repeated rows stay. Sids are 64-bit keys; two different sets share a key with a chance of 2^-64 a pair.
 
     Exactness: similar sets share a signature (pigeonhole), hence a cluster; within a cluster every pair of sets in
     different components is bounded or compared. Clusters above a block's size are compared block by block,
@@ -351,7 +352,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", *, n: int = N, perce
     clusters = checkpointed(components(checkpointed(_sharing(_signed(docs, text, n, percent))))
                             .withColumnRenamed("component", "cluster"))
     wanted = docs.sparkSession.sparkContext.broadcast(_filter_bits(clusters))
-    described = checkpointed(_described(docs, text, carry, n, wanted))
+    described = checkpointed(_described(docs, text, carry, n, wanted).withColumn("rid", F.monotonically_increasing_id()))
 
     candidates = described.where("elements is not null").select("sid", "n", "elements").join(
         clusters.withColumnRenamed("node", "sid"), "sid")
@@ -390,15 +391,30 @@ def jaccard_components(docs: DataFrame, text: str = "text", *, n: int = N, perce
                                                       F.greatest("block", "other").alias("y"))))
             links = checkpointed(links.union(_compared(tasks.select(*columns), percent)))
             labels = checkpointed(components(links))
-    named = described.drop("elements").join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-    return named.select(*[f"_c{i}" for i in range(len(carry))], "n", F.coalesce("component", "sid").alias("group"))
+    return described.drop("elements"), labels.select(F.col("node").alias("sid"), "component")
 
 
 def component_ids(docs: DataFrame, key: str, text: str = "text", **how) -> DataFrame:
-    """`key`, n_shingles and component_id (smallest key reachable by links, the row's own included)."""
-    found = checkpointed(jaccard_components(docs, text, carry=(key,), **how))
+    """`key`, n_shingles and component_id (smallest key reachable by links, the row's own included) of every row."""
+    rows, labels = jaccard_components(docs, text, carry=(key,), **how)
+    found = checkpointed(rows.join(labels, "sid", "left").select("_c0", "n", F.coalesce("component", "sid").alias("group")))
     least = found.where("`group` is not null").groupBy("group").agg(F.min("_c0").alias("least"), F.count("*").alias("rows"))
     shared = checkpointed(least.where("rows > 1").select(F.col("group").alias("_g"), "least"))
-    out = found.join(small_side(shared), F.col("group") == F.col("_g"), "left")
+    out = found.join(small_side(shared, BROADCAST_IDS), F.col("group") == F.col("_g"), "left")
     return out.select(F.col("_c0").alias(key), F.col("n").alias("n_shingles"),
                       F.coalesce("least", "_c0").alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, key: str, text: str = "text", **how) -> DataFrame:
+    """One row of each component, with all its columns: the smallest key, nulls last, then the first met. Rows without
+    words all stay."""
+    rows, labels = jaccard_components(docs, text, carry=tuple(docs.columns), **how)
+    slim = rows.where("sid is not null").select(
+        "sid", F.struct(F.col(f"_c{docs.columns.index(key)}").isNull().alias("last"),
+                        F.col(f"_c{docs.columns.index(key)}").alias("key"), "rid").alias("place"))
+    slim = checkpointed(slim.join(labels, "sid", "left").select(F.coalesce("component", "sid").alias("group"), "place"))
+    first = (slim.groupBy("group").agg(F.min("place").alias("first"), F.count("*").alias("rows")).where("rows > 1")
+             .select("group", F.col("first.rid").alias("kept")))
+    lost = checkpointed(slim.join(first, "group").where("place.rid <> kept").select(F.col("place.rid").alias("rid")))
+    return rows.join(small_side(lost, BROADCAST_IDS), "rid", "left_anti").select(
+        *[F.col(f"_c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pandwerk.llm import bpe, html_text, lm_score, mixing, near_vectors, ngram_join, quality, secrets, url_filter
+from pandwerk.llm import bpe, html_text, licenses, lm_score, mixing, near_vectors, ngram_join, quality, secrets, url_filter
 from pandwerk.llm.common import read_table
 from pandwerk.llm.sql import ORACLES
 
@@ -36,6 +36,16 @@ def op3_quality_rules(spark, sf_dir):
     return quality.judged(docs, carry=("doc_id",)).select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op4_license_scan(spark, sf_dir):
+    found = licenses.license_matches(read_table(spark, sf_dir, "documents"), carry=("doc_id",))
+    best = F.array_max(F.transform("matches", lambda m: F.struct(
+        m["dice"].alias("dice"), (-m["line"]).alias("line"), m["license"].alias("license"))))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(F.transform(
+        "matches", lambda m: F.concat_ws(":", m["line"].cast("string"), m["license"])), ",").alias("matches"),
+        best.alias("_best")).select("doc_id", "n_matches", "matches", F.col("_best.license").alias("license"),
+                                    F.col("_best.dice").alias("dice"))
+
+
 def op5_url_filter(spark, sf_dir):
     judged = url_filter.judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", "host", "path", "rule", "verdict", F.col("strict_hits"), F.col("soft_hits"),
@@ -74,5 +84,11 @@ def op10_lattice_score(spark, sf_dir):
                            path=public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_vector_near_dedup, op3_quality_rules, op5_url_filter, op6_bpe_round_trip, op7_source_mix,
-                                 op8_ngram_jaccard, op9_main_text, op10_lattice_score)}
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_vector_near_dedup, op3_quality_rules, op4_license_scan,
+                                 op5_url_filter, op6_bpe_round_trip, op7_source_mix, op8_ngram_jaccard, op9_main_text, op10_lattice_score, pipeline)}

@@ -144,6 +144,30 @@ _OP9 = r"""
     SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) AS text,
         length(array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)))::BIGINT AS n_chars FROM blocks"""
 
+def _op4() -> str:
+    from pandwerk.llm.licenses import PERCENT, profiles
+
+    grams = ", ".join(f"({i}, '{name}', {n}, '{g}', {c})" for i, name, n, counts in profiles() for g, c in counts.items())
+    return f"""
+    WITH templates(no, license, n, g, c) AS (VALUES {grams}),
+    split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    units AS (SELECT doc_id, i AS line, lines[i] AS t FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM split)
+              UNION ALL SELECT doc_id, 0, array_to_string(lines, chr(10)) FROM split WHERE len(lines) > 1),
+    cut AS (SELECT doc_id, line, list_filter(regexp_split_to_array(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM units),
+    short AS MATERIALIZED (SELECT * FROM cut WHERE len(w) BETWEEN 2 AND 60),
+    pairs AS (SELECT doc_id, line, size, w[i] || ' ' || w[i + 1] AS g, count(*) AS c FROM (
+        SELECT doc_id, line, len(w) - 1 AS size, w, unnest(range(1, len(w))) AS i FROM short) GROUP BY ALL),
+    dice AS (SELECT doc_id, line, no, license, 2.0::DOUBLE * sum(least(p.c, t.c)) / (p.size + t.n) AS dice
+        FROM pairs p JOIN templates t USING (g) GROUP BY doc_id, line, no, license, p.size, t.n),
+    found AS (SELECT * FROM dice WHERE dice * 100 >= {PERCENT}
+        QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY dice DESC, no) = 1),
+    rows AS (SELECT doc_id, count(*) AS n_matches, string_agg(line::VARCHAR || ':' || license, ',' ORDER BY line) AS matches,
+        arg_max(license, {{'d': dice, 'l': -line, 'n': license}}) AS license, max(dice) AS dice FROM found GROUP BY 1)
+    SELECT d.doc_id, coalesce(n_matches, 0) AS n_matches, coalesce(matches, '') AS matches, license, dice
+    FROM documents d LEFT JOIN rows USING (doc_id)"""
+
+
 _OP2 = """
     WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
         WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
@@ -155,4 +179,4 @@ _OP2 = """
     SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id, vec_id = component_id AS kept
     FROM least"""
 
-ORACLES = {"op2_vector_near_dedup": _OP2, "op9_main_text": _OP9, "op8_ngram_jaccard": _OP8, "op1_secret_scan": _op1(), "op3_quality_rules": _op3(), "op5_url_filter": _op5()}
+ORACLES = {"op2_vector_near_dedup": _OP2, "op4_license_scan": _op4(), "op9_main_text": _OP9, "op8_ngram_jaccard": _OP8, "op1_secret_scan": _op1(), "op3_quality_rules": _op3(), "op5_url_filter": _op5()}
