@@ -74,9 +74,10 @@ def base_failed() -> Column:
 
 
 def _signals() -> dict[str, Column]:
-    n = F.col("n_words")
-    return {"mean_word_length": F.col("word_chars") / n, "symbols_per_word": F.col("n_symbols") / n,
-            "dup_line_share": F.col("n_dup_lines") / F.col("n_lines"), "repeat_share": F.col("n_repeat_words") / n}
+    """Null where a text has no words."""
+    share = lambda part, of: F.try_divide(F.col(part), F.col(of))
+    return {"mean_word_length": share("word_chars", "n_words"), "symbols_per_word": share("n_symbols", "n_words"),
+            "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words")}
 
 
 def sketch(values: DataFrame, keys: list[str]) -> DataFrame:

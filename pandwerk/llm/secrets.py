@@ -100,7 +100,7 @@ def secret_spans(docs: DataFrame, text: str = "text", *, owner: list[Column], re
     own = F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\0")) for c in owner])
     rep = F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\0")) for c in repo])
     staged = checkpointed(docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_row"), own.alias("_owner"), rep.alias("_repo"),
+        F.struct(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)]).alias("_row"), own.alias("_owner"), rep.alias("_repo"),
         F.transform(_without_covered(candidate_spans(F.col(text))), lambda s: F.struct(
             s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
             F.sha2(s["value"], 256).alias("value_hash"))).alias("_spans"),
@@ -119,11 +119,9 @@ def secret_spans(docs: DataFrame, text: str = "text", *, owner: list[Column], re
     secrets = F.transform(F.coalesce("_judged", F.array()), lambda s: F.struct(
         *[s[c].alias(c) for c in ("kind", "start", "end", "value_hash", "owners", "repos", "verdict")]))
     # only rows with a candidate are joined; the rest pass by
-    quiet = staged.where("size(_spans) = 0").select("_row.*", "_rid", F.lit(None).cast(
-        per_row.schema["_judged"].dataType).alias("_judged"))
-    loud = staged.where("size(_spans) > 0").select("_row.*", "_rid").join(per_row, "_rid", "left").select(
-        *[F.col(f"`{c}`") for c in carry], "_rid", "_judged")
-    return quiet.union(loud).select(*[F.col(f"`{c}`") for c in carry], secrets.alias("secrets"))
+    quiet = staged.where("size(_spans) = 0").select("_row", F.lit(None).cast(per_row.schema["_judged"].dataType).alias("_judged"))
+    loud = staged.where("size(_spans) > 0").select("_row", "_rid").join(per_row, "_rid", "left").select("_row", "_judged")
+    return quiet.union(loud).select(*[F.col(f"_row._c{i}").alias(c) for i, c in enumerate(carry)], secrets.alias("secrets"))
 
 
 def span_text(spans: Column) -> Column:
