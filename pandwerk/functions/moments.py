@@ -6,64 +6,89 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pandwerk.functions.scalar import nan_to_null
 
-_SCHEMA = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+_SCHEMA = "i int, j int, n double, mx double, my double, sxx double, syy double, sxy double"
 
 
-def typical_values(df: DataFrame, columns: list[str]) -> list[float]:
-    """A value near each column's centre, to condition sums; results do not depend on it."""
-    return [v or 0.0 for v in df.limit(1000).agg(*[F.avg(c) for c in columns]).first()]
+def centred_block(x: np.ndarray) -> np.ndarray:
+    """Counts, means and centred sums ``(n, mx, my, sxx, syy, sxy)`` of every pair of columns.
 
+    Each pair is centred on the means of the rows it shares, so the sums do not depend on where
+    the values lie or on which rows miss another column.
+    """
+    present = ~np.isnan(x)
+    mask, filled = present.astype(float), np.nan_to_num(x)
+    k = x.shape[1]
+    n = mask.T @ mask
+    out = np.zeros((6, k, k))
+    out[0] = n
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = np.where(n > 0, (filled.T @ mask) / n, 0.0)
+    for i in range(k):
+        both = mask[:, [i]] * mask
+        # second pass over the shared rows: takes off what rounding left in the mean
+        mean_i = mean[i] + np.divide(((filled[:, [i]] - mean[i]) * both).sum(axis=0), n[i], out=np.zeros(k), where=n[i] > 0)
+        mean_j = mean[:, i] + np.divide(((filled - mean[:, i]) * both).sum(axis=0), n[i], out=np.zeros(k), where=n[i] > 0)
+        dx, dy = (filled[:, [i]] - mean_i) * both, (filled - mean_j) * both
+        out[1, i], out[2, i] = mean_i, mean_j
+        out[3, i], out[4, i], out[5, i] = (dx * dx).sum(axis=0), (dy * dy).sum(axis=0), (dx * dy).sum(axis=0)
+    return out
+
+
+def merged_blocks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The block of both row sets together."""
+    n = a[0] + b[0]
+    share = np.divide(b[0], n, out=np.zeros_like(n), where=n > 0)
+    dx, dy, cross = b[1] - a[1], b[2] - a[2], a[0] * share
+    return np.stack([n, a[1] + dx * share, a[2] + dy * share, a[3] + b[3] + dx * dx * cross,
+                     a[4] + b[4] + dy * dy * cross, a[5] + b[5] + dx * dy * cross])
 
-def pairwise_moments(df: DataFrame, columns: list[str], shift: list[float] | None = None) -> DataFrame:
-    """Rows ``(i, j, n, sx, sy, sxx, syy, sxy)`` over rows where both columns are present.
 
-    Each task reduces its Arrow batches to one k-by-k block, so only blocks are shuffled.
-    Values are taken relative to ``shift``, which keeps the sums well conditioned.
+def pairwise_moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows ``(i, j, n, mx, my, sxx, syy, sxy)``: means and centred sums where both columns are present.
+
+    Each task merges its Arrow batches to one k-by-k block, so only blocks are shuffled; blocks of
+    tasks are merged by the same rule.
     """
     numeric = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
-    shift = typical_values(numeric, columns) if shift is None else shift
     k = len(columns)
 
     def reduce_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((6, k, k))
-        seen = False
+        total = None
         for batch in batches:
-            x = batch.to_numpy(dtype=float) - np.asarray(shift)
-            present = (~np.isnan(x)).astype(float)
-            x = np.nan_to_num(x)
-            seen = True
-            total[0] += present.T @ present
-            total[1] += x.T @ present
-            total[2] += present.T @ x
-            total[3] += (x * x).T @ present
-            total[4] += present.T @ (x * x)
-            total[5] += x.T @ x
-        if seen:
+            block = centred_block(batch.to_numpy(dtype=float))
+            total = block if total is None else merged_blocks(total, block)
+        if total is not None:
             i, j = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
             yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), **{
-                name: total[m].ravel() for m, name in enumerate(("n", "sx", "sy", "sxx", "syy", "sxy"))}})
+                name: total[m].ravel() for m, name in enumerate(("n", "mx", "my", "sxx", "syy", "sxy"))}})
 
     blocks = numeric.mapInPandas(reduce_partition, schema=_SCHEMA)
-    return blocks.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-
-
-def correlation_long(df: DataFrame, columns: list[str], shift: list[float] | None = None) -> DataFrame:
+    # a pair has one block per task
+    pair = Window.partitionBy("i", "j")
+    rows = F.sum("n").over(pair)
+    centre = lambda c: F.coalesce(F.try_divide(F.sum(F.col("n") * F.col(c)).over(pair), rows), F.lit(0.0))
+    spread = blocks.withColumns({"_mx": centre("mx"), "_my": centre("my")})
+    dx, dy = F.col("mx") - F.col("_mx"), F.col("my") - F.col("_my")
+    return spread.groupBy("i", "j").agg(
+        F.sum("n").alias("n"), F.first("_mx").alias("mx"), F.first("_my").alias("my"),
+        F.sum(F.col("sxx") + F.col("n") * dx * dx).alias("sxx"), F.sum(F.col("syy") + F.col("n") * dy * dy).alias("syy"),
+        F.sum(F.col("sxy") + F.col("n") * dx * dy).alias("sxy"))
+
+
+def correlation_long(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows ``(feature_a, feature_b, n, corr)`` for all ordered pairs; NULL where undefined."""
     names = F.array(*[F.lit(c) for c in columns])
-    cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    vx = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    vy = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
-    # relative guard: a constant column leaves only rounding noise
-    ok = (vx > F.col("n") * F.col("sxx") * 1e-12) & (vy > F.col("n") * F.col("syy") * 1e-12)
-    return pairwise_moments(df, columns, shift).select(
+    # a constant column leaves rounding noise of its mean only
+    varies = lambda s, m: F.col(s) > F.col("n") * F.col(m) * F.col(m) * 1e-26
+    return pairwise_moments(df, columns).select(
         F.get(names, F.col("i")).alias("feature_a"), F.get(names, F.col("j")).alias("feature_b"),
         F.col("n").cast("bigint").alias("n"),
-        F.when(ok, cov / F.sqrt(vx) / F.sqrt(vy)).alias("corr"))
+        F.when(varies("sxx", "mx") & varies("syy", "my"), F.col("sxy") / F.sqrt("sxx") / F.sqrt("syy")).alias("corr"))
 
 
 def summed_blocks(df: DataFrame, columns: list[str], shape: tuple[int, int], block) -> np.ndarray:

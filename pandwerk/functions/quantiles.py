@@ -5,26 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A group above this many rows is not kept as one aggregation state.
-HOT_GROUP_ROWS = 5_000_000
+from pandwerk.functions.lineage import checkpointed
+
 # Accuracy of the sketch that brackets a percentile; a bracket holds a few rows in this many.
 SKETCH_ACCURACY = 10_000
 
 
-def group_percentiles(df: DataFrame, by: list[str], value: str, probs: list[float],
-                      hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+# Distinct values that one range of a ranking orders, on average.
+VALUES_PER_RANGE = 20_000
+
+
+def group_percentiles(df: DataFrame, by: list[str], value: str, probs: list[float]) -> DataFrame:
     """One row per group: ``by``, ``n`` and an array ``q`` of exact percentiles of ``value``.
 
-    Small groups use Spark's ``percentile``, whose state is every distinct value of the group.
-    When the largest group exceeds ``hot_rows`` the percentiles are bracketed with a bounded
-    sketch first, and only rows inside a bracket are ranked.
+    For groups of any size the percentiles are bracketed with a bounded sketch first, and only rows
+    inside a bracket are ranked; no aggregation state holds a group.
     """
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    if largest <= hot_rows:
-        return rows.groupBy(*by).agg(
-            F.count("*").alias("n"),
-            F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias("q"))
     return bracketed_percentiles(rows, by, probs)
 
 
@@ -88,13 +85,16 @@ def _join_on(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     return left.join(right, by) if by else left.crossJoin(F.broadcast(right))
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str, cuts: int = 64) -> DataFrame:
+def average_ranks(df: DataFrame, by: list[str], value: str, per_range: int = VALUES_PER_RANGE) -> DataFrame:
     """One row per distinct (group, value) with its average rank ``rank`` among the group's rows.
 
-    Values are counted first, then split into ranges by a sketch, so that no group is ordered
-    in one task; the exact rank does not depend on where the ranges fall.
+    Values are counted first, then split into ranges by a sketch, as many as the largest group's
+    distinct values ask for, so that no task orders more as the table grows; the exact rank does not
+    depend on where the ranges fall.
     """
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
+    counts = checkpointed(df.groupBy(*by, value).agg(F.count("*").alias("_c")))
+    largest = counts.groupBy(*by).agg(F.count("*").alias("_d")).agg(F.max("_d")).first()[0] or 0
+    cuts = 2 + largest // per_range
     probs = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
     edges = counts.groupBy(*by).agg(F.percentile_approx(value, probs, 1000).alias("_edges"))
     placed = _join_on(counts, edges, by).withColumn(

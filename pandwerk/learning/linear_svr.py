@@ -23,17 +23,18 @@ class _SvrParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasMaxIter, HasT
     def __init__(self, *args):
         super().__init__(*args)
         self._setDefault(featuresCol=FEATURES, labelCol="clean_floors", predictionCol="prediction",
-                         maxIter=50, tol=1e-4, epsilon=0.0, C=1.0, loss="epsilon_insensitive")
+                         maxIter=1000, tol=1e-4, epsilon=0.0, C=1.0, loss="epsilon_insensitive")
 
 
 class LinearSVRModel(Model, _SvrParams, DefaultParamsReadable, DefaultParamsWritable):
     """Coefficients are a parameter, so the model saves and loads with a pipeline."""
 
     weights = Param(Params._dummy(), "weights", "coefficients with the intercept last", TypeConverters.toListFloat)
+    converged = Param(Params._dummy(), "converged", "whether the objective settled before maxIter", TypeConverters.toBoolean)
 
     def __init__(self):
         super().__init__()
-        self._setDefault(weights=[])
+        self._setDefault(weights=[], converged=False)
 
     @property
     def coefficients(self) -> list[float]:
@@ -82,7 +83,7 @@ class LinearSVR(Estimator, _SvrParams, DefaultParamsReadable, DefaultParamsWrita
     """
 
     @keyword_only
-    def __init__(self, *, epsilon=0.0, C=1.0, maxIter=50, tol=1e-4, loss="epsilon_insensitive",
+    def __init__(self, *, epsilon=0.0, C=1.0, maxIter=1000, tol=1e-4, loss="epsilon_insensitive",
                  labelCol="clean_floors", featuresCol=FEATURES, predictionCol="prediction"):
         super().__init__()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
@@ -97,7 +98,7 @@ class LinearSVR(Estimator, _SvrParams, DefaultParamsReadable, DefaultParamsWrita
                               F.col(self.getLabelCol()).cast("double").alias("_y")).persist()
         shape = (width + 2, width + 2)
         try:
-            w, best, best_w, stale = np.zeros(width + 1), np.inf, None, 0
+            w, best, best_w, stale, settled = np.zeros(width + 1), np.inf, None, 0, False
             for step in range(self.getMaxIter() + 1):
                 block = summed_blocks(rows, columns, shape, _loss_block(w, eps, c, squared, step == 0))
                 objective = float(block[-1, 0] + w @ w / 2)
@@ -107,10 +108,11 @@ class LinearSVR(Estimator, _SvrParams, DefaultParamsReadable, DefaultParamsWrita
                         best, best_w = objective, w
                     stale = 0 if gain > self.getTol() * abs(objective) else stale + 1
                     if abs(gain) <= self.getTol() * abs(objective) or stale >= PATIENCE:
+                        settled = True
                         break
                 w = np.linalg.solve(block[:-1, :-1] + np.eye(width + 1), block[:-1, -1])
         finally:
             rows.unpersist()
         model = LinearSVRModel()
-        model._set(weights=[float(v) for v in (w if best_w is None else best_w)])
+        model._set(weights=[float(v) for v in (w if best_w is None else best_w)], converged=settled)
         return self._copyValues(model)

@@ -88,6 +88,19 @@ def fit(df: DataFrame, features: list[str], keep: list[str]) -> PipelineModel:
                           VectorAssembler(inputCols=names, outputCol=FEATURES)])
 
 
+# Prefix of columns that pass the preparation unchanged.
+CARRIED = "_carried_"
+
+
+def carrying(prep: PipelineModel, columns: list[str]) -> PipelineModel:
+    """The same stages, letting ``columns`` of the input through under the prefix."""
+    if not columns:
+        return prep
+    passed = ", ".join(f"`{c}` AS `{CARRIED}{c}`" for c in columns)
+    return PipelineModel([SQLTransformer(statement=f"SELECT {passed}, {s.getStatement().removeprefix('SELECT ')}")
+                          if isinstance(s, SQLTransformer) else s for s in prep.stages])
+
+
 def input_names(prep: PipelineModel) -> list[str]:
     """Names of the vector positions."""
     assembler = [s for s in prep.stages if isinstance(s, VectorAssembler)][0]

@@ -62,24 +62,32 @@ def parts(model: PipelineModel) -> tuple[PipelineModel, object]:
 
 
 def predict(model: PipelineModel, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Raw and rounded predictions by id; ``keep`` columns of the input travel along."""
+    """Raw and rounded predictions of every row; ``keep`` columns of the input travel along, without a join."""
     carried = [c for c in (keep or []) if c not in KEYS]
     stages, regressor = parts(model)
     source = df if LABEL in df.columns else df.withColumn(LABEL, F.lit(None).cast("int"))
-    ready = stages.transform(source)
-    scored = regressor.transform(ready).select(
-        *KEYS, F.col("prediction").alias("pred_value"), F.rint("prediction").alias("pred_value_rounded"))
-    return scored.join(df.select("bag_id", *carried), "bag_id") if carried else scored
+    ready = prep.carrying(stages, carried).transform(source)
+    return regressor.transform(ready).select(
+        *KEYS, F.col("prediction").alias("pred_value"), F.rint("prediction").alias("pred_value_rounded"),
+        *[F.col(prep.CARRIED + c).alias(c) for c in carried])
 
 
 def evaluate_models(models: dict[tuple, PipelineModel], train: DataFrame, test: DataFrame) -> DataFrame:
-    """Metrics of every model on both splits; keys are (model, algorithm, tuning description)."""
-    frames = []
-    for (name, algorithm, tuning), model in models.items():
-        for split, df in (("train", train), ("test", test)):
-            frames.append(predict(model, df).withColumns({
-                "model": F.lit(name), "algorithm": F.lit(algorithm), "tuning_description": F.lit(tuning), "split": F.lit(split)}))
-    return evaluate.model_table(reduce(DataFrame.unionByName, frames))
+    """Metrics of every model on both splits; keys are (model, algorithm, tuning description).
+
+    All models score the same scan: each adds its prediction to the rows, which are then laid out
+    one per model.
+    """
+    scored = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    inputs = [c for c in scored.columns if c not in KEYS]
+    results = []
+    for i, ((name, algorithm, tuning), model) in enumerate(models.items()):
+        scored = predict(model, scored, [*inputs, *[f"_p{j}" for j in range(i)]]).withColumnRenamed(
+            "pred_value", f"_p{i}").drop("pred_value_rounded")
+        results.append(F.struct(F.lit(name).alias("model"), F.lit(algorithm).alias("algorithm"),
+                                F.lit(tuning).alias("tuning_description"), F.col(f"_p{i}").alias("pred_value")))
+    laid_out = scored.select(*KEYS, "split", F.explode(F.array(*results)).alias("_m")).select(*KEYS, "split", "_m.*")
+    return evaluate.model_table(laid_out.withColumn("pred_value_rounded", F.rint("pred_value")))
 
 
 def importances(model: PipelineModel, spark) -> DataFrame:

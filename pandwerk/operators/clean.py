@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pandwerk.functions.quantiles import HOT_GROUP_ROWS, group_percentiles
+from pandwerk.functions.lineage import checkpointed
+from pandwerk.functions.quantiles import group_percentiles
 
 MAX_CLEANED_FLOORS = 17
 MIN_STOREY_HEIGHT = 1.5
@@ -31,52 +32,56 @@ def with_storey_height(df: DataFrame) -> DataFrame:
             .withColumn("avg_h_storey", F.try_divide(F.col("h_70p"), F.col("no_floors"))))
 
 
-def _fences(df: DataFrame, attribute: str, probs: list[float], hot_rows: int) -> DataFrame:
+def _fences(df: DataFrame, attribute: str, probs: list[float]) -> DataFrame:
     """Quantiles per floor count; at most one row per permitted floor count."""
-    return group_percentiles(df, ["no_floors"], attribute, probs, hot_rows).select("no_floors", "q")
+    return group_percentiles(df, ["no_floors"], attribute, probs).select("no_floors", "q")
 
 
-def flag_iqr_outliers(df: DataFrame, attribute: str, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def flag_iqr_outliers(df: DataFrame, attribute: str) -> DataFrame:
     """Flag values beyond 1.5 IQR of their floor count; values on a fence are kept.
 
     The fences are one row per floor count, joined back instead of a window per floor count.
     """
-    fences = _fences(df, attribute, [0.25, 0.75], hot_rows)
-    q1, q3 = F.col("q")[0], F.col("q")[1]
-    reach = (q3 - q1) * IQR_REACH
-    value = F.col(attribute)
-    return (df.join(fences, "no_floors", "left")
-            .withColumn("is_outlier", (value < q1 - reach) | (value > q3 + reach)).drop("q"))
+    fences = _fences(df, attribute, [0.25, 0.75])
+    return df.join(fences, "no_floors", "left").withColumn("is_outlier", _beyond(attribute, "q")).drop("q")
 
 
-def flag_outer_percentiles(df: DataFrame, low: float, high: float, attribute: str,
-                           hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def flag_outer_percentiles(df: DataFrame, low: float, high: float, attribute: str) -> DataFrame:
     """Flag values outside the inclusive percentile range of their floor count."""
-    fences = _fences(df, attribute, [low, high], hot_rows)
+    fences = _fences(df, attribute, [low, high])
     inside = F.col(attribute).between(F.col("q")[0], F.col("q")[1])
     return df.join(fences, "no_floors", "left").withColumn("is_outlier", ~inside).drop("q")
 
 
-def height_steps(df: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def height_steps(df: DataFrame) -> DataFrame:
     """All rows with the step that removed them (1 low storeys, 2 and 3 IQR passes, 0 kept)."""
     start = with_storey_height(df)
     high_enough = F.coalesce(F.col("avg_h_storey") > MIN_STOREY_HEIGHT, F.lit(False))
-    low = start.where(~high_enough).withColumn("removed_at_step", F.lit(1))
-    first = flag_iqr_outliers(start.where(high_enough), "h_70p", hot_rows)
-    out_1 = first.where("is_outlier").drop("is_outlier").withColumn("removed_at_step", F.lit(2))
-    second = flag_iqr_outliers(first.where("NOT is_outlier").drop("is_outlier"), "h_70p", hot_rows)
-    rest = second.withColumn("removed_at_step", F.when(F.col("is_outlier"), 3).otherwise(0)).drop("is_outlier")
-    return low.unionByName(out_1).unionByName(rest)
+    # both passes read two columns, written once; a fence table has one row per permitted floor count
+    heights = checkpointed(start.where(high_enough).select("no_floors", "h_70p"))
+    first = F.broadcast(_fences(heights, "h_70p", [0.25, 0.75]).withColumnRenamed("q", "_q1"))
+    left = heights.join(first, "no_floors").where(~_beyond("h_70p", "_q1"))
+    second = F.broadcast(_fences(left, "h_70p", [0.25, 0.75]).withColumnRenamed("q", "_q2"))
+    flagged = start.join(first, "no_floors", "left").join(second, "no_floors", "left")
+    step = F.when(~high_enough, 1).when(_beyond("h_70p", "_q1"), 2).when(_beyond("h_70p", "_q2"), 3).otherwise(0)
+    return flagged.withColumn("removed_at_step", step).drop("_q1", "_q2")
+
+
+def _beyond(attribute: str, fences: str) -> Column:
+    """Further than 1.5 IQR outside the quartiles; values on a fence are not."""
+    value, q1, q3 = F.col(attribute), F.col(fences)[0], F.col(fences)[1]
+    reach = (q3 - q1) * IQR_REACH
+    return (value < q1 - reach) | (value > q3 + reach)
 
 
 def step_counts(stepped: DataFrame) -> DataFrame:
     return stepped.groupBy("removed_at_step").agg(F.count("*").alias("n"))
 
 
-def automatic_labels(df: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def automatic_labels(df: DataFrame) -> DataFrame:
     """Survivors of the height steps, marked clean."""
     needed = ["bag_id", "no_floors", "h_70p", "bag_function", "bag3d_roof_type"]
-    kept = height_steps(complete_rows(df, needed), hot_rows).where("removed_at_step = 0")
+    kept = height_steps(complete_rows(df, needed)).where("removed_at_step = 0")
     return kept.withColumn("is_clean", F.lit("y"))
 
 

@@ -27,9 +27,12 @@ BUILDING_TYPES = {
 
 
 def one_per_key(df: DataFrame, key: str, columns: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the first by ``order``; combines map-side, so copies of a key cost nothing."""
+    """One row per key, the first by ``order`` and then by the columns themselves, so that only equal rows tie.
+
+    Combines map-side, so copies of a key cost nothing.
+    """
     packed = F.struct(*columns)
-    return (df.groupBy(key).agg(F.min_by(packed, F.struct(*order)).alias("_row"))
+    return (df.groupBy(key).agg(F.min_by(packed, F.struct(*order, *columns)).alias("_row"))
             .select(key, *[F.col("_row")[c].alias(c) for c in columns]))
 
 

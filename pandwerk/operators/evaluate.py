@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pandwerk.functions.quantiles import HOT_GROUP_ROWS, group_percentiles
+from pandwerk.functions.quantiles import group_percentiles
 from pandwerk.functions.scalar import nan_to_null, round_half_even
 
 
@@ -131,8 +131,8 @@ def floor_histogram(df: DataFrame, label: str = "clean_floors", by: tuple = ())
     return df.where(F.col(label).isNotNull()).groupBy(*by, label).agg(F.count("*").alias("n"))
 
 
-def floor_percentile(df: DataFrame, p: float = 0.9, label: str = "clean_floors", hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
-    return group_percentiles(df, [], label, [p], hot_rows).select(F.col("q")[0].alias("percentile"))
+def floor_percentile(df: DataFrame, p: float = 0.9, label: str = "clean_floors") -> DataFrame:
+    return group_percentiles(df, [], label, [p]).select(F.col("q")[0].alias("percentile"))
 
 
 def merged_class(function: Column) -> Column:
@@ -168,10 +168,10 @@ def source_shares(df: DataFrame) -> DataFrame:
     return counts.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
 
 
-def scale_medians(study: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def scale_medians(study: DataFrame) -> DataFrame:
     """Median absolute volume difference per voxel scale."""
     diff = study.withColumn("_d", nan_to_null(F.abs(F.col("mesh_volume") - F.col("sampled_volume"))))
-    return group_percentiles(diff, ["scale"], "_d", [0.5], hot_rows).select("scale", F.col("q")[0].alias("median_diff"))
+    return group_percentiles(diff, ["scale"], "_d", [0.5]).select("scale", F.col("q")[0].alias("median_diff"))
 
 
 def as_long(df: DataFrame, columns: list[str], names: str, values: str, keep: tuple = ()) -> DataFrame:

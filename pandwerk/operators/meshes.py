@@ -21,10 +21,11 @@ STUDY_SCALES = (50, 75, 100, 125, 150, 175, 200, 225, 250)
 def fetch(buildings: DataFrame, lod_3d: DataFrame) -> DataFrame:
     """Meshes of buildings through the 3D id, one per building; unchecked meshes are left out.
 
-    Repeats are dropped on the join key, so the meshes themselves are shuffled once.
+    Of several meshes of an id the smallest array of faces is taken. Repeats are dropped on the join
+    key, so the meshes themselves are shuffled once.
     """
     meshes = (lod_3d.where(F.col("val3dity_codes").isNotNull())
-              .select(F.col("fid").alias("bag3d_id"), "faces").dropDuplicates(["bag3d_id"]))
+              .groupBy(F.col("fid").alias("bag3d_id")).agg(F.min("faces").alias("faces")))
     return buildings.select("bag_id", "bag3d_id", "bag3d_roof_type", "bag3d_h_ground").join(
         meshes, "bag3d_id").drop("bag3d_id")
 

@@ -8,8 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pandwerk.functions.moments import correlation_long, pairwise_moments, typical_values
-from pandwerk.functions.quantiles import HOT_GROUP_ROWS, average_ranks, group_percentiles
+from pandwerk.functions.moments import correlation_long, pairwise_moments
+from pandwerk.functions.quantiles import average_ranks, group_percentiles
 from pandwerk.functions.scalar import nan_to_null
 from pandwerk.operators.clean import complete_rows, numeric_columns
 from pandwerk.operators.evaluate import as_long
@@ -24,7 +24,7 @@ def pearson(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def _presence_classes(df: DataFrame, columns: list[str]) -> list[list[str]]:
     """Columns that are present in exactly the same rows, found from pair counts."""
-    counts = {(r.i, r.j): r.n for r in pairwise_moments(df, columns, [0.0] * len(columns)).select("i", "j", "n").collect()}
+    counts = {(r.i, r.j): r.n for r in pairwise_moments(df, columns).select("i", "j", "n").collect()}
     classes: list[list[int]] = []
     for i in range(len(columns)):
         for cls in classes:
@@ -57,7 +57,7 @@ def spearman(df: DataFrame, columns: list[str], key: str = "bag_id") -> DataFram
     for a, b in itertools.combinations_with_replacement(range(len(classes)), 2):
         cols = classes[a] if a == b else classes[a] + classes[b]
         both = clean.na.drop(subset=[classes[a][0], classes[b][0]])
-        corr = correlation_long(_ranked(both, cols, key), cols, [0.0] * len(cols))
+        corr = correlation_long(_ranked(both, cols, key), cols)
         if a != b:
             in_a = F.col("feature_a").isin(classes[a])
             corr = corr.where(in_a != F.col("feature_b").isin(classes[a]))
@@ -92,12 +92,9 @@ def variance_inflation(df: DataFrame, columns: list[str]) -> DataFrame:
     """
     rows = complete_rows(df.select(*columns))
     k = len(columns)
-    shift = typical_values(rows, columns)
     n, cross, mean = 0.0, np.zeros((k, k)), np.zeros(k)
-    for r in pairwise_moments(rows, columns, shift).collect():
-        n = r.n
-        cross[r.i, r.j] = r.sxy - r.sx * r.sy / r.n
-        mean[r.i] = shift[r.i] + r.sx / r.n
+    for r in pairwise_moments(rows, columns).collect():
+        n, cross[r.i, r.j], mean[r.i] = r.n, r.sxy, r.mx
     scale = np.sqrt(np.diag(cross))
     factors = np.diag(np.linalg.inv(cross / np.outer(scale, scale)))
     intercept = 1.0 + n * mean @ np.linalg.solve(cross, mean)
@@ -115,15 +112,14 @@ def f_scores(df: DataFrame, features: list[str], label: str) -> DataFrame:
                        (F.try_divide(r2, 1 - r2) * (F.col("n") - 2)).alias("score"))
 
 
-def mutual_information(df: DataFrame, features: list[str], label: str, bins: int = MI_BINS,
-                       hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+def mutual_information(df: DataFrame, features: list[str], label: str, bins: int = MI_BINS) -> DataFrame:
     """Plug-in mutual information (nats) between quantile-binned features and the label.
 
     Deterministic stand-in for a nearest-neighbour estimate. Only counts per
     (feature, bin, label value) are shuffled.
     """
     long = as_long(df, features, "feature", "value", (label,))
-    cuts = group_percentiles(long, ["feature"], "value", [i / bins for i in range(1, bins)], hot_rows).select("feature", "q")
+    cuts = group_percentiles(long, ["feature"], "value", [i / bins for i in range(1, bins)]).select("feature", "q")
     # one row per feature
     placed = long.join(F.broadcast(cuts), "feature").withColumn(
         "bin", F.size(F.filter("q", lambda c: c < F.col("value"))))

@@ -64,8 +64,14 @@ def replace_table(df: DataFrame, table: str, key: str | None = None, location: s
     writer.saveAsTable(staged)
     if key is not None:
         require_unique(spark.table(staged), key)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    old = f"{table}_replaced"
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
+    exists = spark.catalog.tableExists(table)
+    if exists:
+        spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
     spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
+    if exists:
+        spark.sql(f"DROP TABLE {old}")
 
 
 def load_predictions_table(df: DataFrame, table: str, location: str | None = None) -> None:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from pandwerk.functions import quantiles
@@ -30,11 +31,39 @@ def test_bracketed_percentiles_are_exact(spark):
             np.testing.assert_allclose(got[g][1], np.percentile(part.v, [p * 100 for p in probs]), rtol=1e-12)
 
 
-def test_hot_route_gives_the_same_outliers(spark):
+def test_outliers_match_one_state_percentiles(spark):
     df = spark.createDataFrame(_values(), "no_floors int, h_70p double").withColumn("id", F.monotonically_increasing_id())
-    a = clean.flag_iqr_outliers(df, "h_70p").groupBy("no_floors", "is_outlier").count()
-    b = clean.flag_iqr_outliers(df, "h_70p", hot_rows=0).groupBy("no_floors", "is_outlier").count()
-    assert sorted(a.collect()) == sorted(b.collect())
+    got = clean.flag_iqr_outliers(df, "h_70p").groupBy("no_floors").agg(F.count_if("is_outlier").alias("n"))
+    q = df.groupBy("no_floors").agg(F.percentile("h_70p", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    low, high = F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0]), F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])
+    want = df.join(q, "no_floors").groupBy("no_floors").agg(F.count_if((F.col("h_70p") < low) | (F.col("h_70p") > high)).alias("n"))
+    assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_moments_do_not_depend_on_row_order(spark):
+    """A missing first block and a far-off centre: the same Pearson, inflation and F-scores in any order."""
+    def table(descending):
+        rows = spark.range(0, 20_000, 1, 4).select(
+            F.when(F.col("id") >= 1000, 1e9 + F.col("id")).alias("a"), (F.col("id") * 3.0 + F.col("id") % 7).alias("b"),
+            F.when(F.col("id") % 2 == 0, F.when(F.col("id") < 500, -1e12).otherwise(F.col("id") % 11)).cast("double").alias("c"),
+            F.lit(0.1).alias("constant"))
+        return rows.orderBy(F.col("b").desc() if descending else "b")
+
+    results = []
+    for descending in (False, True):
+        df = table(descending)
+        corr = {(r.feature_a, r.feature_b): r["corr"] for r in stats.pearson(df, ["a", "b", "c", "constant"]).collect()}
+        assert corr["a", "constant"] is None and corr["constant", "constant"] is None
+        vif = {r["variables"]: r["VIF"] for r in stats.variance_inflation(df, ["a", "c"]).collect()}
+        scores = {r.feature: r.score for r in stats.f_scores(df, ["a", "c"], "b").collect()}
+        assert corr["a", "b"] == pytest.approx(1.0, abs=1e-6)
+        both = df.where("a is not null and c is not null")
+        assert corr["a", "c"] == pytest.approx(both.select(F.corr(F.col("a") - 1e9, "c")).first()[0], abs=1e-9)
+        results.append((corr, vif, scores))
+    for first, second in zip(*results):
+        for k in first:
+            assert (first[k] is None) == (second[k] is None)
+            assert first[k] is None or first[k] == pytest.approx(second[k], rel=1e-9, abs=1e-12)
 
 
 def test_average_ranks_match_pandas(spark):
@@ -43,7 +72,7 @@ def test_average_ranks_match_pandas(spark):
     pdf = pd.DataFrame(rows, columns=["g", "v"])
     pdf["r"] = pdf.groupby("g").v.rank()
     want = {(g, v): r for g, v, r in pdf.itertuples(index=False)}
-    got = {(r.g, r.v): r["rank"] for r in quantiles.average_ranks(df, ["g"], "v", cuts=8).collect()}
+    got = {(r.g, r.v): r["rank"] for r in quantiles.average_ranks(df, ["g"], "v", per_range=8).collect()}
     assert got == want
 
 
