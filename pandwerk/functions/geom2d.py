@@ -60,6 +60,33 @@ def perimeter(geom: Column) -> Column:
         (e["bx"] - e["ax"]) * (e["bx"] - e["ax"]) + (e["by"] - e["ay"]) * (e["by"] - e["ay"]))))
 
 
+def is_multi_part(df: DataFrame, geom: str) -> bool:
+    """Whether a column holds arrays of polygons rather than one polygon (an array of rings)."""
+    return df.schema[geom].dataType.simpleString().startswith("array<array<array<")
+
+
+def part_areas(parts: Column) -> Column:
+    """Area of a multi-part geometry: the sum over its polygons, each less its holes."""
+    return F.when(parts.isNotNull(), _sum(F.transform(parts, area), lambda v: v))
+
+
+def part_perimeters(parts: Column) -> Column:
+    return F.when(parts.isNotNull(), _sum(F.transform(parts, perimeter), lambda v: v))
+
+
+def part_centroid(parts: Column) -> Column:
+    """Area-weighted mean of the polygons' centroids."""
+    weighed = F.transform(parts, lambda g: F.struct(area(g).alias("a"), centroid(g).alias("c")))
+    total = _sum(weighed, lambda w: w["a"])
+    mean = lambda k: F.try_divide(_sum(weighed, lambda w: w["a"] * w["c"][k]), total)
+    return F.when(parts.isNotNull(), F.struct(mean("x").alias("x"), mean("y").alias("y")))
+
+
+def part_buffer(parts: Column, distance: float, mitre_limit: float = 5.0) -> Column:
+    """Every polygon grown on its own; grown parts may overlap."""
+    return F.transform(parts, lambda g: mitre_buffer(g, distance, mitre_limit))
+
+
 def n_points(geom: Column) -> Column:
     return F.aggregate(geom, F.lit(0), lambda acc, r: acc + F.size(r))
 
@@ -170,8 +197,9 @@ def intersects(a: Column, b: Column) -> Column:
     """Polygons share at least a boundary point. Call after a bounding-box test."""
     ea, eb = edges(a), edges(b)
     touch = F.exists(ea, lambda s: F.exists(eb, lambda t: _segments_meet(s, t)))
-    return (touch | contains_point(eb, a[0][0]["x"], a[0][0]["y"])
-            | contains_point(ea, b[0][0]["x"], b[0][0]["y"]))
+    # the cheap tests first: most polygons that meet hold a corner of each other
+    return (contains_point(eb, a[0][0]["x"], a[0][0]["y"])
+            | contains_point(ea, b[0][0]["x"], b[0][0]["y"]) | touch)
 
 
 def point_within(geom: Column, x: Column, y: Column) -> Column:

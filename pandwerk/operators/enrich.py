@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pandwerk.functions.joins import lookup
 from pandwerk.operators import predicates
 
 SENTINEL_YEAR = 1005
@@ -118,7 +119,7 @@ def heights_above_ground(base: DataFrame, lod12_2d: DataFrame) -> DataFrame:
     names = {"h_min": "h_dak_min", "h_50p": "h_dak_50p", "h_70p": "h_dak_70p", "h_max": "h_dak_max"}
     source = one_per_key(lod12_2d.withColumnRenamed("fid", "bag3d_id"), "bag3d_id",
                          list(names.values()), ["h_dak_70p"])
-    joined = base.join(source, "bag3d_id", "left")
+    joined = lookup(base, source, ["bag3d_id"])
     return joined.withColumns({
         new: F.col(old) - F.col("bag3d_h_ground") for new, old in names.items()}).drop(*names.values())
 

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pandwerk.functions import geom2d
+from pandwerk.functions.joins import lookup
 from pandwerk.functions.lineage import checkpointed
 
-# Distinct locations a grid cell may hold before it is resolved by sub-cells.
-DENSE_CELL = 2_000
-# Sub-cells per side at each refinement of a dense cell.
+# Sub-cells per side at each refinement of a cell.
 REFINE = 16
-SALTS = 32
+# Parts into which the seekers of a cell are dealt; a cell's sub-cells are repeated for each.
+SALTS = 8
 
 
 def cell_of(v: Column, size: float) -> Column:
@@ -29,13 +29,20 @@ def with_cells(df: DataFrame, box: str, size: float) -> DataFrame:
     return df.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys))
 
 
-def box_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, size: float) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, size: float,
+             deal: Column | None = None) -> DataFrame:
     """Inner join of rows whose bounding boxes overlap.
 
     A pair that meets in several cells is kept only in the cell holding the lower-left corner
     of the overlap, so no shuffle is needed to drop repeats. Column names must be disjoint.
+    With ``deal``, a hash of the left rows, the left rows of a cell go to several tasks.
     """
-    pairs = with_cells(left, left_box, size).join(with_cells(right, right_box, size), ["cx", "cy"])
+    l, r, on = with_cells(left, left_box, size), with_cells(right, right_box, size), ["cx", "cy"]
+    if deal is not None:
+        l = l.withColumn("_part", F.pmod(deal, F.lit(SALTS)).cast("int"))
+        r = r.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        on = [*on, "_part"]
+    pairs = l.join(r, on).drop("_part")
     a, b = F.col(left_box), F.col(right_box)
     owner = ((F.col("cx") == cell_of(F.greatest(a["xmin"], b["xmin"]), size))
              & (F.col("cy") == cell_of(F.greatest(a["ymin"], b["ymin"]), size)))
@@ -44,10 +51,18 @@ def box_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, s
     return pairs.where(F.coalesce(geom2d.bbox_overlaps(a, b) & owner, F.lit(False))).drop("cx", "cy")
 
 
+def single_parts(df: DataFrame, geom: str) -> DataFrame:
+    """One row per polygon of a multi-part geometry (array of polygons); other rows as they are."""
+    return df.withColumn(geom, F.explode(geom)) if geom2d.is_multi_part(df, geom) else df
+
+
 def polygon_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, size: float) -> DataFrame:
-    """Inner join of rows whose polygons share at least a boundary point."""
-    l = left.withColumn("_lbox", geom2d.bbox(F.col(left_geom)))
-    r = right.withColumn("_rbox", geom2d.bbox(F.col(right_geom)))
+    """Inner join of rows whose polygons share at least a boundary point.
+
+    A multi-part geometry meets part by part, so a pair comes once for each pair of parts that meets.
+    """
+    l = single_parts(left, left_geom).withColumn("_lbox", geom2d.bbox(F.col(left_geom)))
+    r = single_parts(right, right_geom).withColumn("_rbox", geom2d.bbox(F.col(right_geom)))
     return (box_join(l, r, "_lbox", "_rbox", size)
             .where(geom2d.intersects(F.col(left_geom), F.col(right_geom))).drop("_lbox", "_rbox"))
 
@@ -74,34 +89,36 @@ def adjacent_counts(buildings: DataFrame, distance: float, target: Column, candi
     ``buildings`` holds targets and candidates in one frame. A target outside the candidate
     classes counts zero, one without a footprint stays NULL. Identical footprints are joined
     once and weighted, so a group of copies does not pair with itself; a building always meets
-    its own buffer and is taken off.
+    its own buffer and is taken off. Footprints are known by a digest, so that only the cell join
+    carries geometry; the targets of a crowded cell are dealt to several tasks.
     """
     rows = buildings.select(
         key, F.col(geom).alias("_g"), F.coalesce(target, F.lit(False)).alias("_target"),
         F.coalesce(candidate, F.lit(False)).alias("_candidate")).where("_target OR _candidate")
-    shapes = rows.where(F.col("_g").isNotNull()).groupBy("_g").agg(
-        F.max(F.col("_target") & F.col("_candidate")).alias("_wanted"), F.count_if("_candidate").alias("_weight"))
-    grown = (shapes.where("_wanted").select(F.col("_g").alias("_lg"))
-             .withColumn("_buffer", geom2d.mitre_buffer(F.col("_lg"), distance))
+    rows = rows.withColumn("_d", F.when(F.col("_g").isNotNull(), F.md5(F.to_json("_g").cast("binary"))))
+    shapes = checkpointed(rows.where(F.col("_d").isNotNull()).groupBy("_d").agg(
+        F.first("_g").alias("_g"), F.max(F.col("_target") & F.col("_candidate")).alias("_wanted"),
+        F.count_if("_candidate").alias("_weight")))
+    grown = (shapes.where("_wanted").select(F.col("_d").alias("_ld"), geom2d.mitre_buffer(F.col("_g"), distance).alias("_buffer"))
              .withColumn("_lbox", geom2d.bbox(F.col("_buffer"))))
     others = (shapes.where("_weight > 0").select(F.col("_g").alias("_rg"), "_weight")
               .withColumn("_rbox", geom2d.bbox(F.col("_rg"))))
-    met = (box_join(grown, others, "_lbox", "_rbox", size)
+    met = (box_join(grown, others, "_lbox", "_rbox", size, F.xxhash64("_ld"))
            .where(geom2d.intersects(F.col("_buffer"), F.col("_rg")))
-           .groupBy(F.col("_lg").alias("_g")).agg(F.sum("_weight").alias("_met")))
-    count = F.when(F.col("_g").isNotNull(), F.when(F.col("_candidate"), F.col("_met") - 1).otherwise(0))
-    return (rows.where("_target").join(met, "_g", "left")
+           .groupBy(F.col("_ld").alias("_d")).agg(F.sum("_weight").alias("_met")))
+    count = F.when(F.col("_d").isNotNull(), F.when(F.col("_candidate"), F.col("_met") - 1).otherwise(0))
+    return (lookup(rows.where("_target").drop("_g"), met, ["_d"])
             .select(key, count.cast("int").alias("footprint_no_adjacent")))
 
 
 def neighbour_counts(points: DataFrame, radii: tuple, target: Column, candidate: Column, key: str = "bag_id",
-                     x: str = "x", y: str = "y", dense_cell: int = DENSE_CELL) -> DataFrame:
+                     x: str = "x", y: str = "y") -> DataFrame:
     """Per target point, other candidate points within each radius (inclusive), all radii in one join.
 
     A target outside the candidate classes counts zero, one without a location stays NULL.
-    Points are reduced to weighted distinct locations. Cells with few locations are joined with
-    their surroundings directly; cells above ``dense_cell`` locations contribute through
-    sub-cell totals, so that no cell emits all its pairs. Both routes are exact.
+    Points are reduced to weighted distinct locations, and every cell contributes through sub-cell
+    totals, so that no cell emits all its pairs, however many locations it holds. A sub-cell with
+    one location is settled at once, as its extent is a point.
     """
     r_max = float(max(radii))
     rows = points.select(key, F.col(x).alias("_x"), F.col(y).alias("_y"),
@@ -112,9 +129,6 @@ def neighbour_counts(points: DataFrame, radii: tuple, target: Column, candidate:
     locations = checkpointed(
         known.groupBy("_x", "_y").agg(F.count("*").alias("_n"), F.max("_target").alias("_wanted"))
         .withColumn("cx", cell_of(F.col("_x"), r_max)).withColumn("cy", cell_of(F.col("_y"), r_max)))
-    dense = locations.groupBy("cx", "cy").count().where(F.col("count") > dense_cell).select(
-        "cx", "cy", F.lit(True).alias("_dense"))
-
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     reach = F.filter(around, lambda o: _box_distance2(
         F.col("_x"), F.col("_y"), (F.col("cx") + o["i"]) * r_max, (F.col("cy") + o["j"]) * r_max,
@@ -123,25 +137,11 @@ def neighbour_counts(points: DataFrame, radii: tuple, target: Column, candidate:
                .select(F.col("_x").alias("_px"), F.col("_y").alias("_py"),
                        (F.col("cx") + F.col("_o")["i"]).alias("cx"), (F.col("cy") + F.col("_o")["j"]).alias("cy")))
 
-    def per_radius(weight: Column, test) -> list[Column]:
-        return [F.sum(F.when(test(float(r)), weight).otherwise(0)).alias(f"_r{r}") for r in radii]
-
-    dx, dy = F.col("_x") - F.col("_px"), F.col("_y") - F.col("_py")
-    def direct(near: DataFrame) -> DataFrame:
-        return (seekers.join(near.select("cx", "cy", "_x", "_y", "_n"), ["cx", "cy"])
-                .withColumn("_d2", dx * dx + dy * dy)
-                .groupBy("_px", "_py").agg(*per_radius(F.col("_n"), lambda r: F.col("_d2") <= r * r)))
-
-    if dense.isEmpty():
-        totals = direct(locations)
-    else:
-        tagged = locations.join(dense, ["cx", "cy"], "left")
-        refined = _dense_counts(seekers.join(dense.select("cx", "cy"), ["cx", "cy"]), tagged.where("_dense"), radii, r_max)
-        totals = (direct(tagged.where("_dense IS NULL")).unionByName(refined).groupBy("_px", "_py")
-                  .agg(*[F.sum(f"_r{r}").alias(f"_r{r}") for r in radii]))
+    totals = (_counts_by_sub_cells(seekers, locations, radii, r_max).groupBy("_px", "_py")
+              .agg(*[F.sum(f"_r{r}").alias(f"_r{r}") for r in radii]))
     totals = totals.withColumnsRenamed({"_px": "_x", "_py": "_y"})
     placed = F.col("_x").isNotNull() & F.col("_y").isNotNull()
-    return (rows.where("_target").join(totals, ["_x", "_y"], "left")
+    return (lookup(rows.where("_target"), totals, ["_x", "_y"])
             .select(key, *[F.when(placed, F.when(F.col("_candidate"), F.col(f"_r{r}") - 1).otherwise(0)).cast("int")
                            .alias(f"footprint_no_neighbours_{r}m") for r in radii]))
 
@@ -157,12 +157,12 @@ def _far_distance2(px, py, xmin, ymin, xmax, ymax) -> Column:
     return gx * gx + gy * gy
 
 
-def _dense_counts(seekers: DataFrame, locations: DataFrame, radii: tuple, r_max: float) -> DataFrame:
-    """Counts of locations in dense cells, from totals of ever smaller sub-cells.
+def _counts_by_sub_cells(seekers: DataFrame, locations: DataFrame, radii: tuple, r_max: float) -> DataFrame:
+    """Counts of locations within each radius, from totals of ever smaller sub-cells.
 
     A sub-cell wholly within or beyond every radius is settled by its total and the extent of
     its contents; only sub-cells cut by a circle are opened further. Seekers are salted, and the
-    few sub-cells of a parent are repeated per salt, so one hot cell spreads over many tasks.
+    few sub-cells of a parent are repeated per salt, so a hot cell spreads over several tasks, which adaptive execution splits further.
     """
     sizes = [r_max / REFINE, r_max / REFINE**2]
     parent_cols = ["cx", "cy"]

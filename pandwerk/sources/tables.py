@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pandwerk.functions import geom2d
 from pandwerk.operators.predicates import region_clip
 
 MANUAL_LABELS = "bag_id string, td_floors int, is_clean string, actual_floors int"
@@ -33,9 +34,13 @@ def read_register(spark: SparkSession, url: str, table: str, key: str, lower: in
 
 
 def clip(df: DataFrame, region: list, geom: str = "geom", srid: int = 28992, where: str | Column | None = None) -> DataFrame:
-    """Rows whose geometry meets a polygon, stamped with the reference-system code."""
+    """Rows whose geometry, or any part of it, meets a polygon, stamped with the reference-system code."""
     kept = df if where is None else df.where(where)
-    return kept.where(region_clip(F.col(geom), region)).withColumn("srid", F.lit(srid))
+    if geom2d.is_multi_part(df, geom):
+        meets = F.exists(geom, lambda g: region_clip(g, region))
+    else:
+        meets = region_clip(F.col(geom), region)
+    return kept.where(meets).withColumn("srid", F.lit(srid))
 
 
 def collect_sources(tables: dict[str, DataFrame], columns: list[str], where: str = "is_clean IS NOT NULL") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pandwerk.functions import geom2d
 from pandwerk.operators import footprints, spatial
+from pandwerk.sources import tables
 
 RADII = (25, 50, 75, 100)
 
@@ -27,17 +28,15 @@ def _brute(rows):
     return out
 
 
-def _counts(spark, rows, dense):
+def _counts(spark, rows):
     df = spark.createDataFrame(rows, "bag_id string, x double, y double, t boolean, c boolean")
-    out = spatial.neighbour_counts(df, RADII, F.col("t"), F.col("c"), dense_cell=dense)
+    out = spatial.neighbour_counts(df, RADII, F.col("t"), F.col("c"))
     return {r.bag_id: tuple(r[f"footprint_no_neighbours_{d}m"] for d in RADII) for r in out.collect()}
 
 
-def test_neighbour_counts_match_brute_force_on_both_routes(spark):
+def test_neighbour_counts_match_brute_force(spark):
     rows = _points(160)
-    expect = _brute(rows)
-    assert _counts(spark, rows, 100_000) == expect
-    assert _counts(spark, rows, 5) == expect
+    assert _counts(spark, rows) == _brute(rows)
 
 
 def _square(x, y, s):
@@ -96,3 +95,41 @@ def test_area_statistics_take_the_lowest_key(spark):
         [("B2", 7, _square(10, 0, 10)), ("B1", 5, _square(0, 0, 10))],
         "code string, v int, geom array<array<struct<x double, y double>>>")
     assert spatial.attach_area_statistics(buildings, areas, {"v": "out"}, "code").first().out == 5
+
+
+def _polygon(points, *holes):
+    return [[(float(x), float(y)) for x, y in [*ring, ring[0]]] for ring in (points, *holes)]
+
+
+PARTS = "array<array<array<struct<x:double,y:double>>>>"
+
+
+def test_multi_part_areas_meet_by_any_part(spark):
+    """A concave part and a far part with a hole: the house in the hole and the one in the notch meet nothing."""
+    notch = _polygon([(0, 0), (100, 0), (100, 100), (60, 100), (60, 20), (40, 20), (40, 100), (0, 100)])
+    holed = _polygon([(500, 500), (600, 500), (600, 600), (500, 600)], [(520, 520), (520, 580), (580, 580), (580, 520)])
+    areas = spark.createDataFrame([("A", 7, [notch, holed]), ("B", 9, [_polygon([(5, 5), (8, 5), (8, 8), (5, 8)])])],
+                                  f"code string, people int, geom {PARTS}")
+    houses = spark.createDataFrame([("in_first", _square(10, 50, 5)), ("notch", _square(47, 60, 5)), ("in_second", _square(505, 505, 5)),
+                                    ("hole", _square(548, 548, 5)), ("both", _square(4, 4, 2)), ("none", None)],
+                                   "bag_id string, footprint_geom array<array<struct<x:double,y:double>>>")
+    got = {r.bag_id: r.people for r in spatial.attach_area_statistics(houses, areas, {"people": "people"}, "code").collect()}
+    assert got == {"in_first": 7, "notch": None, "in_second": 7, "hole": None, "both": 7, "none": None}
+    near = footprints.within_municipality(houses.where("footprint_geom is not null"),
+                                          areas.withColumnRenamed("code", "gemeentecode"), 2.0)
+    assert {r.bag_id: r.near_gemeente for r in near.collect()} == {"in_first": "A", "in_second": "A", "both": "A"}
+    kept = tables.clip(areas, _polygon([(515, 490), (517, 490), (517, 700), (515, 700)]))
+    assert [r.code for r in kept.collect()] == ["A"]
+    measured = areas.where("code = 'A'").select(geom2d.part_areas(F.col("geom")).alias("a"), geom2d.part_perimeters(F.col("geom")).alias("p"),
+                                                geom2d.part_centroid(F.col("geom")).alias("c")).first()
+    assert abs(measured.a - (10_000 - 1_600 + 10_000 - 3_600)) < 1e-9 and abs(measured.p - (400 + 160 + 400 + 240)) < 1e-9
+    first = (10_000 * 50 - 1_600 * 50) / 8_400
+    assert abs(measured.c.x - (8_400 * first + 6_400 * 550) / 14_800) < 1e-6
+
+
+def test_crowded_cell_of_different_footprints(spark):
+    rng = random.Random(9)
+    rows = [(f"b{i}", _square(rng.uniform(0, 6), rng.uniform(0, 6), 10), "Residential") for i in range(400)]
+    df = spark.createDataFrame(rows, GEOM)
+    got = spatial.adjacent_counts(df, 0.1, F.lit(True), F.lit(True)).collect()
+    assert len(got) == 400 and all(r.footprint_no_adjacent == 399 for r in got)
