@@ -380,6 +380,16 @@ check("m04_distinct_vertices", """SELECT bag_id, cast(CASE WHEN h = 0 THEN CASE
     WHEN is_gable THEN 10 ELSE 8 END AS int) AS n_vertices FROM {gable}""")
 check("m05_closed_volume", """SELECT bag_id, round(CASE WHEN is_gable THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END * w * d * h, 6) AS volume
     FROM {gable} WHERE NOT is_open AND h > 0""")
+check("m05_m08_exact_volumes", f"""SELECT bag_id, is_positive, CASE WHEN NOT is_open AND h > 0 THEN
+    floor({R3.format('w * d * h')} * 10 + 0.0004::DOUBLE)::BIGINT END AS decimetres FROM (
+    SELECT *, h > 0 AS is_positive FROM {{gable}}) x""")
+CODES = "CASE WHEN h = 0 THEN ['non_manifold', 'degenerate_face'] WHEN is_open THEN ['open_edge'] ELSE ['valid'] END"
+check("m06_quality_report", f"""SELECT code, count(*) AS meshes, any_value(total) AS total, any_value(invalid) AS invalid,
+    any_value(round_even(invalid / total * 1000, 0) / 10) AS percent_invalid FROM (
+    SELECT unnest({CODES}) AS code, count(*) OVER () AS total, count(*) FILTER (h = 0 OR is_open) OVER () AS invalid
+    FROM {{gable}}) x GROUP BY code""")
+check("m06_mesh_quality", """SELECT bag_id, NOT is_open AND h > 0 AS is_valid, CASE WHEN h > 0 AND is_open THEN 3 ELSE 0 END AS open_edges,
+    CASE WHEN h = 0 THEN 'non_manifold,degenerate_face' WHEN is_open THEN 'open_edge' ELSE '' END AS codes FROM {gable}""")
 check("m08_held_at_bound", """SELECT bag_id, round(CASE WHEN v > 1.1::DOUBLE * b THEN b ELSE v END, 6) AS volume FROM (
     SELECT bag_id, w * d * h AS b, 2 * CASE WHEN NOT is_open THEN CASE WHEN is_gable THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END * w * d * h
       END AS v FROM {gable} WHERE NOT is_open AND h > 0) x""")

@@ -6,18 +6,19 @@ import time
 from functools import reduce
 
 from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pandwerk.functions.lineage import checkpointed
+from pandwerk.functions.ranks import global_rank
 from pandwerk.learning import prep
 from pandwerk.learning.linear_svr import LinearSVR
 from pandwerk.operators import evaluate
 
 LABEL = "clean_floors"
 KEYS = ["bag_id", LABEL]
-# Rows shuffled among themselves when a column is permuted.
-ROWS_PER_BUCKET = 100_000
 
 
 def estimator(algorithm: str, label: str = LABEL) -> Estimator:
@@ -103,36 +104,36 @@ def permutation_importance(model: PipelineModel, df: DataFrame, repeats: int = 1
                            columns: list[str] | None = None) -> DataFrame:
     """Mean drop in rounded accuracy when one prepared column is shuffled.
 
-    Rows and values are paired through two seeded hashes of the id: both orders are ranked
-    within hash buckets, and equal ranks meet. The number of buckets follows the number of rows,
-    so no one sort grows with the table.
+    Every repeat puts the rows in a seeded hash order of their ids and lends each row the values of
+    the next one, the last row those of the first. One order serves all columns: a row is laid out
+    once per column with that column's value replaced, and all are scored in one pass.
     """
     stages, regressor = parts(model)
     names = prep.input_names(stages)
-    ready = stages.transform(df).select("bag_id", LABEL, *names).persist()
-    vectors = stages.stages[-1]
-    buckets = 1 + ready.count() // ROWS_PER_BUCKET
-
-    def accuracy(frame: DataFrame) -> DataFrame:
-        scored = regressor.transform(vectors.transform(frame))
-        return scored.agg(evaluate.metrics(F.col(LABEL), F.col("prediction"))["accuracy"].alias("accuracy"))
-
-    def ranked(frame: DataFrame, salt: str) -> DataFrame:
-        h = F.xxhash64("bag_id", F.lit(salt))
-        order = Window.partitionBy("_b").orderBy("_h", "bag_id")
-        return (frame.withColumns({"_b": F.pmod(F.xxhash64("bag_id", F.lit(seed)), F.lit(buckets)), "_h": h})
-                .withColumn("_r", F.row_number().over(order)).drop("_h"))
-
-    base = accuracy(ready)
-    frames = []
-    for name in columns or names:
-        for repeat in range(repeats):
-            rows = ranked(ready, f"rows-{seed}-{repeat}-{name}")
-            moved = ranked(ready.select("bag_id", F.col(name).alias("_v")), f"values-{seed}-{repeat}-{name}").drop("bag_id")
-            shuffled = rows.drop(name).join(moved, ["_b", "_r"]).withColumnRenamed("_v", name)
-            frames.append(accuracy(shuffled).withColumn("feature", F.lit(name)))
-    drops = reduce(DataFrame.unionByName, frames)
+    chosen = list(columns or names)
+    ready = checkpointed(stages.transform(df).select(
+        "bag_id", LABEL, F.array(*[F.col(f"`{n}`").cast("double") for n in names]).alias("_x")))
+    n = ready.count()
+    empty = df.sparkSession.createDataFrame([], "feature string, permutation_importance double")
+    if n == 0:
+        return empty
+
+    def accuracy(frame: DataFrame, *by: str) -> DataFrame:
+        scored = regressor.transform(frame.withColumn(prep.FEATURES, array_to_vector("_x")))
+        return scored.groupBy(*by).agg(evaluate.metrics(F.col(LABEL), F.col("prediction"))["accuracy"].alias("accuracy"))
+
+    results = []
+    for repeat in range(repeats):
+        placed = global_rank(ready.withColumn("_h", F.xxhash64("bag_id", F.lit(f"{seed}-{repeat}"))), "_h", "bag_id")
+        lent = placed.select(F.pmod(F.col("_rank") - 1, F.lit(n)).alias("_rank"), F.col("_x").alias("_other"))
+        pairs = placed.select("_rank", LABEL, "_x").join(lent, "_rank")
+        laid = pairs.select(LABEL, F.explode(F.array(*[F.struct(
+            F.lit(c).alias("feature"), F.concat(F.slice("_x", 1, i), F.array(F.col("_other")[i]),
+                                                F.slice("_x", i + 2, len(names) - i - 1)).alias("_x"))
+            for c, i in ((c, names.index(c)) for c in chosen)])).alias("_m")).select(LABEL, "_m.*")
+        results.append(checkpointed(accuracy(laid, "feature")))
     # the base accuracy is one row
-    return (drops.crossJoin(F.broadcast(base.withColumnRenamed("accuracy", "_base")))
+    return (reduce(DataFrame.unionByName, results)
+            .crossJoin(F.broadcast(accuracy(ready).withColumnRenamed("accuracy", "_base")))
             .groupBy("feature").agg(F.avg(F.col("_base") - F.col("accuracy")).alias("permutation_importance"))
             .orderBy(F.desc("permutation_importance"), F.desc("feature")))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pandwerk.functions import mesh3d
+from pandwerk.functions.lineage import checkpointed
 from pandwerk.functions.scalar import nan_to_null, round_half_even
 
 # Fallback volumes above this multiple of the bounding prism are held at the prism.
@@ -153,19 +154,21 @@ def volumes(meshes: DataFrame, prefix: str, scale: int, keep: dict[str, Column]
     """Exact volume of valid meshes, sampled volume of the others, NaN where neither exists.
 
     A missing volume is NaN rather than NULL: later rules tell "no usable mesh" from "no mesh".
-    One narrow pass: a mesh is checked once and only broken ones hand coordinates to Python.
-    ``keep`` adds further columns computed from the same mesh.
+    A mesh is checked once, without Python; only the broken ones then hand their triangles to it.
+    Both parts come from one written table and nothing is shuffled. ``keep`` adds further columns
+    computed from the same mesh.
     """
     faces = F.col("faces")
     keep = keep or {}
     solid = (F.size("_q.codes") == 0) & (F.col("_q.n_vertices") > 3)
     broken = (F.size("_q.codes") > 0) & (F.col("_q.n_vertices") > 3)
-    checked = meshes.withColumn("_q", mesh3d.quality(faces)).select(
+    checked = checkpointed(meshes.withColumn("_q", mesh3d.quality(faces)).select(
         "bag_id", *[c.alias(n) for n, c in keep.items()],
         F.when(solid, mesh3d.closed_volume(faces)).alias("_exact"),
         F.when(broken, prism_bound(faces)).alias("_bound"),
-        F.when(broken, _flat_triangles(faces)).alias("_t"), F.lit(float(scale)).alias("_scale"))
-    sampled = _with_sampled(checked)
+        F.when(broken, _flat_triangles(faces)).alias("_t"), F.lit(float(scale)).alias("_scale")))
+    sampled = _with_sampled(checked.where(F.col("_t").isNotNull())).unionByName(
+        checked.where(F.col("_t").isNull()).drop("_t", "_scale").withColumn("sampled_volume", F.lit(None).cast("double")))
     fallback = held_at_bound(nan_to_null(F.col("sampled_volume")), F.col("_bound"))
     volume = round_half_even(F.coalesce(F.col("_exact"), fallback), 3)
     return sampled.select("bag_id", *keep, F.coalesce(volume, F.lit(float("nan"))).alias(f"{prefix}_volume"))

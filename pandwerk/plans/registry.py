@@ -717,6 +717,16 @@ def _(spark, sf):
     return out.select("bag_id", nan_to_null(F.col("lod12_volume")).alias("lod12_volume"))
 
 
+@query("m05_m08_exact_volumes")
+def _(spark, sf):
+    """The job's volumes of closed meshes; open ones, whose volume is sampled, only say that they have one."""
+    volume = nan_to_null(F.col("lod12_volume"))
+    out = meshes.volumes(lod12(spark, sf), "lod12", 75).join(
+        meshes.quality(lod12(spark, sf)).select("bag_id", "is_valid"), "bag_id")
+    return out.select("bag_id", F.when(F.col("is_valid"), F.floor(volume * 10 + 0.0004)).alias("decimetres"),
+                      (volume > 0).alias("is_positive"))
+
+
 # --- statistics ------------------------------------------------------------------------------
 
 @query("f01_pearson")
@@ -798,7 +808,7 @@ def _(spark, sf):
 
 @query("m09_a21_scale_medians")
 def _(spark, sf):
-    study = checkpointed(meshes.scale_study(lod22(spark, sf), (50, 75)))
+    study = checkpointed(meshes.scale_study(lod22(spark, sf)))
     return rounded(evaluate.scale_medians(study), "median_diff")
 
 
@@ -938,8 +948,7 @@ def _(spark, sf):
 @query("l15_permutation_importance")
 def _(spark, sf):
     frame, model = _trained(spark, sf, "svr")
-    return training.permutation_importance(model, frame.where("split = 'train'"), repeats=2,
-                                           columns=["h_70p", "bag_net_internal_area", "cbs_pop_per_km2"])
+    return training.permutation_importance(model, frame.where("split = 'train'"))
 
 
 @query("l18_case_study")
