@@ -44,16 +44,15 @@ view("around", """SELECT c.bag_id, c.bag_function, p.x0, p.y0, p.x0 + p.w AS x1,
 view("around_targets", """SELECT *, coalesce(bag_function <> 'Others' AND bag_function <> 'Unknown', false) AS counts
     FROM {around} WHERE NOT coalesce(bag_function <> 'Residential' AND bag_function <> 'Mixed-residential', false)""")
 view("around_counted", "SELECT * FROM {around} WHERE bag_function <> 'Others' AND bag_function <> 'Unknown'")
+# The storeys below ground are those down to the lowest end recorded; a range of two ends must hold as many
+# storeys above ground as the highest end says, and its ends must differ.
+view("storey_ends", """SELECT *, aantalbouwlagen - abs(CASE WHEN hoogstebouwlaag IS NULL THEN least(coalesce(laagstebouwlaag, 0), 0)
+      ELSE least(hoogstebouwlaag, laagstebouwlaag) END) AS above_ground,
+    hoogstebouwlaag <> laagstebouwlaag AND aantalbouwlagen - abs(laagstebouwlaag) - hoogstebouwlaag = 1 AS ends_agree
+    FROM {label_c1}""")
 view("c1", """SELECT lpad(cast(identificatie AS varchar), 16, '0') AS bag_id, cast(CASE
-      WHEN aantalbouwlagen - abs(laagstebouwlaag) = hoogstebouwlaag + 1 AND hoogstebouwlaag > laagstebouwlaag
-        THEN aantalbouwlagen - abs(laagstebouwlaag)
-      WHEN aantalbouwlagen - abs(laagstebouwlaag) = hoogstebouwlaag + 1 AND hoogstebouwlaag < laagstebouwlaag
-        THEN aantalbouwlagen - abs(hoogstebouwlaag)
-      WHEN hoogstebouwlaag IS NULL AND laagstebouwlaag IS NULL THEN aantalbouwlagen
-      WHEN hoogstebouwlaag IS NULL AND laagstebouwlaag >= 0 THEN aantalbouwlagen
-      WHEN hoogstebouwlaag IS NULL AND laagstebouwlaag < 0 AND aantalbouwlagen >= abs(laagstebouwlaag)
-        THEN aantalbouwlagen - abs(laagstebouwlaag) END AS int) AS no_floors,
-    concat(ligging, '; ', typewoonobject) AS notes FROM {label_c1}""")
+      WHEN ends_agree OR (hoogstebouwlaag IS NULL AND above_ground >= 0) THEN above_ground END AS int) AS no_floors,
+    concat(ligging, '; ', typewoonobject) AS notes FROM {storey_ends}""")
 view("c2", """SELECT lpad(cast(pand_id AS varchar), 16, '0') AS bag_id, floors AS no_floors,
     cast(NULL AS varchar) AS notes FROM {label_c2}""")
 view("c3", """SELECT lpad(cast(pand_id AS varchar), 16, '0') AS bag_id, hoogste_bouwlaag AS no_floors,
@@ -159,10 +158,10 @@ check("p10_census_of_region", "SELECT gemeentecode, buurtcode FROM {buurten} WHE
 check("p11_residential_filter", "SELECT bag_id, bag_function FROM {residential}")
 check("p12_construction_year", "SELECT identificatie, nullif(bouwjaar, 1005) AS year FROM {pand}")
 check("p13_use_class", "SELECT bag_id, bag_function FROM {classes}")
-TYPE_CASE = """CASE WHEN woningtypering = 'vrijstaande woning' THEN 'detached'
-    WHEN woningtypering = 'twee-onder-een-kap' THEN 'semi-detached'
-    WHEN woningtypering IN ('hoekwoning', 'tussenwoning/geschakeld') THEN 'terraced'
-    WHEN woningtypering = 'appartement' THEN 'apartment' END"""
+# Dwelling types and their classes.
+DWELLING_CLASSES = {"vrijstaande woning": "detached", "twee-onder-een-kap": "semi-detached", "hoekwoning": "terraced",
+                    "tussenwoning/geschakeld": "terraced", "appartement": "apartment"}
+TYPE_CASE = f"map({list(DWELLING_CLASSES)}, {list(DWELLING_CLASSES.values())})[woningtypering]"
 check("p14_building_type", f"SELECT identificatie AS bag_id, {TYPE_CASE} AS esri_building_type FROM {{esri}}")
 check("p15_p16_storey_height", """SELECT bag_id, CASE WHEN bag3d_roof_type = 'slanted' THEN 'slanted' ELSE 'horizontal' END
     AS bag3d_roof_type, round(avg_h_storey, 6) AS avg_h_storey FROM {storeys}""")
