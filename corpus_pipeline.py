@@ -7,25 +7,40 @@ ORACLE_SQL is None and the stages are tested against brute force.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pandwerk.llm import bpe, mixing, ngram_join, quality, secrets
-from pandwerk.llm.common import checkpointed, read_table
+from pandwerk.llm.common import checkpointed, read_table, recording, release
 
 ORACLE_SQL = None
 
 
+def stage(work):
+    """A stage first deletes what earlier stages wrote for themselves, unless its input still reads it."""
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, docs)
+        with recording():
+            return work(spark, docs, sf_dir)
+    return run_stage
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rule or lie outside the fences of their language and source go."""
     return quality.judged(docs).where("kept").select(*docs.columns)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id."""
     return ngram_join.deduplicated(docs, "doc_id")
 
 
+@stage
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Live credentials are replaced by a mark; widely copied examples stay. Every document stays."""
     found = secrets.secret_spans(docs, owner=[F.col("source")], repo=[F.col("source"), F.col("lang")],
@@ -38,11 +53,13 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+@stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: none to three times."""
     return mixing.mixed(docs)
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, with digests of the ids and of the text they decode to."""
     import public_tokenizers
@@ -58,8 +75,8 @@ STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates)
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, work) in enumerate(STAGES):
+        docs = work(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = checkpointed(docs)
     return docs

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pandwerk.functions.lineage import checkpointed, scratch_path
+from pandwerk.functions.lineage import scratch_path
 
 #: Words everywhere: runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,7 +19,41 @@ BROADCAST_ROWS = 20_000
 BROADCAST_IDS = 400_000
 
 __all__ = ["BROADCAST_IDS", "BROADCAST_ROWS", "GAP", "WORD", "checkpointed", "components", "global_rank", "let", "lower_ascii",
-           "read_table", "scratch_path", "small_side", "words"]
+           "read_table", "recording", "release", "scratch_path", "small_side", "words"]
+
+
+#: Tables written while `recording`, until `release` finds them unused.
+_RECORDED: list[str] = []
+_ACTIVE: list[bool] = []
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Compute once into a table beside the checkpoints and read it back."""
+    path = scratch_path(df.sparkSession, "stage")
+    if _ACTIVE:
+        _RECORDED.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def recording():
+    """Remember the tables written inside, for a later `release`."""
+    _ACTIVE.append(True)
+    try:
+        yield
+    finally:
+        _ACTIVE.pop()
+
+
+def release(spark: SparkSession, docs: DataFrame) -> None:
+    """Delete the recorded tables that `docs` does not read."""
+    files = docs.inputFiles() if _RECORDED else []
+    for path in list(_RECORDED):
+        if not any(path.rsplit("/", 1)[-1] in f for f in files):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _RECORDED.remove(path)
 
 
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:

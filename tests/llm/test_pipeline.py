@@ -74,3 +74,15 @@ def test_empty_table(spark, documents):
     for _, stage in corpus_pipeline.STAGES:
         docs = checkpointed(stage(spark, docs, ""))
     assert docs.count() == 0
+
+
+def test_stages_delete_earlier_scratch_but_nothing_they_read(spark, documents):
+    from pandwerk.llm import common
+
+    docs = documents(corpus())
+    chained = corpus_pipeline.quality_rules(spark, docs, "")
+    first = list(common._RECORDED)
+    assert corpus_pipeline.source_mix(spark, chained, "").count() > 0  # its input still reads the first stage's table
+    assert any(p in common._RECORDED for p in first)
+    corpus_pipeline.source_mix(spark, docs, "").count()
+    assert not any(p in common._RECORDED for p in first)
