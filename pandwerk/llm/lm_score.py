@@ -21,6 +21,8 @@ from pandwerk.llm.common import checkpointed
 FOLDS, HELD_OUT = 7, 2
 #: A chunk ends with this many tokens or documents.
 CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 1 << 14
+#: Keys set aside for a chunk: its number times this, plus a document's place.
+CHUNK_ROOM = 1 << 14
 #: Added to every piece's count.
 SMOOTHING = 0.1
 #: Pairs of document and word summed in a task before they are handed over.
@@ -193,7 +195,7 @@ def _chunks(docs: DataFrame, text: str, key: str) -> DataFrame:
                     size += len(found)
                     if size >= CHUNK_TOKENS or len(tokens) >= CHUNK_DOCS:
                         yield from rows_of()
-                        chunk += CHUNK_DOCS
+                        chunk += CHUNK_ROOM
                         known, tokens, ids, flags, size = {}, [], [], [], 0
         if tokens:
             yield from rows_of()
@@ -255,7 +257,11 @@ def _with_totals(lexicon: DataFrame, model) -> DataFrame:
 
 
 def _summed(joined: DataFrame, denominator: int) -> DataFrame:
-    """(chunk, place, known, base, score) summed over the words of each document: in tasks first, then by key."""
+    """(key, known, base, score) summed over the words of each document.
+
+    A task sums what it holds and hands over one packed row per chunk; the rows of a chunk, no more than its
+    documents' distinct words, are then added up in one place.
+    """
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -266,9 +272,14 @@ def _summed(joined: DataFrame, denominator: int) -> DataFrame:
         def flush():
             key, known, base, score = (np.concatenate(x) for x in zip(*held))
             keys, at = np.unique(key, return_inverse=True)
-            sums = [np.bincount(at, weights=v, minlength=len(keys)) for v in (known, base, score)]
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]),
-                                               pa.array(sums[2])], names=["key", "known", "base", "score"])
+            known, base, score = (np.bincount(at, weights=v, minlength=len(keys)) for v in (known, base, score))
+            chunk = keys // CHUNK_ROOM
+            borders = np.append(np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]])), len(keys))
+            kinds = (((keys % CHUNK_ROOM).astype(np.uint16)), known.astype(np.int64), base, score)
+            packed = [[v[lo:hi].tobytes() for lo, hi in zip(borders[:-1], borders[1:])] for v in kinds]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(chunk[borders[:-1]] * CHUNK_ROOM), *[pa.array(v, pa.binary()) for v in packed]],
+                names=["chunk", "place", "known", "base", "score"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -288,9 +299,20 @@ def _summed(joined: DataFrame, denominator: int) -> DataFrame:
         if held:
             yield flush()
 
+    def add(table):
+        import numpy as np
+        import pyarrow as pa
+
+        place, known, base, score = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (
+            ("place", np.uint16), ("known", np.int64), ("base", np.float64), ("score", np.float64)))
+        places, at = np.unique(place, return_inverse=True)
+        sums = [np.bincount(at, weights=v, minlength=len(places)) for v in (known, base, score)]
+        return pa.table({"key": pa.array(table.column("chunk")[0].as_py() + places.astype(np.int64)),
+                         "known": pa.array(sums[0].astype(np.int64)), "base": pa.array(sums[1]), "score": pa.array(sums[2])})
+
     rows = joined.select("chunk", "train", "total", "docs", "counts").mapInArrow(
-        run, "key long, known long, base double, score double")
-    return rows.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("known", "base", "score")])
+        run, "chunk long, place binary, known binary, base binary, score binary")
+    return rows.groupBy("chunk").applyInArrow(add, "key long, known long, base double, score double")
 
 
 def scored(docs: DataFrame, key: str, text: str = "text", *, path: str) -> DataFrame:
