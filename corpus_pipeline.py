@@ -17,6 +17,9 @@ from pandwerk.llm.common import checkpointed, read_table, recording, release
 
 ORACLE_SQL = None
 
+#: Near copies of the corpus share this share of their five-word shingles; op8_ngram_jaccard has its own rule.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 
 def stage(work):
     """A stage first deletes what earlier stages wrote for themselves, unless its input still reads it."""
@@ -37,7 +40,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id."""
-    return ngram_join.deduplicated(docs, "doc_id")
+    return ngram_join.deduplicated(docs, "doc_id", n=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 @stage

@@ -86,3 +86,15 @@ def test_stages_delete_earlier_scratch_but_nothing_they_read(spark, documents):
     assert any(p in common._RECORDED for p in first)
     corpus_pipeline.source_mix(spark, docs, "").count()
     assert not any(p in common._RECORDED for p in first)
+
+
+def test_near_duplicates_take_five_words_and_eighty_percent(spark, documents):
+    """A passage appended to a copy: 5-word Jaccard 0.8 or more, 4-word Jaccard under 0.85."""
+    from tests.llm.test_ngram_join import shingles
+
+    w = [f"w{i}" for i in range(260)]
+    long, copy, far = " ".join(w[:200]), " ".join(w[:240]), " ".join(f"v{i}" for i in range(200))
+    jaccard = lambda n: len(shingles(long, n) & shingles(copy, n)) / len(shingles(long, n) | shingles(copy, n))
+    assert jaccard(5) >= 0.8 and jaccard(4) < 0.85
+    docs = documents([(1, long, "en", "a"), (2, copy, "en", "b"), (3, " ".join(w[:251]), "en", "a"), (4, far, "en", "a")])
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {1, 4}
