@@ -1,12 +1,57 @@
-"""Licence scan: lines and whole texts against licence templates by the Dice coefficient of word bigrams."""
+"""Licence scan: lines, whole texts and runs of sentences against licence templates by the Dice coefficient of word
+bigrams."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pandwerk.llm.common import let, lower_ascii
 
+_MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
+        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+        "persons to whom the Software is furnished to do so, subject to the following conditions: ")
+_MIT_REST = ("The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+             "the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT "
+             "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO "
+             "EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+             "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
+             "OTHER DEALINGS IN THE SOFTWARE.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. ")
+_BSD_THIRD = ("3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+              "products derived from this software without specific prior written permission. ")
+_BSD_REST = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+             "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+             "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+             "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+             "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+             "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY "
+             "OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_APACHE = ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with "
+           "the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by "
+           "applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+           "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+           "governing permissions and limitations under the License.")
+
+
+def _gnu(name: str, version: str) -> str:
+    return (f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as "
+            f"published by the Free Software Foundation, either version {version} of the License, or (at your option) any later "
+            "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+            f"implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. You "
+            f"should have received a copy of the GNU {name} along with this program. If not, see "
+            "<https://www.gnu.org/licenses/>.")
+
+
+_GPL, _LGPL, _AGPL = "General Public License", "Lesser General Public License", "Affero General Public License"
+
 #: (licence, template); several templates may name one licence.
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -26,11 +71,23 @@ TEMPLATES = (
     ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "All rights reserved"),
+    ("mit", _MIT + _MIT_REST),
+    ("mit", _MIT),
+    ("bsd-3-clause", _BSD + _BSD_THIRD + _BSD_REST),
+    ("bsd-2-clause", _BSD + _BSD_REST),
+    ("apache-2.0", _APACHE),
+    *[(licence, text) for licence, name, version in (
+        ("gpl-3.0", _GPL, "3"), ("gpl-2.0", _GPL, "2"), ("agpl-3.0", _AGPL, "3"), ("lgpl-3.0", _LGPL, "3"))
+      for text in (_gnu(name, version), _gnu(name, version).split(" This program is distributed")[0])],
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+                "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
 )
 #: Least Dice coefficient, in percent.
 PERCENT = 80
 #: ASCII characters that separate words, after lower-casing.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: White space behind the end of a sentence or clause; runs of sentences begin and end there or at a line's end.
+SENTENCE_END = r"(?<=[.!?:;])[\x20\x09\x0D]+"
 
 
 def _template_words(text: str) -> list[str]:
@@ -56,6 +113,21 @@ def size_bounds(n: int, percent: int = PERCENT) -> tuple[int, int]:
     return -(-percent * n // (200 - percent)), (200 - percent) * n // percent
 
 
+def anchors(known, percent: int = PERCENT) -> list[str]:
+    """Words of which every text that reaches the threshold holds one: of each template, long words first, until more of
+    its bigrams touch them than such a text can miss."""
+    out: set[str] = set()
+    for _, _, n, counts in known:
+        missed = n + (-percent * (n + size_bounds(n, percent)[0]) // 200)
+        chosen: set[str] = set()
+        for w in sorted({w for g in counts for w in g.split()}, key=lambda w: (w not in out, -len(w), w)):
+            if sum(c for g, c in counts.items() if not chosen.isdisjoint(g.split())) > missed:
+                break
+            chosen.add(w)
+        out |= chosen
+    return sorted(out)
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(lower_ascii(text), BETWEEN), lambda w: w != "")
 
@@ -65,8 +137,9 @@ def license_matches(docs: DataFrame, text: str = "text", *, templates=TEMPLATES,
     """The `carry` columns (default: all but the text) and `matches`: array<struct<line, license, template, dice>>.
 
     Compared are every line and, as line 0, the whole text if it has more lines than one; each gives its best
-    template (ties: the earlier one) if the coefficient reaches the threshold. Bigrams count as often as they
-    occur. Only templates within the size bounds are compared, so long prose is dropped by its length alone. Null
+    template (ties: the earlier one) if the coefficient reaches the threshold. Where the whole text gives none, all
+    runs of sentences outside the lines found, also across lines, are compared too; of runs that overlap the best stays
+    (ties: the shorter, then the first), under the line it begins in. Bigrams count as often as they occur. Only templates within the size bounds are compared, and only units with an anchor word. Null
     and empty texts have no match; texts of any length are scanned whole; repeated rows stay; without templates
     nothing matches. Row-local: no shuffle.
     """
@@ -75,37 +148,83 @@ def license_matches(docs: DataFrame, text: str = "text", *, templates=TEMPLATES,
     none = F.expr("cast(array() as array<struct<line:int,license:string,template:int,dice:double>>)")
     if not known:
         return docs.select(*[F.col(f"`{c}`") for c in carry], none.alias("matches"))
-    table = F.array(*[F.struct(
-        F.lit(i).alias("no"), F.lit(name).alias("license"), F.lit(n).alias("n"), F.lit(size_bounds(n, percent)[0]).alias("lo"),
-        F.lit(size_bounds(n, percent)[1]).alias("hi"),
-        F.array(*[F.struct(F.lit(g).alias("g"), F.lit(c).alias("c")) for g, c in counts.items()]).alias("grams"))
-        for i, name, n, counts in known])
+    # one literal: thousands of column nodes would be analysed again with every lambda around them
+    table = F.from_json(F.lit(json.dumps([{
+        "no": i, "license": name, "n": n, "lo": size_bounds(n, percent)[0], "hi": size_bounds(n, percent)[1],
+        "spare": n - len(counts), "keys": list(counts), "grams": [{"g": g, "c": c} for g, c in counts.items()]}
+        for i, name, n, counts in known])), "array<struct<no:int,license:string,n:int,lo:int,hi:int,spare:int,"
+                                            "keys:array<string>,grams:array<struct<g:string,c:int>>>>")
     least, most = min(size_bounds(k[2], percent)[0] for k in known), max(size_bounds(k[2], percent)[1] for k in known)
 
+    marks = F.split(F.lit(" ".join(anchors(known, percent))), " ")
+
+    def pairs(w):
+        return F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+
+    def best_of(grams):
+        """(dice, rank, license) of the best template; the shared bigrams are bounded by the distinct ones first."""
+        size = F.size(grams)
+        fit = F.filter(table, lambda t: (t["lo"] <= size) & (size <= t["hi"]) & (
+            200 * (F.size(F.array_intersect(t["keys"], grams)) + t["spare"]) >= percent * (size + t["n"])))
+        shared = lambda t: F.aggregate(t["grams"], F.lit(0), lambda s, g: s + F.least(
+            g["c"], F.size(F.filter(grams, lambda x: x == g["g"]))))
+        return F.array_max(F.transform(fit, lambda t: F.struct(
+            (2.0 * shared(t) / (size + t["n"])).alias("dice"), (-t["no"]).alias("rank"), t["license"].alias("license"))))
+
+    def match(line, best):
+        return F.struct(line.alias("line"), best["license"].alias("license"), (-best["rank"]).alias("template"),
+                        best["dice"].alias("dice"))
+
     def compare(unit, number):
-        def with_grams(grams):
-            size = F.size(grams)
-            fit = F.filter(table, lambda t: (t["lo"] <= size) & (size <= t["hi"]))
-            shared = lambda t: F.aggregate(t["grams"], F.lit(0), lambda s, g: s + F.least(
-                g["c"], F.size(F.filter(grams, lambda x: x == g["g"]))))
-            scored = F.transform(fit, lambda t: F.struct(
-                (2.0 * shared(t) / (size + t["n"])).alias("dice"), (-t["no"]).alias("rank"), t["license"].alias("license")))
-            return let(F.array_max(scored), lambda best: F.when(best["dice"] * 100 >= percent, F.struct(
-                number.alias("line"), best["license"].alias("license"), (-best["rank"]).alias("template"),
-                best["dice"].alias("dice"))))
-
-        grams = F.zip_with(F.slice(unit, 1, F.size(unit) - 1), F.slice(unit, 2, F.size(unit) - 1),
-                           lambda a, b: F.concat(a, F.lit(" "), b))
-        return let(grams, with_grams)
-
-    possible = lambda u: (F.size(u["w"]) - 1).between(least, most)
+        return let(pairs(unit), lambda grams: let(best_of(grams), lambda best: F.when(
+            best["dice"] * 100 >= percent, match(number, best))))
+
+    def runs(text, found):
+        """Matches of runs of sentences that touch no line in `found`."""
+        cut = F.flatten(F.transform(F.split(text, "\n"), lambda x, i: F.transform(
+            F.split(x, SENTENCE_END), lambda y: F.struct((i + 1).alias("line"), _words(y).alias("w")))))
+        start = F.struct(F.lit(0).alias("at"), F.expr(
+            "cast(array() as array<struct<no:int,line:int,at:int,end:int,hot:boolean>>)").alias("out"))
+        place = lambda state, u: F.struct((state["at"] + F.size(u["w"])).alias("at"), F.concat(state["out"], F.array(
+            F.struct((F.size(state["out"]) + 1).alias("no"), u["line"].alias("line"), state["at"].alias("at"),
+                     (state["at"] + F.size(u["w"])).alias("end"), F.arrays_overlap(u["w"], marks).alias("hot")))).alias("out"))
+
+        def search(parts, hot, grams):
+            def from_(s):
+                ends = F.filter(F.slice(parts, s["no"], F.lit(most + 1)), lambda e: (e["end"] - s["at"] - 1).between(least, most)
+                                & F.exists(hot, lambda h: (h["at"] >= s["at"]) & (h["end"] <= e["end"]))
+                                & ~F.exists(found, lambda m: m["line"].between(s["line"], e["line"])))
+                return F.transform(ends, lambda e: let(
+                    best_of(F.slice(grams, s["at"] + 1, e["end"] - s["at"] - 1)), lambda best: F.when(
+                        best["dice"] * 100 >= percent, F.struct(
+                            (-best["dice"]).alias("order"), (e["end"] - s["at"]).alias("size"), s["at"].alias("at"),
+                            e["end"].alias("end"), match(s["line"], best).alias("match")))))
+
+            near = F.filter(parts, lambda s: F.exists(hot, lambda h: (h["at"] >= s["at"]) & (h["end"] - s["at"] - 1 <= most)))
+            ranked = F.array_sort(F.filter(F.flatten(F.transform(near, from_)), lambda c: c.isNotNull()))
+            nothing = F.expr("cast(array() as array<struct<order:double,size:int,at:int,end:int,"
+                             "match:struct<line:int,license:string,template:int,dice:double>>>)")
+            kept = F.aggregate(ranked, nothing, lambda out, c: F.when(F.exists(
+                out, lambda o: (o["at"] < c["end"]) & (c["at"] < o["end"])), out).otherwise(F.concat(out, F.array(c))))
+            return F.transform(kept, lambda c: c["match"])
+
+        return let(F.filter(cut, lambda u: F.size(u["w"]) > 0), lambda units: let(
+            F.aggregate(units, start, place)["out"], lambda parts: let(F.filter(parts, lambda x: x["hot"]), lambda hot: let(
+                pairs(F.flatten(F.transform(units, lambda u: u["w"]))), lambda grams: search(parts, hot, grams)))))
+
+    possible = lambda u: (F.size(u["w"]) - 1).between(least, most) & F.arrays_overlap(u["w"], marks)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.transform(F.split(body, "\n"), lambda x, i: F.struct((i + 1).alias("line"), _words(x).alias("w")))
-    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)], lines.alias("_lines"))
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)], lines.alias("_lines"), body.alias("_body"))
     total = F.aggregate("_lines", F.lit(0), lambda s, u: s + F.size(u["w"]))
     whole = F.when((F.size("_lines") > 1) & (total - 1).between(least, most), F.array(F.struct(
         F.lit(0).alias("line"), F.flatten(F.transform("_lines", lambda u: u["w"])).alias("w")))).otherwise(
         F.expr("cast(array() as array<struct<line:int,w:array<string>>>)"))
     units = F.concat(whole, F.filter("_lines", possible))
     matches = F.filter(F.transform(units, lambda u: compare(u["w"], u["line"])), lambda m: m.isNotNull())
-    return rows.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], matches.alias("matches"))
+    # a run needs an anchor word outside the lines found
+    open_ = lambda found: F.exists("_lines", lambda u: F.arrays_overlap(u["w"], marks) & ~F.exists(
+        found, lambda m: m["line"].isin(0) | (m["line"] == u["line"])))
+    with_runs = let(matches, lambda found: F.when(open_(found), F.array_sort(
+        F.concat(found, runs(F.col("_body"), found)))).otherwise(found))
+    return rows.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], with_runs.alias("matches"))
