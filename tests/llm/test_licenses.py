@@ -50,19 +50,3 @@ def test_size_bounds_are_necessary_and_tight():
 def test_without_rows_or_templates(documents):
     assert licenses.license_matches(documents([])).count() == 0
     assert licenses.license_matches(documents([(1, "All rights reserved", None, None)]), templates=()).first()["matches"] == []
-
-
-def test_notices_are_found_wrapped_and_inside_longer_texts(documents):
-    import textwrap
-
-    prose = "\n".join(f"x{i} y{i} z{i} v{i}." for i in range(200))
-    wrap = lambda text: "\n".join(" * " + x for x in textwrap.wrap(text, 70))
-    gnu = licenses._gnu(licenses._GPL, "3")
-    texts = {"mit": "Copyright (c) 2020 Acme\n" + wrap(licenses._MIT + licenses._MIT_REST),
-             "bsd-3-clause": wrap(licenses._BSD + licenses._BSD_THIRD + licenses._BSD_REST),
-             "apache-2.0": wrap(licenses._APACHE), "gpl-3.0": wrap(gnu),
-             "all-rights-reserved": "Copyright (c) 2020 Acme Inc. All rights reserved."}
-    docs = documents([(i, f"{head}{t}\n{prose}", name, None) for i, head in enumerate(("", prose + "\n")) for name, t in texts.items()]
-                     + [(2, prose, "", None), (3, texts["mit"], "mit", None)])
-    for r in licenses.license_matches(docs, carry=("doc_id", "lang")).collect():
-        assert {m["license"] for m in r["matches"]} == ({r["lang"]} if r["lang"] else set())
