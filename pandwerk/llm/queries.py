@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pandwerk.llm import bpe, html_text, licenses, lm_score, mixing, near_vectors, ngram_join, quality, secrets, url_filter
+from pandwerk.llm import bpe, html_text, licenses, lm_score, mixing, near_vectors, ngram_join, quality, secrets, url_filter, whitening
 from pandwerk.llm.common import read_table
 from pandwerk.llm.sql import ORACLES
 
@@ -84,6 +84,15 @@ def op10_lattice_score(spark, sf_dir):
                            path=public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_whitened_vectors(spark, sf_dir):
+    rows, model, error = whitening.whitened(read_table(spark, sf_dir, "embeddings"), weights="one", carry=("vec_id",))
+    explained = F.array(*[F.lit(e) for e in model.explained]).cast("array<double>")
+    return rows.select(F.col("_c0").alias("vec_id"), F.col("deviation").cast("long").alias("deviation"),
+                       F.posexplode("whitened").alias("place", "whitened")).select(
+        "vec_id", (F.col("place") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        explained[F.col("place")].alias("explained"), F.lit(error).alias("identity_error"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -91,4 +100,5 @@ def pipeline(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_vector_near_dedup, op3_quality_rules, op4_license_scan,
-                                 op5_url_filter, op6_bpe_round_trip, op7_source_mix, op8_ngram_jaccard, op9_main_text, op10_lattice_score, pipeline)}
+                                 op5_url_filter, op6_bpe_round_trip, op7_source_mix, op8_ngram_jaccard, op9_main_text, op10_lattice_score,
+                                 op11_whitened_vectors, pipeline)}
