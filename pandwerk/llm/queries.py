@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pandwerk.llm import bpe, html_text, licenses, lm_score, mixing, near_vectors, ngram_join, quality, secrets, url_filter, whitening
+from pandwerk.llm import alignment, bpe, html_text, licenses, lm_score, mixing, near_vectors, ngram_join, quality, secrets, url_filter, whitening
 from pandwerk.llm.common import read_table
 from pandwerk.llm.sql import ORACLES
 
@@ -93,6 +93,16 @@ def op11_whitened_vectors(spark, sf_dir):
         explained[F.col("place")].alias("explained"), F.lit(error).alias("identity_error"))
 
 
+def op12_token_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    found = alignment.aligned_corpus(read_table(spark, sf_dir, "documents"), carry=("doc_id",), digest=True,
+                                     byte_path=public_tokenizers.path("byte_bpe_50k.json"),
+                                     piece_path=public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select(F.col("_c0").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum",
+                        F.col("groups").alias("groups_sha256"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -101,4 +111,4 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_vector_near_dedup, op3_quality_rules, op4_license_scan,
                                  op5_url_filter, op6_bpe_round_trip, op7_source_mix, op8_ngram_jaccard, op9_main_text, op10_lattice_score,
-                                 op11_whitened_vectors, pipeline)}
+                                 op11_whitened_vectors, op12_token_alignment, pipeline)}
