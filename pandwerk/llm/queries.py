@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pandwerk.llm import alignment, bpe, html_text, licenses, lm_score, mixing, near_vectors, ngram_join, quality, secrets, url_filter, whitening
+from pandwerk.llm import alignment, bpe, html_text, licenses, lm_score, mixing, near_vectors, ngram_join, pii, quality, secrets, url_filter, whitening
 from pandwerk.llm.common import read_table
 from pandwerk.llm.sql import ORACLES
 
@@ -103,6 +103,17 @@ def op12_token_alignment(spark, sf_dir):
                         F.col("groups").alias("groups_sha256"))
 
 
+def op13_personal_data(spark, sf_dir):
+    found, _ = pii.pii_spans(read_table(spark, sf_dir, "documents"), carry=("doc_id",))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+
+    return found.select(F.col("_c0").alias("doc_id"), *[count(k) for k in pii.KINDS],
+                        F.sha2(pii.span_text(base), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -111,4 +122,5 @@ def pipeline(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_vector_near_dedup, op3_quality_rules, op4_license_scan,
                                  op5_url_filter, op6_bpe_round_trip, op7_source_mix, op8_ngram_jaccard, op9_main_text, op10_lattice_score,
-                                 op11_whitened_vectors, op12_token_alignment, pipeline)}
+                                 op11_whitened_vectors, op12_token_alignment, op13_personal_data,
+                                 pipeline)}
