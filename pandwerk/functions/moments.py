@@ -89,22 +89,3 @@ def correlation_long(df: DataFrame, columns: list[str]) -> DataFrame:
         F.get(names, F.col("i")).alias("feature_a"), F.get(names, F.col("j")).alias("feature_b"),
         F.col("n").cast("bigint").alias("n"),
         F.when(varies("sxx", "mx") & varies("syy", "my"), F.col("sxy") / F.sqrt("sxx") / F.sqrt("syy")).alias("corr"))
-
-
-def summed_blocks(df: DataFrame, columns: list[str], shape: tuple[int, int], block) -> np.ndarray:
-    """Sum of ``block(matrix)`` over all Arrow batches, ``matrix`` holding the columns of a batch.
-
-    Each task emits one block, so the shuffle carries blocks only.
-    """
-    def reduce_partition(batches):
-        total = np.zeros(shape)
-        for batch in batches:
-            total += block(batch.to_numpy(dtype=float))
-        i, j = np.meshgrid(np.arange(shape[0]), np.arange(shape[1]), indexing="ij")
-        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
-
-    parts = df.select(*columns).mapInPandas(reduce_partition, "i int, j int, v double")
-    out = np.zeros(shape)
-    for row in parts.groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
-        out[row.i, row.j] = row.v
-    return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
@@ -11,8 +10,8 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, Has
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import functions as F
 
-from pandwerk.functions.moments import summed_blocks
 from pandwerk.learning.prep import FEATURES
+from pandwerk.learning.stacked import Fit, Fitted, fit_together, rows_of
 
 
 class _SvrParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasMaxIter, HasTol):
@@ -30,16 +29,21 @@ class LinearSVRModel(Model, _SvrParams, DefaultParamsReadable, DefaultParamsWrit
     """Coefficients are a parameter, so the model saves and loads with a pipeline."""
 
     weights = Param(Params._dummy(), "weights", "coefficients with the intercept last", TypeConverters.toListFloat)
-    converged = Param(Params._dummy(), "converged", "whether the objective settled before maxIter", TypeConverters.toBoolean)
+    status = Param(Params._dummy(), "status", "settled, stalled (no better objective for a while) or limit (of iterations)",
+                   TypeConverters.toString)
 
     def __init__(self):
         super().__init__()
-        self._setDefault(weights=[], converged=False)
+        self._setDefault(weights=[], status="limit")
 
     @property
     def coefficients(self) -> list[float]:
         return self.getOrDefault(self.weights)[:-1]
 
+    @property
+    def converged(self) -> bool:
+        return self.getOrDefault(self.status) == "settled"
+
     @property
     def intercept(self) -> float:
         return self.getOrDefault(self.weights)[-1]
@@ -51,32 +55,8 @@ class LinearSVRModel(Model, _SvrParams, DefaultParamsReadable, DefaultParamsWrit
         return dataset.withColumn(self.getPredictionCol(), score)
 
 
-# Keeps weights finite where the error is zero.
-ERROR_FLOOR = 1e-3
-# Iterations without a better objective before the best coefficients so far are taken.
-PATIENCE = 5
-
-
-def _loss_block(w: np.ndarray, eps: float, c: float, squared: bool, start: bool):
-    """Weighted normal equations of one batch at ``w``; the extra row holds the loss itself."""
-    def block(z: np.ndarray) -> np.ndarray:
-        x, y = np.column_stack([z[:, :-1], np.ones(len(z))]), z[:, -1]
-        r = y - x @ w
-        beyond = np.maximum(np.abs(r) - eps, 0.0)
-        if start:
-            weight, target = np.full(len(y), c), y
-        else:
-            weight = c * (beyond > 0) * (2.0 if squared else 1.0 / np.maximum(beyond, ERROR_FLOOR))
-            target = y - np.sign(r) * eps
-        out = np.zeros((x.shape[1] + 1, x.shape[1] + 1))
-        out[:-1] = (x * weight[:, None]).T @ np.column_stack([x, target])
-        out[-1, 0] = c * float((beyond**2 if squared else beyond).sum())
-        return out
-    return block
-
-
 class LinearSVR(Estimator, _SvrParams, DefaultParamsReadable, DefaultParamsWritable):
-    """Minimises ``|w|^2 / 2 + C * sum(loss)`` by reweighted least squares.
+    """Minimises ``|w|^2 / 2 + C * sum(loss)`` by reweighted least squares, a single one of `stacked`'s fits.
 
     Every iteration is one distributed pass that sums a k-by-k block per task; the driver
     solves a system of the number of features. The intercept is penalised like a feature.
@@ -89,30 +69,17 @@ class LinearSVR(Estimator, _SvrParams, DefaultParamsReadable, DefaultParamsWrita
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, dataset):
-        eps, c = self.getOrDefault(self.epsilon), self.getOrDefault(self.C)
-        squared = self.getOrDefault(self.loss) == "squared_epsilon_insensitive"
-        x = vector_to_array(self.getFeaturesCol())
-        width = dataset.select(F.size(x).alias("n")).first()["n"]
-        columns = [f"x{i}" for i in range(width)] + ["_y"]
-        rows = dataset.select(*[x[i].alias(n) for i, n in enumerate(columns[:-1])],
-                              F.col(self.getLabelCol()).cast("double").alias("_y")).persist()
-        shape = (width + 2, width + 2)
+        rows, width = rows_of(dataset, self.getOrDefault(self.labelCol), {}, self.getOrDefault(self.featuresCol))
+        rows = rows.persist()
         try:
-            w, best, best_w, stale, settled = np.zeros(width + 1), np.inf, None, 0, False
-            for step in range(self.getMaxIter() + 1):
-                block = summed_blocks(rows, columns, shape, _loss_block(w, eps, c, squared, step == 0))
-                objective = float(block[-1, 0] + w @ w / 2)
-                gain = best - objective
-                if step > 0:
-                    if objective < best:
-                        best, best_w = objective, w
-                    stale = 0 if gain > self.getTol() * abs(objective) else stale + 1
-                    if abs(gain) <= self.getTol() * abs(objective) or stale >= PATIENCE:
-                        settled = True
-                        break
-                w = np.linalg.solve(block[:-1, :-1] + np.eye(width + 1), block[:-1, -1])
+            found = fit_together(rows, width, [Fit(self.getOrDefault(self.C), self.getOrDefault(self.epsilon), self.getTol(),
+                                                   self.getMaxIter(), self.getOrDefault(self.loss))])[0]
         finally:
             rows.unpersist()
-        model = LinearSVRModel()
-        model._set(weights=[float(v) for v in (w if best_w is None else best_w)], converged=settled)
-        return self._copyValues(model)
+        return self._copyValues(model_of(found))
+
+
+def model_of(found: Fitted) -> LinearSVRModel:
+    model = LinearSVRModel()
+    model._set(weights=[float(v) for v in found.weights], status=found.status)
+    return model

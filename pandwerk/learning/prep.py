@@ -88,6 +88,22 @@ def fit(df: DataFrame, features: list[str], keep: list[str]) -> PipelineModel:
                           VectorAssembler(inputCols=names, outputCol=FEATURES)])
 
 
+def fit_lists(df: DataFrame, lists: dict[str, list[str]], keep: list[str]) -> tuple[PipelineModel, dict[str, PipelineModel]]:
+    """Preparation of all features of several lists together, and of each list alone, from one set of statistics."""
+    union = list(dict.fromkeys(c for features in lists.values() for c in features))
+    numeric, text = split_kinds(df, union)
+    stats, classes = numeric_statistics(df, numeric), categories(df, text)
+
+    def stages(features):
+        own_stats = {c: stats[c] for c in numeric if c in features}
+        own_classes = {c: classes[c] for c in text if c in features}
+        names = [*own_stats, *[n for c in own_classes for n in encoded_names(own_classes)[c]]]
+        return PipelineModel([SQLTransformer(statement=statement(keep, own_stats, own_classes)),
+                              VectorAssembler(inputCols=names, outputCol=FEATURES)])
+
+    return stages(union), {name: stages(features) for name, features in lists.items()}
+
+
 # Prefix of columns that pass the preparation unchanged.
 CARRIED = "_carried_"
 

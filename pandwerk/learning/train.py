@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from pandwerk.functions.lineage import checkpointed
 from pandwerk.functions.ranks import global_rank
-from pandwerk.learning import prep
-from pandwerk.learning.linear_svr import LinearSVR
+from pandwerk.learning import prep, stacked
+from pandwerk.learning.linear_svr import LinearSVR, model_of
 from pandwerk.operators import evaluate
 
 LABEL = "clean_floors"
@@ -53,8 +53,26 @@ def fit(train: DataFrame, features: list[str], algorithm: str, params: dict | No
 
 
 def refit(train: DataFrame, subsets: dict[str, list[str]], algorithm: str, best: dict) -> dict[str, PipelineModel]:
-    """Other feature sets trained with the best parameters found for one."""
-    return {name: fit(train, features, algorithm, best)[0] for name, features in subsets.items()}
+    """Other feature sets trained with the best parameters found for one.
+
+    Linear models are fitted together: the columns of all sets are prepared once and every set uses its own.
+    """
+    if algorithm != "svr":
+        return {name: fit(train, features, algorithm, best)[0] for name, features in subsets.items()}
+    together, alone = prep.fit_lists(train, subsets, KEYS)
+    rows, width = stacked.rows_of(together.transform(train), LABEL, {})
+    places = {n: i for i, n in enumerate(prep.input_names(together))}
+    columns = {name: tuple(places[n] for n in prep.input_names(stages)) for name, stages in alone.items()}
+    rows = rows.persist()
+    try:
+        found = stacked.fit_together(rows, width, [stacked.Fit(**best, columns=columns[name]) for name in subsets])
+    finally:
+        rows.unpersist()
+    out = {}
+    for name, fitted in zip(subsets, found):
+        fitted.weights = fitted.weights[[*columns[name], width]]
+        out[name] = PipelineModel([*alone[name].stages, model_of(fitted)])
+    return out
 
 
 def parts(model: PipelineModel) -> tuple[PipelineModel, object]:

@@ -909,39 +909,40 @@ def _(spark, sf):
 
 @query("l09_random_search")
 def _(spark, sf):
+    """75 draws over 5 folds of the linear model."""
     frame = split_model_frame(spark, sf).where("split = 'train'")
-    _, table = tune.random_search(frame, MODEL_FEATURES, "svr", n=3, folds=2)
+    _, table = tune.random_search(frame, MODEL_FEATURES, "svr")
     return table
 
 
 @query("l10_f09_subset_models")
 def _(spark, sf):
+    """The best draw of the whole search refits all features and every subset."""
     frame = checkpointed(split_model_frame(spark, sf))
     train_rows = frame.where("split = 'train'")
-    base, _ = training.fit(train_rows, MODEL_FEATURES, "svr")
+    best, _ = tune.random_search(train_rows, MODEL_FEATURES, "svr")
+    base = training.refit(train_rows, {"model_1": MODEL_FEATURES}, "svr", best)
     subsets = stats.feature_subsets(train_rows.drop("split"), MODEL_FEATURES, LABEL, DEFAULTS.text_columns,
-                                    {"svr": training.importances(base, spark)}, DEFAULTS.top_k, DEFAULTS.cluster_cut)
-    models = training.refit(train_rows, subsets, "svr", {"C": 0.5})
+                                    {"svr": training.importances(base["model_1"], spark)}, DEFAULTS.top_k, DEFAULTS.cluster_cut)
+    models = base | training.refit(train_rows, subsets, "svr", best)
     return training.evaluate_models({(name, "svr", "refit"): m for name, m in models.items()},
                                     train_rows, frame.where("split = 'test'"))
 
 
 @query("l11_validation_curve")
 def _(spark, sf):
-    return tune.validation_curve(split_model_frame(spark, sf).where("split = 'train'"), MODEL_FEATURES, "svr",
-                                 "C", [0.1, 1.1], repeats=2)
+    return tune.validation_curve(split_model_frame(spark, sf).where("split = 'train'"), MODEL_FEATURES, "svr", "C", tune.grid("svr")["C"])
 
 
 @query("l12_iteration_tolerance_grid")
 def _(spark, sf):
     frame = checkpointed(split_model_frame(spark, sf))
-    return tune.iteration_tolerance_grid(frame.where("split = 'train'"), frame.where("split = 'test'"),
-                                         MODEL_FEATURES, iterations=(10, 100), tolerances=(1e-3, 1e-4))
+    return tune.iteration_tolerance_grid(frame.where("split = 'train'"), frame.where("split = 'test'"), MODEL_FEATURES)
 
 
 @query("l13_learning_curve")
 def _(spark, sf):
-    out = tune.learning_curve(split_model_frame(spark, sf).where("split = 'train'"), MODEL_FEATURES, "svr", shares=(0.25, 1.0))
+    out = tune.learning_curve(split_model_frame(spark, sf).where("split = 'train'"), MODEL_FEATURES, "svr")
     return out.drop("fit_seconds")
 
 
