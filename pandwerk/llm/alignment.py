@@ -1,7 +1,7 @@
 """Alignment of two tokenizers over one text, and how often their tokens meet across a corpus.
 
 Both tokenizations cut the same bytes. Where they end a token at the same byte, a group ends; most groups pair one token
-with one token, and along such a stretch the places in the two end arrays differ by a constant shift. `groups_of` runs along
+with one token, and along such a stretch the places in the two end arrays differ by a constant shift. `stretches` runs along
 that diagonal in doubling steps, resolves what lies between two stretches token by token and goes on at the new shift.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,19 +18,41 @@ from pandwerk.llm.common import checkpointed
 
 #: Texts handed to the tokenizers at a time, and characters of them at most (a longer text goes alone).
 ROWS, CHARACTERS = 256, 1 << 20
+#: Characters beyond those whose class has not changed for many Unicode versions, and runs of white space of 500.
+UNSETTLED = re.compile(r"[^\u0000-\u052f\u2010-\u205e\u4e00-\u9fa5\uac00-\ud7a3]|\s{500}")
 #: Pairs put together before a task counts them.
 PENDING = 1 << 21
 #: Token pairs known to every task when links are scored: all, or if there are more those with the largest counts.
 KNOWN_PAIRS = 1_000_000
 
 
+def ranks_decide(path: str) -> bool:
+    """Whether merging by the rank of the merged token, as the faster library does, is merging by the file's list of pairs.
+
+    It is if the list builds every token from the token's own bytes: tokens that lie side by side and make up a token have,
+    up to that token's rank, been merged as if alone (a merge across either end would have left a token across it), so
+    they are the pair of the list.
+    """
+    from pandwerk.llm.bpe import Encoder, Vocabulary
+
+    vocabulary = Vocabulary(path)
+    encoder = Encoder(vocabulary)
+    in_order = all(i < k for i, k in zip(vocabulary.new_id, vocabulary.new_id[1:]))
+    return in_order and all(encoder._merge_short([vocabulary.byte_id[b] for b in raw]) == [i] for i, raw in vocabulary.bytes_of.items()
+                          if i not in vocabulary.special.values())
+
+
 class ByteTokens:
-    """Token ids of a byte-level BPE file; strings of special tokens in a text are plain text."""
+    """Token ids of a byte-level BPE file for a space and each text; strings of special tokens in a text are plain text.
 
-    def __init__(self, path: str):
+    Where `by_rank` allows, texts of long-settled characters go through the faster of two libraries; characters that the
+    Unicode tables of the two may class differently, and very long white space, through the file's own.
+    """
+
+    def __init__(self, path: str, by_rank: bool = False):
         from tokenizers import Tokenizer
 
-        from pandwerk.llm.bpe import _printable_bytes
+        from pandwerk.llm.bpe import PATTERN, _printable_bytes
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -37,11 +60,26 @@ class ByteTokens:
         self.tokenizer.no_padding()
         printable = _printable_bytes()
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        self.bytes_of = {i: bytes(printable[c] for c in s) for s, i in vocabulary.items() if all(c in printable for c in s)}
+            spec = json.load(f)
+        special = {t["id"] for t in spec["added_tokens"]}
+        self.bytes_of = {i: bytes(printable[c] for c in s) for s, i in spec["model"]["vocab"].items() if all(c in printable for c in s)}
+        self.fast = None
+        if by_rank and not spec.get("normalizer") and spec["pre_tokenizer"] == {
+                "type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+            import tiktoken
+
+            ranks = {v: i for i, v in self.bytes_of.items() if i not in special}
+            self.fast = tiktoken.Encoding("by_rank", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.fast is None:
+            return self._whole(texts)
+        settled = [UNSETTLED.search(t) is None for t in texts]
+        others = iter(self._whole([t for t, s in zip(texts, settled) if not s]))
+        return [self.fast(" " + t) if s else next(others) for t, s in zip(texts, settled)]
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
 
 
 class PieceTokens:
@@ -60,71 +98,105 @@ class PieceTokens:
         return self.model.encode(texts, num_threads=1)
 
 
-def groups_of(ends_a, ends_b):
-    """Yield (i, j, i', j', run) for tokens i..i' of A and j..j' of B, in order: a stretch of one-to-one groups (run) or one
-    irregular group. `ends_*`: int64 arrays of byte ends, of one last value.
+def stretches(ends_a, ends_b):
+    """Lists (i, j, length) that cut both token rows: length > 0 for a stretch of that many one-to-one groups from tokens i
+    and j on, 0 for a step of an irregular group (i and j overlap, the group goes on) and -1 for its last step.
 
-    A stretch is found by comparing both arrays at the present shift over 1, 2, 4, ... tokens; the step that fails is
-    bisected. An irregular group ends at the first common end after it.
+    `ends_*`: int64 arrays of byte ends, of one last value. A stretch is found by comparing both arrays at the present shift
+    over 1, 2, 4, ... tokens; the step that fails is bisected. An irregular group is walked token by token to its end.
     """
     raw_a, raw_b = ends_a.tobytes(), ends_b.tobytes()
     a, b = ends_a.tolist(), ends_b.tolist()
-    i = j = 0
     n, m = len(a), len(b)
+    at_a, at_b, length = [], [], []
+    add_a, add_b, add = at_a.append, at_b.append, length.append
+    i = j = 0
     while i < n:
-        if a[i] == b[j]:
-            most = min(n - i, m - j)
-            good, step = 1, 1
-            while good < most:
-                step = min(2 * step, most - good)
-                if raw_a[8 * (i + good):8 * (i + good + step)] != raw_b[8 * (j + good):8 * (j + good + step)]:
-                    break
-                good += step
-            else:
-                step = 0
-            while step > 1:  # the first `step` places after `good` differ somewhere
-                half = step // 2
-                if raw_a[8 * (i + good):8 * (i + good + half)] == raw_b[8 * (j + good):8 * (j + good + half)]:
-                    good += half
-                    step -= half
-                else:
-                    step = half
-            yield i, j, i + good, j + good, True
-            i, j = i + good, j + good
-        else:
-            x, y = i, j
-            while a[x] != b[y]:
-                if a[x] < b[y]:
-                    x += 1
+        x, y = a[i], b[j]
+        add_a(i)
+        add_b(j)
+        if x != y:
+            add(0)
+            while True:
+                if x < y:
+                    i += 1
+                    x = a[i]
                 else:
-                    y += 1
-            yield i, j, x + 1, y + 1, False
-            i, j = x + 1, y + 1
-
-
-def aligned_tokens(ids_a, ids_b, ends_a, ends_b):
-    """(groups as text, number of groups, linked A ids, linked B ids) of one text. Tokens are linked when their byte ranges
-    overlap; within a group they overlap in steps, one token further at a time."""
-    parts, count, left, right = [], 0, [], []
-    sa, sb, a, b = list(map(str, ids_a)), list(map(str, ids_b)), ends_a.tolist(), ends_b.tolist()
-    for i, j, i2, j2, run in groups_of(ends_a, ends_b):
-        if run:
-            left += ids_a[i:i2]
-            right += ids_b[j:j2]
-            parts += map("|".join, zip(sa[i:i2], sb[j:j2]))
-            count += i2 - i
+                    j += 1
+                    y = b[j]
+                add_a(i)
+                add_b(j)
+                if x == y:
+                    break
+                add(0)
+            add(-1)
+            i += 1
+            j += 1
             continue
-        parts.append(",".join(sa[i:i2]) + "|" + ",".join(sb[j:j2]))
-        count += 1
-        while True:
-            left.append(ids_a[i])
-            right.append(ids_b[j])
-            apart = a[i] - b[j]
-            i += apart <= 0
-            j += apart >= 0
-            if i == i2:
+        good, step, most = 1, 2, min(n - i, m - j)
+        while good < most:
+            if step > most - good:
+                step = most - good
+            p, q, size = 8 * (i + good), 8 * (j + good), 8 * step
+            if raw_a[p:p + size] != raw_b[q:q + size]:
+                while step > 1:  # the `step` places after `good` differ somewhere
+                    half = step // 2
+                    p, q, size = 8 * (i + good), 8 * (j + good), 8 * half
+                    if raw_a[p:p + size] == raw_b[q:q + size]:
+                        good += half
+                        step -= half
+                    else:
+                        step = half
                 break
-    return ";".join(parts), count, left, right
+            good += step
+            step *= 2
+        add(good)
+        i += good
+        j += good
+    return at_a, at_b, length
+
+
+class Names:
+    """Ids as text with what follows them in a written alignment."""
+
+    def __init__(self, size: int, last: str):
+        self.within = [f"{i}," for i in range(size)]
+        self.at_end = [f"{i}{last}" for i in range(size)]
+
+
+def written(ids_a, ids_b, cuts, names_a: Names, names_b: Names) -> str:
+    """The alignment as text, `a1,a2|b1;a3|b2,b3`."""
+    end_a, end_b, within_a, within_b = names_a.at_end, names_b.at_end, names_a.within, names_b.within
+    bars, stops = [end_a[t] for t in ids_a], [end_b[t] for t in ids_b]
+    out, first = [], None
+    for i, j, n in zip(*cuts):
+        if n > 0:
+            part = [""] * (2 * n)
+            part[::2], part[1::2] = bars[i:i + n], stops[j:j + n]
+            out += part
+        elif n == 0:
+            if first is None:
+                first = i, j
+        else:
+            for t in ids_a[first[0]:i]:
+                out.append(within_a[t])
+            out.append(bars[i])
+            for t in ids_b[first[1]:j]:
+                out.append(within_b[t])
+            out.append(stops[j])
+            first = None
+    return "".join(out)[:-1]
+
+
+def linked(cuts):
+    """(number of groups, places of A tokens, places of B tokens): every pair of tokens whose byte ranges overlap."""
+    import numpy as np
+
+    at_a, at_b, length = (np.array(c, np.int64) for c in cuts)
+    count = int(np.abs(length).sum())
+    each = np.maximum(length, 1)
+    inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    return count, np.repeat(at_a, each) + inside, np.repeat(at_b, each) + inside
 
 
 def _portions(texts: list[str]):
@@ -158,6 +230,8 @@ def alignments(docs: DataFrame, text: str = "text", *, byte_path: str, piece_pat
     schema = T.StructType([*rows.schema.fields[:-1], *[T.StructField(c, T.LongType(), False) for c in (
         "n_a", "n_b", "n_groups", "n_links")], T.StructField("groups", T.StringType(), False), T.StructField("pairs", pairs, False)])
 
+    by_rank = ranks_decide(byte_path)
+
     def run(batches):
         import hashlib
         import os
@@ -166,27 +240,34 @@ def alignments(docs: DataFrame, text: str = "text", *, byte_path: str, piece_pat
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        first, second = ByteTokens(byte_path), PieceTokens(piece_path)
-        bytes_a, bytes_b = first.bytes_of.__getitem__, second.bytes_of.__getitem__
-        size_a, size_b = ({i: len(v) for i, v in t.bytes_of.items()}.__getitem__ for t in (first, second))
-        ends_of = lambda ids, size: np.cumsum(np.fromiter(map(size, ids), np.int64, len(ids)))
+        first, second = ByteTokens(byte_path, by_rank), PieceTokens(piece_path)
+        sides = []
+        for tokens, last in ((first, "|"), (second, ";")):
+            size = 1 + max(tokens.bytes_of)
+            lengths = np.zeros(size, np.int64)
+            lengths[list(tokens.bytes_of)] = [len(v) for v in tokens.bytes_of.values()]
+            sides.append((tokens.bytes_of.__getitem__, lengths, Names(size, last)))
+        (bytes_a, length_a, names_a), (bytes_b, length_b, names_b) = sides
         nothing = (0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
 
         def one(t, ids_a, ids_b):
             raw = (" " + t).encode()
             if not t or b"".join(map(bytes_a, ids_a)) != raw or b"".join(map(bytes_b, ids_b)) != raw:
                 return nothing
-            groups, count, left, right = aligned_tokens(ids_a, ids_b, ends_of(ids_a, size_a), ends_of(ids_b, size_b))
+            row_a, row_b = np.fromiter(ids_a, np.int64, len(ids_a)), np.fromiter(ids_b, np.int64, len(ids_b))
+            cuts = stretches(np.cumsum(length_a[row_a]), np.cumsum(length_b[row_b]))
+            groups = written(ids_a, ids_b, cuts, names_a, names_b)
             if digest:
                 groups = hashlib.sha256(groups.encode()).hexdigest()
-            key, links = np.unique(np.array(left, np.int64) << 32 | np.array(right, np.int64), return_counts=True)
-            return len(ids_a), len(ids_b), count, len(left), groups, key, links
+            count, at_a, at_b = linked(cuts)
+            key, links = np.unique(row_a[at_a] << 32 | row_b[at_b], return_counts=True)
+            return len(ids_a), len(ids_b), count, len(at_a), groups, key, links
 
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             for places in _portions(texts):
                 some = [texts[i] for i in places]
-                found = [one(*x) for x in zip(some, first.encode([" " + t for t in some]), second.encode(some))]
+                found = [one(*x) for x in zip(some, first.encode(some), second.encode(some))]
                 key, links = (np.concatenate([f[c] for f in found]) for c in (5, 6))
                 ends = np.concatenate([[0], np.cumsum([len(f[5]) for f in found])]).astype(np.int32)
                 items = pa.StructArray.from_arrays(

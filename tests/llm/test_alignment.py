@@ -105,12 +105,28 @@ def test_groups_end_at_common_ends(seed):
         a, b = (c[c > 0].astype(np.int64) for c in cuts)
         shared = np.flatnonzero(draw.random(end) < draw.choice([0.0, 0.9]))
         a, b = (np.union1d(x, shared[shared > 0]).astype(np.int64) for x in (a, b))
-        got, at = [], (0, 0)
-        for i, j, i2, j2, run in alignment.groups_of(a, b):
-            assert (i, j) == at and a[i2 - 1] == b[j2 - 1] and (not run or i2 - i == j2 - j)
-            got += a[i:i2].tolist() if run else [a[i2 - 1]]
-            at = i2, j2
-        assert got == np.intersect1d(a, b).tolist() and at == (len(a), len(b))
+        cuts = alignment.stretches(a, b)
+        count, at_a, at_b = alignment.linked(cuts)
+        common = np.intersect1d(a, b)
+        bounds = np.union1d(a, b)
+        assert count == len(common)
+        assert at_a.tolist() == np.searchsorted(a, bounds).tolist() and at_b.tolist() == np.searchsorted(b, bounds).tolist()
+        ends = [x for i, n in zip(cuts[0], cuts[2]) for x in (a[i:i + n] if n > 0 else a[i:i + 1] if n else ())]
+        assert ends == common.tolist()
+
+
+def test_both_libraries_give_the_same_ids():
+    """Spaces of every sort beside letters, digits, marks, emoji and quotes; then every character of the settled ranges."""
+    assert alignment.ranks_decide(PATHS["byte_path"])
+    draw = random.Random(8)
+    parts = [" ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u2028", "\x1c", "\x85", "a", "the", "é", "e\u0301", "\u0301", "'s", "'", "12", "½", "ﬁ", "日本",
+             "🙂", "...", "▁", "<s>", "<|endoftext|>", "İ", "x" * 70, "\u00ad", " " * 600]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 25))) for _ in range(4000)]
+    ranges = ((0, 0x530), (0x2010, 0x205F), (0x4E00, 0x9FA6), (0xAC00, 0xD7A4))
+    texts += [f"a{chr(c)}1 {chr(c)}{chr(c)}b" for low, high in ranges for c in range(low, high)]
+    tokens = alignment.ByteTokens(PATHS["byte_path"], True)
+    assert tokens.fast is not None and tokens.encode(texts) == tokens._whole(texts)
+    assert sum(alignment.UNSETTLED.search(t) is None for t in texts) > 30_000
 
 
 def test_long_text_null_columns_repeats_and_empty_table(documents):
