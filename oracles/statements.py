@@ -412,15 +412,33 @@ def _rank(c: str) -> str:
     return f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE"
 
 
-_sp = ["h_70p", "lod12_volume", "footprint_area", "bag_no_units", "clean_floors"]
 check("f02_spearman", " UNION ALL ".join(
     f"""SELECT '{a}' AS feature_a, '{b}' AS feature_b, count(*) AS n, round(corr(ra, rb), 6) AS corr FROM (
     SELECT {_rank(a)} AS ra, {_rank(b)} AS rb FROM {{clean_nan}} WHERE {a} IS NOT NULL AND {b} IS NOT NULL) r"""
-    for a in _sp for b in _sp))
+    for a in CORR_COLUMNS for b in CORR_COLUMNS))
 check("f03_o02_variance_inflation", " UNION ALL ".join(
     f"""SELECT '{c}' AS variables, round(1 / (1 - corr(footprint_area, footprint_no_vertices)
     * corr(footprint_area, footprint_no_vertices)), 6) AS VIF FROM {{clean_nan}}"""
     for c in ("footprint_area", "footprint_no_vertices")))
+# Normal equations solved by sweeping one column after the other; a column without variance left is passed over, and it
+# and all that weigh in it have infinite factors. Column 0 carries the means, for the intercept.
+_k = len(FEATURES)
+view("vif_rows", "SELECT * FROM {clean_nan} WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in FEATURES))
+view("sweep_0", " UNION ALL ".join(
+    [f"SELECT {i} AS i, {j} AS j, corr({a}, {b}) AS v FROM {{vif_rows}}"
+     for i, a in enumerate(FEATURES, 1) for j, b in enumerate(FEATURES, 1)]
+    + [f"SELECT {i} AS i, 0 AS j, avg({a}) / stddev_pop({a}) AS v FROM {{vif_rows}} UNION ALL SELECT 0, {i}, avg({a}) / stddev_pop({a}) "
+       "FROM {vif_rows}" for i, a in enumerate(FEATURES, 1)] + ["SELECT 0 AS i, 0 AS j, 0.0::DOUBLE AS v"]))
+for _p in range(1, _k + 1):
+    view(f"sweep_{_p}", f"""SELECT m.i, m.j, CASE WHEN d.v < 1e-10 THEN m.v WHEN m.i = {_p} AND m.j = {_p} THEN -1 / d.v
+        WHEN m.i = {_p} OR m.j = {_p} THEN m.v / d.v ELSE m.v - r.v * c.v / d.v END AS v FROM {{sweep_{_p - 1}}} m
+        JOIN {{sweep_{_p - 1}}} d ON d.i = {_p} AND d.j = {_p} JOIN {{sweep_{_p - 1}}} r ON r.i = m.i AND r.j = {_p}
+        JOIN {{sweep_{_p - 1}}} c ON c.i = {_p} AND c.j = m.j""")
+view("left_out", f"SELECT i FROM {{sweep_{_k}}} WHERE i = j AND i > 0 AND v > -0.5")
+check("f03_variance_inflation_all", f"""SELECT variables, round(CASE WHEN m.i > 0 AND (m.i IN (FROM {{left_out}}) OR EXISTS (
+        SELECT 1 FROM {{sweep_{_k}}} w WHERE w.i = m.i AND w.j IN (FROM {{left_out}}) AND abs(w.v) > 1e-6)) THEN 'inf'::DOUBLE
+    WHEN m.i = 0 THEN 1 - m.v ELSE -m.v END, 4) AS VIF FROM {{sweep_{_k}}} m JOIN (VALUES (0, 'intercept'), """ + ", ".join(
+    f"({i}, '{c}')" for i, c in enumerate(FEATURES, 1)) + ") n(i, variables) ON n.i = m.i WHERE m.i = m.j")
 view("f_scores", " UNION ALL ".join(
     f"""SELECT '{c}' AS feature, corr({c}, clean_floors) * corr({c}, clean_floors)
     / (1 - corr({c}, clean_floors) * corr({c}, clean_floors)) * (count(*) - 2) AS score FROM {{full_rows}}""" for c in FEATURES))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pandwerk.functions.scalar import nan_to_null
 
-_SCHEMA = "i int, j int, n double, mx double, my double, sxx double, syy double, sxy double"
+_SCHEMA = "g int, i int, j int, n double, mx double, my double, sxx double, syy double, sxy double"
 
 
 def centred_block(x: np.ndarray) -> np.ndarray:
@@ -49,32 +49,42 @@ def merged_blocks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def pairwise_moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows ``(i, j, n, mx, my, sxx, syy, sxy)``: means and centred sums where both columns are present.
+    """Rows ``(i, j, n, mx, my, sxx, syy, sxy)``: means and centred sums where both columns are present."""
+    return grouped_moments(df, [columns]).drop("g")
 
-    Each task merges its Arrow batches to one k-by-k block, so only blocks are shuffled; blocks of
+
+def grouped_moments(df: DataFrame, groups: list[list[str]]) -> DataFrame:
+    """`pairwise_moments` within each of several lists of columns, which may overlap, from one scan; ``g`` is the list.
+
+    Each task merges its Arrow batches to one k-by-k block a list, so only blocks are shuffled; blocks of
     tasks are merged by the same rule.
     """
+    columns = list(dict.fromkeys(c for group in groups for c in group))
     numeric = df.select(*[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
-    k = len(columns)
+    places = [[columns.index(c) for c in group] for group in groups]
 
     def reduce_partition(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
+        totals: list = [None] * len(places)
         for batch in batches:
-            block = centred_block(batch.to_numpy(dtype=float))
-            total = block if total is None else merged_blocks(total, block)
-        if total is not None:
-            i, j = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), **{
-                name: total[m].ravel() for m, name in enumerate(("n", "mx", "my", "sxx", "syy", "sxy"))}})
+            x = batch.to_numpy(dtype=float)
+            for g, at in enumerate(places):
+                block = centred_block(x[:, at])
+                totals[g] = block if totals[g] is None else merged_blocks(totals[g], block)
+        for g, total in enumerate(totals):
+            if total is not None:
+                k = len(places[g])
+                i, j = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
+                yield pd.DataFrame({"g": g, "i": i.ravel(), "j": j.ravel(), **{
+                    name: total[m].ravel() for m, name in enumerate(("n", "mx", "my", "sxx", "syy", "sxy"))}})
 
     blocks = numeric.mapInPandas(reduce_partition, schema=_SCHEMA)
     # a pair has one block per task
-    pair = Window.partitionBy("i", "j")
+    pair = Window.partitionBy("g", "i", "j")
     rows = F.sum("n").over(pair)
     centre = lambda c: F.coalesce(F.try_divide(F.sum(F.col("n") * F.col(c)).over(pair), rows), F.lit(0.0))
     spread = blocks.withColumns({"_mx": centre("mx"), "_my": centre("my")})
     dx, dy = F.col("mx") - F.col("_mx"), F.col("my") - F.col("_my")
-    return spread.groupBy("i", "j").agg(
+    return spread.groupBy("g", "i", "j").agg(
         F.sum("n").alias("n"), F.first("_mx").alias("mx"), F.first("_my").alias("my"),
         F.sum(F.col("sxx") + F.col("n") * dx * dx).alias("sxx"), F.sum(F.col("syy") + F.col("n") * dy * dy).alias("syy"),
         F.sum(F.col("sxy") + F.col("n") * dx * dy).alias("sxy"))
@@ -82,10 +92,15 @@ def pairwise_moments(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def correlation_long(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows ``(feature_a, feature_b, n, corr)`` for all ordered pairs; NULL where undefined."""
-    names = F.array(*[F.lit(c) for c in columns])
+    return grouped_correlation(df, [columns]).drop("g")
+
+
+def grouped_correlation(df: DataFrame, groups: list[list[str]]) -> DataFrame:
+    """`correlation_long` within each list of columns, from one scan; ``g`` is the list."""
+    names = F.array(*[F.array(*[F.lit(c) for c in group]) for group in groups])
     # a constant column leaves rounding noise of its mean only
     varies = lambda s, m: F.col(s) > F.col("n") * F.col(m) * F.col(m) * 1e-26
-    return pairwise_moments(df, columns).select(
-        F.get(names, F.col("i")).alias("feature_a"), F.get(names, F.col("j")).alias("feature_b"),
+    return grouped_moments(df, groups).select(
+        "g", F.get(names[F.col("g")], F.col("i")).alias("feature_a"), F.get(names[F.col("g")], F.col("j")).alias("feature_b"),
         F.col("n").cast("bigint").alias("n"),
         F.when(varies("sxx", "mx") & varies("syy", "my"), F.col("sxy") / F.sqrt("sxx") / F.sqrt("syy")).alias("corr"))

@@ -11,10 +11,6 @@ from pandwerk.functions.lineage import checkpointed
 SKETCH_ACCURACY = 10_000
 
 
-# Distinct values that one range of a ranking orders, on average.
-VALUES_PER_RANGE = 20_000
-
-
 def group_percentiles(df: DataFrame, by: list[str], value: str, probs: list[float]) -> DataFrame:
     """One row per group: ``by``, ``n`` and an array ``q`` of exact percentiles of ``value``.
 
@@ -85,28 +81,40 @@ def _join_on(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
     return left.join(right, by) if by else left.crossJoin(F.broadcast(right))
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str, per_range: int = VALUES_PER_RANGE) -> DataFrame:
-    """One row per distinct (group, value) with its average rank ``rank`` among the group's rows.
+def average_ranks(df: DataFrame, by: list[str], value: str, ranges: int | None = None) -> DataFrame:
+    """One row per distinct (group, value): its number of rows ``n`` and average rank ``rank`` among the group's rows.
 
-    Values are counted first, then split into ranges by a sketch, as many as the largest group's
-    distinct values ask for, so that no task orders more as the table grows; the exact rank does not
-    depend on where the ranges fall.
+    Values are counted first. The counted values of all groups are dealt by range of (group, value) and sorted; a rank is the
+    count up to a value within its range plus the group's counts in earlier ranges. No task holds a group, and no row is
+    compared with the borders of ranges.
     """
-    counts = checkpointed(df.groupBy(*by, value).agg(F.count("*").alias("_c")))
-    largest = counts.groupBy(*by).agg(F.count("*").alias("_d")).agg(F.max("_d")).first()[0] or 0
-    cuts = 2 + largest // per_range
-    probs = F.array(*[F.lit(i / cuts) for i in range(1, cuts)])
-    edges = counts.groupBy(*by).agg(F.percentile_approx(value, probs, 1000).alias("_edges"))
-    placed = _join_on(counts, edges, by).withColumn(
-        "_r", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
-    before = (placed.groupBy(*by, "_r").agg(F.sum("_c").alias("_t"))
-              .withColumn("_before", F.sum("_t").over(
-                  Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)))
-              .select(*by, "_r", F.coalesce("_before", F.lit(0)).alias("_before")))
-    upto = F.sum("_c").over(Window.partitionBy(*by, "_r").orderBy(value)) + F.col("_before")
-    return (placed.join(before, [*by, "_r"])
-            .withColumn("rank", upto - (F.col("_c") - 1) / 2)
-            .select(*by, value, F.col("_c").alias("n"), "rank"))
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("n"))
+    keys = [*by, value]
+    dealt = counts.repartitionByRange(ranges, *keys) if ranges else counts.repartitionByRange(*keys)
+    placed = checkpointed(dealt.withColumn("_range", F.spark_partition_id()))
+    # one row per group and range that holds some of it: ranges plus groups, at most
+    before = placed.groupBy(*by, "_range").agg(F.sum("n").alias("_t")).withColumn("_before", F.coalesce(F.sum("_t").over(
+        Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    upto = F.sum("n").over(Window.partitionBy("_range", *by).orderBy(value)) + F.col("_before")
+    return placed.join(before.drop("_t"), [*by, "_range"]).withColumn("rank", upto - (F.col("n") - 1) / 2).select(*by, value, "n", "rank")
+
+
+#: A (group, value) that a share of 1 / HEAVY of all rows holds is looked up by broadcast; there are at most HEAVY of them.
+HEAVY = 1_000
+
+
+def with_average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Rows with the ``rank`` of their value. Values that very many rows hold do not travel: their ranks are broadcast to
+    the rows, all others are joined by (group, value)."""
+    ranks = checkpointed(average_ranks(df, by, value))
+    total = ranks.agg(F.sum("n")).first()[0] or 0
+    keys = [*by, value]
+    slim = ranks.select(*keys, "rank", (F.col("n") * HEAVY >= total).alias("_heavy"))
+    heavy = F.broadcast(slim.where("_heavy").select(*keys, F.col("rank").alias("_known")))
+    marked = df.join(heavy, keys, "left")
+    often = marked.where("_known is not null").withColumnRenamed("_known", "rank")
+    seldom = marked.where("_known is null").drop("_known").join(slim.where("not _heavy").drop("_heavy"), keys)
+    return often.unionByName(seldom)
 
 
 def smallest_per_group(df: DataFrame, by: list[str], hash_text: Column, tie: str, take: DataFrame) -> DataFrame:

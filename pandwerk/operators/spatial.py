@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pandwerk.functions import geom2d
 from pandwerk.functions.joins import lookup
 from pandwerk.functions.lineage import checkpointed
+from pandwerk.operators.crowds import meeting_weights
 
 # Sub-cells per side at each refinement of a cell.
 REFINE = 16
-# Parts into which the seekers of a cell are dealt; a cell's sub-cells are repeated for each.
+# Parts into which the seekers around a cell are dealt; a cell's sub-cells are repeated for each.
 SALTS = 8
 
 
@@ -29,20 +30,13 @@ def with_cells(df: DataFrame, box: str, size: float) -> DataFrame:
     return df.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys))
 
 
-def box_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, size: float,
-             deal: Column | None = None) -> DataFrame:
+def box_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, size: float) -> DataFrame:
     """Inner join of rows whose bounding boxes overlap.
 
     A pair that meets in several cells is kept only in the cell holding the lower-left corner
     of the overlap, so no shuffle is needed to drop repeats. Column names must be disjoint.
-    With ``deal``, a hash of the left rows, the left rows of a cell go to several tasks.
     """
-    l, r, on = with_cells(left, left_box, size), with_cells(right, right_box, size), ["cx", "cy"]
-    if deal is not None:
-        l = l.withColumn("_part", F.pmod(deal, F.lit(SALTS)).cast("int"))
-        r = r.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        on = [*on, "_part"]
-    pairs = l.join(r, on).drop("_part")
+    pairs = with_cells(left, left_box, size).join(with_cells(right, right_box, size), ["cx", "cy"])
     a, b = F.col(left_box), F.col(right_box)
     owner = ((F.col("cx") == cell_of(F.greatest(a["xmin"], b["xmin"]), size))
              & (F.col("cy") == cell_of(F.greatest(a["ymin"], b["ymin"]), size)))
@@ -89,8 +83,8 @@ def adjacent_counts(buildings: DataFrame, distance: float, target: Column, candi
     ``buildings`` holds targets and candidates in one frame. A target outside the candidate
     classes counts zero, one without a footprint stays NULL. Identical footprints are joined
     once and weighted, so a group of copies does not pair with itself; a building always meets
-    its own buffer and is taken off. Footprints are known by a digest, so that only the cell join
-    carries geometry; the targets of a crowded cell are dealt to several tasks.
+    its own buffer and is taken off. Footprints are known by a digest, so that only the cells' tasks
+    get geometry; a crowded cell is dealt to as many tasks as its counts ask for and swept.
     """
     rows = buildings.select(
         key, F.col(geom).alias("_g"), F.coalesce(target, F.lit(False)).alias("_target"),
@@ -103,9 +97,8 @@ def adjacent_counts(buildings: DataFrame, distance: float, target: Column, candi
              .withColumn("_lbox", geom2d.bbox(F.col("_buffer"))))
     others = (shapes.where("_weight > 0").select(F.col("_g").alias("_rg"), "_weight")
               .withColumn("_rbox", geom2d.bbox(F.col("_rg"))))
-    met = (box_join(grown, others, "_lbox", "_rbox", size, F.xxhash64("_ld"))
-           .where(geom2d.intersects(F.col("_buffer"), F.col("_rg")))
-           .groupBy(F.col("_ld").alias("_d")).agg(F.sum("_weight").alias("_met")))
+    met = meeting_weights(grown, others, "_ld", "_buffer", "_rg", "_weight", "_lbox", "_rbox", size).select(
+        F.col("_ld").alias("_d"), F.col("met").alias("_met"))
     count = F.when(F.col("_d").isNotNull(), F.when(F.col("_candidate"), F.col("_met") - 1).otherwise(0))
     return (lookup(rows.where("_target").drop("_g"), met, ["_d"])
             .select(key, count.cast("int").alias("footprint_no_adjacent")))

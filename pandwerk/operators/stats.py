@@ -8,8 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pandwerk.functions.moments import correlation_long, pairwise_moments
-from pandwerk.functions.quantiles import average_ranks, group_percentiles
+from pandwerk.functions.lineage import checkpointed
+from pandwerk.functions.moments import correlation_long, grouped_correlation, pairwise_moments
+from pandwerk.functions.quantiles import group_percentiles, with_average_ranks
 from pandwerk.functions.scalar import nan_to_null
 from pandwerk.operators.clean import complete_rows, numeric_columns
 from pandwerk.operators.evaluate import as_long
@@ -37,35 +38,31 @@ def _presence_classes(df: DataFrame, columns: list[str]) -> list[list[str]]:
     return [[columns[i] for i in cls] for cls in classes]
 
 
-def _ranked(df: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """Columns replaced by their average ranks, one row per key."""
-    long = as_long(df, columns, "feature", "value", (key,))
-    ranks = average_ranks(long, ["feature"], "value").select("feature", "value", "rank")
-    return (long.join(ranks, ["feature", "value"]).groupBy(key)
-            .pivot("feature", sorted(columns)).agg(F.max("rank")))
-
-
 def spearman(df: DataFrame, columns: list[str], key: str = "bag_id") -> DataFrame:
     """Rank correlation of every ordered pair; ranks are taken over the rows a pair shares.
 
-    Columns with the same missing rows share one ranking, so the number of rankings follows the
-    number of distinct missing patterns, not the number of pairs.
+    Columns with the same missing rows share one ranking, so the number of rankings follows the number of distinct
+    missing patterns, not the number of pairs. All rankings of all pairs of patterns are one grouped ranking.
     """
-    clean = df.select(key, *[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns])
+    clean = checkpointed(df.select(key, *[nan_to_null(F.col(c).cast("double")).alias(c) for c in columns]))
     classes = _presence_classes(clean, columns)
-    parts = []
+    entries, names, cases = [], [], []
     for a, b in itertools.combinations_with_replacement(range(len(classes)), 2):
         cols = classes[a] if a == b else classes[a] + classes[b]
-        both = clean.na.drop(subset=[classes[a][0], classes[b][0]])
-        corr = correlation_long(_ranked(both, cols, key), cols)
-        if a != b:
-            in_a = F.col("feature_a").isin(classes[a])
-            corr = corr.where(in_a != F.col("feature_b").isin(classes[a]))
-        parts.append(corr)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        both = F.col(classes[a][0]).isNotNull() & F.col(classes[b][0]).isNotNull()
+        case = {c: f"{len(cases)}_{c}" for c in cols}
+        cases.append((case, classes[a], classes[b]))
+        names += case.values()
+        entries += [F.when(both, F.struct(F.lit(n).alias("feature"), F.col(c).alias("value"))) for c, n in case.items()]
+    long = clean.select(key, F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")).select(key, "e.*")
+    wide = checkpointed(with_average_ranks(long, ["feature"], "value").groupBy(key).pivot("feature", names).agg(F.max("rank")))
+    own = F.create_map(*[F.lit(x) for case, _, _ in cases for c, n in case.items() for x in (n, c)])
+    part = F.create_map(*[F.lit(x) for k, columns_ in enumerate(classes) for c in columns_ for x in (c, k)])
+    # of two patterns together, only pairs across them
+    across = F.array(*[F.lit(left is not right) for _, left, right in cases])
+    corr = grouped_correlation(wide, [list(case.values()) for case, _, _ in cases]).select(
+        "g", own[F.col("feature_a")].alias("feature_a"), own[F.col("feature_b")].alias("feature_b"), "n", "corr")
+    return corr.where(~across[F.col("g")] | (part[F.col("feature_a")] != part[F.col("feature_b")])).drop("g")
 
 
 def label_correlation(corr: DataFrame, label: str) -> DataFrame:
@@ -84,11 +81,41 @@ def corr_matrix(corr: DataFrame, columns: list[str]) -> np.ndarray:
     return out
 
 
+#: Share of a column's variance that others must leave over for it to count as independent of them, and the least
+#: standardised weight with which a column takes part in a dependency.
+INDEPENDENT, TAKES_PART = 1e-10, 1e-6
+
+
+def independent_columns(corr: np.ndarray) -> tuple[list[int], set[int]]:
+    """(a largest set of independent columns, all columns that take part in a dependency) of a correlation matrix.
+
+    Pivoted Cholesky: the column with most variance left over is taken next, until none has any. A column left out is
+    a combination of those taken; it and all that weigh in it depend on each other.
+    """
+    k = len(corr)
+    left, taken, factor = np.diag(corr).copy(), [], np.zeros((k, 0))
+    while len(taken) < k:
+        open_ = [j for j in range(k) if j not in taken]
+        p = max(open_, key=lambda j: left[j])
+        if not left[p] > INDEPENDENT:
+            break
+        column = (corr[:, p] - factor @ factor[p]) / np.sqrt(left[p])
+        factor = np.column_stack([factor, column])
+        left = left - column**2
+        taken.append(p)
+    dependent: set[int] = set()
+    for j in set(range(k)) - set(taken):
+        weights = np.linalg.solve(corr[np.ix_(taken, taken)], corr[taken, j]) if taken else np.empty(0)
+        dependent |= {j} | {t for t, v in zip(taken, weights) if abs(v) > TAKES_PART}
+    return taken, dependent
+
+
 def variance_inflation(df: DataFrame, columns: list[str]) -> DataFrame:
     """Variance inflation factors with intercept over complete rows, largest first.
 
-    Sums are taken on the executors; the driver inverts a matrix of the number of features.
-    The intercept's factor comes from the uncentred second moments.
+    Sums are taken on the executors; the driver factorises a matrix of the number of features. A column that others
+    determine has an infinite factor, as has the intercept beside a constant column; every other factor is taken
+    against an independent set of the rest. The intercept's factor comes from the uncentred second moments.
     """
     rows = complete_rows(df.select(*columns))
     k = len(columns)
@@ -96,9 +123,16 @@ def variance_inflation(df: DataFrame, columns: list[str]) -> DataFrame:
     for r in pairwise_moments(rows, columns).collect():
         n, cross[r.i, r.j], mean[r.i] = r.n, r.sxy, r.mx
     scale = np.sqrt(np.diag(cross))
-    factors = np.diag(np.linalg.inv(cross / np.outer(scale, scale)))
-    intercept = 1.0 + n * mean @ np.linalg.solve(cross, mean)
-    values = [(c, float(v)) for c, v in zip(columns, factors)] + [("intercept", float(intercept))]
+    constant = scale <= np.abs(mean) * np.sqrt(n) * 1e-13
+    scale[constant] = 1.0
+    corr = cross / np.outer(scale, scale)
+    corr[constant], corr[:, constant] = 0.0, 0.0
+    taken, dependent = independent_columns(corr)
+    inverse = np.linalg.inv(corr[np.ix_(taken, taken)])
+    own = dict(zip(taken, np.diag(inverse)))
+    far = (mean / scale)[taken]
+    intercept = np.inf if constant.any() else 1.0 + n * far @ inverse @ far
+    values = [(c, float("inf") if j in dependent else float(own[j])) for j, c in enumerate(columns)] + [("intercept", float(intercept))]
     out = df.sparkSession.createDataFrame(values, "variables string, VIF double")
     return out.orderBy(F.desc("VIF"), "variables")
 

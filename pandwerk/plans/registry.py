@@ -740,12 +740,9 @@ def _(spark, sf):
     return rounded(stats.label_correlation(corr, LABEL), "corr")
 
 
-SPEARMAN_COLUMNS = ["h_70p", "lod12_volume", "footprint_area", "bag_no_units", LABEL]
-
-
 @query("f02_spearman")
 def _(spark, sf):
-    return rounded(stats.spearman(model_frame(spark, sf), SPEARMAN_COLUMNS), "corr")
+    return rounded(stats.spearman(model_frame(spark, sf), [*NUMERIC, LABEL]), "corr")
 
 
 VIF_COLUMNS = ["footprint_area", "footprint_no_vertices"]
@@ -758,8 +755,7 @@ def _(spark, sf):
 
 @query("f03_variance_inflation_all")
 def _(spark, sf):
-    usable = [c for c in NUMERIC if c not in ("h_min", "h_50p", "h_max")]
-    return stats.variance_inflation(model_frame(spark, sf), usable)
+    return stats.variance_inflation(model_frame(spark, sf), NUMERIC).withColumn("VIF", F.round("VIF", 4))
 
 
 @query("f04_f_scores")

@@ -72,7 +72,7 @@ def test_average_ranks_match_pandas(spark):
     pdf = pd.DataFrame(rows, columns=["g", "v"])
     pdf["r"] = pdf.groupby("g").v.rank()
     want = {(g, v): r for g, v, r in pdf.itertuples(index=False)}
-    got = {(r.g, r.v): r["rank"] for r in quantiles.average_ranks(df, ["g"], "v", per_range=8).collect()}
+    got = {(r.g, r.v): r["rank"] for r in quantiles.average_ranks(df, ["g"], "v", ranges=8).collect()}
     assert got == want
 
 
@@ -136,3 +136,33 @@ def test_scalar_rounding_and_percentile(spark):
     rows = df.select(linear_percentile(F.col("a"), 0.9).alias("p"), round_half_even(F.col("v")).alias("r")).collect()
     assert abs(rows[0].p - np.percentile([1, 2, 4, 9], 90)) < 1e-12 and rows[1].p is None
     assert [r.r for r in rows] == [2.0, 4.0]
+
+
+def test_dependent_columns_have_infinite_inflation(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 4)) + [0.0, 5.0, 100.0, 1e4]
+    pdf = pd.DataFrame(x, columns=list("abcd"))
+    pdf["e"] = pdf.a + rng.normal(size=400) * 0.3
+    pdf["f"] = 2 * pdf.b - 3 * pdf.c + 1  # f, b and c determine each other
+    got = {r["variables"]: r["VIF"] for r in stats.variance_inflation(spark.createDataFrame(pdf), list("abcdef")).collect()}
+    assert [k for k, v in got.items() if v == float("inf")] == ["b", "c", "f"]
+    for c in "ade":
+        rest = np.column_stack([pdf[[k for k in "abcde" if k != c]], np.ones(400)])
+        error = pdf[c] - rest @ np.linalg.lstsq(rest, pdf[c], rcond=None)[0]
+        assert got[c] == pytest.approx(pdf[c].var(ddof=0) / (error**2).mean(), rel=1e-6)
+    design = np.column_stack([pdf[list("abcde")], np.ones(400)])
+    error = 1 - design[:, :5] @ np.linalg.lstsq(design[:, :5], np.ones(400), rcond=None)[0]
+    assert got["intercept"] == pytest.approx(1 / (error**2).mean(), rel=1e-4)
+    pdf["k"] = 3.0
+    flat = {r["variables"]: r["VIF"] for r in stats.variance_inflation(spark.createDataFrame(pdf), ["a", "e", "k"]).collect()}
+    assert flat["k"] == flat["intercept"] == float("inf") and flat["a"] == pytest.approx(flat["e"])
+
+
+@pytest.mark.parametrize("heavy", [1, 20, 1_000])
+def test_ranks_reach_every_row(spark, monkeypatch, heavy):
+    monkeypatch.setattr(quantiles, "HEAVY", heavy)
+    rows = _values(600)
+    got = quantiles.with_average_ranks(spark.createDataFrame(rows, "g int, v double").withColumn("n", F.lit(7)), ["g"], "v").collect()
+    pdf = pd.DataFrame(rows, columns=["g", "v"])
+    pdf["r"] = pdf.groupby("g").v.rank()
+    assert sorted((r.g, r.v, r["rank"], r.n) for r in got) == sorted((g, v, r, 7) for g, v, r in pdf.itertuples(index=False))
