@@ -48,8 +48,23 @@ def surface_area(faces: Column, sem: int) -> Column:
     return F.aggregate(of_kind, F.lit(0.0), lambda acc, f: acc + polygon_area(f["ring"]))
 
 
-def distinct_vertices(faces: Column) -> Column:
-    return F.array_distinct(F.flatten(F.transform(faces, lambda f: open_ring(f["ring"]))))
+def _vertex_key(p: Column) -> Column:
+    """64-bit key of a vertex; zero has one sign."""
+    return F.xxhash64(*[p[k] + F.lit(0.0) for k in "xyz"])
+
+
+def _count_sorted(values: Column, start: Column) -> Column:
+    """Number of different values, from sorted neighbours. ``start`` is a value of the same type."""
+    state = F.struct(start.alias("last"), F.lit(0).alias("n"))
+    return F.aggregate(F.sort_array(values), state, lambda s, v: F.struct(
+        v.alias("last"), (s["n"] + F.when((s["n"] > 0) & (v == s["last"]), 0).otherwise(1)).alias("n")), lambda s: s["n"])
+
+
+def vertex_count(faces: Column) -> Column:
+    """Number of different vertices."""
+    corners = F.flatten(F.transform(faces, lambda f: open_ring(f["ring"])))
+    points = F.transform(corners, lambda p: F.struct(*[(p[k] + F.lit(0.0)).alias(k) for k in "xyz"]))
+    return F.when(faces.isNotNull(), _count_sorted(points, F.struct(*[F.lit(0.0).alias(k) for k in "xyz"])))
 
 
 def closed_volume(faces: Column) -> Column:
@@ -74,11 +89,37 @@ def bounds(faces: Column) -> Column:
 
 
 def _edge_codes(faces: Column) -> Column:
-    """``struct<e,r>``: directed edges and their reverses as numbers over vertex positions.
+    """``struct<e,r,n>``: directed edges and their reverses as 64-bit keys, and the number of vertices.
 
-    Numbering the few distinct vertices once keeps the comparison of edges on plain integers.
+    Vertices and edges are known by hashes, so that large meshes cost sorts and hash sets only. The keys are checked:
+    there must be as many as different vertices and edges. Else vertices are numbered one by one.
     """
-    held = F.array(F.struct(distinct_vertices(faces).alias("v")))
+    rings = F.transform(faces, lambda f: F.transform(f["ring"], _vertex_key))
+    corners = F.flatten(F.transform(faces, lambda f: open_ring(f["ring"])))
+
+    def steps(ring):
+        n = F.size(ring)
+        return F.zip_with(F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1),
+                          lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def keyed(p):
+        e = F.transform(p, lambda s: F.xxhash64(s["a"], s["b"]))
+        r = F.transform(p, lambda s: F.xxhash64(s["b"], s["a"]))
+        both = F.concat(p, F.transform(p, lambda s: F.struct(s["b"].alias("a"), s["a"].alias("b"))))
+        return F.struct(e.alias("e"), r.alias("r"), F.size(F.array_distinct(F.transform(corners, _vertex_key))).alias("n"),
+                        _count_sorted(both, F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))).alias("edges"))
+
+    hashed = F.transform(F.array(F.flatten(F.transform(rings, steps))), keyed)
+    def checked(h):
+        sound = (vertex_count(faces) == h["n"]) & (F.size(F.array_distinct(F.concat(h["e"], h["r"]))) == h["edges"])
+        return F.when(sound, F.struct(h["e"].alias("e"), h["r"].alias("r"), h["n"].alias("n"))).otherwise(_numbered_edges(faces))
+
+    return F.transform(hashed, checked)[0]
+
+
+def _numbered_edges(faces: Column) -> Column:
+    """The same over positions of vertices; every corner is looked up among all of them."""
+    held = F.array(F.struct(F.array_distinct(F.flatten(F.transform(faces, lambda f: open_ring(f["ring"])))).alias("v")))
 
     def numbered(s):
         rings = F.transform(faces, lambda f: F.transform(f["ring"], lambda p: F.array_position(s["v"], p)))
@@ -99,8 +140,13 @@ def _edge_codes(faces: Column) -> Column:
 def quality(faces: Column) -> Column:
     """``struct<n_vertices, open_edges, codes>``; no codes means a closed two-manifold.
 
-    Each directed edge must be paired with its reverse exactly once.
+    Each directed edge must be paired with its reverse exactly once. The faces are held, as the expression that
+    builds them may be a long one.
     """
+    return F.transform(F.array(faces), _quality)[0]
+
+
+def _quality(faces: Column) -> Column:
     degenerate = F.exists(faces, lambda f: polygon_area(f["ring"]) <= 0)
 
     def verdict(p):

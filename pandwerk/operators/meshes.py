@@ -22,13 +22,17 @@ STUDY_SCALES = (50, 75, 100, 125, 150, 175, 200, 225, 250)
 def fetch(buildings: DataFrame, lod_3d: DataFrame) -> DataFrame:
     """Meshes of buildings through the 3D id, one per building; unchecked meshes are left out.
 
-    Of several meshes of an id the smallest array of faces is taken. Repeats are dropped on the join
-    key, so the meshes themselves are shuffled once.
+    Ids are counted from their column alone. A mesh whose id occurs once goes straight into the join with its building,
+    its only shuffle; of several meshes of an id the smallest array of faces is taken.
     """
-    meshes = (lod_3d.where(F.col("val3dity_codes").isNotNull())
-              .groupBy(F.col("fid").alias("bag3d_id")).agg(F.min("faces").alias("faces")))
-    return buildings.select("bag_id", "bag3d_id", "bag3d_roof_type", "bag3d_h_ground").join(
-        meshes, "bag3d_id").drop("bag3d_id")
+    checked = lod_3d.where(F.col("val3dity_codes").isNotNull()).select(F.col("fid").alias("bag3d_id"), "faces")
+    wanted = buildings.select("bag_id", "bag3d_id", "bag3d_roof_type", "bag3d_h_ground")
+    repeated = checkpointed(checked.groupBy("bag3d_id").agg(F.count("*").alias("_n")).where("_n > 1").select("bag3d_id"))
+    if repeated.limit(1).count() == 0:
+        return wanted.join(checked, "bag3d_id").drop("bag3d_id")
+    once = checked.join(repeated, "bag3d_id", "left_anti")
+    several = checked.join(repeated, "bag3d_id", "left_semi").groupBy("bag3d_id").agg(F.min("faces").alias("faces"))
+    return wanted.join(once.unionByName(several), "bag3d_id").drop("bag3d_id")
 
 
 def height_columns(prefix: str = "lod22") -> dict[str, Column]:
