@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import time
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +20,7 @@ BROADCAST_ROWS = 20_000
 #: The same for tables of one or two numbers that are joined to whole texts.
 BROADCAST_IDS = 400_000
 
-__all__ = ["BROADCAST_IDS", "BROADCAST_ROWS", "GAP", "WORD", "checkpointed", "components", "global_rank", "let", "lower_ascii",
+__all__ = ["BROADCAST_IDS", "BROADCAST_ROWS", "GAP", "WORD", "checkpointed", "components", "drop_shuffles", "global_rank", "let", "lower_ascii",
            "read_table", "recording", "release", "scratch_path", "small_side", "words"]
 
 
@@ -56,6 +58,13 @@ def release(spark: SparkSession, docs: DataFrame) -> None:
             _RECORDED.remove(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now: it does so once their plans are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(2)  # files are deleted in the background
+
+
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -10,11 +10,12 @@ a cluster is then bounded by parity sketches and, where these leave it open, che
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pandwerk.llm.common import BROADCAST_IDS, checkpointed, components, small_side
+from pandwerk.llm.common import BROADCAST_IDS, checkpointed, components, drop_shuffles, small_side
 
 N, PERCENT = 4, 85
 #: Words whose hashes a worker remembers.
@@ -148,8 +149,9 @@ def signatures(elements, bands: Bands):
     return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
 
 
-def _signed(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    """(sig, sid) of every distinct set a task meets; copies within a task sign once."""
+def _signed(docs: DataFrame, text: str, n: int, percent: int, rounds: int, this: int) -> DataFrame:
+    """(sig, sid) of every distinct set a task meets; copies within a task sign once. Of several rounds, each hands out
+    one range of the signatures' hashes."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -169,6 +171,8 @@ def _signed(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
                         seen.clear()
                     seen.add(key)
                     found = signatures(elements, bands)
+                    if rounds > 1:
+                        found = found[(found.view(np.uint64) >> np.uint64(32)) * np.uint64(rounds) >> np.uint64(32) == np.uint64(this)]
                     sigs.append(found)
                     keys.append(np.full(len(found), key, np.int64))
                 if sigs:
@@ -333,7 +337,17 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("task").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, text: str = "text", *, n: int = N, percent: int = PERCENT,
+def _candidate_links(docs: DataFrame, text: str, n: int, percent: int, rounds: int) -> DataFrame:
+    """`_sharing` of all signatures, one range of their hashes a round; a round's shuffle is let go before the next."""
+    found = []
+    for this in range(rounds):
+        found.append(checkpointed(_sharing(_signed(docs, text, n, percent, rounds, this))))
+        if rounds > 1:
+            drop_shuffles(docs.sparkSession)
+    return reduce(DataFrame.union, found)
+
+
+def jaccard_components(docs: DataFrame, text: str = "text", *, n: int = N, percent: int = PERCENT, rounds: int = 1,
                        carry: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, labels). rows: the `carry` columns (default: all but the text) as _c0, _c1, ..., `n` (set size), `sid` (key
     of the set) and `rid`; labels: sid and `component` of every set that is linked with another set.
@@ -347,24 +361,24 @@ def jaccard_components(docs: DataFrame, text: str = "text", *, n: int = N, perce
     different components is bounded or compared. Clusters above a block's size are compared block by block,
     blocks of one cluster in different tasks: first each alone, then delegates of all, then only pairs of
     blocks that still hold different components.
+
+    With `rounds` the texts are signed that many times, each time for one range of the signatures' hashes, so that the
+    shuffle of signatures takes that part of the disk. The result does not depend on it.
     """
     carry = [c for c in docs.columns if c != text] if carry is None else list(carry)
-    clusters = checkpointed(components(checkpointed(_sharing(_signed(docs, text, n, percent))))
-                            .withColumnRenamed("component", "cluster"))
+    clusters = checkpointed(components(_candidate_links(docs, text, n, percent, rounds)).withColumnRenamed("component", "cluster"))
     wanted = docs.sparkSession.sparkContext.broadcast(_filter_bits(clusters))
     described = checkpointed(_described(docs, text, carry, n, wanted).withColumn("rid", F.monotonically_increasing_id()))
 
-    candidates = described.where("elements is not null").select("sid", "n", "elements").join(
-        clusters.withColumnRenamed("node", "sid"), "sid")
-    sizes = checkpointed(described.where("elements is not null").select("sid", "n").distinct()
-                         .join(clusters.withColumnRenamed("node", "sid"), "sid")
-                         .groupBy("cluster").agg(F.sum("n").alias("total")))
-    blocks = F.ceil(F.col("total") / BLOCK_ELEMENTS).cast("int")
-    sizes = sizes.withColumn("blocks", F.greatest(blocks, F.lit(1)))
+    # tasks are dealt over ids and sizes; the sets themselves follow in one join
+    members = described.where("elements is not null").select("sid", "n").distinct().join(clusters.withColumnRenamed("node", "sid"), "sid")
+    sizes = checkpointed(members.groupBy("cluster").agg(F.sum("n").alias("total")))
+    sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("total") / BLOCK_ELEMENTS).cast("int"), F.lit(1)))
     total = sizes.where("blocks = 1").agg(F.sum("total")).first()[0] or 0
     packs = max(1, 4 * math.ceil(total / BLOCK_ELEMENTS))
-    placed = checkpointed(candidates.join(sizes, "cluster").withColumn(
+    dealt = checkpointed(clusters.withColumnRenamed("node", "sid").join(small_side(sizes, BROADCAST_IDS), "cluster").withColumn(
         "block", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int")))
+    placed = described.where("elements is not null").select("sid", "n", "elements").join(small_side(dealt, BROADCAST_IDS), "sid")
     alone = placed.withColumn("task", F.when(F.col("blocks") == 1, F.struct(
         F.lit(0).cast("long").alias("c"), F.pmod(F.xxhash64("cluster"), F.lit(packs)).cast("int").alias("x"), F.lit(0).alias("y"))
     ).otherwise(F.struct(F.col("cluster").alias("c"), F.col("block").alias("x"), F.lit(-1).alias("y"))))

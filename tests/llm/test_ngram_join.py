@@ -74,6 +74,13 @@ def test_blocks_of_one_cluster_match_brute_force(documents, monkeypatch):
     assert found(documents([(i, t, None, None) for i, t in rows])) == expected(rows)
 
 
+def test_rounds_change_nothing(documents):
+    rows = corpus(7)
+    docs = documents([(i, t, None, None) for i, t in rows])
+    out = ngram_join.component_ids(docs, "doc_id", rounds=3).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == expected(rows)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_similar_sets_share_a_signature(seed):
     import numpy as np
