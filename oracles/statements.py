@@ -435,10 +435,11 @@ for _p in range(1, _k + 1):
         JOIN {{sweep_{_p - 1}}} d ON d.i = {_p} AND d.j = {_p} JOIN {{sweep_{_p - 1}}} r ON r.i = m.i AND r.j = {_p}
         JOIN {{sweep_{_p - 1}}} c ON c.i = {_p} AND c.j = m.j""")
 view("left_out", f"SELECT i FROM {{sweep_{_k}}} WHERE i = j AND i > 0 AND v > -0.5")
-check("f03_variance_inflation_all", f"""SELECT variables, round(CASE WHEN m.i > 0 AND (m.i IN (FROM {{left_out}}) OR EXISTS (
+VIF_ALL = f"""SELECT variables, round(CASE WHEN m.i > 0 AND (m.i IN (FROM {{left_out}}) OR EXISTS (
         SELECT 1 FROM {{sweep_{_k}}} w WHERE w.i = m.i AND w.j IN (FROM {{left_out}}) AND abs(w.v) > 1e-6)) THEN 'inf'::DOUBLE
     WHEN m.i = 0 THEN 1 - m.v ELSE -m.v END, 4) AS VIF FROM {{sweep_{_k}}} m JOIN (VALUES (0, 'intercept'), """ + ", ".join(
-    f"({i}, '{c}')" for i, c in enumerate(FEATURES, 1)) + ") n(i, variables) ON n.i = m.i WHERE m.i = m.j")
+    f"({i}, '{c}')" for i, c in enumerate(FEATURES, 1)) + ") n(i, variables) ON n.i = m.i WHERE m.i = m.j"
+check("f03_variance_inflation_all", VIF_ALL)
 view("f_scores", " UNION ALL ".join(
     f"""SELECT '{c}' AS feature, corr({c}, clean_floors) * corr({c}, clean_floors)
     / (1 - corr({c}, clean_floors) * corr({c}, clean_floors)) * (count(*) - 2) AS score FROM {{full_rows}}""" for c in FEATURES))
@@ -513,3 +514,35 @@ check("prep_feature_table", f"""SELECT l.bag_id, l.data_source, l.no_floors, c.b
     LEFT JOIN {{lod12_2d}} h ON h.fid = r.bag3d_id LEFT JOIN {{esri}} e ON e.identificatie = l.bag_id
     LEFT JOIN {{census}} s ON s.bag_id = l.bag_id LEFT JOIN {{adjacent}} a ON a.bag_id = l.bag_id
     LEFT JOIN {{neighbours}} n ON n.bag_id = l.bag_id LEFT JOIN {{meshed}} g ON g.bag_id = l.bag_id""")
+
+view("unseen", """SELECT DISTINCT identificatie AS bag_id FROM {pand}
+    WHERE region = 4 AND pandstatus = 'Pand in gebruik' AND einddatumtijdvakgeldigheid IS NULL""")
+view("unseen_features", f"""SELECT u.bag_id, c.bag_function, nullif(p.bouwjaar, 1005) AS bag_construction_year, c.bag_net_internal_area,
+    c.bag_no_units, r.bag3d_roof_type, {TYPE_CASE} AS esri_building_type, h.h_dak_70p - r.bag3d_h_ground AS h_70p, s.cbs_pop_per_km2,
+    p.w * p.d AS footprint_area, a.n AS footprint_no_adjacent, n.footprint_no_neighbours_100m, g.w * g.d AS lod12_area_roof
+    FROM {{unseen}} u JOIN {{residential}} c ON c.bag_id = u.bag_id
+    LEFT JOIN {{in_use}} p ON p.identificatie = u.bag_id LEFT JOIN {{register3d}} r ON r.bag_id = u.bag_id
+    LEFT JOIN {{lod12_2d}} h ON h.fid = r.bag3d_id LEFT JOIN {{esri}} e ON e.identificatie = u.bag_id
+    LEFT JOIN {{census}} s ON s.bag_id = u.bag_id LEFT JOIN {{adjacent}} a ON a.bag_id = u.bag_id
+    LEFT JOIN {{neighbours}} n ON n.bag_id = u.bag_id LEFT JOIN {{meshed}} g ON g.bag_id = u.bag_id""")
+check("l18_case_study_table", """SELECT bag_id, bag_function, bag_construction_year, bag_net_internal_area, bag_no_units, bag3d_roof_type,
+    esri_building_type, round(h_70p, 6) AS h_70p, cbs_pop_per_km2, round(footprint_area, 6) AS footprint_area, footprint_no_adjacent,
+    footprint_no_neighbours_100m, round(lod12_area_roof, 6) AS lod12_area_roof, by_height AS floors_height_based, by_area AS floors_area_based,
+    coalesce(by_height, by_area) AS ref_model,
+    round(coalesce(h_70p / 2.65::DOUBLE, bag_net_internal_area / nullif(footprint_area, 0)), 6) AS ref_model_unrounded
+    FROM (SELECT *, cast(round_even(h_70p / 2.65::DOUBLE, 0) AS int) AS by_height,
+          cast(round_even(bag_net_internal_area / nullif(footprint_area, 0) + 0.4::DOUBLE, 0) AS int) AS by_area FROM {unseen_features}) f""")
+check("s15_statistic_tables", f"""SELECT 'label_correlation' AS statistic, feature_b AS feature, round(corr, 4) AS value FROM {{corr_long}}
+    WHERE feature_a = 'clean_floors' AND feature_b <> 'clean_floors'
+    UNION ALL SELECT 'variance_inflation', variables, round(VIF, 4) FROM ({VIF_ALL}) v""")
+
+# --- id hash -----------------------------------------------------------------------------------
+
+# CRC-32 folded over the eight bytes of an id, least byte first, with the table of the reflected polynomial.
+view("crc_table", """SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps""")
+view("id_crc", """SELECT bag_id, xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(range(8), lambda k: (bag_id::BIGINT >> (8 * k)) & 255)),
+      lambda c, b: xor(c >> 8, t.steps[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM {stock} s, {crc_table} t""")
+check("w06_id_hash_split", """SELECT bag_id, crc, CASE WHEN crc < 0.2::DOUBLE * 4294967296 THEN 'test' ELSE 'train' END AS split
+    FROM {id_crc}""")

@@ -948,8 +948,81 @@ def _(spark, sf):
     return training.permutation_importance(model, frame.where("split = 'train'"))
 
 
-@query("l18_case_study")
+def unseen_table(spark, sf) -> DataFrame:
+    """Features and rule of thumb of the case study's buildings, from the registers."""
+    ids = enrich.case_study_ids(b.pand(spark, sf).where("region = 4"))
+    return prepare.case_study_table(ids, registers(spark, sf))
+
+
+@query("l18_case_study_table")
 def _(spark, sf):
+    out = unseen_table(spark, sf)
+    return rounded(out.select(
+        "bag_id", "bag_function", "bag_construction_year", "bag_net_internal_area", "bag_no_units", "bag3d_roof_type", "esri_building_type",
+        "h_70p", "cbs_pop_per_km2", "footprint_area", "footprint_no_adjacent", "footprint_no_neighbours_100m", "lod12_area_roof",
+        "floors_height_based", "floors_area_based", "ref_model", "ref_model_unrounded"),
+        "h_70p", "footprint_area", "lod12_area_roof", "ref_model_unrounded")
+
+
+def _studied(spark, sf) -> DataFrame:
     _, model = _trained(spark, sf, "svr")
-    unseen = refmodel.with_reference_model(b.flat(spark, sf, "case_study"))
-    return modelling.case_study(model, unseen)
+    unseen = unseen_table(spark, sf)
+    kept = unseen.select("bag_id", "footprint_geom")
+    return modelling.case_study(model, unseen).join(kept, "bag_id")
+
+
+@query("l18_case_study")
+def _(spark, sf):
+    return _studied(spark, sf).drop("footprint_geom")
+
+
+@query("l18_s11_case_study_geojson")
+def _(spark, sf):
+    """The case study as the written file holds it."""
+    path = scratch_path(spark, "features")
+    sinks.write_geojson(_studied(spark, sf).where("footprint_geom IS NOT NULL"), path, "footprint_geom",
+                        ["bag_id", "pred_value_rounded", "ref_model", "diff"])
+    return spark.read.text(path)
+
+
+@query("s15_statistic_tables")
+def _(spark, sf):
+    """Correlation to the label and inflation factors, as their written tables hold them."""
+    df = model_frame(spark, sf)
+    tables = {"label_correlation": stats.label_correlation(stats.pearson(df, [*NUMERIC, LABEL]), LABEL),
+              "variance_inflation": stats.variance_inflation(df, NUMERIC).select(F.col("variables").alias("feature"), "VIF")}
+    return _written_statistics(spark, tables, 4)
+
+
+@query("s15_model_tables")
+def _(spark, sf):
+    """Coefficients, impurity and permutation importances, as their written tables hold them."""
+    frame, linear = _trained(spark, sf, "svr")
+    trees, _ = training.fit(frame.where("split = 'train'"), MODEL_FEATURES, "gbr")
+    return _written_statistics(spark, {
+        "coefficients": training.importances(linear, spark), "impurity_importance": training.importances(trees, spark),
+        "permutation_importance": training.permutation_importance(linear, frame.where("split = 'test'"))}, 6)
+
+
+def _written_statistics(spark, results: dict[str, DataFrame], digits: int) -> DataFrame:
+    parts = []
+    for name, table in results.items():
+        path = scratch_path(spark, name)
+        sinks.write_statistics(table, path)
+        read = spark.read.schema("feature string, value double").option("header", True).csv(path, enforceSchema=True)
+        parts.append(read.select(F.lit(name).alias("statistic"), "feature", F.round("value", digits).alias("value")))
+    return b.union_all(parts)
+
+
+@query("l17_all_lists_linear")
+def _(spark, sf):
+    """A linear model of every feature list, trained and scored on the split of its list, beside the mean of the label."""
+    return modelling.evaluate_lists(b.flat(spark, sf, "train").withColumn("clean_floors", F.col("no_floors")).withColumn("is_clean", F.lit("y")),
+                                    ("svr",))
+
+
+@query("l17_all_lists_boosting")
+def _(spark, sf):
+    """The same with boosted trees."""
+    return modelling.evaluate_lists(b.flat(spark, sf, "train").withColumn("clean_floors", F.col("no_floors")).withColumn("is_clean", F.lit("y")),
+                                    ("gbr",))
