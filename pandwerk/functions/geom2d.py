@@ -116,11 +116,6 @@ def bbox(geom: Column) -> Column:
                     F.array_max(xs).alias("xmax"), F.array_max(ys).alias("ymax"))
 
 
-def grow_bbox(box: Column, by: float) -> Column:
-    return F.struct((box["xmin"] - by).alias("xmin"), (box["ymin"] - by).alias("ymin"),
-                    (box["xmax"] + by).alias("xmax"), (box["ymax"] + by).alias("ymax"))
-
-
 def bbox_overlaps(a: Column, b: Column) -> Column:
     return ((a["xmin"] <= b["xmax"]) & (b["xmin"] <= a["xmax"])
             & (a["ymin"] <= b["ymax"]) & (b["ymin"] <= a["ymax"]))
@@ -202,21 +197,6 @@ def intersects(a: Column, b: Column) -> Column:
             | contains_point(ea, b[0][0]["x"], b[0][0]["y"]) | touch)
 
 
-def point_within(geom: Column, x: Column, y: Column) -> Column:
-    return contains_point(edges(geom), x, y)
-
-
-def distance_to_boundary2(geom: Column, x: Column, y: Column) -> Column:
-    """Squared distance from a point to the nearest boundary segment."""
-    def d2(e):
-        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(
-            (x - e["ax"]) * dx + (y - e["ay"]) * dy, dx * dx + dy * dy), F.lit(0.0))))
-        px, py = e["ax"] + t * dx - x, e["ay"] + t * dy - y
-        return px * px + py * py
-    return F.array_min(F.transform(edges(geom), d2))
-
-
 def polygon_literal(rings: list[list[tuple[float, float]]]) -> Column:
     """A caller-supplied region as a constant column; rings are closed here when open."""
     def ring(points):

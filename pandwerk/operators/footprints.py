@@ -85,11 +85,11 @@ def municipality_extent(areas: DataFrame, buffer: float = 0.0) -> DataFrame:
 def within_municipality(df: DataFrame, areas: DataFrame, buffer: float, size: float = 500.0,
                         key: str = "bag_id", geom: str = "footprint_geom") -> DataFrame:
     """Buildings that meet any part of a municipality grown by ``buffer`` (mitred)."""
-    from pandwerk.operators.spatial import polygon_join
+    from pandwerk.operators.pieces import area_join
 
     grow = geom2d.part_buffer if geom2d.is_multi_part(areas, "geom") else geom2d.mitre_buffer
     grown = areas.select(F.col("gemeentecode").alias("_code"), grow(F.col("geom"), buffer).alias("_area"))
-    met = polygon_join(df.select(key, F.col(geom).alias("_geom")), grown, "_geom", "_area", size)
+    met = area_join(df.select(key, F.col(geom).alias("_geom")), grown, "_geom", "_area", size)
     return met.groupBy(key).agg(F.min("_code").alias("near_gemeente"))
 
 

@@ -11,6 +11,7 @@ from pandwerk.functions import geom2d
 from pandwerk.functions.joins import lookup
 from pandwerk.functions.lineage import checkpointed
 from pandwerk.operators.crowds import meeting_weights
+from pandwerk.operators.pieces import area_join
 
 # Sub-cells per side at each refinement of a cell.
 REFINE = 16
@@ -30,37 +31,11 @@ def with_cells(df: DataFrame, box: str, size: float) -> DataFrame:
     return df.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys))
 
 
-def box_join(left: DataFrame, right: DataFrame, left_box: str, right_box: str, size: float) -> DataFrame:
-    """Inner join of rows whose bounding boxes overlap.
-
-    A pair that meets in several cells is kept only in the cell holding the lower-left corner
-    of the overlap, so no shuffle is needed to drop repeats. Column names must be disjoint.
-    """
-    pairs = with_cells(left, left_box, size).join(with_cells(right, right_box, size), ["cx", "cy"])
-    a, b = F.col(left_box), F.col(right_box)
-    owner = ((F.col("cx") == cell_of(F.greatest(a["xmin"], b["xmin"]), size))
-             & (F.col("cy") == cell_of(F.greatest(a["ymin"], b["ymin"]), size)))
-    # coalesce keeps Spark from inferring not-null filters, which would evaluate the boxes (and
-    # whatever geometry they come from) a second time below the join
-    return pairs.where(F.coalesce(geom2d.bbox_overlaps(a, b) & owner, F.lit(False))).drop("cx", "cy")
-
-
 def single_parts(df: DataFrame, geom: str) -> DataFrame:
     """One row per polygon of a multi-part geometry (array of polygons); other rows as they are."""
     return df.withColumn(geom, F.explode(geom)) if geom2d.is_multi_part(df, geom) else df
 
 
-def polygon_join(left: DataFrame, right: DataFrame, left_geom: str, right_geom: str, size: float) -> DataFrame:
-    """Inner join of rows whose polygons share at least a boundary point.
-
-    A multi-part geometry meets part by part, so a pair comes once for each pair of parts that meets.
-    """
-    l = single_parts(left, left_geom).withColumn("_lbox", geom2d.bbox(F.col(left_geom)))
-    r = single_parts(right, right_geom).withColumn("_rbox", geom2d.bbox(F.col(right_geom)))
-    return (box_join(l, r, "_lbox", "_rbox", size)
-            .where(geom2d.intersects(F.col(left_geom), F.col(right_geom))).drop("_lbox", "_rbox"))
-
-
 def attach_area_statistics(buildings: DataFrame, areas: DataFrame, columns: dict[str, str], area_key: str,
                            key: str = "bag_id", geom: str = "footprint_geom", size: float = 500.0) -> DataFrame:
     """Statistics of the area a footprint meets; the lowest area key wins when there are several.
@@ -70,7 +45,7 @@ def attach_area_statistics(buildings: DataFrame, areas: DataFrame, columns: dict
     wanted = areas.select(F.col(area_key).alias("_area"), F.col("geom").alias("_area_geom"),
                           *[F.col(src).alias(out) for src, out in columns.items()])
     placed = buildings.where(F.col(geom).isNotNull()).select(key, F.col(geom).alias("_geom"))
-    pairs = polygon_join(placed, wanted, "_geom", "_area_geom", size)
+    pairs = area_join(placed, wanted, "_geom", "_area_geom", size)
     chosen = pairs.groupBy(key).agg(F.min_by(F.struct(*columns.values()), "_area").alias("_row"))
     flat = chosen.select(key, *[F.col("_row")[c].alias(c) for c in columns.values()])
     return buildings.join(flat, key, "left")
