@@ -95,7 +95,7 @@ def _op3() -> str:
 
 
 def _op5() -> str:
-    from pandwerk.llm.url_filter import SOFT, SOFT_LIMIT, STRICT
+    from pandwerk.llm.url_filter import SEVERAL, SOFT, SOFT_LIMIT, STRICT
 
     lower = "translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     hit = lambda t: f"regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::INT"
@@ -114,7 +114,7 @@ def _op5() -> str:
         WHEN {at('org')} AND path LIKE '/%' THEN 'org/' END AS rule,
         ({strict})::BIGINT AS strict_hits, ({soft})::BIGINT AS soft_hits, ({weight})::DOUBLE AS soft_weight FROM parts)
     SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-        WHEN strict_hits > 0 OR soft_weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
+        WHEN strict_hits > 0 OR soft_hits >= {SEVERAL} OR soft_weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
         strict_hits, soft_hits, soft_weight FROM ruled"""
 
 

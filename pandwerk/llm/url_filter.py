@@ -8,14 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Vocabulary of this filter: one strict term rejects; soft terms reject when the weights of the distinct
-#: ones found reach SOFT_LIMIT.
+#: Vocabulary of this filter: one strict term rejects; soft terms reject when SEVERAL distinct ones are found, or one
+#: whose weight alone reaches SOFT_LIMIT.
 STRICT = ("porn", "porno", "xxx", "hentai", "camgirls", "escorts", "viagra", "cialis", "phishing", "malware",
           "keygen", "warez")
 SOFT = {"adult": 1.0, "bet": 0.5, "betting": 1.0, "bonus": 0.5, "casino": 1.0, "cheap": 0.5, "crack": 1.0,
         "dating": 0.5, "free": 0.5, "gambling": 1.0, "jackpot": 1.0, "loan": 0.5, "lottery": 1.0, "nude": 1.5,
         "pharmacy": 1.0, "pills": 1.0, "poker": 1.0, "sex": 1.5, "slots": 1.0, "torrent": 1.0, "win": 0.5}
-SOFT_LIMIT = 2.0
+SOFT_LIMIT, SEVERAL = 2.0, 2
 
 #: (verdict, host, path start)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -84,21 +84,23 @@ def term_counter(strict, soft: dict):
 
 
 def judge_urls(pages: DataFrame, url: str = "url", *, rules=RULES, strict=STRICT, soft=None,
-               soft_limit: float = SOFT_LIMIT) -> DataFrame:
+               soft_limit: float = SOFT_LIMIT, several: int = SEVERAL) -> DataFrame:
     """Add host, path, rule, strict_hits, soft_hits, soft_weight and verdict (allow or block) to every row.
 
-    The longest fitting rule decides; without one, the vocabulary does: one strict term blocks, as do distinct
-    soft terms weighing `soft_limit` or more together. A null or empty URL has empty host and path, no
+    The longest fitting rule decides; without one, the vocabulary does: one strict term blocks, as do `several` distinct
+    soft terms, and any that weigh `soft_limit` or more together. A null or empty URL has empty host and path, no
     rule and no term: allow. Terms are sought in the whole URL, whatever its length. Row-local: no shuffle,
     no state; repeated rows stay. Columns of the same names in the input are replaced.
     """
     soft = SOFT if soft is None else soft
     rest = [c for c in pages.columns if c.lower() not in
             {"host", "path", "rule", "verdict", "strict_hits", "soft_hits", "soft_weight"}]
-    found = pages.select(*rest, url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"),
-                         term_counter(strict, soft)(F.col(url)).alias("_terms"))
+    source = F.col(f"`{url}`")
+    found = pages.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(rest)], url_host(source).alias("host"),
+                         url_path(source).alias("path"), term_counter(strict, soft)(source).alias("_terms"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    blocked = (F.col("_terms.strict_hits") > 0) | (F.col("_terms.soft_weight") >= soft_limit)
-    return found.select(*rest, "host", "path", rule.alias("rule"), "_terms.strict_hits", "_terms.soft_hits",
-                        "_terms.soft_weight",
+    blocked = ((F.col("_terms.strict_hits") > 0) | (F.col("_terms.soft_hits") >= several)
+               | (F.col("_terms.soft_weight") >= soft_limit))
+    return found.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(rest)], "host", "path", rule.alias("rule"),
+                        "_terms.strict_hits", "_terms.soft_hits", "_terms.soft_weight",
                         F.coalesce(verdict, F.when(blocked, "block").otherwise("allow")).alias("verdict"))

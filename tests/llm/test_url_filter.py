@@ -10,6 +10,7 @@ CASES = {
     "http://org": ("org", "", None, "allow"), "http://x.net/porn": ("x.net", "/porn", None, "block"),
     "http://x.net/pornography": ("x.net", "/pornography", None, "allow"), "http://x.net/CASINO/a_poker?z#q": ("x.net", "/CASINO/a_poker", None, "block"),
     "http://x.net/casino/casino": ("x.net", "/casino/casino", None, "allow"), "ftp://h?q=://b": ("h", "", None, "allow"),
+    "http://x.net/casino-win": ("x.net", "/casino-win", None, "block"), "http://x.net/win/win-win": ("x.net", "/win/win-win", None, "allow"),
     "http://x.net/" + "a" * 100_000 + "/xxx": ("x.net", "/" + "a" * 100_000 + "/xxx", None, "block"),
 }
 
@@ -24,6 +25,12 @@ def test_rules_and_vocabulary(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+def test_names_that_clash_or_hold_dots(spark):
+    pages = spark.createDataFrame([(1, "http://x.net/cheap-pills", "t", 2)], "page_id long, url string, _terms string, `a.b` int")
+    got = url_filter.judge_urls(pages)
+    assert got.columns[:4] == ["page_id", "url", "_terms", "a.b"] and got.first()["verdict"] == "block"
+
+
 def test_without_vocabulary(spark):
     pages = spark.createDataFrame([(1, "http://x.net/porn")], "page_id long, url string")
     assert url_filter.judge_urls(pages, strict=(), soft={"zzz": 1.0}).first()["verdict"] == "allow"
