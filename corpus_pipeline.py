@@ -19,6 +19,8 @@ ORACLE_SQL = None
 
 #: Near copies of the corpus share this share of their five-word shingles; op8_ngram_jaccard has its own rule.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: Rounds in which the documents are signed, so that one round's share of the signatures is on disk at a time.
+ROUNDS = 4
 
 
 def stage(work):
@@ -40,7 +42,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one with the smallest doc_id."""
-    return ngram_join.deduplicated(docs, "doc_id", n=NEAR_WORDS, percent=NEAR_PERCENT)
+    return ngram_join.deduplicated(docs, "doc_id", n=NEAR_WORDS, percent=NEAR_PERCENT, rounds=ROUNDS)
 
 
 @stage
