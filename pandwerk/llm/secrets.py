@@ -11,12 +11,17 @@ from pandwerk.llm.common import checkpointed, let
 ASSIGN = (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-#: Bare tokens: what the corpus-wide step may add. A run of letters and digits is a candidate when it is long and
-#: mixes letters with at least three groups of digits; whether it counts is decided by its owners.
-BARE = r"[A-Za-z0-9]+"
+#: Bare tokens: what the corpus-wide step may add. Any long base64 or base64url run with a digit and a letter is a
+#: candidate and is counted; its owners and its disorder decide whether it is added.
+BARE_CHARS = "[A-Za-z0-9+/_-]"
+BARE_END = "={0,2}"
 KINDS = ("assign", "access", "hex", "bare")
 LEAST = {"assign": 8, "access": 16, "hex": 32, "bare": 20}
-DIGIT_GROUPS = 3
+#: A value is disordered if two characters drawn from it are equal with a chance of at most 1 / COLLISIONS (3 bits of
+#: collision entropy) and it changes between digits, capitals and small letters once in RUN characters or more. A
+#: capital before small letters starts a word and is no change of its own.
+COLLISIONS, RUN = 8, 4
+RUNS = r"[0-9]+|[A-Z]?[a-z]+|[A-Z]+"
 
 #: A value seen with this many distinct owners is a widely copied example; below it is taken as live.
 EXAMPLE_OWNERS = 3
@@ -52,6 +57,16 @@ def _spans(kind: str, found: Column, value, keep) -> Column:
         F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), value(m["text"]).alias("value")))
 
 
+def disordered(value: Column) -> Column:
+    """Does a value look drawn at random? In whole numbers, so that borders are exact."""
+    letters = F.split(value, "")
+    squares = F.aggregate(F.array_distinct(letters), F.lit(0).cast("long"), lambda s, c: s + F.pow(
+        F.length(value) - F.length(F.replace(value, c, F.lit(""))), 2).cast("long"))
+    size = F.length(value).cast("long")
+    runs = F.size(F.regexp_extract_all(F.regexp_replace(value, "[^A-Za-z0-9]", ""), F.lit(RUNS), F.lit(0)))
+    return (COLLISIONS * squares <= size * size) & (RUN * runs >= size)
+
+
 def candidate_spans(text: Column) -> Column:
     """Array of (kind, start, end, value) of every candidate in a text; null and empty texts have none.
 
@@ -61,8 +76,7 @@ def candidate_spans(text: Column) -> Column:
     none = F.expr(f"cast(array() as array<{SPAN}>)")
     same = lambda t: t
     assigned = lambda t: F.regexp_extract(t, ASSIGN, 1)
-    groups = lambda v: F.size(F.regexp_extract_all(v, F.lit("[0-9]+"), F.lit(0))) >= DIGIT_GROUPS
-    long_run = {"hex": rf"[0-9a-f]{{{LEAST['hex']}}}", "bare": rf"[A-Za-z0-9]{{{LEAST['bare']}}}"}
+    long_run = {"hex": rf"[0-9a-f]{{{LEAST['hex']}}}", "bare": rf"{BARE_CHARS}{{{LEAST['bare']}}}"}
     parts = [
         _spans("assign", _matches(text, ASSIGN), assigned, lambda v: F.length(v) >= LEAST["assign"]),
         _spans("access", _matches(text, ACCESS), same, lambda v: F.length(v) >= LEAST["access"]),
@@ -70,8 +84,8 @@ def candidate_spans(text: Column) -> Column:
         F.when(text.rlike(long_run["hex"]), _spans(
             "hex", _matches(text, rf"[0-9a-f]{{{LEAST['hex']},}}"), same, lambda v: F.lit(True))).otherwise(none),
         F.when(text.rlike(long_run["bare"]), _spans(
-            "bare", _matches(text, rf"[A-Za-z0-9]{{{LEAST['bare']},}}"), same,
-            lambda v: groups(v) & v.rlike("[A-Za-z]"))).otherwise(none),
+            "bare", _matches(text, rf"{BARE_CHARS}{{{LEAST['bare']},}}{BARE_END}"), same,
+            lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]"))).otherwise(none),
     ]
     return F.concat(*parts)
 
@@ -89,7 +103,7 @@ def secret_spans(docs: DataFrame, text: str = "text", *, owner: list[Column], re
                  example_owners: int = EXAMPLE_OWNERS, carry: tuple[str, ...] | None = None) -> DataFrame:
     """Add `secrets`: array<struct<kind, start, end, value_hash, owners, repos, verdict>> in order of place.
 
-    Every base match stays, with verdict `live` or `example`; bare tokens are added only when live. A value's
+    Every base match stays, with verdict `live` or `example`; bare tokens are added only when live and disordered. A value's
     hash is counted over all texts: distinct owners, and distinct repositories within owners, by two partial
     aggregates, so that a value in a third of all rows is reduced before each shuffle. `example_owners` or more
     owners make it an example. Owners and repositories may be null; nulls count as one owner or repository.
@@ -103,7 +117,8 @@ def secret_spans(docs: DataFrame, text: str = "text", *, owner: list[Column], re
         F.struct(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)]).alias("_row"), own.alias("_owner"), rep.alias("_repo"),
         F.transform(_without_covered(candidate_spans(F.col(text))), lambda s: F.struct(
             s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-            F.sha2(s["value"], 256).alias("value_hash"))).alias("_spans"),
+            F.sha2(s["value"], 256).alias("value_hash"),
+            ((s["kind"] != "bare") | disordered(s["value"])).alias("fits"))).alias("_spans"),
     ).withColumn("_rid", F.monotonically_increasing_id()))
 
     found = staged.select("_rid", "_owner", "_repo", F.explode("_spans").alias("s"))
@@ -112,7 +127,7 @@ def secret_spans(docs: DataFrame, text: str = "text", *, owner: list[Column], re
              .groupBy("value_hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos")))
     judged = (found.select("_rid", "s.*").join(stats, "value_hash")
               .withColumn("verdict", F.when(F.col("owners") >= example_owners, "example").otherwise("live"))
-              .where("kind <> 'bare' or verdict = 'live'"))
+              .where("kind <> 'bare' or (fits and verdict = 'live')"))
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
     entry = F.struct("start", order.alias("place"), "end", "kind", "value_hash", "owners", "repos", "verdict")
     per_row = judged.groupBy("_rid").agg(F.sort_array(F.collect_list(entry)).alias("_judged"))

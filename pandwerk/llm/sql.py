@@ -14,8 +14,7 @@ def _op1() -> str:
               + "|" + either("api") + "_?" + either("key") + r")[\"'']?\x20*[:=]\x20*[\"'']?([A-Za-z0-9+/_.=-]+)")
     kinds = (("assign", 1, assign, f"length(regexp_extract(m, '{assign}', 2)) >= 8", f"regexp_extract(m, '{assign}', 2)"),
              ("access", 2, "AKIA[A-Z0-9]+", "length(m) >= 16", "m"), ("hex", 3, "[0-9a-f]{32,}", "length(m) >= 32", "m"),
-             ("bare", 4, "[A-Za-z0-9]{20,}", "length(m) >= 20 AND len(regexp_extract_all(m, '[0-9]+')) >= 3 "
-                                         "AND regexp_matches(m, '[A-Za-z]')", "m"))
+             ("bare", 4, "[A-Za-z0-9+/_-]{20,}={0,2}", "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')", "m"))
     scans = " UNION ALL ".join(f"""
       SELECT doc_id, source, lang, '{k}' AS kind, {n} AS place, s, s + length(m) AS e, {value} AS v FROM (
         SELECT doc_id, source, lang, hit.m AS m, hit.s AS s FROM (
@@ -32,7 +31,10 @@ def _op1() -> str:
         SELECT 1 FROM spans o WHERE o.doc_id = b.doc_id AND o.kind <> 'bare' AND o.s < b.e AND b.s < o.e)),
     counted AS (SELECT v, count(DISTINCT coalesce(source, chr(0))) AS owners FROM free GROUP BY v),
     kept AS (SELECT f.*, owners, kind || ':' || s::INT || ':' || e::INT AS t FROM free f JOIN counted USING (v)
-             WHERE kind <> 'bare' OR owners < 3),
+             WHERE kind <> 'bare' OR (owners < 3
+                AND 4 * len(regexp_extract_all(regexp_replace(v, '[^A-Za-z0-9]', '', 'g'), '[0-9]+|[A-Z]?[a-z]+|[A-Z]+')) >= length(v)
+                AND 8 * list_sum(list_transform(list_distinct(string_split(v, '')),
+                    lambda c: pow(length(v) - length(replace(v, c, '')), 2)))::BIGINT <= length(v) * length(v))),
     rows AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
         count(*) FILTER (kind = 'hex') AS n_hex, string_agg(t, ',' ORDER BY s, place) FILTER (kind <> 'bare') AS base,
         string_agg(t, ',' ORDER BY s, place) AS spans, count(*) FILTER (kind = 'bare') AS n_bare,

@@ -57,3 +57,25 @@ def test_empty_table_clashing_columns_and_redaction(documents, spark):
     assert tuple(row) == ("x", "a [secret] b [secret]")
     spans = F.expr("array(named_struct('start',0,'end',4),named_struct('start',2,'end',6),named_struct('start',2,'end',3))")
     assert spark.range(1).select(secrets.redact(F.lit("abcdefgh"), spans)).first()[0] == "[secret]gh"
+
+
+def test_random_keys_are_found_and_names_are_not(documents):
+    import random
+    import string
+
+    draw = random.Random(5)
+    alphabets = {"base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/",
+                 "base64url": string.ascii_letters + string.digits + "-_", "base36": string.ascii_lowercase + string.digits}
+    rows, planted = [], {}
+    for i, (name, n) in enumerate((a, n) for a in alphabets for n in (20, 24, 32, 40) for _ in range(60)):
+        key = "".join(draw.choice(alphabets[name]) for _ in range(n))
+        rows.append((i, f"use {key} here", "en", "s"))
+        planted[i] = (name, n)
+    plain = ["getUserAccountByIdentifier2", "2024/05/the-long-title-of-some-article", "x" * 40 + "1", "section_12_of_the_second_chapter",
+             "1234567890123456789012345", "abcabcabcabcabcabcabc1", "InternationalBusinessMachines2000"]
+    rows += [(10_000 + i, f"see {t} there", "en", "s") for i, t in enumerate(plain)]
+    got = {r["doc_id"]: r["secrets"] for r in scan(documents(rows)).collect()}
+    for group in set(planted.values()):
+        ids = [i for i, g in planted.items() if g == group]
+        assert sum(bool(got[i]) for i in ids) >= 0.9 * len(ids), group
+    assert not any(got[10_000 + i] for i in range(len(plain)))
