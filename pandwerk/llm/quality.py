@@ -22,12 +22,17 @@ LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 GAMMA = 1.02
 ZERO_BUCKET = -1_000_000
 
-#: signal -> (least spread that counts, fences of these sides apply). The fence is the quartile plus or minus
-#: FENCE times the spread between quartiles, or times the least spread where the quartiles lie closer.
-SIGNALS = {"mean_word_length": (0.75, ("low", "high")), "symbols_per_word": (0.08, ("high",)),
-           "dup_line_share": (0.20, ("high",)), "repeat_share": (0.15, ("high",))}
+#: signal -> (shares of the two quantiles that span its usual range, the sides with a fence). Most texts have none of
+#: what the shares count, so their range ends at a high quantile. A fence lies FENCE times the range beyond its end.
+SIGNALS = {"mean_word_length": (0.25, 0.75, ("low", "high")), "symbols_per_word": (0.5, 0.9, ("high",)),
+           "dup_line_share": (0.5, 0.9, ("high",)), "repeat_share": (0.5, 0.9, ("high",))}
 FENCE = 3.0
-QUARTILES = (0.25, 0.75)
+SHARES = (0.25, 0.5, 0.75, 0.9)
+
+#: What chance alone moves a signal by in a text of its size; a range counts as this wide at least. Of a share: that
+#: many occurrences in this text (ten repeated words are a third of a sentence said twice). Of the mean word length: the
+#: standard error, if words spread by 0.6 of their length.
+CHANCE_SYMBOLS, CHANCE_LINES, CHANCE_WORDS, WORD_SPREAD = 5.0, 1.0, 10.0, 0.6
 
 #: Documents a wider group counts for when a group's own thresholds are mixed with it.
 PRIOR = 200.0
@@ -80,6 +85,13 @@ def _signals() -> dict[str, Column]:
             "dup_line_share": share("n_dup_lines", "n_lines"), "repeat_share": share("n_repeat_words", "n_words")}
 
 
+def _chance() -> dict[str, Column]:
+    return {"mean_word_length": F.lit(WORD_SPREAD) * F.try_divide("word_chars", "n_words") / F.sqrt("n_words"),
+            "symbols_per_word": F.try_divide(F.lit(CHANCE_SYMBOLS), F.col("n_words")),
+            "dup_line_share": F.try_divide(F.lit(CHANCE_LINES), F.col("n_lines")),
+            "repeat_share": F.try_divide(F.lit(CHANCE_WORDS), F.col("n_words"))}
+
+
 def sketch(values: DataFrame, keys: list[str]) -> DataFrame:
     """Quantile sketch of column `value` per `keys`: (keys, bucket, n). Adding `n` merges two sketches."""
     bucket = F.when(F.col("value") <= 0, F.lit(ZERO_BUCKET)).otherwise(
@@ -87,7 +99,7 @@ def sketch(values: DataFrame, keys: list[str]) -> DataFrame:
     return values.groupBy(*keys, bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def quantiles(sketches: DataFrame, keys: list[str], shares=QUARTILES) -> DataFrame:
+def quantiles(sketches: DataFrame, keys: list[str], shares=SHARES) -> DataFrame:
     """(keys, n, q0, q1, ...): the value of the first bucket that holds rank share * n or more. A group has as
     many rows here as buckets (a few hundred), whatever the number of values."""
     group = W.partitionBy(*keys)
@@ -101,9 +113,9 @@ def quantiles(sketches: DataFrame, keys: list[str], shares=QUARTILES) -> DataFra
 
 
 def thresholds(features: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """One row per language and source: low_<signal>, high_<signal>.
+    """One row per language and source: low_<signal>, high_<signal> (ends of the usual range) and spread_<signal>.
 
-    Small groups lean on their language and languages on the corpus: a threshold is the mean of its own and the
+    Small groups lean on their language and languages on the corpus: a value is the mean of its own and the
     wider one, weighted by the group's documents and PRIOR.
     """
     names = list(SIGNALS)
@@ -112,33 +124,35 @@ def thresholds(features: DataFrame, lang: str = "lang", source: str = "source")
     values = (features.where(~base_failed()).select(F.col(lang).alias("lang"), F.col(source).alias("source"), spread)
               .select("lang", "source", "s.*"))
     fine = checkpointed(sketch(values, ["lang", "source", "signal"]))
-    least = F.create_map(*[x for k in names for x in (F.lit(k), F.lit(SIGNALS[k][0]))])[F.col("signal")]
-    reach = FENCE * F.greatest(F.col("q1") - F.col("q0"), least)
 
-    def fences(keys):
+    def end(which):
+        return F.coalesce(*[F.when(F.col("signal") == k, F.col(f"q{SHARES.index(SIGNALS[k][which])}")) for k in names])
+
+    def ranges(keys):
         merged = fine.groupBy(*keys, "signal", "bucket").agg(F.sum("n").alias("n"))
         return quantiles(merged, [*keys, "signal"]).select(
-            *keys, "signal", "n", (F.col("q0") - reach).alias("low"), (F.col("q1") + reach).alias("high"))
+            *keys, "signal", "n", end(0).alias("low"), end(1).alias("high")).withColumn("spread", F.col("high") - F.col("low"))
 
-    corpus = fences([]).select("signal", F.col("low").alias("low_c"), F.col("high").alias("high_c"))
-    by_lang = fences(["lang"]).select(F.col("lang").alias("_lang"), F.col("signal").alias("_signal"),
-                                      F.col("n").alias("n_l"), F.col("low").alias("low_l"), F.col("high").alias("high_l"))
-    mixed = (fences(["lang", "source"]).join(corpus, "signal")
+    found = ("low", "high", "spread")
+    corpus = ranges([]).select("signal", *[F.col(c).alias(f"{c}_c") for c in found])
+    by_lang = ranges(["lang"]).select(F.col("lang").alias("_lang"), F.col("signal").alias("_signal"), F.col("n").alias("n_l"),
+                                      *[F.col(c).alias(f"{c}_l") for c in found])
+    mixed = (ranges(["lang", "source"]).join(corpus, "signal")
              .join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("signal") == F.col("_signal"))))
 
-    def lean(side):
-        wide = (F.col("n_l") * F.col(f"{side}_l") + PRIOR * F.col(f"{side}_c")) / (F.col("n_l") + PRIOR)
-        return (F.col("n") * F.col(side) + PRIOR * wide) / (F.col("n") + PRIOR)
+    def lean(c):
+        wide = (F.col("n_l") * F.col(f"{c}_l") + PRIOR * F.col(f"{c}_c")) / (F.col("n_l") + PRIOR)
+        return (F.col("n") * F.col(c) + PRIOR * wide) / (F.col("n") + PRIOR)
 
-    leaned = mixed.select("lang", "source", "signal", lean("low").alias("low"), lean("high").alias("high"))
+    leaned = mixed.select("lang", "source", "signal", *[lean(c).alias(c) for c in found])
     return leaned.groupBy("lang", "source").agg(*[
-        F.max(F.when(F.col("signal") == k, F.col(side))).alias(f"{side}_{k}")
-        for k, (_, sides) in SIGNALS.items() for side in sides])
+        F.max(F.when(F.col("signal") == k, F.col(c))).alias(f"{c}_{k}") for k in names for c in found])
 
 
 def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source",
            carry: tuple[str, ...] | None = None) -> DataFrame:
-    """The `carry` columns (default: all), the counts (long), base_failed and kept.
+    """The `carry` columns (default: all), the counts (long), base_failed, kept and `reasons`: the signals that lie
+    outside their fences, in order (empty for texts the base rule fails).
 
     A text fails the base rule with under 50 words or if more than half of its words lie in repeated 3-word
     windows; else it is kept unless a signal lies outside the fences of its language and source. Null and
@@ -147,7 +161,7 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     joined to them.
     """
     carry = list(docs.columns) if carry is None else list(carry)
-    taken = {*COUNTS, "n_lines", "base_failed", "kept"}
+    taken = {*COUNTS, "n_lines", "base_failed", "kept", "reasons"}
     kept_columns = [c for c in carry if c.lower() not in taken]
     source_rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(kept_columns)],
                               F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").alias("_lang_key"),
@@ -156,11 +170,13 @@ def judged(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     limits = checkpointed(thresholds(features, "_lang_key", "_source_key"))
     joined = features.join(small_side(limits), F.col("_lang_key").eqNullSafe(F.col("lang"))
                            & F.col("_source_key").eqNullSafe(F.col("source")), "left")
-    inside = F.lit(True)
+    outside = []
     for k, value in _signals().items():
-        for side in SIGNALS[k][1]:
-            fits = value >= F.col(f"low_{k}") if side == "low" else value <= F.col(f"high_{k}")
-            inside = inside & F.coalesce(fits, F.lit(True))
+        reach = FENCE * F.greatest(F.col(f"spread_{k}"), _chance()[k])
+        for side in SIGNALS[k][2]:
+            off = value < F.col(f"low_{k}") - reach if side == "low" else value > F.col(f"high_{k}") + reach
+            outside.append(F.when(off & ~base_failed(), F.lit(k)))
+    joined = joined.withColumn("reasons", F.array_compact(F.array(*outside)))
     return joined.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(kept_columns)],
                          *[F.col(c).cast("long").alias(c) for c in COUNTS], base_failed().alias("base_failed"),
-                         (~base_failed() & inside).alias("kept"))
+                         (~base_failed() & (F.size("reasons") == 0)).alias("kept"), "reasons")

@@ -52,25 +52,29 @@ def _op3() -> str:
                "dup_line_share": "n_dup_lines / n_lines", "repeat_share": "n_repeat_words / n_words"}
     long = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS signal, {v}::DOUBLE AS x FROM counts WHERE NOT base_failed"
                               for k, v in signals.items())
-    least = "CASE signal " + " ".join(f"WHEN '{k}' THEN {v[0]}::DOUBLE" for k, v in q.SIGNALS.items()) + " END"
+    chance = {"mean_word_length": f"{q.WORD_SPREAD}::DOUBLE * (word_chars / n_words) / sqrt(n_words)",
+              "symbols_per_word": f"{q.CHANCE_SYMBOLS}::DOUBLE / n_words", "dup_line_share": f"{q.CHANCE_LINES}::DOUBLE / n_lines",
+              "repeat_share": f"{q.CHANCE_WORDS}::DOUBLE / n_words"}
     value = lambda b: f"CASE WHEN {b} = {q.ZERO_BUCKET} THEN 0.0::DOUBLE ELSE pow({q.GAMMA}::DOUBLE, {b}) * {2 / (1 + q.GAMMA)!r}::DOUBLE END"
 
     def level(name, keys):
         cols = "".join(k + ", " for k in keys)
         over = f"PARTITION BY {cols}signal"
-        return f"""{name} AS (SELECT {cols}signal, n, q0 - reach AS low, q1 + reach AS high FROM (
-            SELECT *, {q.FENCE}::DOUBLE * greatest(q1 - q0, {least}) AS reach FROM (
-              SELECT {cols}signal, max(total) AS n, {value("min(b) FILTER (upto >= total * 0.25)")} AS q0,
-                     {value("min(b) FILTER (upto >= total * 0.75)")} AS q1
+        end = lambda which: "CASE signal " + " ".join(f"WHEN '{k}' THEN " + value(
+            f"min(b) FILTER (upto >= total * {v[which]})") for k, v in q.SIGNALS.items()) + " END"
+        return f"""{name} AS (SELECT *, high - low AS spread FROM (
+              SELECT {cols}signal, max(total) AS n, {end(0)} AS low, {end(1)} AS high
               FROM (SELECT *, sum(n) OVER ({over} ORDER BY b) AS upto, sum(n) OVER ({over}) AS total
-                    FROM (SELECT {cols}signal, b, count(*) AS n FROM buckets GROUP BY ALL)) GROUP BY {cols}signal)))"""
+                    FROM (SELECT {cols}signal, b, count(*) AS n FROM buckets GROUP BY ALL)) GROUP BY {cols}signal))"""
 
     def lean(side):
         wide = f"((l.n * l.{side} + {q.PRIOR}::DOUBLE * c.{side}) / (l.n + {q.PRIOR}::DOUBLE))"
         return f"(g.n * g.{side} + {q.PRIOR}::DOUBLE * {wide}) / (g.n + {q.PRIOR}::DOUBLE)"
 
+    reach = lambda k: f"{q.FENCE}::DOUBLE * greatest(t.spread, {chance[k]})"
     outside = " OR ".join(f"(t.signal = '{k}' AND (" + " OR ".join(
-        f"{signals[k]}::DOUBLE {'<' if side == 'low' else '>'} t.{side}" for side in q.SIGNALS[k][1]) + "))" for k in signals)
+        f"{signals[k]}::DOUBLE " + (f"< t.low - {reach(k)}" if side == "low" else f"> t.high + {reach(k)}")
+        for side in q.SIGNALS[k][2]) + "))" for k in signals)
     return f"""
     WITH w AS MATERIALIZED (SELECT doc_id, lang, source, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
     lines AS (SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM w)
@@ -89,7 +93,7 @@ def _op3() -> str:
     buckets AS (SELECT lang, source, signal, CASE WHEN x <= 0 THEN {q.ZERO_BUCKET} ELSE
         ceil(ln(x) / {q.math.log(q.GAMMA)!r}::DOUBLE)::INT END AS b FROM ({long})),
     {level("g", ["lang", "source"])}, {level("l", ["lang"])}, {level("c", [])},
-    t AS (SELECT g.lang, g.source, g.signal, {lean("low")} AS low, {lean("high")} AS high FROM g
+    t AS (SELECT g.lang, g.source, g.signal, {lean("low")} AS low, {lean("high")} AS high, {lean("spread")} AS spread FROM g
           JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.signal = l.signal JOIN c ON g.signal = c.signal)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (
         SELECT 1 FROM t WHERE t.lang IS NOT DISTINCT FROM d.lang AND t.source IS NOT DISTINCT FROM d.source

@@ -50,6 +50,33 @@ def test_thresholds_follow_language_and_source(documents):
     assert not kept[5000] and kept[5001]
 
 
+def test_the_quantiles_of_a_group_decide(documents):
+    """The same texts are usual in a group that holds many like them and outliers in a group that does not."""
+    import random
+
+    draw = random.Random(4)
+    word = lambda n: "".join(draw.choice("abcdefgh") for _ in range(n))
+    line = lambda: " ".join(word(draw.randint(3, 7)) for _ in range(4))
+    def text(signs=0, lines=0, repeats=0):
+        made = [line() for _ in range(30)]
+        twice = line()
+        made += [made[0]] * lines + ["$ " * signs] * (signs > 0) + [f"{twice} {word(3 + i % 5)}" for i in range(repeats)]
+        return "\n".join(made)
+    odd = {"symbols_per_word": dict(signs=40), "dup_line_share": dict(lines=12), "repeat_share": dict(repeats=14)}
+    rows, at = [], {}
+    for name, how in odd.items():
+        rows += [(len(rows) + i, text(**how), "xx", name) for i in range(600)]  # a group in which this is usual
+    rows += [(len(rows) + i, text(), "en", "plain") for i in range(3000)]
+    for name, how in odd.items():
+        at[name] = len(rows)
+        rows.append((len(rows), text(**how), "en", "plain"))
+    got = {r["doc_id"]: (r["kept"], r["reasons"]) for r in quality.judged(documents(rows)).collect()}
+    for name, i in at.items():
+        assert not got[i][0] and name in got[i][1], (name, got[i])
+    usual = [i for i, r in enumerate(rows) if i not in at.values()]
+    assert sum(got[i][0] for i in usual) >= 0.99 * len(usual)
+
+
 def test_sketches_add_up_and_bound_the_error(spark):
     values = spark.range(20_000).selectExpr("pmod(id, 2) k", "pow(id / 1000.0, 2) value")
     whole = quality.quantiles(quality.sketch(values, []), [], (0.25, 0.9)).first()
