@@ -59,9 +59,12 @@ def release(spark: SparkSession, docs: DataFrame) -> None:
 
 
 def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs now: it does so once their plans are collected as garbage."""
+    """Let Spark delete the shuffle files of finished jobs now: it does so once their plans are collected as garbage.
+    The first collection frees what Python no longer holds, the second the plan of the last job."""
     gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        time.sleep(1)
+        spark._jvm.System.gc()
     time.sleep(2)  # files are deleted in the background
 
 

@@ -386,6 +386,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", *, n: int = N, perce
     links = checkpointed(_compared(alone.withColumn("label", F.col("sid")).withColumn("block", F.lit(0))
                                    .select(*columns), percent))
     labels = checkpointed(components(links))
+    if rounds > 1:
+        drop_shuffles(docs.sparkSession)
     if sizes.where("blocks > 1").limit(1).count():
         for delegates in (True, False):
             large = placed.where("blocks > 1").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
