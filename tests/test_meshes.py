@@ -62,3 +62,20 @@ def test_repeated_and_single_ids_are_fetched_together(spark):
     assert got == {"a": 18, "b": 18, "e": 18} or got == {"a": 18, "b": 1, "e": 18}
     least = min([near, far])
     assert got["b"] == len(least)
+
+
+def test_a_check_runs_once_per_mesh_behind_a_filter(spark):
+    df = spark.createDataFrame([(i, 1, torus(3, 4)) for i in range(20)], f"bag_id int, k int, {FACES}")
+    kept = meshes.quality(df).join(spark.createDataFrame([(1,)], "k int"), "k").where("is_valid AND n_vertices > 3").select("bag_id", "open_edges")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and plan.count("_quality(") == 1 and kept.count() == 20
+
+
+def test_batches_of_meshes_keep_nulls_and_empty_meshes_apart(spark):
+    small = torus(3, 4)
+    df = spark.createDataFrame([(0, small), (1, None), (2, []), (3, small[:-1]), (4, [(1, None), *small])], f"bag_id int, {FACES}")
+    got = {r.bag_id: r for r in meshes.quality(df).select(
+        "bag_id", "n_vertices", "open_edges", "codes", mesh3d.closed_volume(F.col("faces")).alias("v"), mesh3d.surface_area(F.col("faces"), 1).alias("s")).collect()}
+    assert [got[i].n_vertices for i in range(4)] == [12, None, 0, 12] and got[1].codes is None and got[1].v is None
+    assert got[2].v == 0 and got[2].codes == [] and got[3].codes == ["open_edge"]
+    assert got[0].v > got[3].v * 0.9 > 0 and got[0].s > 0
