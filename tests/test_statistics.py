@@ -166,3 +166,16 @@ def test_ranks_reach_every_row(spark, monkeypatch, heavy):
     pdf = pd.DataFrame(rows, columns=["g", "v"])
     pdf["r"] = pdf.groupby("g").v.rank()
     assert sorted((r.g, r.v, r["rank"], r.n) for r in got) == sorted((g, v, r, 7) for g, v, r in pdf.itertuples(index=False))
+
+
+def test_ranks_beside_each_set_come_from_one_row_per_value(spark):
+    rng = random.Random(5)
+    rows = [(i, "a" if i % 3 else "b", float(rng.randrange(12)), [True, i % 4 != 0, i % 5 == 0]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, g string, v double, present array<boolean>")
+    got = {r.id: r.ranks for r in quantiles.with_shared_ranks(df, ["g"], "v", "present", 3).collect()}
+    pdf = pd.DataFrame(rows, columns=["id", "g", "v", "present"])
+    assert len(got) == len(rows)
+    for k in range(3):
+        part = pdf[[p[k] for p in pdf.present]]
+        want = dict(zip(part.id, part.groupby("g").v.rank()))
+        assert all(got[i][k] == want.get(i) for i in pdf.id)
