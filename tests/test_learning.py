@@ -44,3 +44,20 @@ def test_table_is_replaced_by_content_derived_from_it(spark):
     assert sorted(r.id for r in spark.table("swap_me").collect()) == [10, 11, 12]
     assert not spark.catalog.tableExists("swap_me_replaced")
     spark.sql("DROP TABLE swap_me")
+
+
+def test_linear_permutations_score_as_rows_laid_out_would(spark, monkeypatch):
+    rows = [(str(i), None if i % 17 == 0 else i % 5 + 1, float(i * 13 % 7), "t" if i % 3 else "u", float(i % 5)) for i in range(120)]
+    df = spark.createDataFrame(rows, "bag_id string, clean_floors int, height double, kind string, level double")
+    model, _ = train.fit(df.where("clean_floors IS NOT NULL"), ["height", "kind", "level"], "svr", {"maxIter": 20})
+
+    def found():
+        return train.permutation_importance(model, df, repeats=2).collect()
+
+    laid = []
+    kept = train.F.explode
+    monkeypatch.setattr(train.F, "explode", lambda c: laid.append(1) or kept(c))
+    together = found()
+    assert not laid
+    monkeypatch.setattr(train, "LinearSVRModel", ())
+    assert found() == together and laid
