@@ -179,3 +179,17 @@ def test_ranks_beside_each_set_come_from_one_row_per_value(spark):
         part = pdf[[p[k] for p in pdf.present]]
         want = dict(zip(part.id, part.groupby("g").v.rank()))
         assert all(got[i][k] == want.get(i) for i in pdf.id)
+
+
+def test_binned_counts_match_pandas(spark):
+    rng = random.Random(9)
+    rows = [(None if i % 29 == 0 else i % 3, None if i % 7 == 0 else rng.gauss(0, 1), float(rng.randrange(4)), None) for i in range(300)]
+    df = spark.createDataFrame(rows, "y int, a double, b double, gone double").repartition(3)
+    cuts = {"a": [-0.5, 0.0, 0.5], "b": [1.0, 1.0, 2.0]}
+    got = {(r.feature, r.bin, r.y): r.c for r in stats._binned_counts(df, ["a", "b", "gone"], "y", cuts).collect()}
+    want: dict = {}
+    for y, a, b, _ in rows:
+        for f, v in (("a", a), ("b", b)):
+            k = (f, 0 if v is None else sum(c < v for c in cuts[f]), y)
+            want[k] = want.get(k, 0) + 1
+    assert got == want
