@@ -79,3 +79,10 @@ def test_batches_of_meshes_keep_nulls_and_empty_meshes_apart(spark):
     assert [got[i].n_vertices for i in range(4)] == [12, None, 0, 12] and got[1].codes is None and got[1].v is None
     assert got[2].v == 0 and got[2].codes == [] and got[3].codes == ["open_edge"]
     assert got[0].v > got[3].v * 0.9 > 0 and got[0].s > 0
+
+
+def test_the_scale_study_is_dealt_to_many_tasks_and_keeps_every_scale(spark):
+    df = spark.createDataFrame([(i, torus(4, 5)) for i in range(64)], f"bag_id int, {FACES}").coalesce(1)
+    study = meshes.scale_study(df, (10, 20))
+    assert study.count() == 128 and study.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+    assert {r.sampled_volume for r in study.where("scale = 10").collect()} == {meshes.sampled_volume(df.limit(1), 10).select(F.round("sampled_volume", 3)).first()[0]}
