@@ -102,6 +102,59 @@ class _Side:
         self.x, self.y = x, y
 
 
+def near_weights(blocks: DataFrame, radii: tuple, size: float, packs: int) -> DataFrame:
+    """(_px, _py, _r<radius>, ...): the summed weight of locations within each radius of every wanted location.
+
+    ``blocks``: distinct locations _x, _y with a weight _n, repeated for every block _bx, _by within the largest radius; in
+    one of them a location is `_own`. Blocks share ``packs`` tasks.
+    """
+    def run(table):
+        import pyarrow as pa
+
+        at, sums = near_sums(table, radii, size)
+        return pa.table([pa.array(c) for c in (*at, *sums.astype(np.int64))], names=["_px", "_py", *[f"_r{r}" for r in radii]])
+
+    task = F.pmod(F.xxhash64("_bx", "_by"), F.lit(packs)).cast("int")
+    schema = ", ".join(["_px double", "_py double", *[f"_r{r} long" for r in radii]])
+    return blocks.select(task.alias("task"), "_bx", "_by", "_x", "_y", "_n", (F.col("_own") & F.col("_wanted")).alias("_seeks")).groupBy(
+        "task").applyInArrow(run, schema)
+
+
+def near_sums(table, radii: tuple, size: float):
+    """Places of the seekers of a task and the weights within each radius (inclusive), block by block.
+
+    Locations are sorted by block, strip and place along the strip; a seeker meets a range of three strips, and every
+    location of the ranges is tested.
+    """
+    get = lambda c: table.column(c).to_numpy()
+    bx, by, x, y, weight = (get(c) for c in ("_bx", "_by", "_x", "_y", "_n"))
+    seeks = np.flatnonzero(table.column("_seeks").to_numpy())
+    reach = float(max(radii))
+    block = np.unique(np.stack([bx, by]), axis=1, return_inverse=True)[1].ravel()
+    # strips a little wider than the largest radius; the first and last of a block lie outside it
+    strips = math.ceil(size / reach) + 5
+    strip = block * strips + np.clip(np.floor((y - by * size) / (reach * (1 + SLACK))).astype(np.int64) + 2, 1, strips - 2)
+    along, width = x - bx * size, 2 * size + 8 * reach
+    place = strip * width + along
+    order = np.argsort(place, kind="stable")
+    place, xs, ys, weight = place[order], x[order], y[order], weight[order].astype(np.float64)
+    sums = np.zeros((len(radii), len(seeks)))
+    slack = SLACK * reach + 4e-15 * (place[-1] if len(place) else 0.0)
+    for shift in (-1, 0, 1):
+        middle = (strip[seeks] + shift) * width + along[seeks]
+        low = np.searchsorted(place, middle - reach - slack)
+        high = np.searchsorted(place, middle + reach + slack, side="right")
+        for i, j in _spans(low, high):
+            if not len(i):
+                continue
+            dx, dy = xs[j] - x[seeks[i]], ys[j] - y[seeks[i]]
+            d2 = dx * dx + dy * dy
+            first, last = i[0], i[-1] + 1
+            for k, r in enumerate(radii):
+                sums[k, first:last] += np.bincount(i - first, weights=weight[j] * (d2 <= float(r) ** 2), minlength=last - first)
+    return (x[seeks], y[seeks]), sums
+
+
 def _spans(low, high):
     """Pairs (row, place) for all places low[row] <= place < high[row], in portions."""
     number = np.maximum(high - low, 0)

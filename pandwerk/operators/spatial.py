@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -10,13 +11,17 @@ from pyspark.sql import functions as F
 from pandwerk.functions import geom2d
 from pandwerk.functions.joins import lookup
 from pandwerk.functions.lineage import checkpointed
-from pandwerk.operators.crowds import meeting_weights
+from pandwerk.operators.crowds import LISTED_CELLS, meeting_weights, near_weights
 from pandwerk.operators.pieces import area_join
 
 # Sub-cells per side at each refinement of a cell.
 REFINE = 16
 # Parts into which the seekers around a cell are dealt; a cell's sub-cells are repeated for each.
 SALTS = 8
+# Side of a block in which neighbours are counted, in largest radii; locations in a task; locations that make a block crowded.
+BLOCK_SIDE = 8
+PACK = 60_000
+CROWD = 30_000
 
 
 def cell_of(v: Column, size: float) -> Column:
@@ -80,33 +85,37 @@ def adjacent_counts(buildings: DataFrame, distance: float, target: Column, candi
 
 
 def neighbour_counts(points: DataFrame, radii: tuple, target: Column, candidate: Column, key: str = "bag_id",
-                     x: str = "x", y: str = "y") -> DataFrame:
+                     x: str = "x", y: str = "y", crowd: int = CROWD) -> DataFrame:
     """Per target point, other candidate points within each radius (inclusive), all radii in one join.
 
-    A target outside the candidate classes counts zero, one without a location stays NULL.
-    Points are reduced to weighted distinct locations, and every cell contributes through sub-cell
-    totals, so that no cell emits all its pairs, however many locations it holds. A sub-cell with
-    one location is settled at once, as its extent is a point.
+    A target outside the candidate classes counts zero, one without a location stays NULL. Points are reduced to weighted
+    distinct locations. A location travels to the square block it lies in and to blocks within reach of it, and is counted
+    whole in its own block, block by block on sorted arrays. Blocks of more than ``crowd`` locations are opened into
+    sub-cell totals instead, so that no block emits all its pairs, however many locations it holds.
     """
     r_max = float(max(radii))
+    size = r_max * BLOCK_SIDE
     rows = points.select(key, F.col(x).alias("_x"), F.col(y).alias("_y"),
                          F.coalesce(target, F.lit(False)).alias("_target"),
                          F.coalesce(candidate, F.lit(False)).alias("_candidate"))
     known = rows.where(F.col("_candidate") & F.col("_x").isNotNull() & F.col("_y").isNotNull())
-    # written once: it feeds both sides of the join and the density count
-    locations = checkpointed(
-        known.groupBy("_x", "_y").agg(F.count("*").alias("_n"), F.max("_target").alias("_wanted"))
-        .withColumn("cx", cell_of(F.col("_x"), r_max)).withColumn("cy", cell_of(F.col("_y"), r_max)))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    reach = F.filter(around, lambda o: _box_distance2(
-        F.col("_x"), F.col("_y"), (F.col("cx") + o["i"]) * r_max, (F.col("cy") + o["j"]) * r_max,
-        (F.col("cx") + o["i"] + 1) * r_max, (F.col("cy") + o["j"] + 1) * r_max) <= r_max * r_max * (1 + 1e-9))
-    seekers = (locations.where("_wanted").withColumn("_o", F.explode(reach))
-               .select(F.col("_x").alias("_px"), F.col("_y").alias("_py"),
-                       (F.col("cx") + F.col("_o")["i"]).alias("cx"), (F.col("cy") + F.col("_o")["j"]).alias("cy")))
-
-    totals = (_counts_by_sub_cells(seekers, locations, radii, r_max).groupBy("_px", "_py")
-              .agg(*[F.sum(f"_r{r}").alias(f"_r{r}") for r in radii]))
+    # written once: the blocks are counted before they are dealt
+    locations = checkpointed(known.groupBy("_x", "_y").agg(F.count("*").alias("_n"), F.max("_target").alias("_wanted")))
+    blocks = _reached(locations, r_max, size, ("_bx", "_by")).withColumn(
+        "_own", (cell_of(F.col("_x"), size) == F.col("_bx")) & (cell_of(F.col("_y"), size) == F.col("_by")))
+    crowded = checkpointed(blocks.groupBy("_bx", "_by").agg(F.count("*").alias("_held")).where(F.col("_held") > crowd).drop("_held"))
+    packs = max(1, math.ceil(locations.count() / PACK))
+    found = crowded.count()
+    quiet = blocks.join(_few(crowded, found), ["_bx", "_by"], "left_anti") if found else blocks
+    totals = near_weights(quiet, tuple(radii), size, packs)
+    if found:
+        packed = blocks.join(_few(crowded, found), ["_bx", "_by"])
+        seekers = _reached(packed.where("_own AND _wanted").select("_x", "_y"), r_max, r_max, ("cx", "cy")).select(
+            F.col("_x").alias("_px"), F.col("_y").alias("_py"), "cx", "cy")
+        around = checkpointed(packed.select("_x", "_y", "_n").distinct().withColumn("cx", cell_of(F.col("_x"), r_max))
+                              .withColumn("cy", cell_of(F.col("_y"), r_max)))
+        totals = totals.unionByName(_counts_by_sub_cells(seekers, around, radii, r_max).groupBy("_px", "_py")
+                                    .agg(*[F.sum(f"_r{r}").alias(f"_r{r}") for r in radii]))
     totals = totals.withColumnsRenamed({"_px": "_x", "_py": "_y"})
     placed = F.col("_x").isNotNull() & F.col("_y").isNotNull()
     return (lookup(rows.where("_target"), totals, ["_x", "_y"])
@@ -114,6 +123,20 @@ def neighbour_counts(points: DataFrame, radii: tuple, target: Column, candidate:
                            .alias(f"footprint_no_neighbours_{r}m") for r in radii]))
 
 
+def _reached(locations: DataFrame, reach: float, size: float, names: tuple[str, str]) -> DataFrame:
+    """One row per location and square cell within ``reach`` (at most one cell's side) of it."""
+    cx, cy = cell_of(F.col("_x"), size), cell_of(F.col("_y"), size)
+    around = F.array(*[F.struct((cx + i).alias("i"), (cy + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    near = F.filter(around, lambda o: _box_distance2(
+        F.col("_x"), F.col("_y"), o["i"] * size, o["j"] * size, (o["i"] + 1) * size, (o["j"] + 1) * size) <= reach * reach * (1 + 1e-9))
+    return (locations.withColumn("_o", F.explode(near))
+            .select(*locations.columns, F.col("_o.i").alias(names[0]), F.col("_o.j").alias(names[1])))
+
+
+def _few(blocks: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(blocks) if n <= LISTED_CELLS else blocks
+
+
 def _box_distance2(px, py, xmin, ymin, xmax, ymax) -> Column:
     gx = F.greatest(xmin - px, px - xmax, F.lit(0.0))
     gy = F.greatest(ymin - py, py - ymax, F.lit(0.0))

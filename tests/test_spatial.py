@@ -39,6 +39,25 @@ def test_neighbour_counts_match_brute_force(spark):
     assert _counts(spark, rows) == _brute(rows)
 
 
+def test_quiet_blocks_emit_no_sub_cells_and_crowded_ones_agree(spark, monkeypatch):
+    """Far, negative and border locations; below the crowd limit no pair of location and sub-cell is laid out."""
+    rng = random.Random(4)
+    rows = [(f"n{i}", rng.choice([-900.0, -800.0, 0.0, 799.0, 1e7]) + rng.uniform(-130, 130), rng.choice([-800.0, 1600.0, 3e6]) + rng.uniform(-110, 110),
+             i % 4 != 0, i % 9 != 0) for i in range(400)]
+    rows += [("edge1", 800.0, 800.0, True, True), ("edge2", 900.0, 800.0, True, True), ("edge3", 800.0, 700.0, True, True), ("edge4", 775.0, 800.0, True, True)]
+    df = spark.createDataFrame([*rows, ("nan", float("nan"), 5.0, True, True), ("none", None, 5.0, True, True)],
+                               "bag_id string, x double, y double, t boolean, c boolean")
+
+    def counts(**how):
+        out = spatial.neighbour_counts(df, RADII, F.col("t"), F.col("c"), **how)
+        return {r.bag_id: tuple(r[f"footprint_no_neighbours_{d}m"] for d in RADII) for r in out.collect()}
+
+    want = _brute(rows) | {"nan": (None,) * 4, "none": (None,) * 4}
+    assert counts(crowd=40) == want
+    monkeypatch.setattr(spatial, "_counts_by_sub_cells", None)
+    assert counts() == want
+
+
 def _square(x, y, s):
     x, y, s = float(x), float(y), float(s)
     return [[(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]]
