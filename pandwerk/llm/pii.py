@@ -40,9 +40,6 @@ CUES = {"email": "mail|contact|write", "ip": "ip|address|host|server|node", "car
         "phone": "phone|tel|call|fax|mobile|handy|cell"}
 #: Characters before and after a span that the context features see.
 AROUND = 24
-#: Labelled candidates that the trees are fitted and calibrated on, per kind and label, about. Corpora beyond it are
-#: thinned by a hash of the candidate; copies of one text count once.
-SAMPLE = 4_000
 TREES, DEPTH = 20, 4
 #: Examples a leaf holds at least: proposals that stand alone among base spans are not carved out as counterexamples.
 LEAF = 20
@@ -211,42 +208,32 @@ def _tree(node) -> tuple:
     return int(split.featureIndex()), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def fit(examples: DataFrame, sample: int = SAMPLE, precision: float = PRECISION, evidence: int = EVIDENCE) -> Judge:
-    """`examples`: (kind, base, x, h) of every candidate, h a hash of its text and place. Two thirds of the sample fit the
-    trees, one third sets the thresholds; rows are weighted back to the corpus' counts."""
+def fit(examples: DataFrame, precision: float = PRECISION, evidence: int = EVIDENCE) -> Judge:
+    """`examples`: (kind, base, x, h) of every candidate, h a hash of its text and place. Every candidate takes part, copies
+    of one text once: two thirds fit the trees, one third sets the thresholds."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    distinct = checkpointed(examples.dropDuplicates(["h"]))
-    counts = {(r["kind"], r["base"]): r["count"] for r in distinct.groupBy("kind", "base").count().collect()}
-    if len({base for _, base in counts}) < 2:
-        return Judge((), {})
-    weight = F.lit(0.0)
-    for (kind, base), n in counts.items():
-        weight = F.when((F.col("kind") == kind) & (F.col("base") == base), max(1.0, n / sample)).otherwise(weight)
-    drawn = distinct.withColumn("weight", weight).where(
-        F.pmod(F.xxhash64("h", F.lit("draw")), F.lit(1 << 30)) < (1 << 30) / F.col("weight"))
-    drawn = checkpointed(drawn.withColumn("part", F.pmod(F.xxhash64("h", F.lit("part")), F.lit(3))).orderBy("h"))
-    rows = drawn.where("part > 0").select(F.col("base").cast("double").alias("label"), "weight", array_to_vector("x").alias("features"))
+    distinct = checkpointed(examples.dropDuplicates(["h"]).withColumn("part", F.pmod(F.xxhash64("h", F.lit("part")), F.lit(3))).orderBy("h"))
+    rows = distinct.where("part > 0").select(F.col("base").cast("double").alias("label"), array_to_vector("x").alias("features"))
     if rows.select("label").distinct().count() < 2:
         return Judge((), {})
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, minInstancesPerNode=LEAF, weightCol="weight", seed=0).fit(rows)
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, minInstancesPerNode=LEAF, seed=0).fit(rows)
     judge = Judge(tuple(zip(map(float, model.treeWeights), (_tree(t._call_java("rootNode")) for t in model.trees))), {})
     step = F.floor(judge.probability(F.col("x")) * STEPS).cast("int")
-    bins = drawn.where("part = 0").groupBy("kind", step.alias("step")).agg(
-        F.sum("weight").alias("all"), F.sum(F.when(F.col("base"), F.col("weight")).otherwise(0.0)).alias("base"),
-        F.count_if("base").alias("seen")).collect()
+    bins = distinct.where("part = 0").groupBy("kind", step.alias("step")).agg(
+        F.count("*").alias("all"), F.count_if("base").alias("base")).collect()
     thresholds = {}
     for kind in KINDS:
-        total = base = seen = 0
+        total = base = 0
         for r in sorted((r for r in bins if r["kind"] == kind), key=lambda r: -r["step"]):
-            total, base, seen = total + r["all"], base + r["base"], seen + r["seen"]
-            if base >= precision * total and seen >= evidence:
+            total, base = total + r["all"], base + r["base"]
+            if base >= precision * total and base >= evidence:
                 thresholds[kind] = r["step"] / STEPS
     return Judge(judge.trees, thresholds)
 
 
-def pii_spans(docs: DataFrame, text: str = "text", *, carry: tuple[str, ...] | None = None, sample: int = SAMPLE,
+def pii_spans(docs: DataFrame, text: str = "text", *, carry: tuple[str, ...] | None = None,
               precision: float = PRECISION, evidence: int = EVIDENCE) -> tuple[DataFrame, Judge]:
     """(rows, judge). Rows: the `carry` columns (default: all but the text) as _c0, _c1, ... and `spans`: array<struct<kind,
     start, end, base, probability>> by kind as in KINDS, then start; places in code points, end exclusive.
@@ -264,7 +251,7 @@ def pii_spans(docs: DataFrame, text: str = "text", *, carry: tuple[str, ...] | N
         candidates(F.coalesce(body, F.lit(""))).cast(f"array<{SPAN}>").alias("_found")).withColumn("_rid", F.monotonically_increasing_id()))
     spans = checkpointed(_beside_base(staged.where("size(_found) > 0").select("_rid", "_h", F.inline("_found"))))
     judge = fit(spans.where("base or not same").select("kind", "base", "x", F.xxhash64("_h", "kind", "start", "end").alias("h")),
-                sample, precision, evidence)
+                precision, evidence)
     probability = judge.probability(F.col("x")) if judge.trees else F.lit(None).cast("double")
     least = F.lit(2.0)
     for kind, value in judge.thresholds.items():

@@ -107,3 +107,11 @@ def test_empty_table_repeats_null_columns_and_redaction(documents):
     assert judge.trees == () and [(r["_c0"], r["_c4"]) for r in found.collect()] == [(None, 1)] * 2
     text = docs.select(pii.redacted(F.col("text"), pii.base_spans(F.col("text"))).alias("t")).first()["t"]
     assert text == "mail [private] or [private]."
+
+
+def test_every_candidate_of_a_large_corpus_takes_part(spark):
+    """12,000 base spans and as many proposals: a third of all of them is evidence for the threshold."""
+    x = F.array(F.lit(1.0), F.when(F.col("id") % 2 == 0, 12.0).otherwise(7.0), *[F.lit(0.0)] * 20)
+    examples = spark.range(24_000).select(F.lit("ip").alias("kind"), (F.col("id") % 2 == 0).alias("base"), x.alias("x"), F.xxhash64("id").alias("h"))
+    assert "ip" in pii.fit(examples, evidence=3_500).thresholds
+    assert pii.fit(examples, evidence=5_000).thresholds == {}
