@@ -16,6 +16,8 @@ from pandwerk.functions import geom2d
 
 #: Where in a cell the known point lies, as a share of the cell's side: off any round coordinate.
 POINT = (0.41421356237309503, 0.7320508075688772)
+#: Tasks per core in which areas are cut; pieces and edges written at a time.
+TASKS, TOGETHER = 4, 50_000
 EDGE = T.StructType([T.StructField(c, T.DoubleType()) for c in ("ax", "ay", "bx", "by")])
 
 
@@ -63,12 +65,14 @@ def cut(edges: np.ndarray, size: float):
 
 def area_pieces(areas: DataFrame, geom: str, size: float) -> DataFrame:
     """One row per area and cell it meets: the other columns, cx, cy, `edges` and `covered`. Areas without geometry
-    have none; a multi-part area is cut part by part."""
+    have none; a multi-part area is cut part by part. Areas are dealt evenly to a fixed number of tasks per core, as cutting
+    takes far longer than reading them."""
     from pandwerk.operators.spatial import single_parts
 
     single = single_parts(areas.where(F.col(geom).isNotNull()), geom)
     others = [c for c in areas.columns if c != geom]
-    rows = single.select(*others, geom2d.edges(F.col(geom)).alias("_e"))
+    tasks = TASKS * areas.sparkSession.sparkContext.defaultParallelism
+    rows = single.repartition(tasks).select(*others, geom2d.edges(F.col(geom)).alias("_e"))
     schema = T.StructType([*[rows.schema[c] for c in others], T.StructField("cx", T.LongType()), T.StructField("cy", T.LongType()),
                            T.StructField("edges", T.ArrayType(EDGE)), T.StructField("covered", T.BooleanType())])
 
@@ -79,19 +83,24 @@ def area_pieces(areas: DataFrame, geom: str, size: float) -> DataFrame:
             column = batch.column(batch.num_columns - 1)
             ends = column.offsets.to_numpy() if len(column) else np.zeros(1, np.int64)
             fields = np.stack([column.values.field(c).to_numpy(zero_copy_only=False) for c in ("ax", "ay", "bx", "by")])
+            owners, found, n = [], [], 0
             for i in range(batch.num_rows):
                 edges = fields[:, ends[i]:ends[i + 1]]
-                if not edges.shape[1]:
-                    continue
-                found = list(cut(edges, size))
-                places = np.concatenate([f[2] for f in found])
-                offsets = np.concatenate([[0], np.cumsum([len(f[2]) for f in found])]).astype(np.int32)
-                items = pa.StructArray.from_arrays([pa.array(v[places]) for v in edges], names=["ax", "ay", "bx", "by"])
-                repeated = batch.take(pa.array(np.full(len(found), i)))
-                yield pa.RecordBatch.from_arrays(
-                    [*repeated.columns[:-1], pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(offsets), items), pa.array([f[3] for f in found], pa.bool_())],
-                    names=[*batch.schema.names[:-1], "cx", "cy", "edges", "covered"])
+                if edges.shape[1]:
+                    for cx, cy, places, covered in cut(edges, size):
+                        owners.append(i)
+                        found.append((cx, cy, places + ends[i], covered))
+                        n += len(places)
+                if found and (n + len(found) > TOGETHER or i == batch.num_rows - 1):
+                    places = np.concatenate([f[2] for f in found])
+                    offsets = np.concatenate([[0], np.cumsum([len(f[2]) for f in found])]).astype(np.int32)
+                    items = pa.StructArray.from_arrays([pa.array(v[places]) for v in fields], names=["ax", "ay", "bx", "by"])
+                    repeated = batch.select(others).take(pa.array(owners, pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [*repeated.columns, pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()),
+                         pa.ListArray.from_arrays(pa.array(offsets), items), pa.array([f[3] for f in found], pa.bool_())],
+                        names=[*others, "cx", "cy", "edges", "covered"])
+                    owners, found, n = [], [], 0
 
     return rows.mapInArrow(run, schema)
 

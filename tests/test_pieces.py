@@ -61,3 +61,12 @@ def test_pieces_of_a_long_outline_follow_its_length(spark):
     got = {x["id"] for x in pieces.area_join(l, r, "g", "a", 500.0).collect()}
     want = {x["id"] for x in l.crossJoin(r).where(geom2d.intersects(F.col("g"), F.col("a"))).collect()}
     assert got == want and 100 < len(want) < 300
+
+
+def test_areas_are_cut_in_many_tasks(spark, monkeypatch):
+    """Areas that come in one task are dealt anew, and pieces are the same however many are written at a time."""
+    r = spark.createDataFrame([*areas(), ("none", None)], f"name string, a {POLYGON}").coalesce(1)
+    whole = {str(row) for row in pieces.area_pieces(r, "a", 50.0).collect()}
+    tasks = pieces.area_pieces(r, "a", 50.0).select(F.spark_partition_id()).distinct().count()
+    monkeypatch.setattr(pieces, "TOGETHER", 1)
+    assert tasks > 2 and len(whole) > 50 and {str(row) for row in pieces.area_pieces(r, "a", 50.0).collect()} == whole
