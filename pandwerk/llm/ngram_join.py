@@ -10,12 +10,13 @@ a cluster is then bounded by parity sketches and, where these leave it open, che
 from __future__ import annotations
 
 import math
+from contextlib import nullcontext
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pandwerk.llm.common import BROADCAST_IDS, checkpointed, components, drop_shuffles, small_side
+from pandwerk.llm.common import BROADCAST_IDS, checkpointed, components, dropping_shuffles, small_side
 
 N, PERCENT = 4, 85
 #: Words whose hashes a worker remembers.
@@ -339,12 +340,7 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
 
 def _candidate_links(docs: DataFrame, text: str, n: int, percent: int, rounds: int) -> DataFrame:
     """`_sharing` of all signatures, one range of their hashes a round; a round's shuffle is let go before the next."""
-    found = []
-    for this in range(rounds):
-        found.append(checkpointed(_sharing(_signed(docs, text, n, percent, rounds, this))))
-        if rounds > 1:
-            drop_shuffles(docs.sparkSession)
-    return reduce(DataFrame.union, found)
+    return reduce(DataFrame.union, [checkpointed(_sharing(_signed(docs, text, n, percent, rounds, this))) for this in range(rounds)])
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", *, n: int = N, percent: int = PERCENT, rounds: int = 1,
@@ -363,8 +359,14 @@ def jaccard_components(docs: DataFrame, text: str = "text", *, n: int = N, perce
     blocks that still hold different components.
 
     With `rounds` the texts are signed that many times, each time for one range of the signatures' hashes, so that the
-    shuffle of signatures takes that part of the disk. The result does not depend on it.
+    shuffle of signatures takes that part of the disk; every step's shuffle is let go when it is written. The result does
+    not depend on it.
     """
+    with dropping_shuffles(docs.sparkSession) if rounds > 1 else nullcontext():
+        return _labelled(docs, text, n, percent, rounds, carry)
+
+
+def _labelled(docs: DataFrame, text: str, n: int, percent: int, rounds: int, carry: tuple[str, ...] | None) -> tuple[DataFrame, DataFrame]:
     carry = [c for c in docs.columns if c != text] if carry is None else list(carry)
     clusters = checkpointed(components(_candidate_links(docs, text, n, percent, rounds)).withColumnRenamed("component", "cluster"))
     wanted = docs.sparkSession.sparkContext.broadcast(_filter_bits(clusters))
@@ -386,8 +388,6 @@ def jaccard_components(docs: DataFrame, text: str = "text", *, n: int = N, perce
     links = checkpointed(_compared(alone.withColumn("label", F.col("sid")).withColumn("block", F.lit(0))
                                    .select(*columns), percent))
     labels = checkpointed(components(links))
-    if rounds > 1:
-        drop_shuffles(docs.sparkSession)
     if sizes.where("blocks > 1").limit(1).count():
         for delegates in (True, False):
             large = placed.where("blocks > 1").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn(

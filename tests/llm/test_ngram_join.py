@@ -106,3 +106,24 @@ def test_one_row_of_each_group_stays(documents):
     assert sorted((r["doc_id"] or 0, r["text"] or "", r["rid"]) for r in kept) == sorted(
         [(3, text, "mine"), (9, "", "mine"), (0, "", "mine"), (8, "other words here", "mine")])
     assert found(documents([])) == {}
+
+
+def test_shuffles_of_finished_steps_are_deleted(spark, documents, monkeypatch):
+    """Without a wait and without a collection of garbage: what a step shuffled is gone before the next one starts."""
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f for f in str(manager.getAllFiles().mkString("\n")).split("\n") if "/shuffle_" in f}
+    before, left = held(), []
+    write = ngram_join.checkpointed
+
+    def written(df):
+        out = write(df)
+        left.append(held() - before)
+        return out
+
+    monkeypatch.setattr(ngram_join, "checkpointed", written)
+    rows = corpus()
+    docs = documents([(i, t, None, None) for i, t in rows])
+    kept = {r["doc_id"] for r in ngram_join.deduplicated(docs, "doc_id", percent=85, rounds=3).collect()}
+    assert len(left) > 5 and not any(left[:3])
+    assert kept == {i for i, (n, c) in expected(rows).items() if c == i or not n}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
