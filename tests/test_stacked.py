@@ -67,6 +67,26 @@ def test_fits_together_equal_fits_alone(data):
         assert np.isclose(r2, 1 - (error**2).mean() / y[part == k].var())
 
 
+def test_fits_that_differ_in_their_stopping_rule_share_their_steps(data, monkeypatch):
+    x, y, frame = data
+    rows, width = stacked.rows_of(frame, "clean_floors", {"part": F.col("part")})
+    fits = [stacked.Fit(epsilon=0.1, tol=tol, maxIter=limit) for tol in (1e-3, 1e-6) for limit in (3, 1000) for _ in range(5)]
+    out = [k % 5 for k in range(len(fits))]
+    made, one_pass = [], stacked._pass
+
+    def counted(rows, width, fits, *rest):
+        made.append(len(fits))
+        return one_pass(rows, width, fits, *rest)
+
+    monkeypatch.setattr(stacked, "_pass", counted)
+    found = stacked.fit_together(rows, width, fits, lambda meta: (meta[:, :1] != np.array(out)).astype(float), sees=out)
+    assert max(made) == 5
+    part = np.arange(len(y)) % 5
+    for f, k, got in zip(fits, out, found):
+        want, status, steps, _ = alone(x, y, f, part != k)
+        assert np.allclose(got.weights, want, atol=1e-8) and (got.status, got.steps) == (status, steps)
+
+
 def test_limits_are_read_off_one_path(data):
     x, y, frame = data
     rows, width = stacked.rows_of(frame, "clean_floors", {})
