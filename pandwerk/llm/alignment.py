@@ -157,46 +157,67 @@ def stretches(ends_a, ends_b):
 
 
 class Names:
-    """Ids as text with what follows them in a written alignment."""
-
-    def __init__(self, size: int, last: str):
-        self.within = [f"{i}," for i in range(size)]
-        self.at_end = [f"{i}{last}" for i in range(size)]
-
-
-def written(ids_a, ids_b, cuts, names_a: Names, names_b: Names) -> str:
-    """The alignment as text, `a1,a2|b1;a3|b2,b3`."""
-    end_a, end_b, within_a, within_b = names_a.at_end, names_b.at_end, names_a.within, names_b.within
-    bars, stops = [end_a[t] for t in ids_a], [end_b[t] for t in ids_b]
-    out, first = [], None
-    for i, j, n in zip(*cuts):
-        if n > 0:
-            part = [""] * (2 * n)
-            part[::2], part[1::2] = bars[i:i + n], stops[j:j + n]
-            out += part
-        elif n == 0:
-            if first is None:
-                first = i, j
-        else:
-            for t in ids_a[first[0]:i]:
-                out.append(within_a[t])
-            out.append(bars[i])
-            for t in ids_b[first[1]:j]:
-                out.append(within_b[t])
-            out.append(stops[j])
-            first = None
-    return "".join(out)[:-1]
+    """Ids of both sides as text with what follows them in a written alignment: byte strings of one width, zeros behind."""
 
+    def __init__(self, size_a: int, size_b: int):
+        import numpy as np
 
-def linked(cuts):
-    """(number of groups, places of A tokens, places of B tokens): every pair of tokens whose byte ranges overlap."""
+        self.starts = np.cumsum([0, size_a, size_a, size_b]).tolist()
+        texts = [f"{i}{mark}" for size, mark in ((size_a, ","), (size_a, "|"), (size_b, ","), (size_b, ";")) for i in range(size)]
+        self.texts = np.array(texts, "S")
+
+
+def expanded(cuts):
+    """Places of the A and B tokens of every link in order, and whether the link ends a group."""
     import numpy as np
 
     at_a, at_b, length = (np.array(c, np.int64) for c in cuts)
-    count = int(np.abs(length).sum())
     each = np.maximum(length, 1)
     inside = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-    return count, np.repeat(at_a, each) + inside, np.repeat(at_b, each) + inside
+    return np.repeat(at_a, each) + inside, np.repeat(at_b, each) + inside, np.repeat(length != 0, each)
+
+
+def written(row_a, row_b, end_a, end_b, names: Names) -> bytes:
+    """The alignment as text, `a1,a2|b1;a3|b2,b3`; `end_*` are the places of the last tokens of every group."""
+    import numpy as np
+
+    a, a_last, b, b_last = names.starts
+    code_a, code_b = row_a + a, row_b + b
+    code_a[end_a] += a_last - a
+    code_b[end_b] += b_last - b
+    out = np.empty(len(row_a) + len(row_b), np.int64)
+    # a group's A tokens follow the B tokens of earlier groups, its B tokens all A tokens so far
+    out[np.arange(len(row_a)) + np.repeat(np.append(0, end_b[:-1] + 1), np.diff(end_a, prepend=-1))] = code_a
+    out[np.arange(len(row_b)) + np.repeat(end_a + 1, np.diff(end_b, prepend=-1))] = code_b
+    return names.texts[out].tobytes().translate(None, b"\0")[:-1]
+
+
+class Spelling:
+    """Bytes of the tokens of one side, put together for many ids at once."""
+
+    def __init__(self, bytes_of: dict[int, bytes]):
+        import numpy as np
+        import pyarrow as pa
+
+        self.size = 1 + max(bytes_of)
+        self.table = pa.array([bytes_of.get(i) for i in range(self.size)], pa.binary())
+        self.lengths = np.zeros(self.size, np.int64)
+        self.lengths[list(bytes_of)] = [len(v) for v in bytes_of.values()]
+
+    def gives(self, row, raw: bytes) -> bool:
+        """Whether the tokens' bytes, joined, are `raw`."""
+        import pyarrow as pa
+
+        if self.lengths[row].sum() != len(raw):
+            return False
+        found = self.table.take(pa.array(row))
+        return found.null_count == 0 and (not raw or found.buffers()[2].to_pybytes()[:len(raw)] == raw)
+
+
+def linked(cuts):
+    """(number of groups, places of A tokens, places of B tokens): every pair of tokens whose byte ranges overlap."""
+    at_a, at_b, last = expanded(cuts)
+    return int(last.sum()), at_a, at_b
 
 
 def _portions(texts: list[str]):
@@ -241,27 +262,21 @@ def alignments(docs: DataFrame, text: str = "text", *, byte_path: str, piece_pat
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         first, second = ByteTokens(byte_path, by_rank), PieceTokens(piece_path)
-        sides = []
-        for tokens, last in ((first, "|"), (second, ";")):
-            size = 1 + max(tokens.bytes_of)
-            lengths = np.zeros(size, np.int64)
-            lengths[list(tokens.bytes_of)] = [len(v) for v in tokens.bytes_of.values()]
-            sides.append((tokens.bytes_of.__getitem__, lengths, Names(size, last)))
-        (bytes_a, length_a, names_a), (bytes_b, length_b, names_b) = sides
+        spelt_a, spelt_b = Spelling(first.bytes_of), Spelling(second.bytes_of)
+        names = Names(spelt_a.size, spelt_b.size)
         nothing = (0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
 
         def one(t, ids_a, ids_b):
             raw = (" " + t).encode()
-            if not t or b"".join(map(bytes_a, ids_a)) != raw or b"".join(map(bytes_b, ids_b)) != raw:
+            row_a, row_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+            if not t or not spelt_a.gives(row_a, raw) or not spelt_b.gives(row_b, raw):
                 return nothing
-            row_a, row_b = np.fromiter(ids_a, np.int64, len(ids_a)), np.fromiter(ids_b, np.int64, len(ids_b))
-            cuts = stretches(np.cumsum(length_a[row_a]), np.cumsum(length_b[row_b]))
-            groups = written(ids_a, ids_b, cuts, names_a, names_b)
-            if digest:
-                groups = hashlib.sha256(groups.encode()).hexdigest()
-            count, at_a, at_b = linked(cuts)
+            cuts = stretches(np.cumsum(spelt_a.lengths[row_a]), np.cumsum(spelt_b.lengths[row_b]))
+            at_a, at_b, last = expanded(cuts)
+            groups = written(row_a, row_b, at_a[last], at_b[last], names)
+            groups = hashlib.sha256(groups).hexdigest() if digest else groups.decode()
             key, links = np.unique(row_a[at_a] << 32 | row_b[at_b], return_counts=True)
-            return len(ids_a), len(ids_b), count, len(at_a), groups, key, links
+            return len(ids_a), len(ids_b), int(last.sum()), len(at_a), groups, key, links
 
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]

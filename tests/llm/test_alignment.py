@@ -135,3 +135,29 @@ def test_long_text_null_columns_repeats_and_empty_table(documents):
     out = alignment.aligned_corpus(docs, **PATHS, digest=True).collect()
     assert sorted((r["_c0"] or 0, r["n_a"] > 60_000) for r in out) == [(0, False), (1, True), (1, True)]
     assert found(documents([])) == {}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_text_of_an_alignment_is_put_together_from_arrays(seed):
+    """Groups of every shape, against groups joined one by one; ids of every length."""
+    draw = np.random.default_rng(seed)
+    names = alignment.Names(60_000, 40_000)
+    for _ in range(100):
+        end = int(draw.integers(1, 120))
+        a, b = (np.union1d(np.flatnonzero(draw.random(end) < p), [end]).astype(np.int64) for p in draw.choice([0.05, 0.4, 0.9], 2))
+        a, b = a[a > 0], b[b > 0]
+        row_a, row_b = (draw.integers(0, 10 ** draw.integers(1, 5, len(x))) for x in (a, b))
+        at_a, at_b, last = alignment.expanded(alignment.stretches(a, b))
+        groups, low = [], 0
+        for cut in np.intersect1d(a, b):
+            groups.append("|".join(",".join(map(str, row[(x > low) & (x <= cut)])) for row, x in ((row_a, a), (row_b, b))))
+            low = cut
+        assert alignment.written(row_a, row_b, at_a[last], at_b[last], names).decode() == ";".join(groups)
+
+
+def test_bytes_of_many_tokens_at_once():
+    spelt = alignment.Spelling({0: b"ab", 2: b"", 3: b"\x00", 5: "é".encode()})
+    for ids, raw in (([0, 3, 2, 5], b"ab\x00\xc3\xa9"), ([], b""), ([2], b"")):
+        assert spelt.gives(np.array(ids, np.int64), raw)
+    for ids, raw in (([0, 3], b"ab\x01"), ([0], b"a"), ([1, 0], b"ab"), ([], b"a")):
+        assert not spelt.gives(np.array(ids, np.int64), raw)
