@@ -29,6 +29,11 @@ SMOOTHING = 0.1
 PAIRS = 2_000_000
 #: Added to a piece's rank when the vocabulary's scores are turned into first probabilities.
 RANK_SHIFT = 10.0
+#: Words of at most this many characters, the mark included, are first summed in plain numbers; sums above this least are
+#: kept, as what was too small to be held is then nothing beside them.
+PLAIN_CHARACTERS, PLAIN_LEAST = 64, 1e-250
+#: What is neither a piece nor the start of one.
+NOWHERE = (None, False)
 
 
 class Lattice:
@@ -38,6 +43,8 @@ class Lattice:
     def __init__(self, log_p: dict[str, float], byte_p: list[float]):
         self.log_p, self.byte_p = log_p, byte_p
         self.starts = {p[:i] for p in log_p for i in range(1, len(p))}
+        # one look-up a step: (log probability, probability) or None for what is only a start, and whether longer pieces follow
+        self.steps = {p: ((log_p[p], math.exp(log_p[p])) if p in log_p else None, p in self.starts) for p in {*log_p, *self.starts}}
 
     def _edges(self, word: str, i: int):
         """(end, log probability, piece or None for bytes) of all pieces that start at i."""
@@ -57,8 +64,34 @@ class Lattice:
                 yield j, found, part
 
     def total(self, word: str) -> float:
-        """Natural log of the summed probability of all segmentations: forward recursion over the ends of pieces."""
-        word = " " + word
+        """Natural log of the summed probability of all segmentations: forward recursion over the ends of pieces.
+
+        Probabilities are added as they are while the word's own stays far above the smallest numbers, else as logs.
+        """
+        marked = " " + word
+        n = len(marked)
+        if n > PLAIN_CHARACTERS:
+            return self._total_of_logs(marked)
+        ahead = [0.0] * (n + 1)
+        ahead[0] = 1.0
+        step = self.steps.get
+        for i in range(n):
+            value = ahead[i]
+            j = i + 1
+            part = marked[i]
+            found, longer = step(part, NOWHERE)
+            if found is not None:
+                ahead[j] += value * found[1]
+            else:
+                ahead[j] += value * math.exp(sum([self.byte_p[b] for b in part.encode("utf-8", "surrogatepass")]))
+            while longer and j < n:
+                j += 1
+                found, longer = step(marked[i:j], NOWHERE)
+                if found is not None:
+                    ahead[j] += value * found[1]
+        return math.log(ahead[n]) if ahead[n] > PLAIN_LEAST else self._total_of_logs(marked)
+
+    def _total_of_logs(self, word: str) -> float:
         n = len(word)
         ahead: list = [None] * (n + 1)
         ahead[0] = [0.0]
@@ -88,11 +121,23 @@ class Lattice:
         value: list = [None] * (n + 1)
         back: list = [None] * (n + 1)
         value[0] = 0.0
+        step, byte_p = self.steps.get, self.byte_p
         for i in range(n):
             at = value[i]
-            for j, p, piece in self._edges(word, i):
-                if value[j] is None or at + p > value[j]:
-                    value[j], back[j] = at + p, (i, piece)
+            j = i + 1
+            part = word[i]
+            found, longer = step(part, NOWHERE)
+            p = found[0] if found is not None else sum([byte_p[b] for b in part.encode("utf-8", "surrogatepass")])
+            if value[j] is None or at + p > value[j]:
+                value[j], back[j] = at + p, (i, part if found is not None else None)
+            while longer and j < n:
+                j += 1
+                part = word[i:j]
+                found, longer = step(part, NOWHERE)
+                if found is not None:
+                    reached = at + found[0]
+                    if value[j] is None or reached > value[j]:
+                        value[j], back[j] = reached, (i, part)
         out, j = [], n
         while j:
             i, piece = back[j]

@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -75,3 +76,18 @@ def test_empty_and_all_held_out(spark):
     row = lm_score.scored(spark.createDataFrame([(only, "a b")], "doc_id long, text string"), "doc_id", path=PATH).first()
     assert (row["held_out"], row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"]) == (True, 3, 0, 0, 0.0)
     assert row["score"] < 0
+
+
+def test_plain_numbers_give_the_sum_of_logs():
+    """Both ways to add up a word's segmentations agree; where plain numbers would run out, logs take over."""
+    lattice = lm_score.Lattice(*lm_score.vocabulary(PATH))
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abcdeinrstüß日🙂́") for _ in range(draw.randint(1, 90))) for _ in range(300)] + ["the", "🙂" * 60]
+    for word in words:
+        assert lattice.total(word) == pytest.approx(lattice._total_of_logs(" " + word), rel=1e-13)
+    assert lattice.total("🙂" * 60) < math.log(lm_score.PLAIN_LEAST)
+    asked = []
+    lattice._total_of_logs = asked.append
+    for word in ("the", "internationalization"):
+        lattice.total(word)
+    assert not asked
