@@ -3,8 +3,9 @@
 Sets are grouped into bands of size. Within a band, two sets that are similar enough differ in at most k elements.
 The hash domain is cut into first-level partitions, so that some of them hold at most one difference, and each
 of those into three parts: any two parts of the three give a signature, and similar sets share one. A set
-signs for its own band and the next larger one. Sets that share a signature form candidate clusters; every pair of
-a cluster is then bounded by parity sketches and, where these leave it open, checked exactly.
+signs for its own band and the next larger one. Sets that share a signature form candidate clusters, band by band: similar
+sets share one of a band for which both sign, so chains through sets of other sizes join nothing. Every pair of a cluster is
+then bounded by parity sketches and, where these leave it open, checked exactly.
 """
 
 from __future__ import annotations
@@ -122,11 +123,18 @@ def set_key(elements) -> int:
         return int(_mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
-def signatures(elements, bands: Bands):
-    """Signatures of one set (int64 array) for its band and the next; none where only equal sets are similar."""
+def node_key(key: int, band: int) -> int:
+    """64-bit key, as a signed long, of a set as a member of one band's clusters."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        return int(_mix(np.array([key], np.int64).view(np.uint64) + np.uint64(band + 1) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)[0])
+
+
+def band_signatures(elements, bands: Bands):
+    """(band, signatures of one set as an int64 array) for its band and the next; none where only equal sets are similar."""
     import numpy as np
 
-    out = []
     band = bands.of(len(elements))
     with np.errstate(over="ignore"):
         running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(elements))])
@@ -142,17 +150,25 @@ def signatures(elements, bands: Bands):
             base = np.arange(parts, dtype=np.uint64) * np.uint64(3) + np.uint64(b << 40)
             weak = (counts == 0).sum(axis=1) >= 2
             keep_empty = weak.sum() > allowed
+            out = []
             for left, (x, y) in enumerate(((1, 2), (0, 2), (0, 1))):
                 sig = _mix(_mix(sums[:, x] + base + np.uint64(left)) + sums[:, y])
                 if not keep_empty:
                     sig = sig[(counts[:, x] + counts[:, y]) > 0]
                 out.append(sig)
-    return np.concatenate(out).view(np.int64) if out else np.empty(0, np.int64)
+            yield b, np.concatenate(out).view(np.int64)
+
+
+def signatures(elements, bands: Bands):
+    """Signatures of one set (int64 array) for its band and the next."""
+    import numpy as np
+
+    return np.concatenate([np.empty(0, np.int64), *[found for _, found in band_signatures(elements, bands)]])
 
 
 def _signed(docs: DataFrame, text: str, n: int, percent: int, rounds: int, this: int) -> DataFrame:
-    """(sig, sid) of every distinct set a task meets; copies within a task sign once. Of several rounds, each hands out
-    one range of the signatures' hashes."""
+    """(sig, node) of every distinct set a task meets, a node for each band it signs for; copies within a task sign once. Of
+    several rounds, each hands out one range of the signatures' hashes."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -160,7 +176,7 @@ def _signed(docs: DataFrame, text: str, n: int, percent: int, rounds: int, this:
         shingles, bands, seen = Shingler(n), Bands(percent), set()
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
-                sigs, keys = [], []
+                sigs, nodes = [], []
                 for t in batch.column(0).slice(at, ROWS).to_pylist():
                     elements = shingles(t)
                     if not len(elements):
@@ -171,20 +187,20 @@ def _signed(docs: DataFrame, text: str, n: int, percent: int, rounds: int, this:
                     if len(seen) > REMEMBERED:
                         seen.clear()
                     seen.add(key)
-                    found = signatures(elements, bands)
-                    if rounds > 1:
-                        found = found[(found.view(np.uint64) >> np.uint64(32)) * np.uint64(rounds) >> np.uint64(32) == np.uint64(this)]
-                    sigs.append(found)
-                    keys.append(np.full(len(found), key, np.int64))
+                    for band, found in band_signatures(elements, bands):
+                        if rounds > 1:
+                            found = found[(found.view(np.uint64) >> np.uint64(32)) * np.uint64(rounds) >> np.uint64(32) == np.uint64(this)]
+                        sigs.append(found)
+                        nodes.append(np.full(len(found), node_key(key, band), np.int64))
                 if sigs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(keys))],
-                                                     names=["sig", "sid"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))],
+                                                     names=["sig", "node"])
 
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "sig long, sid long")
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "sig long, node long")
 
 
 def _sharing(signed: DataFrame) -> DataFrame:
-    """(a, b): every set with the first set of each signature it shares. Rows are sorted by signature and read
+    """(a, b): every node with the first node of each signature it shares. Rows are sorted by signature and read
     once in order, so a signature shared by many sets is never held."""
     def run(batches):
         import numpy as np
@@ -192,20 +208,20 @@ def _sharing(signed: DataFrame) -> DataFrame:
 
         last_sig, leader = None, None
         for batch in batches:
-            sig, sid = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            sig, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             if not len(sig):
                 continue
             new = np.concatenate([[last_sig is None or sig[0] != last_sig], sig[1:] != sig[:-1]])
             first = np.where(new, np.arange(len(sig)), -1)
             first = np.maximum.accumulate(first)
-            lead = np.where(first >= 0, sid[np.maximum(first, 0)], leader if leader is not None else 0)
+            lead = np.where(first >= 0, node[np.maximum(first, 0)], leader if leader is not None else 0)
             last_sig, leader = sig[-1], lead[-1]
-            differ = sid != lead
+            differ = node != lead
             if differ.any():
-                pairs = np.unique(np.stack([sid[differ], lead[differ]], axis=1), axis=0)
+                pairs = np.unique(np.stack([node[differ], lead[differ]], axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    dealt = signed.repartition("sig").sortWithinPartitions("sig", "sid")
+    dealt = signed.repartition("sig").sortWithinPartitions("sig", "node")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -221,41 +237,45 @@ def _filter_bits(keys: DataFrame) -> bytes:
     return bitmap.tobytes()
 
 
-def _described(docs: DataFrame, text: str, carry: list[str], n: int, wanted) -> DataFrame:
-    """Carried columns (_c0, ...), n, sid and, once per task for sets the filter lets through, the set itself."""
+def _described(docs: DataFrame, text: str, carry: list[str], n: int, percent: int, wanted) -> DataFrame:
+    """Carried columns (_c0, ...), n, sid and, once per task for sets the filter lets through, their nodes in the two bands
+    they sign for and the set itself."""
     from pyspark.sql import types as T
 
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)], F.col(f"`{text}`").alias("_t"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()),
-                           T.StructField("elements", T.BinaryType())])
+                           T.StructField("nodes", T.ArrayType(T.LongType(), False)), T.StructField("elements", T.BinaryType())])
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        shingles, seen = Shingler(n), set()
+        shingles, bands, seen = Shingler(n), Bands(percent), set()
         bitmap = np.frombuffer(wanted.value, np.uint32)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                sizes, keys, sets = [], [], []
+                sizes, keys, nodes, sets = [], [], [], []
                 for t in part.column(part.num_columns - 1).to_pylist():
                     elements = shingles(t)
                     sizes.append(len(elements))
                     key = set_key(elements) if len(elements) else None
                     keys.append(key)
-                    keep = False
+                    here = []
                     if key is not None and key not in seen:
-                        bit = key % FILTER_BITS
-                        keep = bool(bitmap[bit >> 5] >> np.uint32(bit & 31) & np.uint32(1))
-                        if keep:
+                        band = bands.of(len(elements))
+                        here = [node_key(key, b) for b in (band, band + 1)]
+                        here = [x for x in here if bitmap[x % FILTER_BITS >> 5] >> np.uint32(x % FILTER_BITS & 31) & np.uint32(1)]
+                        if here:
                             if len(seen) > REMEMBERED:
                                 seen.clear()
                             seen.add(key)
-                    sets.append(elements.tobytes() if keep else None)
+                    nodes.append(here or None)
+                    sets.append(elements.tobytes() if here else None)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
-                     pa.array(sets, pa.binary())], names=[*part.schema.names[:-1], "n", "sid", "elements"])
+                     pa.array(nodes, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
+                    names=[*part.schema.names[:-1], "n", "sid", "nodes", "elements"])
 
     return rows.mapInArrow(run, schema)
 
@@ -338,6 +358,14 @@ def _compared(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("task").applyInArrow(run, "a long, b long")
 
 
+def _compared_in_rounds(rows: DataFrame, percent: int, rounds: int) -> DataFrame:
+    """`_compared` of all tasks, written; of several rounds each has its share of the tasks, so that one share of the sets is
+    shuffled at a time."""
+    turn = F.pmod(F.xxhash64("task", F.lit(3)), F.lit(rounds))
+    parts = [rows.where(turn == this) if rounds > 1 else rows for this in range(rounds)]
+    return reduce(DataFrame.union, [checkpointed(_compared(part, percent)) for part in parts])
+
+
 def _candidate_links(docs: DataFrame, text: str, n: int, percent: int, rounds: int) -> DataFrame:
     """`_sharing` of all signatures, one range of their hashes a round; a round's shuffle is let go before the next."""
     return reduce(DataFrame.union, [checkpointed(_sharing(_signed(docs, text, n, percent, rounds, this))) for this in range(rounds)])
@@ -353,14 +381,14 @@ def jaccard_components(docs: DataFrame, text: str = "text", *, n: int = N, perce
     and texts without words have n = 0 and a null sid: they are linked with nothing. Equal sets share a sid.
     Repeated rows stay. Sids are 64-bit keys; two different sets share a key with a chance of 2^-64 a pair.
 
-    Exactness: similar sets share a signature (pigeonhole), hence a cluster; within a cluster every pair of sets in
+    Exactness: similar sets share a signature (pigeonhole) of a band for which both sign, hence a cluster of this band; within a cluster every pair of sets in
     different components is bounded or compared. Clusters above a block's size are compared block by block,
     blocks of one cluster in different tasks: first each alone, then delegates of all, then only pairs of
     blocks that still hold different components.
 
     With `rounds` the texts are signed that many times, each time for one range of the signatures' hashes, so that the
-    shuffle of signatures takes that part of the disk; every step's shuffle is let go when it is written. The result does
-    not depend on it.
+    shuffle of signatures takes that part of the disk, and clusters are compared in that many turns; every step's shuffle is
+    let go when it is written. The result does not depend on it.
     """
     with dropping_shuffles(docs.sparkSession) if rounds > 1 else nullcontext():
         return _labelled(docs, text, n, percent, rounds, carry)
@@ -370,26 +398,27 @@ def _labelled(docs: DataFrame, text: str, n: int, percent: int, rounds: int, car
     carry = [c for c in docs.columns if c != text] if carry is None else list(carry)
     clusters = checkpointed(components(_candidate_links(docs, text, n, percent, rounds)).withColumnRenamed("component", "cluster"))
     wanted = docs.sparkSession.sparkContext.broadcast(_filter_bits(clusters))
-    described = checkpointed(_described(docs, text, carry, n, wanted).withColumn("rid", F.monotonically_increasing_id()))
+    described = checkpointed(_described(docs, text, carry, n, percent, wanted).withColumn("rid", F.monotonically_increasing_id()))
 
     # tasks are dealt over ids and sizes; the sets themselves follow in one join
-    members = described.where("elements is not null").select("sid", "n").distinct().join(clusters.withColumnRenamed("node", "sid"), "sid")
+    members = checkpointed(described.where("elements is not null").select("sid", "n", F.explode("nodes").alias("node")).distinct()
+                           .join(clusters, "node").select("sid", "n", "cluster"))
     sizes = checkpointed(members.groupBy("cluster").agg(F.sum("n").alias("total")))
     sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("total") / BLOCK_ELEMENTS).cast("int"), F.lit(1)))
     total = sizes.where("blocks = 1").agg(F.sum("total")).first()[0] or 0
     packs = max(1, 4 * math.ceil(total / BLOCK_ELEMENTS))
-    dealt = checkpointed(clusters.withColumnRenamed("node", "sid").join(small_side(sizes, BROADCAST_IDS), "cluster").withColumn(
+    dealt = checkpointed(members.drop("n").join(small_side(sizes, BROADCAST_IDS), "cluster").withColumn(
         "block", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int")))
     placed = described.where("elements is not null").select("sid", "n", "elements").join(small_side(dealt, BROADCAST_IDS), "sid")
     alone = placed.withColumn("task", F.when(F.col("blocks") == 1, F.struct(
         F.lit(0).cast("long").alias("c"), F.pmod(F.xxhash64("cluster"), F.lit(packs)).cast("int").alias("x"), F.lit(0).alias("y"))
     ).otherwise(F.struct(F.col("cluster").alias("c"), F.col("block").alias("x"), F.lit(-1).alias("y"))))
     columns = ("task", "cluster", "block", "label", "sid", "elements")
-    links = checkpointed(_compared(alone.withColumn("label", F.col("sid")).withColumn("block", F.lit(0))
-                                   .select(*columns), percent))
+    links = _compared_in_rounds(alone.withColumn("label", F.col("sid")).withColumn("block", F.lit(0)).select(*columns), percent, rounds)
     labels = checkpointed(components(links))
     if sizes.where("blocks > 1").limit(1).count():
         for delegates in (True, False):
+            turns = rounds
             large = placed.where("blocks > 1").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
                 "label", F.coalesce("component", "sid"))
             if delegates:
@@ -401,13 +430,16 @@ def _labelled(docs: DataFrame, text: str, n: int, percent: int, rounds: int, car
                 tasks = some.withColumn("task", F.struct(F.col("cluster").alias("c"), F.lit(-2).alias("x"), F.lit(-2).alias("y")))
             else:
                 open_ = large.groupBy("cluster").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+                if rounds > 1:  # a set travels once per other block of its cluster; a turn takes no more than a round of all sets
+                    sent = open_.join(sizes, "cluster").agg(F.sum(F.col("total") * (F.col("blocks") - 1))).first()[0] or 0
+                    turns *= math.ceil(max(sent, 1) / sizes.agg(F.sum("total")).first()[0])
                 others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
                 tasks = (large.join(open_, "cluster").select("*", others.alias("other")).where("other <> block")
                          .withColumn("task", F.struct(F.col("cluster").alias("c"), F.least("block", "other").alias("x"),
                                                       F.greatest("block", "other").alias("y"))))
-            links = checkpointed(links.union(_compared(tasks.select(*columns), percent)))
+            links = links.union(_compared_in_rounds(tasks.select(*columns), percent, turns))
             labels = checkpointed(components(links))
-    return described.drop("elements"), labels.select(F.col("node").alias("sid"), "component")
+    return described.drop("nodes", "elements"), labels.select(F.col("node").alias("sid"), "component")
 
 
 def component_ids(docs: DataFrame, key: str, text: str = "text", **how) -> DataFrame:

@@ -127,3 +127,16 @@ def test_shuffles_of_finished_steps_are_deleted(spark, documents, monkeypatch):
     assert len(left) > 5 and not any(left[:3])
     assert kept == {i for i, (n, c) in expected(rows).items() if c == i or not n}
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_chains_through_other_sizes_do_not_make_large_clusters(documents):
+    """A ladder of texts, each close to the next larger one: sets meet those of their own and neighbouring sizes, not every
+    set of the ladder."""
+    prose = [f"w{i}" for i in range(700)]
+    rows, size = [], 24.0
+    while size < 650:
+        rows.append((len(rows), " ".join(prose[:int(size)])))
+        size *= 1.1
+    docs = documents([(i, t, None, None) for i, t in rows])
+    met = ngram_join.components(ngram_join._candidate_links(docs, "text", 4, 85, 1)).groupBy("component").count()
+    assert 4 <= met.agg(F.max("count")).first()[0] <= len(rows) // 3
