@@ -140,3 +140,13 @@ def test_chains_through_other_sizes_do_not_make_large_clusters(documents):
     docs = documents([(i, t, None, None) for i, t in rows])
     met = ngram_join.components(ngram_join._candidate_links(docs, "text", 4, 85, 1)).groupBy("component").count()
     assert 4 <= met.agg(F.max("count")).first()[0] <= len(rows) // 3
+
+
+def test_blocks_compared_in_turns_match_brute_force(documents, monkeypatch):
+    draw = random.Random(8)
+    origin = [f"w{draw.randrange(500)}" for _ in range(120)]
+    rows = [(i, " ".join(f"x{draw.randrange(5000)}" if draw.random() < 0.03 else w for w in origin)) for i in range(60)]
+    monkeypatch.setattr(ngram_join, "BLOCK_ELEMENTS", 1_500)
+    monkeypatch.setattr(ngram_join, "DELEGATES", 2)
+    out = ngram_join.component_ids(documents([(i, t, None, None) for i, t in rows]), "doc_id", rounds=2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == expected(rows)
