@@ -3,6 +3,7 @@
 import math
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pandwerk.functions import mesh3d
@@ -86,3 +87,36 @@ def test_the_scale_study_is_dealt_to_many_tasks_and_keeps_every_scale(spark):
     study = meshes.scale_study(df, (10, 20))
     assert study.count() == 128 and study.select(F.spark_partition_id().alias("p")).distinct().count() > 4
     assert {r.sampled_volume for r in study.where("scale = 10").collect()} == {meshes.sampled_volume(df.limit(1), 10).select(F.round("sampled_volume", 3)).first()[0]}
+
+
+def sampled_by_columns(triangles, scale):
+    """Volume of one mesh, column by column."""
+    low = [min(p[k] for t in triangles for p in t) for k in range(3)]
+    moved = [[[p[k] - low[k] for k in range(3)] for p in t] for t in triangles]
+    far = [max(p[k] for t in moved for p in t) for k in range(3)]
+    pitch, total = math.hypot(*far) / scale, 0.0
+    for i in range(int(far[0] / pitch) + 2):
+        for j in range(int(far[1] / pitch) + 2):
+            met = set()
+            for a, b, c in moved:
+                d = (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+                if d == 0:
+                    continue
+                x, y = (i + 0.5) * pitch - a[0], (j + 0.5) * pitch - a[1]
+                wb, wc = (x * (c[1] - a[1]) - y * (c[0] - a[0])) / d, ((b[0] - a[0]) * y - (b[1] - a[1]) * x) / d
+                if wb >= -1e-12 and wc >= -1e-12 and wb + wc <= 1 + 1e-12:
+                    met.add(round((a[2] + wb * (b[2] - a[2]) + wc * (c[2] - a[2])) * 1e6))
+            gaps = sorted(met)
+            gaps = [0, *gaps] if len(gaps) % 2 else gaps
+            total += sum(high - low for low, high in zip(gaps[::2], gaps[1::2])) / 1e6
+    return total * pitch * pitch
+
+
+def test_all_scales_of_a_mesh_are_sampled_together_as_column_by_column():
+    ring = [[(p.x, p.y, p.z) if hasattr(p, "x") else p for p in face[1][:3]] for face in torus(6, 5)]
+    square = [[(0, 0, 0), (4, 4, 0), (4, 0, 0)], [(0, 0, 0), (0, 4, 0), (4, 4, 0)], [(0, 0, 3), (4, 0, 3), (4, 4, 3)], [(0, 0, 3), (4, 4, 3), (0, 4, 3)]]
+    tilted = [[(0, 0, 5), (4, 0, 6), (4, 4, 8)], [(0, 0, 5), (4, 4, 8), (0, 4, 7)]]
+    for triangles in (ring, square, square[2:], square + tilted, square + tilted[:1], ring + square, [[(0, 0, 0), (0, 1, 1), (0, 2, 0)]]):
+        for scale, got in zip((7, 12, 20.5), meshes._column_volumes(np.array(triangles, dtype=float), (7, 12, 20.5))):
+            assert abs(got - sampled_by_columns(triangles, scale)) < 1e-6
+    assert meshes._column_volumes(np.zeros((1, 3, 3)), (5, 6)) == [0.0, 0.0]
