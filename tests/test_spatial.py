@@ -58,6 +58,16 @@ def test_quiet_blocks_emit_no_sub_cells_and_crowded_ones_agree(spark, monkeypatc
     assert counts() == want
 
 
+def test_only_blocks_with_a_seeker_are_dealt(spark, monkeypatch):
+    """Few targets among many locations: other towns' locations do not travel, and the counts stay."""
+    rng = random.Random(6)
+    rows = [(f"t{i}", rng.uniform(0, 700) + 5000 * (i % 12), rng.uniform(0, 700), i % 12 == 3 and i % 4 != 0, i % 7 != 0) for i in range(600)]
+    seen, dealt = [], spatial.near_weights
+    monkeypatch.setattr(spatial, "near_weights", lambda blocks, *how: seen.append(blocks.count()) or dealt(blocks, *how))
+    assert _counts(spark, rows) == _brute(rows)
+    assert 0 < seen[0] < 200
+
+
 def _square(x, y, s):
     x, y, s = float(x), float(y), float(s)
     return [[(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]]
