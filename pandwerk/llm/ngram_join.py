@@ -3,9 +3,11 @@
 Sets are grouped into bands of size. Within a band, two sets that are similar enough differ in at most k elements.
 The hash domain is cut into first-level partitions, so that some of them hold at most one difference, and each
 of those into three parts: any two parts of the three give a signature, and similar sets share one. A set
-signs for its own band and the next larger one. Sets that share a signature form candidate clusters, band by band: similar
-sets share one of a band for which both sign, so chains through sets of other sizes join nothing. Every pair of a cluster is
-then bounded by parity sketches and, where these leave it open, checked exactly.
+signs for its own band and the next larger one. Pairs of sets that share a signature are bounded by parity sketches, as random
+ones would chain most sets of a size together; those left open form candidate clusters, band by band: similar sets share a
+signature of a band for which both sign, so chains through sets of other sizes join nothing. Signatures of many sets are not
+listed pair by pair: those with the same first set form a bundle, within which sketches are compared. Every pair of a cluster is
+then bounded again and, where that leaves it open, checked exactly.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ DELEGATES = 32
 #: Bits of the fixed-size filter over candidate sets; false hits only cost space.
 FILTER_BITS = 1 << 24
 ROWS = 512
+#: Nodes of one signature of which every pair is a candidate by itself; bins of a sketch per difference allowed; nodes of a
+#: bundle in a block.
+SMALL, SKETCH_BITS, BUNDLE = 16, 6, 8_192
 
 
 class Bands:
@@ -50,6 +55,14 @@ class Bands:
         """Most elements in which two sets with `both` elements together, if similar enough, can differ."""
         return (100 - self.percent) * both // (100 + self.percent)
 
+    def sketch_bits(self, band: int) -> int:
+        """Bins of the parity sketch of a set that signs for a band: several for each difference that two may have there."""
+        self.shape(band)
+        bits = 256
+        while bits < SKETCH_BITS * self.differences(2 * self.upper[band]):
+            bits *= 2
+        return bits
+
     def shape(self, band: int) -> tuple[int, int, int]:
         """(k, first-level partitions, weak partitions a set may have). A partition is weak for a set if two of its
         parts are empty: the signature of two empty parts says nothing. k // 2 partitions can hold two differences
@@ -131,8 +144,9 @@ def node_key(key: int, band: int) -> int:
         return int(_mix(np.array([key], np.int64).view(np.uint64) + np.uint64(band + 1) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)[0])
 
 
-def band_signatures(elements, bands: Bands):
-    """(band, signatures of one set as an int64 array) for its band and the next; none where only equal sets are similar."""
+def band_signatures(elements, bands: Bands, only: tuple[int, int] | None = None):
+    """(band, signatures of one set as an int64 array) for its band and the next; none where only equal sets are similar.
+    Bands outside ``only`` (first, last) are left out."""
     import numpy as np
 
     band = bands.of(len(elements))
@@ -141,7 +155,7 @@ def band_signatures(elements, bands: Bands):
         top = elements >> np.uint64(32)
         for b in (band, band + 1):
             k, parts, allowed = bands.shape(b)
-            if k == 0:
+            if k == 0 or only and not only[0] <= b <= only[1]:
                 continue
             place = (top * np.uint64(3 * parts)) >> np.uint64(32)
             border = np.searchsorted(place, np.arange(3 * parts + 1, dtype=np.uint64))
@@ -166,9 +180,9 @@ def signatures(elements, bands: Bands):
     return np.concatenate([np.empty(0, np.int64), *[found for _, found in band_signatures(elements, bands)]])
 
 
-def _signed(docs: DataFrame, text: str, n: int, percent: int, rounds: int, this: int) -> DataFrame:
-    """(sig, node) of every distinct set a task meets, a node for each band it signs for; copies within a task sign once. Of
-    several rounds, each hands out one range of the signatures' hashes."""
+def _signed(docs: DataFrame, text: str, n: int, percent: int, rounds: int, this: int, only: tuple[int, int] | None = None) -> DataFrame:
+    """(sig, node) of every distinct set a task meets, a node for each band it signs for (within ``only``); copies within a task
+    sign once. Of several rounds, each hands out one range of the signatures' hashes."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -187,7 +201,7 @@ def _signed(docs: DataFrame, text: str, n: int, percent: int, rounds: int, this:
                     if len(seen) > REMEMBERED:
                         seen.clear()
                     seen.add(key)
-                    for band, found in band_signatures(elements, bands):
+                    for band, found in band_signatures(elements, bands, only):
                         if rounds > 1:
                             found = found[(found.view(np.uint64) >> np.uint64(32)) * np.uint64(rounds) >> np.uint64(32) == np.uint64(this)]
                         sigs.append(found)
@@ -200,51 +214,190 @@ def _signed(docs: DataFrame, text: str, n: int, percent: int, rounds: int, this:
 
 
 def _sharing(signed: DataFrame) -> DataFrame:
-    """(a, b): every node with the first node of each signature it shares. Rows are sorted by signature and read
-    once in order, so a signature shared by many sets is never held."""
+    """(a, b, whole): pairs of nodes that share a signature. Of a signature with up to SMALL nodes every pair, else, marked as
+    `whole`, every node with the first one. Rows are sorted by signature and read once in order; no more than SMALL nodes of a
+    signature are held."""
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        last_sig, leader = None, None
+        def found(sig, node):
+            """Pairs of complete signatures."""
+            start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+            size = np.diff(np.r_[start, len(sig)])
+            group, first = np.repeat(np.arange(len(start)), size), np.repeat(start, size)
+            large = size[group] > SMALL
+            low, high, whole = [], [], []
+            later = np.flatnonzero(large & (first < np.arange(len(sig))))
+            low.append(node[first[later]]), high.append(node[later]), whole.append(np.ones(len(later), bool))
+            small = np.flatnonzero((size[group] > 1) & ~large)
+            for step in range(1, SMALL):
+                small = small[small + step < len(sig)]
+                small = small[group[small] == group[small + step]]
+                if not len(small):
+                    break
+                low.append(node[small]), high.append(node[small + step]), whole.append(np.zeros(len(small), bool))
+            return np.concatenate(low), np.concatenate(high), np.concatenate(whole)
+
+        def batch_of(low, high, whole):
+            order = np.lexsort((whole, high, low))
+            low, high, whole = low[order], high[order], whole[order]
+            new = np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (whole[1:] != whole[:-1])]
+            return pa.RecordBatch.from_arrays([pa.array(c[new]) for c in (low, high, whole)], names=["a", "b", "whole"])
+
+        held, open_ = (np.empty(0, np.int64), np.empty(0, np.int64)), None  # rows of the last signature, or it and its first node
         for batch in batches:
-            sig, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            sig, node = (np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held))
             if not len(sig):
                 continue
-            new = np.concatenate([[last_sig is None or sig[0] != last_sig], sig[1:] != sig[:-1]])
-            first = np.where(new, np.arange(len(sig)), -1)
-            first = np.maximum.accumulate(first)
-            lead = np.where(first >= 0, node[np.maximum(first, 0)], leader if leader is not None else 0)
-            last_sig, leader = sig[-1], lead[-1]
-            differ = node != lead
-            if differ.any():
-                pairs = np.unique(np.stack([node[differ], lead[differ]], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]  # copies sign in several tasks
+            sig, node = sig[new], node[new]
+            if open_ is not None:
+                more = int(np.searchsorted(sig, open_[0], side="right"))
+                others = node[:more][node[:more] != open_[1]]
+                if len(others):
+                    yield batch_of(np.full(len(others), open_[1]), others, np.ones(len(others), bool))
+                sig, node = sig[more:], node[more:]
+                if not len(sig):
+                    held = sig, node
+                    continue
+                open_ = None
+            last = int(np.searchsorted(sig, sig[-1]))
+            if len(sig) - last > SMALL:
+                open_, last, held = (sig[-1], node[last]), len(sig), (sig[:0], node[:0])
+            else:
+                held = sig[last:], node[last:]
+            low, high, whole = found(sig[:last], node[:last]) if last else (node[:0], node[:0], np.empty(0, bool))
+            if len(low):
+                yield batch_of(low, high, whole)
+        if len(held[0]) > 1:
+            yield batch_of(*found(*held))
 
     dealt = signed.repartition("sig").sortWithinPartitions("sig", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, whole boolean").distinct()
 
 
-def _filter_bits(keys: DataFrame) -> bytes:
-    """A bitmap of fixed size over the keys' hashes."""
+def _filter_bits(pairs: DataFrame) -> bytes:
+    """A bitmap of fixed size over the hashes of the nodes in pairs."""
     import numpy as np
 
     place = F.pmod(F.col("node"), F.lit(FILTER_BITS))
-    table = (keys.select(F.shiftright(place, 5).cast("int").alias("w"), (place % 32).cast("int").alias("i"))
+    table = (pairs.select(F.explode(F.array("a", "b")).alias("node")).select(F.shiftright(place, 5).cast("int").alias("w"), (place % 32).cast("int").alias("i"))
              .groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("bits"))).toArrow()
     bitmap = np.zeros(FILTER_BITS // 32, np.uint32)
     bitmap[table.column("w").to_numpy()] = table.column("bits").to_numpy().astype(np.uint32)
     return bitmap.tobytes()
 
 
+def _listed(key: int, size: int, bands: Bands, bitmap) -> list[tuple[int, int]]:
+    """(node, band) of a set for the two bands it signs for, where the filter lets it through."""
+    import numpy as np
+
+    band = bands.of(size)
+    both = [(node_key(key, b), b) for b in (band, band + 1)]
+    return [(x, b) for x, b in both if bitmap[x % FILTER_BITS >> 5] >> np.uint32(x % FILTER_BITS & 31) & np.uint32(1)]
+
+
+def _sized(docs: DataFrame, text: str, carry: list[str], n: int) -> DataFrame:
+    """Carried columns (_c0, ...), the text as _t, n and sid."""
+    from pyspark.sql import types as T
+
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)], F.col(f"`{text}`").alias("_t"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        shingles = Shingler(n)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                sets = [shingles(t) for t in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) if len(s) else None for s in sets], pa.int64())],
+                    names=[*part.schema.names, "n", "sid"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("n", T.LongType()), T.StructField("sid", T.LongType())]))
+
+
+def _rounds_of(rows: DataFrame, percent: int, rounds: int) -> list[tuple[tuple[int, int], int, int]]:
+    """((first band, last band), ranges of hashes, this range) of rounds that sign about one share of all signatures each: bands
+    of sizes that lie together, or a part of a band with more than a share."""
+    bands, volume = Bands(percent), {}
+    for r in rows.where("n > 0").groupBy("n").agg(F.count("*").alias("sets")).collect():
+        for b in (bands.of(r.n), bands.of(r.n) + 1):
+            k, parts, _ = bands.shape(b)
+            if k:
+                volume[b] = volume.get(b, 0) + 3 * parts * r.sets
+    share, out, held = max(1.0, sum(volume.values()) / rounds), [], 0.0
+    for b in sorted(volume):
+        if volume[b] > share:
+            parts = math.ceil(volume[b] / share)
+            out += [((b, b), parts, i) for i in range(parts)]
+            held = share
+        elif out and out[-1][1] == 1 and held + volume[b] <= share:
+            out[-1], held = ((out[-1][0][0], b), 1, 0), held + volume[b]
+        else:
+            out.append(((b, b), 1, 0))
+            held = float(volume[b])
+    return out
+
+
+def _links_by_size(rows: DataFrame, text: str, n: int, percent: int, rounds: int) -> DataFrame:
+    """`_sharing` of all signatures of `_sized` rows. A round signs for some bands and reads only sets that sign for them, so
+    that a text is signed once, or twice at a border, however many rounds there are."""
+    bands, parts = Bands(percent), []
+    for only, ranges, this in _rounds_of(rows, percent, rounds):
+        bands.shape(only[1])
+        least = bands.upper[only[0] - 2] + 1 if only[0] > 1 else 1
+        some = rows.where(F.col("n").between(least, bands.upper[only[1]]))
+        parts.append(checkpointed(_sharing(_signed(some, text, n, percent, ranges, this, only))))
+    if not parts:
+        return rows.sparkSession.createDataFrame([], "a long, b long, whole boolean")
+    return reduce(DataFrame.union, parts)
+
+
+def _candidate_sets(rows: DataFrame, text: str, n: int, percent: int, wanted) -> DataFrame:
+    """Of `_sized` rows, once per task, the sets the filter lets through; see `_described`."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        shingles, bands, seen = Shingler(n), Bands(percent), set()
+        bitmap = np.frombuffer(wanted.value, np.uint32)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                out = []
+                for i, (size, key) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                    if key in seen:
+                        continue
+                    listed = _listed(key, size, bands, bitmap)
+                    if not listed:
+                        continue
+                    if len(seen) > REMEMBERED:
+                        seen.clear()
+                    seen.add(key)
+                    elements = shingles(part.column(0)[i].as_py())
+                    out.append((key, size, [x for x, _ in listed], [_parities(elements, bands.sketch_bits(b)).view(np.int64).tolist() for _, b in listed],
+                                elements.tobytes()))
+                if out:
+                    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)],
+                                                     names=["sid", "n", "nodes", "sketches", "elements"])
+
+    return rows.where("n > 0").select(text, "n", "sid").mapInArrow(
+        run, "sid long, n long, nodes array<long>, sketches array<array<long>>, elements binary")
+
+
 def _described(docs: DataFrame, text: str, carry: list[str], n: int, percent: int, wanted) -> DataFrame:
     """Carried columns (_c0, ...), n, sid and, once per task for sets the filter lets through, their nodes in the two bands
-    they sign for and the set itself."""
+    they sign for, a parity sketch for each, and the set itself."""
     from pyspark.sql import types as T
 
     rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carry)], F.col(f"`{text}`").alias("_t"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("n", T.LongType()), T.StructField("sid", T.LongType()),
-                           T.StructField("nodes", T.ArrayType(T.LongType(), False)), T.StructField("elements", T.BinaryType())])
+                           T.StructField("nodes", T.ArrayType(T.LongType(), False)),
+                           T.StructField("sketches", T.ArrayType(T.ArrayType(T.LongType(), False), False)), T.StructField("elements", T.BinaryType())])
 
     def run(batches):
         import numpy as np
@@ -255,31 +408,39 @@ def _described(docs: DataFrame, text: str, carry: list[str], n: int, percent: in
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                sizes, keys, nodes, sets = [], [], [], []
+                sizes, keys, nodes, sketches, sets = [], [], [], [], []
                 for t in part.column(part.num_columns - 1).to_pylist():
                     elements = shingles(t)
                     sizes.append(len(elements))
                     key = set_key(elements) if len(elements) else None
                     keys.append(key)
-                    here = []
+                    here, drawn = [], []
                     if key is not None and key not in seen:
-                        band = bands.of(len(elements))
-                        here = [node_key(key, b) for b in (band, band + 1)]
-                        here = [x for x in here if bitmap[x % FILTER_BITS >> 5] >> np.uint32(x % FILTER_BITS & 31) & np.uint32(1)]
+                        for x, b in _listed(key, len(elements), bands, bitmap):
+                            here.append(x)
+                            drawn.append(_parities(elements, bands.sketch_bits(b)).view(np.int64).tolist())
                         if here:
                             if len(seen) > REMEMBERED:
                                 seen.clear()
                             seen.add(key)
                     nodes.append(here or None)
+                    sketches.append(drawn or None)
                     sets.append(elements.tobytes() if here else None)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()),
-                     pa.array(nodes, pa.list_(pa.int64())), pa.array(sets, pa.binary())],
-                    names=[*part.schema.names[:-1], "n", "sid", "nodes", "elements"])
+                     pa.array(nodes, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.list_(pa.int64()))), pa.array(sets, pa.binary())],
+                    names=[*part.schema.names[:-1], "n", "sid", "nodes", "sketches", "elements"])
 
     return rows.mapInArrow(run, schema)
 
 
+def _parities(elements, bits: int):
+    """Parity of the elements in each of `bits` bins, as 64-bit words."""
+    import numpy as np
+
+    return np.packbits(np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.uint64)
+
+
 def _sketches(sets, differences):
     """Parity of the elements in each of `bits` bins: the bins in which two sets differ are at most the elements in
     which they do."""
@@ -291,7 +452,7 @@ def _sketches(sets, differences):
         bits *= 2
     out = np.empty((len(sets), bits // 64), np.uint64)
     for i, s in enumerate(sets):
-        out[i] = np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.uint64)
+        out[i] = _parities(s, bits)
     return out
 
 
@@ -367,10 +528,70 @@ def _compared_in_rounds(rows: DataFrame, percent: int, rounds: int) -> DataFrame
 
 
 def _candidate_links(docs: DataFrame, text: str, n: int, percent: int, rounds: int) -> DataFrame:
-    """`_sharing` of all signatures, one range of their hashes a round; a round's shuffle is let go before the next."""
+    """`_sharing` of all signatures (a pair may come once a round), one range of their hashes a round; a round's shuffle is let go before the next."""
     return reduce(DataFrame.union, [checkpointed(_sharing(_signed(docs, text, n, percent, rounds, this))) for this in range(rounds)])
 
 
+def _drawn(sets: DataFrame) -> DataFrame:
+    """(node, n, sketch) of every node."""
+    return sets.select("n", F.explode(F.arrays_zip("nodes", "sketches")).alias("_s")).select(
+        F.col("_s.nodes").alias("node"), "n", F.col("_s.sketches").alias("sketch")).distinct()
+
+
+def _near_enough(pairs: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose sizes and sketches leave it open whether their sets are similar."""
+    left, right = (drawn.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab")
+    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
+    near = (F.greatest("na", "nb") * percent <= F.least("na", "nb") * 100) & (apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent))
+    return pairs.select("a", "b").join(left, "a").join(right, "b").where(near).select("a", "b")
+
+
+def _near_in_bundles(pairs: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join all nodes which such pairs join among the nodes of one bundle: those paired with the same a.
+    Bundles above a block's size are dealt block against block."""
+    members = checkpointed(pairs.select(F.col("a").alias("bundle"), F.explode(F.array("a", "b")).alias("node")).distinct())
+    sizes = checkpointed(members.groupBy("bundle").agg(F.ceil(F.count("*") / BUNDLE).cast("int").alias("blocks")))
+    packs = max(1, math.ceil(members.count() / BUNDLE))
+    rows = members.join(sizes, "bundle").withColumn("block", F.pmod(F.xxhash64("node", F.lit(4)), F.col("blocks")).cast("int")).join(drawn, "node")
+    one = rows.where("blocks = 1").withColumn("task", F.struct(
+        F.lit(0).cast("long").alias("c"), F.pmod(F.xxhash64("bundle"), F.lit(packs)).cast("int").alias("x"), F.lit(0).alias("y")))
+    more = rows.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("task", F.struct(
+        F.col("bundle").alias("c"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))).drop("other")
+
+    def run(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        a, b = [], []
+        bundle, node, n, block = (table.column(c).to_numpy() for c in ("bundle", "node", "n", "block"))
+        words = table.column("sketch").combine_chunks()
+        ends, words = words.offsets.to_numpy(), words.values.to_numpy().view(np.uint64)
+        order = np.lexsort((node, n, bundle))
+        starts = np.flatnonzero(np.r_[True, bundle[order][1:] != bundle[order][:-1]])
+        for at in np.split(order, starts[1:]):
+            # nodes of a bundle sign for one band, so their sketches are of one length
+            sketch = np.stack([words[ends[i]:ends[i + 1]] for i in at])
+            size, label, part = n[at], np.arange(len(at)), block[at]
+            most = np.searchsorted(size * percent, size * 100, side="right")
+            across = part.min() != part.max()
+            for i in range(len(at)):
+                js = np.arange(i + 1, most[i])
+                js = js[(label[js] != label[i]) & (part[js] != part[i])] if across else js[label[js] != label[i]]
+                if len(js):
+                    apart = np.bitwise_count(sketch[js] ^ sketch[i]).sum(axis=1, dtype=np.int64)
+                    js = js[apart * (100 + percent) <= (100 - percent) * (size[i] + size[js])]
+                if len(js):
+                    joined, first = np.unique(label[js], return_index=True)
+                    label[np.isin(label, joined)] = label[i]
+                    a.append(np.full(len(first), node[at[i]]))
+                    b.append(node[at[js[first]]])
+        none = [np.empty(0, np.int64)]
+        return pa.table({"a": pa.array(np.concatenate(a or none)), "b": pa.array(np.concatenate(b or none))})
+
+    columns = ("task", "bundle", "node", "n", "block", "sketch")
+    return one.select(*columns).unionByName(more.select(*columns)).groupBy("task").applyInArrow(run, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", *, n: int = N, percent: int = PERCENT, rounds: int = 1,
                        carry: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, labels). rows: the `carry` columns (default: all but the text) as _c0, _c1, ..., `n` (set size), `sid` (key
@@ -381,12 +602,13 @@ def jaccard_components(docs: DataFrame, text: str = "text", *, n: int = N, perce
     and texts without words have n = 0 and a null sid: they are linked with nothing. Equal sets share a sid.
     Repeated rows stay. Sids are 64-bit keys; two different sets share a key with a chance of 2^-64 a pair.
 
-    Exactness: similar sets share a signature (pigeonhole) of a band for which both sign, hence a cluster of this band; within a cluster every pair of sets in
+    Exactness: similar sets share a signature (pigeonhole) of a band for which both sign, and their sketches differ in no more
+    bins than they do in elements, hence they share a cluster of this band; within a cluster every pair of sets in
     different components is bounded or compared. Clusters above a block's size are compared block by block,
     blocks of one cluster in different tasks: first each alone, then delegates of all, then only pairs of
     blocks that still hold different components.
 
-    With `rounds` the texts are signed that many times, each time for one range of the signatures' hashes, so that the
+    With `rounds` about that share of the signatures is made at a time, by bands of sizes, so that the
     shuffle of signatures takes that part of the disk, and clusters are compared in that many turns; every step's shuffle is
     let go when it is written. The result does not depend on it.
     """
@@ -396,12 +618,25 @@ def jaccard_components(docs: DataFrame, text: str = "text", *, n: int = N, perce
 
 def _labelled(docs: DataFrame, text: str, n: int, percent: int, rounds: int, carry: tuple[str, ...] | None) -> tuple[DataFrame, DataFrame]:
     carry = [c for c in docs.columns if c != text] if carry is None else list(carry)
-    clusters = checkpointed(components(_candidate_links(docs, text, n, percent, rounds)).withColumnRenamed("component", "cluster"))
-    wanted = docs.sparkSession.sparkContext.broadcast(_filter_bits(clusters))
-    described = checkpointed(_described(docs, text, carry, n, percent, wanted).withColumn("rid", F.monotonically_increasing_id()))
+    share = docs.sparkSession.sparkContext.broadcast
+    if rounds > 1:  # texts are written with their sizes first, so that every round reads only what it signs
+        own = f"_c{carry.index(text)}" if text in carry else "_t"
+        rows = _sized(docs, text, carry, n).withColumn("rid", F.monotonically_increasing_id())
+        rows = checkpointed(rows.drop("_t") if own != "_t" else rows)
+        pairs = _links_by_size(rows, own, n, percent, rounds)
+        sets, rows = checkpointed(_candidate_sets(rows, own, n, percent, share(_filter_bits(pairs)))), rows.drop("_t")
+    else:
+        pairs = _candidate_links(docs, text, n, percent, rounds)
+        described = checkpointed(_described(docs, text, carry, n, percent, share(_filter_bits(pairs))).withColumn("rid", F.monotonically_increasing_id()))
+        sets, rows = described.where("elements is not null"), described.drop("nodes", "sketches", "elements")
+    # pairs that their sketches keep apart join no cluster
+    drawn = checkpointed(_drawn(sets))
+    near = _near_enough(pairs.where("not whole").select("a", "b").distinct(), drawn, percent)
+    bundled = _near_in_bundles(pairs.where("whole"), drawn, percent)
+    clusters = checkpointed(components(near.unionByName(bundled)).withColumnRenamed("component", "cluster"))
 
     # tasks are dealt over ids and sizes; the sets themselves follow in one join
-    members = checkpointed(described.where("elements is not null").select("sid", "n", F.explode("nodes").alias("node")).distinct()
+    members = checkpointed(sets.select("sid", "n", F.explode("nodes").alias("node")).distinct()
                            .join(clusters, "node").select("sid", "n", "cluster"))
     sizes = checkpointed(members.groupBy("cluster").agg(F.sum("n").alias("total")))
     sizes = sizes.withColumn("blocks", F.greatest(F.ceil(F.col("total") / BLOCK_ELEMENTS).cast("int"), F.lit(1)))
@@ -409,7 +644,7 @@ def _labelled(docs: DataFrame, text: str, n: int, percent: int, rounds: int, car
     packs = max(1, 4 * math.ceil(total / BLOCK_ELEMENTS))
     dealt = checkpointed(members.drop("n").join(small_side(sizes, BROADCAST_IDS), "cluster").withColumn(
         "block", F.pmod(F.xxhash64("sid", F.lit(1)), F.col("blocks")).cast("int")))
-    placed = described.where("elements is not null").select("sid", "n", "elements").join(small_side(dealt, BROADCAST_IDS), "sid")
+    placed = sets.select("sid", "n", "elements").join(small_side(dealt, BROADCAST_IDS), "sid")
     alone = placed.withColumn("task", F.when(F.col("blocks") == 1, F.struct(
         F.lit(0).cast("long").alias("c"), F.pmod(F.xxhash64("cluster"), F.lit(packs)).cast("int").alias("x"), F.lit(0).alias("y"))
     ).otherwise(F.struct(F.col("cluster").alias("c"), F.col("block").alias("x"), F.lit(-1).alias("y"))))
@@ -439,7 +674,7 @@ def _labelled(docs: DataFrame, text: str, n: int, percent: int, rounds: int, car
                                                       F.greatest("block", "other").alias("y"))))
             links = links.union(_compared_in_rounds(tasks.select(*columns), percent, turns))
             labels = checkpointed(components(links))
-    return described.drop("nodes", "elements"), labels.select(F.col("node").alias("sid"), "component")
+    return rows, labels.select(F.col("node").alias("sid"), "component")
 
 
 def component_ids(docs: DataFrame, key: str, text: str = "text", **how) -> DataFrame:

@@ -150,3 +150,53 @@ def test_blocks_compared_in_turns_match_brute_force(documents, monkeypatch):
     monkeypatch.setattr(ngram_join, "DELEGATES", 2)
     out = ngram_join.component_ids(documents([(i, t, None, None) for i, t in rows]), "doc_id", rounds=2).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == expected(rows)
+
+
+def unrelated_with_a_passage(sizes, each, seed=11):
+    """Texts of words of their own around one common passage, and two near copies of some."""
+    draw = random.Random(seed)
+    passage = [f"p{i}" for i in range(12)]
+    texts = []
+    for size in sizes:
+        for _ in range(each):
+            own = [f"w{draw.randrange(10**6)}" for _ in range(size)]
+            at = draw.randrange(size)
+            texts.append(" ".join(own[:at] + passage + own[at:]))
+            if draw.random() < 0.1:
+                texts += [" ".join([*own[:at], *passage, *own[at:], "z"]), " ".join(["y", *own[:at], *passage, *own[at:]])]
+    return list(enumerate(texts))
+
+
+def test_sets_that_share_a_signature_by_chance_are_not_compared(documents, monkeypatch):
+    """A common passage gives unrelated sets common signatures: their sketches keep them out of the clusters."""
+    rows = unrelated_with_a_passage((30, 40, 55), 60)
+    sent, compare = [], ngram_join._compared_in_rounds
+
+    def counted(some, *how):
+        sent.append(some.select("sid").distinct().count())
+        return compare(some, *how)
+
+    monkeypatch.setattr(ngram_join, "_compared_in_rounds", counted)
+    want = expected(rows)
+    assert found(documents([(i, t, None, None) for i, t in rows])) == want
+    linked = len({c for _, c in want.values()})
+    assert 0 < sum(sent) < 2 * (len(rows) - linked) + 20 < len(rows) / 2
+
+
+def test_bundles_of_signatures_and_rounds_by_size_match_brute_force(documents, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL", 2)
+    monkeypatch.setattr(ngram_join, "BUNDLE", 6)
+    rows = unrelated_with_a_passage((14, 30), 30) + [(1000 + i, t) for i, t in corpus(3)]
+    docs, want = documents([(i, t, None, None) for i, t in rows]), expected(rows)
+    assert found(docs) == want
+    for rounds in (2, 6):
+        out = ngram_join.component_ids(docs, "doc_id", rounds=rounds).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
+
+
+def test_rounds_share_the_signatures_and_leave_none_out(documents):
+    rows = ngram_join._sized(documents([(i, t, None, None) for i, t in corpus()]), "text", ["doc_id"], 4)
+    all_ = {tuple(r) for r in ngram_join._signed(rows, "_t", 4, 85, 1, 0).collect()}
+    for rounds in (2, 5):
+        parts = [{tuple(r) for r in ngram_join._signed(rows, "_t", 4, 85, n, i, only).collect()} for only, n, i in ngram_join._rounds_of(rows, 85, rounds)]
+        assert set().union(*parts) == all_ and sum(map(len, parts)) == len(all_) and max(map(len, parts)) < 2.2 * len(all_) / rounds
