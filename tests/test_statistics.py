@@ -193,3 +193,28 @@ def test_binned_counts_match_pandas(spark):
             k = (f, 0 if v is None else sum(c < v for c in cuts[f]), y)
             want[k] = want.get(k, 0) + 1
     assert got == want
+
+
+def test_percentiles_of_columns_side_by_side_equal_those_of_their_long_form(spark):
+    """Ties, nulls, NaN, a constant and an empty column; a coarse sketch misses ranks first."""
+    draw = random.Random(3)
+    rows = [(draw.gauss(0, 1), float(draw.randrange(4)), None if i % 3 else draw.random(), float("nan") if i % 50 == 0 else -draw.random(), 7, None)
+            for i in range(4000)]
+    names = ["a", "b", "c", "d", "e", "f"]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e int, f double").repartition(5)
+    probs = [i / 7 for i in range(1, 7)] + [0.0, 1.0]
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in names])).alias("_")).select("_.*")
+    want = {r.k: r.q for r in quantiles.group_percentiles(long, ["k"], "v", probs).collect()}
+    for accuracy in (10_000, 20):
+        got = quantiles.column_percentiles(df, names, probs, accuracy)
+        assert set(got) == set(want) == set("abcde")
+        assert all(str(got[c]) == str(list(want[c])) for c in want)
+    assert quantiles.column_percentiles(df, [], probs) == {}
+
+
+def test_mutual_information_does_not_lay_rows_out_by_feature(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 5, float(i % 7), float(i * i % 11)) for i in range(300)], "y int, a double, b double")
+    seen, explode = [], F.explode
+    monkeypatch.setattr(F, "explode", lambda c: seen.append(c) or explode(c))
+    got = {r.feature: r.score for r in stats.mutual_information(df, ["a", "b"], "y", 4).collect()}
+    assert set(got) == {"a", "b"} and not seen
